@@ -56,7 +56,7 @@ def fingerprint(found: np.ndarray) -> int:
 def bands(found: np.ndarray) -> list:
     if not len(found):
         return []
-    low = np.array([np.min((found ^ s) * np.uint64(0x9E3779B97F4A7C15)) for s in SEEDS], np.uint64).reshape(BANDS, ROWS)
+    low = ((found[None, :] ^ SEEDS[:, None]) * np.uint64(0x9E3779B97F4A7C15)).min(axis=1).reshape(BANDS, ROWS)
     return mix(np.bitwise_xor.reduce(mix(low + np.arange(ROWS, dtype=np.uint64)), axis=1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist()
 
 
@@ -145,44 +145,47 @@ def overlap_bound(n: int, a: np.ndarray, m: int, b: np.ndarray) -> int:
     return min(n - int(np.bitwise_count(a).sum()) + both, m - int(np.bitwise_count(b).sum()) + both)
 
 
-def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(set_id, map, elements)`` for the classes wanted, from the text of one document of each."""
-    one = classes.join(wanted, "set_id", "left_semi").select("doc_id")
-    out = pa.schema([("set_id", pa.int64()), ("map", pa.binary()), ("elements", pa.binary())])
+def texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(set_id, text)`` of one document of each class wanted."""
+    one = stored(classes.join(wanted, "set_id", "left_semi").select("doc_id"), "wanted")
+    out = pa.schema([("set_id", pa.int64()), ("text", pa.string())])
 
     def run(batches):
         cache: dict = {}
+        seen: set = set()
         for part in sliced(batches):
-            rows = [(fingerprint(x), signature(x).tobytes(), x.tobytes()) for x in shingle_sets(part, cache)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(out)], schema=out)
+            prints = [fingerprint(x) for x in shingle_sets(part, cache)]
+            first = [i for i, x in enumerate(prints) if x not in seen and not seen.add(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([prints[i] for i in first], pa.int64()), part.column("text").take(pa.array(first, pa.int64()))], schema=out)
 
-    got = docs.join(one, "doc_id", "left_semi").mapInArrow(run, "set_id bigint, map binary, elements binary")
-    return got.dropDuplicates(["set_id"])
+    return stored(docs.join(one, "doc_id", "left_semi").mapInArrow(run, "set_id bigint, text string"), "texts")
 
 
-def links(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those pairs of classes ``(x, y)`` that reach the threshold."""
-    pairs = stored(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("set_id")).distinct()
-    sets = stored(sets_of(docs, classes, wanted), "sets")
-    side = lambda c: sets.select(F.col("set_id").alias(c), F.col("map").alias(f"{c}_map"), F.col("elements").alias(f"{c}_set"))
+def links(pairs: DataFrame, held: DataFrame, name: str) -> DataFrame:
+    """Those pairs of classes ``(x, y)`` that reach the threshold; ``held`` has the classes' texts."""
+    side = lambda c: held.select(F.col("set_id").alias(c), F.col("text").alias(f"{c}_text"))
     out = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
+    def sets(column: pa.Array, cache: dict):
+        return [(x, signature(x)) for x in shingle_sets(pa.RecordBatch.from_arrays([column], names=["text"]), cache)]
+
     def run(batches):
-        for batch in batches:
+        cache: dict = {}
+        y_id, y_set, y_map = None, None, None
+        for part in sliced(batches, "x_text"):
             keep = []
-            columns = [batch.column(c) for c in ("x_map", "x_set", "y_map", "y_set")]
-            for i in range(batch.num_rows):
-                x_map, x, y_map, y = (np.frombuffer(c[i].as_buffer(), t) for c, t in zip(columns, (np.uint8, np.uint64, np.uint8, np.uint64)))
-                total = len(x) + len(y)
-                need = -(-PERCENT * total // (100 + PERCENT))
-                if overlap_bound(len(x), x_map, len(y), y_map) < need:
-                    continue
-                if len(np.intersect1d(x, y, assume_unique=True)) >= need:
+            ys = part.column("y").to_pylist()
+            for i, (x, x_map) in enumerate(sets(part.column("x_text"), cache)):
+                if y_id != ys[i]:
+                    y_id, (y_set, y_map) = ys[i], sets(part.column("y_text").slice(i, 1), cache)[0]
+                need = -(-PERCENT * (len(x) + len(y_set)) // (100 + PERCENT))
+                if overlap_bound(len(x), x_map, len(y_set), y_map) >= need and len(np.intersect1d(x, y_set, assume_unique=True)) >= need:
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column("x").take(pa.array(keep, pa.int64())), batch.column("y").take(pa.array(keep, pa.int64()))], schema=out)
+            keep = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("x").take(keep), part.column("y").take(keep)], schema=out)
 
-    return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "x_map", "x_set", "y_map", "y_set").mapInArrow(run, "x bigint, y bigint")
+    met = stored(pairs, "pairs").join(side("x"), "x").join(side("y"), "y")
+    return stored(met.select("x", "y", "x_text", "y_text").mapInArrow(run, "x bigint, y bigint").distinct(), name)
 
 
 def fits(a: str, b: str):
@@ -206,25 +209,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # at most (mean set size / COMMON) shingles can be so common, however many documents there are
     common = np.sort(np.array([r.shingle for r in held.collect()], np.int64).view(np.uint64))
 
-    banded = classes.select("set_id", F.col("n"), F.explode("bands").alias("band"))
-    first = F.min(F.struct("doc_id", "set_id")).over(Window.partitionBy("band"))
+    by_key = Window.partitionBy("key")
+    keys = prefixes(docs, common).withColumn("lo", F.min("set_id").over(by_key)).withColumn("hi", F.max("set_id").over(by_key))
+    shared = stored(keys.where("lo <> hi").select("key", "set_id", "n").distinct(), "shared")
+    # only classes that share a prefix element with another one can have a link
+    able = stored(classes.join(shared.select("set_id").distinct(), "set_id", "left_semi"), "able")
+    held = texts_of(docs, able, able.select("set_id"))
+
+    first = F.min(F.struct("doc_id", "set_id", "n")).over(Window.partitionBy("band"))
     star = (
-        classes.select("set_id", "doc_id", F.explode("bands").alias("band")).withColumn("r", first["set_id"]).where("r <> set_id").select(F.least("r", "set_id").alias("x"), F.greatest("r", "set_id").alias("y")).distinct()
+        able.select("set_id", "doc_id", "n", F.explode("bands").alias("band"))
+        .withColumn("first", first)
+        .where("first.set_id <> set_id")
+        .where(fits(F.col("n"), F.col("first.n")))
+        .select(F.col("set_id").alias("x"), F.col("first.set_id").alias("y"))
+        .distinct()
     )
-    sized = classes.select("set_id", "n")
-    star = star.join(sized.select(F.col("set_id").alias("x"), F.col("n").alias("nx")), "x").join(sized.select(F.col("set_id").alias("y"), F.col("n").alias("ny")), "y").where(fits("nx", "ny")).select("x", "y")
-    near = stored(links(star, docs, classes), "near")
-    part_of = stored(classes.join(components(near.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", F.coalesce("component", "set_id").alias("part")), "parts")
+    near = links(star, held, "near")
+    merged = components(near.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "set_id")
+    part_of = able.join(merged, "set_id", "left").select("set_id", F.coalesce("component", "set_id").alias("part"))
 
-    by_key = Window.partitionBy("key")
-    shared = prefixes(docs, common).withColumn("lo", F.min("set_id").over(by_key)).withColumn("hi", F.max("set_id").over(by_key)).where("lo <> hi").select("key", "set_id", "n").distinct()
     tiles = shared.join(part_of, "set_id")
-    mixed = tiles.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    tiles = stored(tiles.join(mixed, "key", "left_semi").withColumn("tile", tile(F.col("n"))), "tiles")
+    tiles = stored(tiles.withColumn("lo", F.min("part").over(by_key)).withColumn("hi", F.max("part").over(by_key)).where("lo <> hi").select("key", "set_id", "n", "part", tile(F.col("n")).alias("tile")), "tiles")
     left = tiles.select("key", F.col("set_id").alias("x"), F.col("n").alias("nx"), F.col("part").alias("px"), F.explode(F.array("tile", F.col("tile") + 1)).alias("tile"))
     right = tiles.select("key", F.col("set_id").alias("y"), F.col("n").alias("ny"), F.col("part").alias("py"), "tile")
     pairs = left.join(right, ["key", "tile"]).where("px <> py AND (nx < ny OR nx = ny AND x < y)").where(fits("nx", "ny")).select("x", "y").distinct()
-    every = near.unionByName(links(pairs, docs, classes))
+    every = near.unionByName(links(pairs, held, "rest"))
     ids = classes.select("set_id", "doc_id")
     named = every.join(ids.select(F.col("set_id").alias("x"), F.col("doc_id").alias("a")), "x").join(ids.select(F.col("set_id").alias("y"), F.col("doc_id").alias("b")), "y").select("a", "b")
     reached = components(named).withColumnRenamed("node", "doc_id")

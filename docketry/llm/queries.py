@@ -4,17 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.llm import decontaminate, jaccard
+from docketry.llm import decontaminate, jaccard, mixing, tokens, topk
 from docketry.llm._shared import table
 from docketry.llm.oracle import SQL as ORACLE  # noqa: F401
 
 
+def op1_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mixed(docs, mixing.tempered(docs)).select("doc_id", "source", "mix_block", "mix_slot", "mix_position")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.counted(table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_decontaminate, op8_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_pfair_mixing, op4_decontaminate, op6_exact_topk, op7_token_counts, op8_ngram_jaccard)}
