@@ -8,7 +8,8 @@ or more is linked, and each document gets the smallest ``doc_id`` that it reache
 3. A second round makes the join exact. Two sets of similarity 0.75 share an element among the rarest quarter
    of each (prefix filter), so classes are tiled by prefix element and size band. Elements that very many
    documents hold come last in the order that picks the prefixes, which keeps the tiles small. Only pairs of
-   classes that are in different components yet are compared: all of them.
+   classes that are in different components yet are compared: all of them whose shared prefix elements are
+   enough for the threshold.
 
 A comparison first bounds the overlap from above by the bit counts of hashed bitmap signatures, and only pairs
 that can still reach the threshold have their sorted hash arrays intersected. Sets hold 64-bit hashes of
@@ -126,8 +127,8 @@ def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
 
 
 def signature(found: np.ndarray) -> np.ndarray:
-    """Hashed bitmap of a set, with at least two bits an element."""
-    bits = max(64, 1 << int(2 * len(found) - 1).bit_length())
+    """Hashed bitmap of a set, with at least four bits an element."""
+    bits = max(64, 1 << int(4 * len(found) - 1).bit_length())
     map_ = np.zeros(bits, bool)
     map_[(found >> np.uint64(20)).astype(np.int64) & (bits - 1)] = True
     return np.packbits(map_, bitorder="little")
@@ -146,19 +147,44 @@ def overlap_bound(n: int, a: np.ndarray, m: int, b: np.ndarray) -> int:
 
 
 def texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(set_id, text)`` of one document of each class wanted."""
+    """``(set_id, n, map, text)`` of one document of each class wanted."""
     one = stored(classes.join(wanted, "set_id", "left_semi").select("doc_id"), "wanted")
-    out = pa.schema([("set_id", pa.int64()), ("text", pa.string())])
+    out = pa.schema([("set_id", pa.int64()), ("n", pa.int32()), ("map", pa.binary()), ("text", pa.string())])
 
     def run(batches):
         cache: dict = {}
         seen: set = set()
         for part in sliced(batches):
-            prints = [fingerprint(x) for x in shingle_sets(part, cache)]
-            first = [i for i, x in enumerate(prints) if x not in seen and not seen.add(x)]
-            yield pa.RecordBatch.from_arrays([pa.array([prints[i] for i in first], pa.int64()), part.column("text").take(pa.array(first, pa.int64()))], schema=out)
+            rows, first = [], []
+            for i, x in enumerate(shingle_sets(part, cache)):
+                if len(x) and (key := fingerprint(x)) not in seen:
+                    seen.add(key)
+                    rows.append((key, len(x), signature(x).tobytes()))
+                    first.append(i)
+            yield pa.RecordBatch.from_arrays([*[pa.array([r[k] for r in rows], out.field(k).type) for k in range(3)], part.column("text").take(pa.array(first, pa.int64()))], schema=out)
 
-    return stored(docs.join(one, "doc_id", "left_semi").mapInArrow(run, "set_id bigint, text string"), "texts")
+    return stored(docs.join(one, "doc_id", "left_semi").mapInArrow(run, "set_id bigint, n int, map binary, text string"), "texts")
+
+
+def within_bound(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """Those pairs ``(x, y)`` whose signatures leave room for the threshold."""
+    side = lambda c: held.select(F.col("set_id").alias(c), F.col("n").alias(f"{c}_n"), F.col("map").alias(f"{c}_map"))
+    out = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            n, m, a, b = (batch.column(c).to_pylist() for c in ("x_n", "y_n", "x_map", "y_map"))
+            keep = [i for i in range(batch.num_rows) if overlap_bound(n[i], np.frombuffer(a[i], np.uint8), m[i], np.frombuffer(b[i], np.uint8)) >= needed(n[i], m[i])]
+            keep = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("x").take(keep), batch.column("y").take(keep)], schema=out)
+
+    met = pairs.join(side("x"), "x").join(side("y"), "y")
+    return met.select("x", "y", "x_n", "y_n", "x_map", "y_map").mapInArrow(run, "x bigint, y bigint")
+
+
+def needed(n: int, m: int) -> int:
+    """Elements that two sets of these sizes must share."""
+    return -(-PERCENT * (n + m) // (100 + PERCENT))
 
 
 def links(pairs: DataFrame, held: DataFrame, name: str) -> DataFrame:
@@ -178,7 +204,7 @@ def links(pairs: DataFrame, held: DataFrame, name: str) -> DataFrame:
             for i, (x, x_map) in enumerate(sets(part.column("x_text"), cache)):
                 if y_id != ys[i]:
                     y_id, (y_set, y_map) = ys[i], sets(part.column("y_text").slice(i, 1), cache)[0]
-                need = -(-PERCENT * (len(x) + len(y_set)) // (100 + PERCENT))
+                need = needed(len(x), len(y_set))
                 if overlap_bound(len(x), x_map, len(y_set), y_map) >= need and len(np.intersect1d(x, y_set, assume_unique=True)) >= need:
                     keep.append(i)
             keep = pa.array(keep, pa.int64())
@@ -233,7 +259,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tiles = stored(tiles.withColumn("lo", F.min("part").over(by_key)).withColumn("hi", F.max("part").over(by_key)).where("lo <> hi").select("key", "set_id", "n", "part", tile(F.col("n")).alias("tile")), "tiles")
     left = tiles.select("key", F.col("set_id").alias("x"), F.col("n").alias("nx"), F.col("part").alias("px"), F.explode(F.array("tile", F.col("tile") + 1)).alias("tile"))
     right = tiles.select("key", F.col("set_id").alias("y"), F.col("n").alias("ny"), F.col("part").alias("py"), "tile")
-    pairs = left.join(right, ["key", "tile"]).where("px <> py AND (nx < ny OR nx = ny AND x < y)").where(fits("nx", "ny")).select("x", "y").distinct()
+    pairs = left.join(right, ["key", "tile"]).where("px <> py AND (nx < ny OR nx = ny AND x < y)").where(fits("nx", "ny"))
+    # what two prefixes share and what lies behind the longer of them bounds the overlap
+    total, behind = F.col("nx").cast("long") + F.col("ny"), F.ceil(F.greatest("nx", "ny") * PERCENT / 100)
+    pairs = pairs.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("both")).where((F.col("both") + behind - 1) * (100 + PERCENT) >= PERCENT * total).select("x", "y")
+    pairs = within_bound(stored(pairs, "counted"), held)
     every = near.unionByName(links(pairs, held, "rest"))
     ids = classes.select("set_id", "doc_id")
     named = every.join(ids.select(F.col("set_id").alias("x"), F.col("doc_id").alias("a")), "x").join(ids.select(F.col("set_id").alias("y"), F.col("doc_id").alias("b")), "y").select("a", "b")
