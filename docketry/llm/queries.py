@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.llm import chat, decontaminate, jaccard, licenses, mixing, tokens, topk
+from docketry.llm import chat, decontaminate, jaccard, licenses, mixing, passages, pii, quality, tokens, topk
 from docketry.llm._shared import table
 from docketry.llm.oracle import SQL as ORACLE  # noqa: F401
 
@@ -14,6 +14,10 @@ def op1_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs, mixing.tempered(docs)).select("doc_id", "source", "mix_block", "mix_slot", "mix_position")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     forged = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", forged), (-1, 1, "assistant", forged)], "conv_id long, turn long, role string, text string")
@@ -40,4 +44,12 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pfair_mixing, op3_chat_format, op4_decontaminate, op5_license_scan, op6_exact_topk, op7_token_counts, op8_ngram_jaccard)}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detected(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pfair_mixing, op2_substring_dedup, op3_chat_format, op4_decontaminate, op5_license_scan, op6_exact_topk, op7_token_counts, op8_ngram_jaccard, op9_quality, op10_pii)}
