@@ -134,12 +134,8 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int =
     if size + slop >= GAP:
         raise ValueError(f"size + slop must be below {GAP}")
     docs = texts(docs)
-    found = stored(windows(item_words(benchmark), size), "windows")
-    blocks = max(1, -(-found.count() // block_windows))
-    parts = [
-        _find_block(docs, [(r.words, r.items) for r in found.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b).collect()], slop)
-        for b in range(blocks)
-    ]
+    parts = [_find_block(docs, block, slop) for block in blocks_of(docs, benchmark, size, block_windows)]
+    blocks = len(parts)
     if blocks == 1:
         return parts[0]
     every = reduce(DataFrame.unionByName, parts)
@@ -166,61 +162,93 @@ def covered(spans: str):
     return F.aggregate(spans, F.lit(0).cast("bigint"), lambda acc, x: acc + x["end"] - x["start"])
 
 
-def _find_block(docs: DataFrame, block: list, slop: int) -> DataFrame:
-    words = [np.array(w, np.int64).view(np.uint64) for w, _ in block]
-    terms = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
-    frequency = term_frequency(docs, terms) if len(terms) else np.zeros(0, np.int64)
-    plans = []
-    for n in sorted({len(w) for w in words}):
-        which = np.array([i for i, w in enumerate(words) if len(w) == n])
-        ids = np.searchsorted(terms, np.stack([words[i] for i in which]))
-        here = (frequency[ids] > 0).all(axis=1)
-        plans.append(Plan(which[here], ids[here], frequency))
-    sent = docs.sparkSession.sparkContext.broadcast((terms, plans, [items for _, items in block]))
+class Block:
+    """Windows of the benchmark with their terms, ready to be sent to the tasks."""
+
+    def __init__(self, docs: DataFrame, windows_and_items: list):
+        words = [np.array(w, np.int64).view(np.uint64) for w, _ in windows_and_items]
+        self.items = [items for _, items in windows_and_items]
+        self.terms = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
+        frequency = term_frequency(docs, self.terms) if words else np.zeros(0, np.int64)
+        self.plans = []
+        for n in sorted({len(w) for w in words}):
+            which = np.array([i for i, w in enumerate(words) if len(w) == n])
+            ids = np.searchsorted(self.terms, np.stack([words[i] for i in which]))
+            here = (frequency[ids] > 0).all(axis=1)
+            if here.any():
+                self.plans.append(Plan(which[here], ids[here], frequency))
+
+    def search(self, w: Words, n_texts: int, slop: int = 0):
+        """Over one slice of texts: ``(whether each word is hit, exact (text, window) pairs, pairs within the slop)``."""
+        doc = np.repeat(np.arange(n_texts), np.diff(w.first))
+        position = np.arange(len(doc)) + doc * GAP
+        length = len(doc) + n_texts * GAP + 2 * GAP
+        at = term_ids(w.hashes, self.terms)
+        used = at >= 0
+        postings = np.sort(at[used] * length + position[used] + GAP)
+        begin = np.searchsorted(postings, np.arange(len(self.terms) + 1) * length)
+        hit = np.zeros(length + 1, np.int64)
+        exact, near = set(), set()
+        whose = np.repeat(np.arange(n_texts), np.diff(w.first) + GAP)
+        for plan in self.plans:
+            n = plan.terms.shape[1]
+            for where, off in ((exact, 0), (near, slop)) if slop else ((exact, 0),):
+                row, start = intersect(postings, begin, plan, length, off)
+                start = start - GAP
+                if not off:
+                    np.add.at(hit, start, 1)
+                    np.add.at(hit, start + n, -1)
+                where.update(zip(whose[start + plan.order[row, 0]].tolist(), plan.which[row].tolist()))
+        return np.cumsum(hit)[position] > 0, exact, near
+
+
+def blocks_of(docs: DataFrame, benchmark: DataFrame, size: int, block_windows: int):
+    """The benchmark's windows in blocks of bounded size."""
+    found = stored(windows(item_words(benchmark), size), "windows")
+    n = max(1, -(-found.count() // block_windows))
+    for b in range(n):
+        yield Block(docs, [(r.words, r.items) for r in found.where(F.pmod(F.xxhash64("words"), F.lit(n)) == b).collect()])
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark window occurs, as they are (``text`` as string)."""
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    kept = docs
+    for block in blocks_of(docs, benchmark, size, block_windows):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches, sent=sent):
+            cache: dict = {}
+            for part in sliced(batches):
+                _, exact, _ = sent.value.search(Words(part.column("text"), ALNUM, cache), part.num_rows)
+                bad = {d for d, _ in exact}
+                yield part.take(pa.array([i for i in range(part.num_rows) if i not in bad], pa.int64()))
+
+        kept = kept.mapInArrow(run, docs.schema)
+    return kept
+
+
+def _find_block(docs: DataFrame, block: Block, slop: int) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(block)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     names = pa.list_(pa.string())
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", names), ("near_items", names), ("spans", span), ("text_hash", pa.int64())])
 
     def run(batches):
-        vocabulary, plans, items = sent.value
         cache: dict = {}
         for part in sliced(batches):
             w = Words(part.column("text"), ALNUM, cache)
-            doc = np.repeat(np.arange(part.num_rows), np.diff(w.first))
-            position = np.arange(len(doc)) + doc * GAP
-            length = len(doc) + part.num_rows * GAP + 128
-            at = term_ids(w.hashes, vocabulary)
-            used = at >= 0
-            postings = np.sort(at[used] * length + position[used] + GAP)
-            begin = np.searchsorted(postings, np.arange(len(vocabulary) + 1) * length)
-            hit = np.zeros(length + 1, np.int64)
-            exact, near = set(), set()
-            whose = np.repeat(np.arange(part.num_rows), np.diff(w.first) + GAP)
-            for plan in plans:
-                n = plan.terms.shape[1] if len(plan.terms) else 0
-                if not n:
-                    continue
-                for where, off in ((exact, 0), (near, slop)):
-                    if where is near and not slop:
-                        continue
-                    row, start = intersect(postings, begin, plan, length, off)
-                    start = start - GAP
-                    if not off:
-                        np.add.at(hit, start, 1)
-                        np.add.at(hit, start + n, -1)
-                    anchor = start + plan.order[row, 0]
-                    where.update(zip(whose[anchor].tolist(), plan.which[row].tolist()))
-            on = np.cumsum(hit)[position] > 0
-            count = np.add.reduceat(np.append(on, False).astype(np.int64), np.minimum(w.first[:-1], len(on))) * (np.diff(w.first) > 0)
+            on, exact, near = sent.value.search(w, part.num_rows, slop)
+            count = np.diff(np.append(0, np.cumsum(on))[w.first])
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
                     pa.array(np.diff(w.first)),
                     pa.array(count),
-                    pa.array(_names(exact, items, part.num_rows), names),
-                    pa.array(_names(near | exact, items, part.num_rows), names),
+                    pa.array(_names(exact, sent.value.items, part.num_rows), names),
+                    pa.array(_names(near | exact, sent.value.items, part.num_rows), names),
                     pa.array(_runs(on, w.first), span),
-                    pa.array([int(x) for x in _sums(w)], pa.int64()),
+                    pa.array(_sums(w)),
                 ],
                 schema=out,
             )

@@ -271,3 +271,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     final = ids.join(reached, "doc_id", "left").select("set_id", F.coalesce("component", "doc_id").alias("component_id"))
     joined_rows = rows.select("doc_id", F.col("n").alias("n_shingles"), "set_id").join(final, "set_id", "left")
     return joined_rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each group of linked documents the one with the smallest id stays.
+
+    Of equal rows one stays; rows with a null ``doc_id`` all stay.
+    """
+    kept = stored(near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    named = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("row_id"), F.xxhash64("text").alias("row_hash"), F.struct(*columns).alias("row"))
+    one = named.join(kept, F.col("row_id") == F.col("kept_id"), "left_semi").dropDuplicates(["row_id", "row_hash"]).select("row.*")
+    return one.unionByName(docs.where("doc_id IS NULL"))

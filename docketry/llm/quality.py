@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docketry.llm._shared import stored, texts
 from docketry.llm._words import SPACED, Words, joined, sliced
@@ -81,9 +82,10 @@ def described(raw: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.
     return out
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the statistics of every text."""
-    out = pa.schema([("doc_id", pa.int64()), *[(s, pa.float64()) for s in STATS]])
+def statistics(docs: DataFrame, prefix: str = "") -> DataFrame:
+    """``docs`` as they are, but for ``text`` as string, and the statistics of every text in columns of these names after the prefix."""
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    held = docs.columns
 
     def run(batches):
         cache: dict = {}
@@ -93,9 +95,9 @@ def statistics(docs: DataFrame) -> DataFrame:
             for i in range(part.num_rows):
                 a, b = w.first[i], w.first[i + 1]
                 rows[i] = described(w.bytes[w.at[i] : w.at[i + 1]], w.hashes[a:b], w.starts[a:b] - w.at[i], w.ends[a:b] - w.at[i])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(np.round(rows[:, j], 9)) for j in range(len(STATS))]], schema=out)
+            yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(np.round(rows[:, j], 9)) for j in range(len(STATS))]], names=[*held, *[prefix + s for s in STATS]])
 
-    return docs.mapInArrow(run, "doc_id bigint, " + ", ".join(f"{s} double" for s in STATS))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *[T.StructField(prefix + s, T.DoubleType()) for s in STATS]]))
 
 
 Rule = tuple[tuple[int, float, bool], ...]  # (statistic, threshold, whether above it)
@@ -173,13 +175,14 @@ def fitted(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, seed: int = 1
     return float(b), [(r, float(k)) for r, k in zip(names, w) if abs(k) > 1e-4]
 
 
-def compiled(intercept: float, rules: list[tuple[Rule, float]]) -> Column:
+def compiled(intercept: float, rules: list[tuple[Rule, float]], prefix: str = "") -> Column:
     """The score as one Spark column over the statistics."""
     total = F.lit(intercept)
     for rule, weight in rules:
         test = F.lit(True)
         for j, t, above in rule:
-            test &= (F.col(STATS[j]) > t) if above else (F.col(STATS[j]) <= t)
+            c = F.col(f"`{prefix}{STATS[j]}`")
+            test &= (c > t) if above else (c <= t)
         total = total + F.when(test, F.lit(weight)).otherwise(F.lit(0.0))
     return F.round(1 / (1 + F.exp(-total)), 9)
 
@@ -188,14 +191,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def learned(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Column:
+def learned(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE, prefix: str = "") -> Column:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).where("quality IS NOT NULL")
     rows = stats.where(~held_out(F.col("doc_id"))).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", *STATS).limit(sample).toPandas()
-    return compiled(*fitted(rows[list(STATS)].to_numpy(np.float64), (rows["quality"].to_numpy() > 0.5).astype(float)))
+    return compiled(*fitted(rows[list(STATS)].to_numpy(np.float64), (rows["quality"].to_numpy() > 0.5).astype(float)), prefix)
 
 
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every text."""
-    stats = stored(statistics(texts(docs)), "statistics")
+    stats = stored(statistics(texts(docs)).drop("text"), "statistics")
     score = learned(stats, labels, sample)
     return stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that score ``THRESHOLD`` or more, as they are."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    stats = statistics(texts(docs)).drop("text")
+    score = learned(stats, labels, sample, prefix)
+    return statistics(docs, prefix).where(score >= THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
