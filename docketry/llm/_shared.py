@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +43,50 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast(T.LongType()).alias("doc_id"), F.col("text").cast(T.StringType()).alias("text"), *more)
 
 
+#: Bits of a membership filter: 1 MB, whatever the number of members. Few false members up to a million; a fuller
+#: filter lets more rows through, which costs time and never a result.
+FILTER_BITS = 1 << 23
+FILTER_SEEDS = np.array([0x1B873593CC9E2D51, 0x52DCE729DA3ED3F1, 0x38495AB5C2B2AE3D], np.uint64)
+
+
+def _places(ids: np.ndarray) -> np.ndarray:
+    x = ids.astype(np.int64).view(np.uint64)[None, :] ^ FILTER_SEEDS[:, None]
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))) & np.uint64(FILTER_BITS - 1)
+
+
+def only_members(rows: DataFrame, members: DataFrame, column: str) -> DataFrame:
+    """The rows whose ``column`` (long) is among the members' column of that name, and a few others.
+
+    A Bloom filter of fixed size is built from the members in the tasks and sent to all, so that rows that cannot
+    match are gone before a shuffle. What needs the exact members joins them afterwards.
+    """
+
+    def marked(batches):
+        bits = np.zeros(FILTER_BITS // 64, np.uint64)
+        for batch in batches:
+            at = _places(batch.column(0).drop_null().to_numpy(zero_copy_only=False)).ravel()
+            np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        word = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits[word].view(np.int64))], names=["word", "mask"])
+
+    words = members.select(column).mapInArrow(marked, "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask")).collect()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in words:
+        bits[r.word] = r.mask
+    sent = rows.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+
+    def passed(batches):
+        for batch in batches:
+            ids = batch.column(column).fill_null(0).to_numpy(zero_copy_only=False)
+            at = _places(ids)
+            hit = (sent.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+            yield batch.filter(pa.array(hit.all(axis=0)))
+
+    return rows.mapInArrow(passed, rows.schema)
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of ``(a long, b long)`` as ``(node, component)``, component = smallest node.
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm._shared import components, stored, texts
+from docketry.llm._shared import components, only_members, stored, texts
 from docketry.llm._words import SPACED, Words, joined, mix, sliced
 
 SHINGLE = 5
@@ -37,6 +37,7 @@ PERCENT = 75
 BANDS, ROWS = 6, 3
 #: A shingle in more than this share of the documents goes to the end of the prefix order.
 COMMON = 1e-4
+WINDOW_SIZE = 1 << 20
 SEEDS = np.random.default_rng(23).integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
 
 
@@ -62,13 +63,16 @@ def bands(found: np.ndarray) -> list:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """A row for each document (set size, fingerprint, bands) and a row for each shingle repeated within a task (count)."""
+    """A row for each document (set size, fingerprint, bands) and rows ``(shingle, n)`` for shingles that neighbouring
+    documents share (counts within about ``WINDOW_SIZE`` shingles, which only order the prefixes)."""
     out = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("bands", pa.list_(pa.int64())), ("shingle", pa.int64())])
-    flush = 1 << 21
-
-    def counts(held: list) -> tuple[np.ndarray, np.ndarray]:
-        key, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-        return key, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+    def repeated(held: list) -> pa.RecordBatch:
+        key = np.sort(np.concatenate(held))
+        held.clear()
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        n = np.diff(np.append(first, len(key)))
+        key, n = key[first[n > 1]].view(np.int64), n[n > 1]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.int64()), pa.array(n), pa.nulls(len(key), pa.int64()), pa.nulls(len(key), pa.list_(pa.int64())), pa.array(key)], schema=out)
 
     def run(batches):
         cache: dict = {}
@@ -80,18 +84,14 @@ def described(docs: DataFrame) -> DataFrame:
                 sizes.append(len(found))
                 prints.append(fingerprint(found))
                 keys.append(bands(found))
-                held.append((found, np.ones(len(found), np.int64)))
+                held.append(found)
                 size += len(found)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.nulls(len(ids), pa.int64())], schema=out)
-            if size > flush:
-                held = [counts(held)]
+            if size > WINDOW_SIZE:
+                yield repeated(held)
                 size = 0
         if held:
-            key, n = counts(held)
-            key, n = key[n > 1].view(np.int64), n[n > 1]
-            for a in range(0, len(key), 1 << 16):
-                k = key[a : a + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.int64()), pa.array(n[a : a + (1 << 16)]), pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.list_(pa.int64())), pa.array(k)], schema=out)
+            yield repeated(held)
 
     return docs.mapInArrow(run, "doc_id bigint, n bigint, set_id bigint, bands array<bigint>, shingle bigint")
 
@@ -146,9 +146,10 @@ def overlap_bound(n: int, a: np.ndarray, m: int, b: np.ndarray) -> int:
     return min(n - int(np.bitwise_count(a).sum()) + both, m - int(np.bitwise_count(b).sum()) + both)
 
 
-def texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(set_id, n, map, text)`` of one document of each class wanted."""
-    one = stored(classes.join(wanted, "set_id", "left_semi").select("doc_id"), "wanted")
+def sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, name: str, whole: bool) -> DataFrame:
+    """``(set_id, n, map, text)`` of one document of each class in ``(x, y)`` pairs; the text is null unless ``whole``."""
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("set_id")).distinct()
+    one = classes.join(wanted, "set_id", "left_semi").select("doc_id")
     out = pa.schema([("set_id", pa.int64()), ("n", pa.int32()), ("map", pa.binary()), ("text", pa.string())])
 
     def run(batches):
@@ -161,9 +162,10 @@ def texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFram
                     seen.add(key)
                     rows.append((key, len(x), signature(x).tobytes()))
                     first.append(i)
-            yield pa.RecordBatch.from_arrays([*[pa.array([r[k] for r in rows], out.field(k).type) for k in range(3)], part.column("text").take(pa.array(first, pa.int64()))], schema=out)
+            texts_ = part.column("text").take(pa.array(first, pa.int64())) if whole else pa.nulls(len(first), pa.string())
+            yield pa.RecordBatch.from_arrays([*[pa.array([r[k] for r in rows], out.field(k).type) for k in range(3)], texts_], schema=out)
 
-    return stored(docs.join(one, "doc_id", "left_semi").mapInArrow(run, "set_id bigint, n int, map binary, text string"), "texts")
+    return stored(only_members(docs, one, "doc_id").mapInArrow(run, "set_id bigint, n int, map binary, text string"), name)
 
 
 def within_bound(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -210,7 +212,7 @@ def links(pairs: DataFrame, held: DataFrame, name: str) -> DataFrame:
             keep = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([part.column("x").take(keep), part.column("y").take(keep)], schema=out)
 
-    met = stored(pairs, "pairs").join(side("x"), "x").join(side("y"), "y")
+    met = pairs.join(side("x"), "x").join(side("y"), "y")
     return stored(met.select("x", "y", "x_text", "y_text").mapInArrow(run, "x bigint, y bigint").distinct(), name)
 
 
@@ -240,7 +242,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = stored(keys.where("lo <> hi").select("key", "set_id", "n").distinct(), "shared")
     # only classes that share a prefix element with another one can have a link
     able = stored(classes.join(shared.select("set_id").distinct(), "set_id", "left_semi"), "able")
-    held = texts_of(docs, able, able.select("set_id"))
 
     first = F.min(F.struct("doc_id", "set_id", "n")).over(Window.partitionBy("band"))
     star = (
@@ -251,7 +252,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select(F.col("set_id").alias("x"), F.col("first.set_id").alias("y"))
         .distinct()
     )
-    near = links(star, held, "near")
+    star = stored(star, "star")
+    near = links(star, sets_of(docs, classes, star, "star-texts", True), "near")
     merged = components(near.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "set_id")
     part_of = able.join(merged, "set_id", "left").select("set_id", F.coalesce("component", "set_id").alias("part"))
 
@@ -263,8 +265,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # what two prefixes share and what lies behind the longer of them bounds the overlap
     total, behind = F.col("nx").cast("long") + F.col("ny"), F.ceil(F.greatest("nx", "ny") * PERCENT / 100)
     pairs = pairs.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("both")).where((F.col("both") + behind - 1) * (100 + PERCENT) >= PERCENT * total).select("x", "y")
-    pairs = within_bound(stored(pairs, "counted"), held)
-    every = near.unionByName(links(pairs, held, "rest"))
+    pairs = stored(pairs, "counted")
+    pairs = stored(within_bound(pairs, sets_of(docs, classes, pairs, "maps", False)).distinct(), "bounded")
+    every = near.unionByName(links(pairs, sets_of(docs, classes, pairs, "texts", True), "rest"))
     ids = classes.select("set_id", "doc_id")
     named = every.join(ids.select(F.col("set_id").alias("x"), F.col("doc_id").alias("a")), "x").join(ids.select(F.col("set_id").alias("y"), F.col("doc_id").alias("b")), "y").select("a", "b")
     reached = components(named).withColumnRenamed("node", "doc_id")
