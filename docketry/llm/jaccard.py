@@ -4,12 +4,12 @@ or more is linked, and each document gets the smallest ``doc_id`` that it reache
 1. Texts with the same set are one class, so exact copies meet in an aggregation that is combined before the
    shuffle. Classes, not documents, are joined.
 2. A first round merges what is clearly alike: min-hash bands name groups of classes, each member is compared
-   with its group's first member only, and links that hold form components.
+   with its group's first member and one neighbour only, and links that hold form components.
 3. A second round makes the join exact. Two sets of similarity 0.75 share an element among the rarest quarter
    of each (prefix filter), so classes are tiled by prefix element and size band. Elements that very many
    documents hold come last in the order that picks the prefixes, which keeps the tiles small. Only pairs of
-   classes that are in different components yet are compared: all of them whose shared prefix elements are
-   enough for the threshold.
+   classes that are in different components yet are compared: all of them that share an element which stands
+   early enough in both for their two sizes.
 
 A comparison first bounds the overlap from above by the bit counts of hashed bitmap signatures, and only pairs
 that can still reach the threshold have their sorted hash arrays intersected. Sets hold 64-bit hashes of
@@ -97,9 +97,10 @@ def described(docs: DataFrame) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """``(key, set_id, n)``: the elements of each set of which a set of similarity 0.75 must hold one."""
+    """``(key, set_id, size)``: the elements of each set of which a set of similarity 0.75 must hold one; ``size`` holds
+    the set's size (upper 32 bits) and the element's rank in the prefix, from 0."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
-    out = pa.schema([("key", pa.int64()), ("set_id", pa.int64()), ("n", pa.int32())])
+    out = pa.schema([("key", pa.int64()), ("set_id", pa.int64()), ("size", pa.int64())])
 
     def run(batches):
         last = sent.value
@@ -119,11 +120,11 @@ def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
                     found_in_order = found
                 keys.append(found_in_order[:take])
                 prints.append(np.full(take, fingerprint(found), np.int64))
-                sizes.append(np.full(take, n, np.int32))
+                sizes.append((n << 32) + np.arange(take, dtype=np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(prints)), pa.array(np.concatenate(sizes))], schema=out)
 
-    return docs.mapInArrow(run, "key bigint, set_id bigint, n int")
+    return docs.mapInArrow(run, "key bigint, set_id bigint, size bigint")
 
 
 def signature(found: np.ndarray) -> np.ndarray:
@@ -239,33 +240,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     by_key = Window.partitionBy("key")
     keys = prefixes(docs, common).withColumn("lo", F.min("set_id").over(by_key)).withColumn("hi", F.max("set_id").over(by_key))
-    shared = stored(keys.where("lo <> hi").select("key", "set_id", "n").distinct(), "shared")
+    shared = stored(keys.where("lo <> hi").select("key", "set_id", "size").distinct(), "shared")
     # only classes that share a prefix element with another one can have a link
     able = stored(classes.join(shared.select("set_id").distinct(), "set_id", "left_semi"), "able")
 
+    # each member of a band meets the band's first member, and the one before it in the order of another band
+    banded = able.select("set_id", "doc_id", "n", "bands", F.posexplode("bands").alias("i", "band")).withColumn("other", F.element_at("bands", (F.col("i") + 1) % BANDS + 1))
     first = F.min(F.struct("doc_id", "set_id", "n")).over(Window.partitionBy("band"))
-    star = (
-        able.select("set_id", "doc_id", "n", F.explode("bands").alias("band"))
-        .withColumn("first", first)
-        .where("first.set_id <> set_id")
-        .where(fits(F.col("n"), F.col("first.n")))
-        .select(F.col("set_id").alias("x"), F.col("first.set_id").alias("y"))
-        .distinct()
-    )
+    before = F.lag(F.struct("doc_id", "set_id", "n")).over(Window.partitionBy("band").orderBy("other", "doc_id", "set_id"))
+    met = banded.withColumn("first", first).withColumn("before", before).select("set_id", "n", F.explode(F.array_distinct(F.array("first", "before"))).alias("r"))
+    star = met.where("r.set_id <> set_id").where(fits(F.col("n"), F.col("r.n"))).select(F.greatest("set_id", "r.set_id").alias("x"), F.least("set_id", "r.set_id").alias("y")).distinct()
     star = stored(star, "star")
     near = links(star, sets_of(docs, classes, star, "star-texts", True), "near")
     merged = components(near.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "set_id")
     part_of = able.join(merged, "set_id", "left").select("set_id", F.coalesce("component", "set_id").alias("part"))
 
-    tiles = shared.join(part_of, "set_id")
-    tiles = stored(tiles.withColumn("lo", F.min("part").over(by_key)).withColumn("hi", F.max("part").over(by_key)).where("lo <> hi").select("key", "set_id", "n", "part", tile(F.col("n")).alias("tile")), "tiles")
-    left = tiles.select("key", F.col("set_id").alias("x"), F.col("n").alias("nx"), F.col("part").alias("px"), F.explode(F.array("tile", F.col("tile") + 1)).alias("tile"))
-    right = tiles.select("key", F.col("set_id").alias("y"), F.col("n").alias("ny"), F.col("part").alias("py"), "tile")
-    pairs = left.join(right, ["key", "tile"]).where("px <> py AND (nx < ny OR nx = ny AND x < y)").where(fits("nx", "ny"))
-    # what two prefixes share and what lies behind the longer of them bounds the overlap
-    total, behind = F.col("nx").cast("long") + F.col("ny"), F.ceil(F.greatest("nx", "ny") * PERCENT / 100)
-    pairs = pairs.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("both")).where((F.col("both") + behind - 1) * (100 + PERCENT) >= PERCENT * total).select("x", "y")
-    pairs = stored(pairs, "counted")
+    tiles = shared.join(part_of, "set_id").withColumn("n", F.shiftright("size", 32).cast("int")).withColumn("r", F.col("size").bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+    tiles = stored(tiles.withColumn("lo", F.min("part").over(by_key)).withColumn("hi", F.max("part").over(by_key)).where("lo <> hi").select("key", "set_id", "n", "r", "part", tile(F.col("n")).alias("tile")), "tiles")
+    left = tiles.select("key", F.col("set_id").alias("x"), F.col("n").alias("nx"), F.col("r").alias("rx"), F.col("part").alias("px"), F.explode(F.array("tile", F.col("tile") + 1)).alias("tile"))
+    right = tiles.select("key", F.col("set_id").alias("y"), F.col("n").alias("ny"), F.col("r").alias("ry"), F.col("part").alias("py"), "tile")
+    # for these two sizes, an element they share must stand among the first (size - overlap needed + 1) of both
+    need = F.ceil((F.col("nx") + F.col("ny")) * PERCENT / (100 + PERCENT))
+    early = (F.col("rx") <= F.col("nx") - need) & (F.col("ry") <= F.col("ny") - need)
+    pairs = left.join(right, ["key", "tile"]).where("px <> py AND (nx < ny OR nx = ny AND x < y)").where(fits("nx", "ny") & early).select("x", "y").distinct()
+    pairs = stored(pairs, "pairs")
     pairs = stored(within_bound(pairs, sets_of(docs, classes, pairs, "maps", False)).distinct(), "bounded")
     every = near.unionByName(links(pairs, sets_of(docs, classes, pairs, "texts", True), "rest"))
     ids = classes.select("set_id", "doc_id")
