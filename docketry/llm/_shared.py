@@ -43,6 +43,13 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast(T.LongType()).alias("doc_id"), F.col("text").cast(T.StringType()).alias("text"), *more)
 
 
+def sampled(rows: DataFrame, about: int, total: int, by: str = "doc_id") -> DataFrame:
+    """All rows where there are no more than ``about``, else about so many: those whose hash of ``by`` is low."""
+    if total <= about:
+        return rows
+    return rows.where(F.shiftrightunsigned(F.xxhash64(F.col(by), F.lit(13)), 1) < int(about / total * (1 << 63)))
+
+
 #: Bits of a membership filter: 1 MB, whatever the number of members. Few false members up to a million; a fuller
 #: filter lets more rows through, which costs time and never a result.
 FILTER_BITS = 1 << 23

@@ -9,8 +9,8 @@ evidence found at one mention reaches the others ("mail jo@x.org" ... "jo@x" wit
 the best of the beliefs after damped loopy min-sum message passing; tokens that come out as personal data
 beyond the rules' spans add spans of their kind.
 
-The weights are fitted to the rules' labels on a bounded sample of the documents (``SAMPLE`` rows with the
-smallest hash of the id): token weights by multinomial logistic regression, in which a rule's own verdict is
+The weights are fitted to the rules' labels on a bounded sample of the documents (about ``SAMPLE`` rows, those
+with a low hash of the id): token weights by multinomial logistic regression, in which a rule's own verdict is
 hidden from half the tokens so that shape and context must speak for themselves; transitions from counts.
 
 A token without digit, ``@`` or likeness to one that has them cannot be labelled, so texts without any such
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm._shared import texts
+from docketry.llm._shared import sampled, texts
 from docketry.llm._words import sliced
 
 KINDS = ("email", "ip", "card", "phone")
@@ -139,9 +139,9 @@ def tokens(text: str, spans: list) -> tuple[list, np.ndarray, np.ndarray, list]:
 
 
 def fitted(docs: DataFrame, sample: int = SAMPLE) -> dict:
-    """Weights from the rules' labels on the ``sample`` documents with the smallest hash of the id."""
+    """Weights from the rules' labels on about ``sample`` documents, those with a low hash of the id."""
     rows, labels, pairs = [], [], np.ones((5, 5))
-    for (text,) in docs.where(F.length("text") > 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("text").collect():
+    for (text,) in sampled(docs, sample, docs.count()).where(F.length("text") > 0).orderBy("doc_id", "text").select("text").collect():
         places, x, y, _ = tokens(text, ruled(text))
         if places:
             rows.append(x)

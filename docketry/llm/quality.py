@@ -5,7 +5,7 @@ grown on a random part of the labelled rows and of the statistics, are taken apa
 their paths; a logistic regression with an L1 penalty over these rules keeps the few that matter; and the kept
 rules become one column expression, which scores all documents.
 
-The classifier is fitted on at most ``SAMPLE`` labelled rows, those with the smallest hash of the id; rows
+The classifier is fitted on about ``SAMPLE`` labelled rows at most, those with a low hash of the id; rows
 whose ``crc32(doc_id) mod 4`` is 2 are held out. Statistics and scores cover every document. Nothing but the
 text makes up a score.
 
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketry.llm._shared import stored, texts
+from docketry.llm._shared import sampled, stored, texts
 from docketry.llm._words import SPACED, Words, joined, sliced
 
 SAMPLE = 20_000
@@ -193,7 +193,8 @@ def held_out(doc_id: Column) -> Column:
 
 def learned(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE, prefix: str = "") -> Column:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).where("quality IS NOT NULL")
-    rows = stats.where(~held_out(F.col("doc_id"))).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", *STATS).limit(sample).toPandas()
+    known = known.where("doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
+    rows = stats.join(sampled(known, sample, known.count()), "doc_id").toPandas().sort_values(["doc_id", "quality", *STATS])
     return compiled(*fitted(rows[list(STATS)].to_numpy(np.float64), (rows["quality"].to_numpy() > 0.5).astype(float)), prefix)
 
 
