@@ -124,7 +124,7 @@ def validate_vkn(c) -> Column:
 
 
 def clean_list(c, limit: int | None = None) -> Column:
-    out = F.array_distinct(F.filter(F.transform(c, F.trim), lambda x: x != ""))
+    out = F.array_distinct(F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != ""))
     return F.slice(out, 1, limit) if limit else out
 
 

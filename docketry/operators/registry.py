@@ -144,7 +144,7 @@ def routing_key_report(docs: DataFrame) -> DataFrame:
 
 
 def latest_letters(letters: DataFrame) -> DataFrame:
-    return letters.groupBy("document_id").agg(F.max_by("decision", F.struct("created_at", "id")).alias("letter_decision"))
+    return letters.groupBy("document_id").agg(F.max_by("decision", F.struct("created_at", "id", "decision")).alias("letter_decision"))
 
 
 def archive_list(docs: DataFrame, letters: DataFrame, done: bool, n: int = 200) -> DataFrame:
@@ -194,7 +194,7 @@ def classification_samples(docs: DataFrame, chunks: DataFrame, force: bool = Fal
     """The first three child chunks of each parsed document that has no class yet, joined by blank lines."""
     rows = docs.where("status = 'parsed' AND corpus = 'documents'")
     rows = rows if force else rows.where("classified_at IS NULL")
-    first = top(chunks.where("kind = 'child'"), 3, [F.col("ordinal")], ["doc_id"])
+    first = top(chunks.where("kind = 'child'"), 3, [F.col("ordinal"), F.col("text")], ["doc_id"])
     texts = first.groupBy(F.col("doc_id").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "\n\n").alias("sample"))
     return rows.join(texts, "id", "left").select("id", "filename", F.coalesce("sample", F.lit("")).alias("sample"))
 
@@ -222,7 +222,7 @@ def chunk_preview(chunks: DataFrame, docs: DataFrame, like: str, cut: int = 600)
     """Chunks of the documents whose name is like it: parents first, then in order, unsectioned first."""
     hit = docs.where(F.col("filename").ilike(f"%{like}%")).select(F.col("id").alias("doc_id"), "filename")
     rows = chunks.join(hit, "doc_id")
-    order = Window.partitionBy("doc_id").orderBy(F.desc("kind"), "ordinal", F.asc_nulls_first("section"))
+    order = Window.partitionBy("doc_id").orderBy(F.desc("kind"), "ordinal", F.asc_nulls_first("section"), "text", "token_count")
     return rows.select("doc_id", "filename", F.row_number().over(order).alias("line"), "kind", "section", "token_count", F.substring("text", 1, cut).alias("text"))
 
 

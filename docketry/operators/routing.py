@@ -22,11 +22,18 @@ NO_CITATION = "Karar hicbir yonetmelik maddesine dayandirilmadi."
 
 def undetermined(df: DataFrame, when: Column, reason: Column) -> DataFrame:
     """Takes all assignment away from the rows where ``when`` holds."""
-    when = F.coalesce(when, F.lit(False))
-    df = df.withColumn("reasoning", F.when(when, reason).otherwise(F.col("reasoning")))
-    for c in ("main_unit", "other_unit", "service", "sub_service"):
-        df = df.withColumn(c, F.when(~when, F.col(c)))
-    return df.withColumn("citations", F.when(when, F.expr(f"cast(array() as {CITATIONS})")).otherwise(F.col("citations"))).withColumn("confidence", F.when(when, 0.0).otherwise(F.col("confidence"))).withColumn("undetermined", when | F.col("undetermined"))
+    df = df.withColumn("falls", F.coalesce(when, F.lit(False))).withColumn("why", reason)
+    falls = F.col("falls")
+    gone = {c: F.when(~falls, F.col(c)) for c in ("main_unit", "other_unit", "service", "sub_service")}
+    return df.withColumns(
+        gone
+        | {
+            "reasoning": F.when(falls, F.col("why")).otherwise(F.col("reasoning")),
+            "citations": F.when(falls, F.expr(f"cast(array() as {CITATIONS})")).otherwise(F.col("citations")),
+            "confidence": F.when(falls, 0.0).otherwise(F.col("confidence")),
+            "undetermined": falls | F.col("undetermined"),
+        }
+    ).drop("falls", "why")
 
 
 def service_catalog(chunks: DataFrame, docs: DataFrame) -> DataFrame:
@@ -144,7 +151,7 @@ def apply_decisions(docs: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def apply_manual(docs: DataFrame, overrides: DataFrame, catalog: DataFrame) -> DataFrame:
     """The latest override (``id, service, reason, at``) of each document whose service is in the catalogue."""
-    valid = overrides.join(catalog.select("service"), "service", "left_semi").groupBy("id").agg(F.max_by(F.struct("service", "reason"), F.struct("at", "service")).alias("o"))
+    valid = overrides.join(catalog.select("service"), "service", "left_semi").groupBy("id").agg(F.max_by(F.struct("service", "reason"), F.struct("at", "service", F.coalesce("reason", F.lit("")))).alias("o"))
     hit = F.col("o").isNotNull()
     return (
         docs.join(valid, "id", "left")

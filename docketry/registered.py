@@ -147,13 +147,14 @@ def s4_detect_changes(spark, d):
     return registry.detect_changes(incoming(spark, d), workflow(spark, d)).select("id", "path", "change")
 
 
-NOW = F.lit("2030-01-01 00:00:00").cast("timestamp")
+def now():
+    return F.lit("2030-01-01 00:00:00").cast("timestamp")
 
 
 @query
 def s5_upsert_documents(spark, d):
     base = workflow(spark, d).select("id", "path", "filename", "format", "size_bytes", "hash", "status", "error", "created_at", "updated_at")
-    return registry.upsert_documents(base, incoming(spark, d), NOW)
+    return registry.upsert_documents(base, incoming(spark, d), now())
 
 
 @query
@@ -478,7 +479,7 @@ def t25_build_letters(spark, d):
 def t26_letter_blocks(spark, d):
     docs = documents(spark, d)
     lines = F.slice(F.split("text", " "), 1, 3)
-    return docs.select("id", L.address_line(words("text", 1, 2), F.when(F.col("n") % 2 == 0, "kurum").otherwise("kisi")).alias("address"), joined(L.reference_lines(lines)).alias("refs"), joined(L.attachment_lines(F.slice(F.split("text", " "), 1, (F.col("n") % 3).cast("int")))).alias("attachments"), joined(L.contact_lines(INSTITUTION)).alias("contact"))
+    return docs.select("id", L.address_line(F.replace(words("text", 1, 2), F.lit("ß"), F.lit("ss")), F.when(F.col("n") % 2 == 0, "kurum").otherwise("kisi")).alias("address"), joined(L.reference_lines(lines)).alias("refs"), joined(L.attachment_lines(F.slice(F.split("text", " "), 1, (F.col("n") % 3).cast("int")))).alias("attachments"), joined(L.contact_lines(INSTITUTION)).alias("contact"))
 
 
 @query
@@ -648,7 +649,7 @@ def r19_expand_to_parent(spark, d):
 def r20_embedding_backlog(spark, d):
     docs, chunks = workflow(spark, d), line_chunks(spark, d)
     done = chunks.where("section = 'F'").select("id")
-    marked = search.mark_embedded(search.reset_embeddings(chunks, docs, "regulations"), done, NOW)
+    marked = search.mark_embedded(search.reset_embeddings(chunks, docs, "regulations"), done, now())
     return search.embedding_backlog(marked, docs, "regulations").select("id", "doc_id")
 
 
