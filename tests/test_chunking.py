@@ -45,7 +45,7 @@ def test_regulation_articles():
 
 
 def test_services_and_inferred_numbers():
-    md = "## A : Madde 20\nx\n## Müdür Yardımcılarının Sorumlulukları :\ny\n## Servis Şeflerinin\n## ve Uzmanların Görevleri : Madde 22\nA) Ana Hizmet Birimleri\nI- Vergilendirme Bölümü\n1) Sicil Servisi\nkayıt\n2) Tecil Servisi\n"
+    md = "## A : Madde 20\nx\n## Müdür Yardımcılarının Sorumlulukları :\ny\n## Servis Şeflerinin\n## ve Uzmanların Görevleri : Madde 22\nA) Ana Hizmet Birimleri\nI- Vergilendirme Bölümü\n- 1) Sicil Servisi\nkayıt\n- 2) Tecil Servisi\n"
     rows = list(R.chunks("r", "y.md", md))
     inferred = next(r for r in rows if r["metadata"]["article_no"] == "21")
     assert inferred["metadata"]["certain"] is False and "turetildi" in inferred["text"]
