@@ -403,3 +403,5 @@ SQL["w3_lifecycle_state"] = """WITH e AS (SELECT user_id * 10 + event_id % 10 AS
 SELECT document_id, ['new', 'routed', 'in_progress', 'completed'][max(r) + 1] AS lifecycle_status, min(ts) FILTER (WHERE r = 3) AS completed_at, CASE WHEN arg_min(event_id, ts) FILTER (WHERE r = 3) % 2 = 0 THEN 'onay' END AS completed_decision FROM e GROUP BY 1"""
 SQL["w4_session_registry"] = "SELECT user_id % 20 AS session_id, event_id % 50 AS document_id, min(ts) + INTERVAL 12 HOUR AS expires_at, min(ts) + INTERVAL 12 HOUR > TIMESTAMP '2024-01-01 14:00:00' AS active FROM events GROUP BY 1, 2"
 SQL["w5_split_official"] = f"WITH {FLOW} SELECT 'official' AS part, count(*) AS n FROM flow WHERE session_id IS NULL UNION ALL SELECT 'attached', count(*) FROM flow WHERE session_id IS NOT NULL"
+
+SQL["p2_routing_queries"] = f"WITH {DOCS} SELECT DISTINCT doc_type || '|' || {REQUESTS}[n % 9 + 1] || '|' || source AS id, {PHRASES}[n % 9 + 1] || ' ' || source AS text FROM docs"

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from docketry.functions import letters as L
 from docketry.functions import text as X
 from docketry.operators import chunking, correspondence, registry, routing, search
+from docketry.plans import workloads
 from docketry.sources import files
 from docketry.streaming import streams
 
@@ -1012,3 +1013,24 @@ def w4_session_registry(spark, d):
 def w5_split_official(spark, d):
     official, attached = registry.split_official(workflow(spark, d))
     return official.agg(F.count("*").alias("n")).select(F.lit("official").alias("part"), "n").unionByName(attached.agg(F.count("*").alias("n")).select(F.lit("attached").alias("part"), "n"))
+
+
+# whole workloads
+
+
+@query
+def p1_search_files(spark, d):
+    docs = structured(spark, d)
+    out = workloads.search_files(asked(spark, d), docs, workloads.index_corpus(docs), 10)
+    return out.select("query_id", "filename", F.round("score", 3).alias("score"), "n_hits")
+
+
+@query
+def p2_routing_queries(spark, d):
+    rows = documents(spark, d).select("doc_type", request_of(F.col("n")).alias("request"), F.col("source").alias("receivable"))
+    return workloads.routing_queries(rows)
+
+
+@query
+def p3_checked_decisions(spark, d):
+    return flat(workloads.checked_decisions(decisions(spark, d), decision_hits(spark, d), services(spark, d)), "corrected")
