@@ -6,8 +6,8 @@ or more is linked, and each document gets the smallest ``doc_id`` that it reache
 2. A first round merges what is clearly alike: min-hash bands name groups of classes, each member is compared
    with its group's first member and one neighbour only, and links that hold form components.
 3. A second round makes the join exact. Two sets of similarity 0.75 share an element among the rarest quarter
-   of each (prefix filter), so classes are tiled by prefix element and size band. Elements that very many
-   documents hold come last in the order that picks the prefixes, which keeps the tiles small. Only pairs of
+   of each (prefix filter), so classes are tiled by prefix element and size band. Elements that repeat most
+   often come last in the order that picks the prefixes, which keeps the tiles small. Only pairs of
    classes that are in different components yet are compared: all of them that share an element which stands
    early enough in both for their two sizes.
 
@@ -35,8 +35,8 @@ SHINGLE = 5
 #: Links need ``100 * overlap >= PERCENT * union``.
 PERCENT = 75
 BANDS, ROWS = 6, 3
-#: A shingle in more than this share of the documents goes to the end of the prefix order.
-COMMON = 1e-4
+#: So many shingles at most, those that repeat most often, go to the end of the prefix order (8 bytes each).
+MOST_COMMON = 1 << 19
 WINDOW_SIZE = 1 << 20
 SEEDS = np.random.default_rng(23).integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
 
@@ -233,10 +233,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     seen = stored(described(docs), "described")
     rows = seen.where("shingle IS NULL")
     classes = stored(rows.where("doc_id IS NOT NULL AND n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").cast("int").alias("n"), F.first("bands").alias("bands")), "classes")
-    least = max(32.0, COMMON * rows.count())
-    held = seen.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > least).select("shingle")
-    # at most (mean set size / COMMON) shingles can be so common, however many documents there are
-    common = np.sort(np.array([r.shingle for r in held.collect()], np.int64).view(np.uint64))
+    held = stored(seen.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("n").alias("n")), "repeated")
+    # the lowest count for which the list stays within its bound
+    most, least = 0, 1 << 62
+    for row in held.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("shingles")).orderBy(F.desc("n")).collect():
+        most += row.shingles
+        if most > MOST_COMMON:
+            break
+        least = row.n
+    common = np.sort(held.where(F.col("n") >= least).select("shingle").toArrow().column(0).to_numpy().view(np.uint64))
 
     by_key = Window.partitionBy("key")
     keys = prefixes(docs, common).withColumn("lo", F.min("set_id").over(by_key)).withColumn("hi", F.max("set_id").over(by_key))
