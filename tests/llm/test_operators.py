@@ -104,6 +104,18 @@ def test_passages(spark, rows):
     assert not {403, 404, 405} & set(got)
 
 
+def test_passage_that_stands_twice(spark):
+    rng = random.Random(8)
+    shared, other = prose(rng, 60, 5000), [prose(rng, 80, 5000) for _ in range(4)]
+    rows = [(1, f"{other[0]} {shared} {other[1]}"), (2, f"{shared} {other[2]} {shared} {other[3]}"), (3, "same " * 900), (4, "same " * 700)]
+    got = {r.doc_id: r for r in passages.repeats(docs(spark, rows)).collect()}
+    spans = {d: [tuple(map(int, s.split(":"))) for s in got[d].spans.split(",")] for d in (1, 2)}
+    # near windows reach a few words beyond the passage
+    assert [(71 <= a <= 80, 140 <= b <= 149) for a, b in spans[1]] == [(True, True)]
+    assert [(max(0, p - 9) <= a <= p, p + 60 <= b <= p + 69) for (a, b), p in zip(spans[2], (0, 140))] == [(True, True)] * 2 and got[2].n_passages == 2
+    assert got[3].spans == "0:900" and got[4].spans == "0:700"
+
+
 def test_decontamination(spark, rows):
     bench = [(1, " ".join(rows[3][1].split()[2:14])), (2, "one two"), (3, None), (None, "one"), (4, "..."), (2, "one two"), (5, " ".join(rows[3][1].split()[:30]))]
     items = spark.createDataFrame(bench, "item_id long, text string")
