@@ -116,6 +116,19 @@ def test_passage_that_stands_twice(spark):
     assert got[3].spans == "0:900" and got[4].spans == "0:700"
 
 
+def test_passages_that_the_smallest_document_holds_in_part(spark):
+    """Document 1 of each group has a line of the passage that the other two share; its keys can lie in that line."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(0, 400, 10):
+        shared = prose(rng, 50, 5000)
+        line = " ".join(shared.split()[4:44])
+        rows += [(k + 1, f"{prose(rng, 30, 5000)} {line} {prose(rng, 30, 5000)}"), (k + 2, f"{prose(rng, 20, 5000)} {shared} {prose(rng, 9, 5000)}"), (k + 3, f"{prose(rng, 9, 5000)} {shared} {prose(rng, 20, 5000)}")]
+    got = {r.doc_id: r for r in passages.repeats(docs(spark, rows)).collect()}
+    assert {k + i for k in range(0, 400, 10) for i in (2, 3)} <= set(got)
+    assert all(got[k + 3].class_id in (k + 1, k + 2) for k in range(0, 400, 10))
+
+
 def test_decontamination(spark, rows):
     bench = [(1, " ".join(rows[3][1].split()[2:14])), (2, "one two"), (3, None), (None, "one"), (4, "..."), (2, "one two"), (5, " ".join(rows[3][1].split()[:30]))]
     items = spark.createDataFrame(bench, "item_id long, text string")
