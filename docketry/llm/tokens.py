@@ -2,6 +2,8 @@
 
 Greedy word pieces: a word takes the longest vocabulary piece that begins it, then the longest
 continuation piece that begins the rest, and so on; a word that cannot be spelled so is one unknown token.
+Where the vocabulary has the bare mark, it is the shortest piece that begins any word: a word that no other
+piece begins takes it as a token of its own and goes on with continuation pieces.
 The vocabulary is a trie over bytes with failure links. Where no edge goes on, the automaton has already
 settled some pieces: their number is stored with the failure link, so a word is read once from left to
 right and its piece count is a sum of stored numbers. No piece is ever built.
@@ -27,7 +29,8 @@ MARK = "▁"
 
 
 def pieces_of(path: str = SENTENCEPIECE) -> tuple[list[bytes], list[bytes]]:
-    """``(word-initial pieces, continuation pieces)`` of a sentencepiece vocabulary: the mark begins a word."""
+    """``(word-initial pieces, continuation pieces)`` of a sentencepiece vocabulary: the mark begins a word.
+    The bare mark is the empty word-initial piece."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -37,8 +40,7 @@ def pieces_of(path: str = SENTENCEPIECE) -> tuple[list[bytes], list[bytes]]:
             continue
         piece = model.id_to_piece(i)
         if piece.startswith(MARK):
-            if len(piece) > 1:
-                first.append(piece[1:].encode())
+            first.append(piece[1:].encode())
         else:
             more.append(piece.encode())
     return first, more
@@ -69,6 +71,8 @@ class Automaton:
                     ends.add(at)
         fail = np.full(states, -1, np.int64)
         pops = np.zeros(states, np.int64)
+        if b"" in first:
+            fail[0], pops[0] = 1, 1
         level, order = [0, 1], []
         children: dict[int, list[int]] = {}
         for state in range(2, states):

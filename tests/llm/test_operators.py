@@ -182,6 +182,32 @@ def test_tokens(spark, rows):
     assert collections.Counter(tuple(r) for r in tokens.counted(docs(spark, rows), pieces=(first, more)).collect()) == want
 
 
+def test_tokens_of_words_that_only_the_bare_mark_begins():
+    import numpy as np
+
+    first, more = tokens.pieces_of()
+    assert b"" in first and not any(p[:1].isdigit() for p in first)
+    begins, goes = set(first), set(more)
+
+    def brute(word):
+        n, voc = 0, begins
+        while word or voc is begins:
+            size = next((k for k in range(min(len(word), 64), -1, -1) if word[:k] in voc and (k or voc is begins)), None)
+            if size is None:
+                return 1, True
+            word, n, voc = word[size:], n + 1, goes
+        return n, False
+
+    rng = random.Random(4)
+    said = ["2024", "10km", "3.14", "0", "9780306406157", "x1", "the", "漢字", "日本語テキスト", "Привет", "1\u2603", "5é"]
+    said += ["".join(rng.choice("0123456789.-kmaé") for _ in range(rng.randrange(1, 12))) for _ in range(300)]
+    data = [w.encode() for w in said]
+    ends = np.cumsum([len(w) for w in data])
+    got = tokens.Automaton(first, more).counts(np.frombuffer(b"".join(data), np.uint8), ends - [len(w) for w in data], ends)
+    assert list(zip(got[0].tolist(), got[1].tolist())) == [brute(w) for w in data]
+    assert got[0][0] > 1 and not got[1][0]
+
+
 def test_licenses(spark):
     rows = [(1, "Under the MIT License. under the mit license cc by-nc"), (2, None), (3, ""), (4, "GNU General Public License version 3, licensed under the GPL v3"), (5, "the mit of license"), (6, "released under the Apache License, Version 2.0"), (6, "x " * 30000 + "CC BY NC")]
     got = {(r.doc_id, r.n_words): r for r in licenses.scanned(docs(spark, rows)).collect()}
