@@ -1,14 +1,14 @@
 """License detection by ordered signature rules, with DataFrame functions only.
 
-Texts are lower-cased (A-Z) and turned into words. A keyword prefilter (one alternation) passes few texts;
-for these, each rule is tried whose own keyword occurs. A rule is a regular expression over the words joined
+Texts are lower-cased (A-Z) and turned into words. A prefilter (one alternation, built from the rules, that
+matches where any rule does) passes few texts; for these, each rule is tried of which a keyword occurs. A rule is a regular expression over the words joined
 by single spaces, with a label and a priority. Its matches are intervals; a match that lies within another
 one's interval is suppressed if that one has the higher priority, or the same and is longer, or is the same
 interval under an earlier rule. What is left gives the labels. Three base phrases are found in every text,
 whatever the rules do, and their labels are never suppressed.
 
-The rules are built from license names (regular expressions written by hand, with the keyword that gates
-them) and from the ways a text refers to a license, in order of their strength.
+The rules are built from license names (regular expressions written by hand, with the keywords that gate
+them, one of which begins a word of every match) and from the ways a text refers to a license, in order of their strength.
 
 Null text counts as empty: no words, no labels, score 0. Rows with null or repeated ids each keep their row;
 no other column is read; texts of any length are scanned whole.
@@ -25,12 +25,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: label: (keyword that gates it, name as a regular expression over words)
+#: label: (keywords that gate it, by |, name as a regular expression over words)
 NAMES = {
-    "mit": ("mit", r"(?:mit|expat|mit expat|x11)(?: licen[sc]e)?"),
+    "mit": ("mit|expat|x11", r"(?:mit|expat|mit expat|x11)(?: licen[sc]e)?"),
     "apache-2": ("apache", r"apache(?: software)?(?: licen[sc]e)?(?: v| ver| version)? ?2(?: 0)?"),
     "apache-1.1": ("apache", r"apache(?: software)?(?: licen[sc]e)?(?: version)? 1 1"),
-    "bsd-2": ("bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[sc]e)?"),
+    "bsd-2": ("bsd|freebsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[sc]e)?"),
     "bsd-3": ("bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)(?: licen[sc]e)?"),
     "bsd": ("bsd", r"bsd(?: style)?(?: licen[sc]e)?"),
     "gpl-2": ("g", r"(?:gnu )?(?:general public licen[sc]e|gpl)(?: v| version)? ?2(?: 0)?(?: only| or later)?"),
@@ -74,12 +74,19 @@ FORMS = (
     (r"copyright .{0,40}? NAME", 60),
 )
 
-#: A text with none of these is not looked at by the rules.
-GATE = r"licen[sc]|spdx|copyright|released under|distributed under|published under|provided under|available under|subject to|governed by|accordance with"
+
+def gate() -> str:
+    """One expression that matches a text if and only if any rule does: every form, then every name."""
+    before = "|".join(form.removesuffix("NAME") for form, _ in FORMS)
+    return f"(?<= )(?:{before})(?:{'|'.join(name for _, name in NAMES.values())})(?= )"
+
+
+#: A text without it is not looked at by the rules.
+GATE = gate()
 
 
 def rules() -> list[tuple[str, str, str, int]]:
-    """``(keyword, pattern, label, priority)`` in order; a longer name outranks a shorter one of equal form by its length."""
+    """``(keywords, pattern, label, priority)`` in order; a longer name outranks a shorter one of equal form by its length."""
     return [(keyword, f"(?<= ){form.replace('NAME', f'(?:{name})')}(?= )", label, priority) for form, priority in FORMS for label, (keyword, name) in NAMES.items()]
 
 
@@ -135,11 +142,11 @@ def scanned(docs: DataFrame) -> DataFrame:
         firsts.append(F.when(n[label], words_in(F.substring_index(spaced, phrase(text), 1))))
         lasts.append(F.when(n[label], F.col("n_words") - words_in(F.substring_index(spaced, phrase(text), -1)) - len(text.split())))
     base = F.array_compact(F.array(*[F.when(n[label], F.lit(label)) for label in BASE.values()]))
-    table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(p).alias("pattern"), F.lit(label).alias("label"), F.lit(q).alias("priority"), F.lit(i).alias("rule")) for i, (k, p, label, q) in enumerate(rules())])
+    table = F.array(*[F.struct(F.array(*[F.lit(f" {w}") for w in k.split("|")]).alias("keywords"), F.lit(p).alias("pattern"), F.lit(label).alias("label"), F.lit(q).alias("priority"), F.lit(i).alias("rule")) for i, (k, p, label, q) in enumerate(rules())])
     none = F.array().cast("array<struct<start:int,end:int,priority:int,rule:int,label:string>>")
     rows = rows.select("doc_id", "n_words", sum(counts[1:], counts[0]).alias("n_base"), F.least(*firsts).alias("first_word"), F.greatest(*lasts).alias("last_word"), base.alias("base"), F.replace(spaced, F.lit("  "), F.lit(" ")).alias("words"))
     words = F.col("words")
-    tried = F.filter(table, lambda r: F.contains(words, F.concat(F.lit(" "), r["keyword"])))
+    tried = F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.contains(words, k)))
     found = F.flatten(F.transform(tried, lambda r: matches(words, r, r["rule"])))
     rows = rows.withColumn("found", F.when(words.rlike(GATE), found).otherwise(none)).withColumn("detections", kept(F.col("found")))
     top = F.coalesce(F.array_max(F.transform("detections", lambda d: d["priority"])) / 100.0, F.lit(0.0))

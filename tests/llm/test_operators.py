@@ -220,6 +220,21 @@ def test_licenses(spark):
     assert len(licenses.rules()) > 200
 
 
+def test_license_gates_let_every_rule_through(spark, monkeypatch):
+    said = ["mit", "expat", "mit expat", "x11", "apache 2.0", "apache software license 1.1", "bsd 2-clause", "2-clause bsd", "simplified bsd", "freebsd", "bsd 3-clause", "3 clause bsd", "new bsd", "modified bsd", "bsd-style", "gpl v2", "gnu general public license 3", "gpl", "lgpl 2.1", "lesser general public license v3", "library gpl", "lgpl", "agpl", "affero general public licence"]
+    said += ["mozilla public license 2.0", "mpl 1.1", "mpl 2.0", "eclipse public license", "epl 2.0", "cddl", "common development and distribution license", "isc", "zlib libpng", "boost software license", "unlicense", "wtfpl", "artistic license 2.0", "psf license", "python software foundation license", "sil open font license", "ofl", "odbl", "open database license", "cc0", "cc by 4.0", "creative commons attribution"]
+    said += ["cc by sa", "creative commons attribution sharealike", "cc by nd", "creative commons attribution no derivatives", "cc by nc", "creative commons attribution noncommercial", "cc by nc sa", "creative commons attribution non commercial share alike", "cc by nc nd", "creative commons attribution noncommercial noderivs", "proprietary"]
+    forms = ["spdx-licence-identifier: NAME", "licensed under the terms of the NAME", "made available under NAME", "governed by NAME", "code see the NAME", "with the NAME", "license is NAME", "copyright by someone, NAME", "NAME alone"]
+    rows = [(1000 * i + k, f"code {f.replace('NAME', n)} now") for i, f in enumerate(forms) for k, n in enumerate(said)]
+    read = lambda: {r.doc_id: (r.labels, r.score, r.detections) for r in licenses.scanned(docs(spark, rows)).collect()}
+    got = read()
+    monkeypatch.setattr(licenses, "GATE", "")
+    monkeypatch.setattr(licenses, "NAMES", {label: ("", name) for label, (_, name) in licenses.NAMES.items()})
+    assert got == read()
+    assert set(licenses.NAMES) <= {label for v in got.values() for label in v[0].split(",")}
+    assert all(v[0] for d, v in got.items() if d < 8000) and "mit" in got[1000 + said.index("expat")][0]
+
+
 def brute_chat(rows):
     convs = collections.defaultdict(list)
     for c, t, r, x in rows:
