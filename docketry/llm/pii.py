@@ -4,18 +4,19 @@ Rules find e-mail addresses, IP addresses, card and phone numbers; their spans a
 reads each text as a sequence of tokens (runs of non-space characters) with a label each: none, or one of the
 four kinds. Each token has a potential from its own features (shape, punctuation, digits, whether a rule's
 span covers it, the word before it); neighbouring tokens share a transition potential; and distant tokens
-that are the same, or alike but for the punctuation around them, share a skip potential for equal labels. So
-evidence found at one mention reaches the others ("mail jo@x.org" ... "jo@x" with its end cut off). Labels are
-the best of the beliefs after damped loopy min-sum message passing; tokens that come out as personal data
-beyond the rules' spans add spans of their kind.
+that are the same, or alike, share a skip potential for equal labels. So evidence found at one mention reaches
+the others ("mail jo@x.org" ... "jo@x" with its end cut off). Alike are tokens that are equal but for case and the
+punctuation around them, numbers of equal digits, and a token of ``PREFIX`` characters or more and the ones that
+it begins. Labels are the best of the beliefs after damped loopy max-sum message passing, run until it stands
+still; tokens that come out as personal data beyond the rules' spans add spans of their kind.
 
 The weights are fitted to the rules' labels on a bounded sample of the documents (about ``SAMPLE`` rows, those
 with a low hash of the id): token weights by multinomial logistic regression, in which a rule's own verdict is
 hidden from half the tokens so that shape and context must speak for themselves; transitions from counts.
 
 A token without digit, ``@`` or likeness to one that has them cannot be labelled, so texts without any such
-token skip the passing; it would change nothing. Equal tokens are linked in a chain, not in pairs, so the
-graph grows with the text alone.
+token skip the passing; it would change nothing. Mentions of a token are all linked to one shared node of the
+text, and so are tokens that are alike, so any two are as near as any others and the graph grows with the text alone.
 
 Null text counts as empty. Rows with null or repeated ids each keep their row. Offsets are code points, ends
 exclusive. Texts are read whole. With an empty table the weights are zero and the result is empty.
@@ -42,7 +43,10 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"\S+")
 SAMPLE = 4000
-ROUNDS = 8
+#: Passing ends when no message changes by more than ``STILL``, or after so many rounds besides one for each node.
+ROUNDS, STILL = 64, 1e-6
+#: Characters of a token that can be the beginning of another one cut short, and digits of a number that can be another's.
+PREFIX, DIGITS = 4, 5
 #: Log-potential for equal labels of linked mentions, of the same text and of the same text but for punctuation.
 SKIP_SAME, SKIP_ALIKE = 2.0, 1.0
 #: A label beyond the rules' needs so much more belief than none.
@@ -166,45 +170,69 @@ def fitted(docs: DataFrame, sample: int = SAMPLE) -> dict:
     return {"token": w, "transition": np.clip(transition, -2, 2)}
 
 
-def labelled(places: list, x: np.ndarray, words: list, weights: dict, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def linked(words: list) -> tuple[list, int]:
+    """``(edges, nodes)``: skip edges ``(node, node, strength)`` among the tokens and the shared nodes after them."""
+    edges, nodes = [], len(words)
+
+    def shared(members, strength):
+        nonlocal nodes
+        if len(members) == 1:
+            return members[0]
+        edges.extend((m, nodes, strength) for m in members)
+        nodes += 1
+        return nodes - 1
+
+    def grouped(pairs):
+        out: dict = {}
+        for key, node in pairs:
+            out.setdefault(key, []).append(node)
+        return out
+
+    same = {w: shared(m, SKIP_SAME) for w, m in grouped((w, i) for i, w in enumerate(words)).items()}
+    core = {c: shared(m, SKIP_ALIKE) for c, m in grouped((w.strip(EDGE).lower(), node) for w, node in same.items()).items() if c}
+    for digits, m in grouped(("".join(DIGIT.findall(c)), node) for c, node in core.items() if not any(x.isalpha() or x == "@" for x in c)).items():
+        if len(digits) >= DIGITS:
+            shared(m, SKIP_ALIKE)
+    # each token and the longest other one that begins it: of those in order, it is among the ones still open
+    open_: list = []
+    for c in sorted(core):
+        while open_ and not c.startswith(open_[-1]):
+            open_.pop()
+        if open_:
+            edges.append((core[open_[-1]], core[c], SKIP_ALIKE))
+        if len(c) >= PREFIX and ("@" in c[1:-1] or len(DIGIT.findall(c)) >= DIGITS):
+            open_.append(c)
+    return edges, nodes
+
+
+def labelled(places: list, x: np.ndarray, words: list, weights: dict) -> tuple[np.ndarray, np.ndarray]:
     """``(labels, margin over none)`` of the tokens by damped loopy max-sum passing over chain and skip edges."""
-    node = x @ weights["token"]
-    n = len(node)
-    a, b, tables = [], [], []
-    last: dict = {}
-    core: dict = {}
-    for i in range(n):
-        if i and places[i][0] == places[i - 1][0] + 1:
-            a.append(i - 1)
-            b.append(i)
-            tables.append(weights["transition"])
-        w = words[i]
-        alike = w.strip(EDGE).lower()
-        if w in last:
-            a.append(last[w])
-            b.append(i)
-            tables.append(np.eye(5) * SKIP_SAME)
-        elif alike and alike in core:
-            a.append(core[alike])
-            b.append(i)
-            tables.append(np.eye(5) * SKIP_ALIKE)
-        last[w] = i
-        core[alike] = i
+    n = len(words)
+    skips, nodes = linked(words)
+    node = np.concatenate([x @ weights["token"], np.zeros((nodes - n, 5))])
+    chain = [i for i in range(1, n) if places[i][0] == places[i - 1][0] + 1]
+    a = [i - 1 for i in chain] + [e[0] for e in skips]
+    b = chain + [e[1] for e in skips]
+    tables = [weights["transition"]] * len(chain) + [np.eye(5) * e[2] for e in skips]
     belief = node
     if a:
         a, b, table = np.array(a), np.array(b), np.stack(tables)
         to_b, to_a = np.zeros((len(a), 5)), np.zeros((len(a), 5))
-        for _ in range(rounds):
+        for _ in range(ROUNDS + nodes):
             belief = node.copy()
             np.add.at(belief, b, to_b)
             np.add.at(belief, a, to_a)
             new_b = ((belief[a] - to_a)[:, :, None] + table).max(axis=1)
             new_a = ((belief[b] - to_b)[:, None, :] + table).max(axis=2)
-            to_b = 0.5 * to_b + 0.5 * (new_b - new_b.max(axis=1, keepdims=True))
-            to_a = 0.5 * to_a + 0.5 * (new_a - new_a.max(axis=1, keepdims=True))
+            new_b, new_a = new_b - new_b.max(axis=1, keepdims=True), new_a - new_a.max(axis=1, keepdims=True)
+            still = max(np.abs(new_b - to_b).max(), np.abs(new_a - to_a).max()) <= STILL
+            to_b, to_a = (new_b, new_a) if still else (0.5 * to_b + 0.5 * new_b, 0.5 * to_a + 0.5 * new_a)
+            if still:
+                break
         belief = node.copy()
         np.add.at(belief, b, to_b)
         np.add.at(belief, a, to_a)
+    belief = belief[:n]
     best = belief.argmax(axis=1)
     return best, belief[np.arange(n), best] - belief[:, 0]
 
@@ -218,7 +246,8 @@ def spans_of(text: str, weights: dict) -> tuple[list, list]:
     best, margin = labelled(places, x, words, weights)
     added = []
     for (i, start, end), kind, sure in zip(places, best, margin):
-        if kind == 0 or sure < MARGIN:
+        # beliefs are exact to what the passing stops at
+        if kind == 0 or sure < MARGIN - 1e-4:
             continue
         word = text[start:end]
         inner = word.strip(EDGE)

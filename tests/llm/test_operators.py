@@ -341,6 +341,19 @@ def test_skip_edges_carry_a_label():
     assert best.tolist() == [1, 1, 0]
 
 
+def test_labels_reach_every_mention_and_one_cut_short():
+    import numpy as np
+
+    weights = {"token": np.zeros((len(pii.FEATURES), 5)), "transition": np.zeros((5, 5))}
+    weights["token"][pii.FEATURES.index("ruled0"), 1] = 6.0
+    text = "mail jo@x.org " + "and then jo@x.org " * 29 + "or jo@x here, or 55-123-45 and 5512345, 12 times"
+    places, x, _, words = pii.tokens(text, [(0, 5, 13)])
+    best, sure = pii.labelled(places, x, words, weights)
+    assert best.tolist() == [1] * 31 + [0, 0, 0] and sure[:30].min() > pii.MARGIN - 1e-4
+    x[31, pii.FEATURES.index("ruled0")] = 1
+    assert pii.labelled(places, x, words, weights)[0].tolist() == [1] * 33 + [0]
+
+
 def test_quality(spark):
     rng = random.Random(3)
     good = [(i, ". ".join(prose(rng, 9, 3000) for _ in range(8)) + ".") for i in range(200)]
