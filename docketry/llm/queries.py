@@ -33,7 +33,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.search(table(spark, sf_dir, "embeddings"))
+    return topk.search(table(spark, sf_dir, "embeddings")).drop("query_row")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -285,24 +285,44 @@ def test_mixing(spark, rows):
     assert [(r.doc_id, r.mix_position) for r in sorted(got, key=lambda r: r.mix_position) if r.doc_id is not None] == [(r.doc_id, r.mix_position) for r in sorted(again, key=lambda r: r.mix_position) if r.doc_id is not None] and sorted(map(key, got)) == sorted(map(key, again))
 
 
+def brute_topk(vec, k=20, every=20):
+    held = [(i, [int(64 * float(x) // 1) for x in v]) for i, v in vec if i is not None and v is not None and not any(x is None or x != x or abs(x) == float("inf") for x in v)]
+    want = []
+    for a, (i, q) in enumerate(held):
+        if i % every == 0:
+            scored = sorted((-sum(x * y for x, y in zip(q, v)), j) for b, (j, v) in enumerate(held) if a != b and len(v) == len(q))
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored[:k])]
+    return sorted(want)
+
+
 def test_topk(spark):
     rng = random.Random(4)
     vec = [(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(150)] + [(i, [0.5] * 6) for i in range(150, 190)]
-    vec += [(500, None), (501, [1.0, None, 0, 0, 0, 0]), (502, [float("nan")] * 6), (503, [float("inf")] * 6), (None, [1.0] * 6), (40, [9.0] * 6), (600, [1.0, 2.0])]
-    held = {}
-    for i, v in vec:
-        if i is None or v is None or any(x is None or x != x or abs(x) == float("inf") for x in v):
-            continue
-        q = [int(64 * float(x) // 1) for x in v]
-        held[i] = min(held.get(i, q), q)
-    want = []
-    for q in held:
-        if q % 20 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(held[q], v)), i) for i, v in held.items() if i != q and len(v) == len(held[q]))
-            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:20])]
+    vec += [(500, None), (501, [1.0, None, 0, 0, 0, 0]), (502, [float("nan")] * 6), (503, [float("inf")] * 6), (None, [1.0] * 6), (40, [9.0] * 6), (41, [0.25] * 6), (41, [0.25] * 6), (600, [1.0, 2.0]), (620, [1e9, 1.0, 0, 0, 0, 0]), (-20, [0.0] * 6)]
     frame = spark.createDataFrame([(i, v and [x if x is None else float(x) for x in v], 1) for i, v in vec], "vec_id long, embedding array<double>, rank int")
-    assert sorted(tuple(r) for r in topk.search(frame, chunk=32).collect()) == sorted(want)
-    assert sorted(tuple(r) for r in topk.search(frame).collect()) == sorted(want)
+    want = brute_topk(vec)
+    for options in ({"chunk": 32}, {}, {"chunk": 8, "block_bytes": 200}):
+        assert sorted(tuple(r)[:4] for r in topk.search(frame, **options).collect()) == want
+    few = [(0, [1.0, 2.0]), (1, [3.0, 1.0]), (1, [5.0, 5.0])]
+    assert sorted(tuple(r)[:4] for r in topk.search(spark.createDataFrame(few, "vec_id long, embedding array<float>")).collect()) == [(0, 1, 1, 64 * 64 * 15), (0, 2, 1, 64 * 64 * 5)]
+    huge = spark.createDataFrame([(0, [1e300]), (1, [-1e300]), (2, [1e12]), (3, [1e-3])], "vec_id long, embedding array<double>")
+    assert [tuple(r)[1:4] for r in topk.search(huge).orderBy("rank").collect()] == [(1, 2, topk.LARGEST), (2, 3, 0), (3, 1, -topk.LARGEST)]
+
+
+def test_topk_prunes_what_cannot_win():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    centres = rng.integers(-60, 60, (40, 16))
+    rows = (np.repeat(centres, 100, axis=0) + rng.integers(-3, 4, (4000, 16))).astype(np.int64)
+    best = topk.Best(rows[::97], np.arange(4000)[::97], 20)
+    for a in range(0, 4000, 1000):
+        best.add(np.arange(a, a + 1000), np.arange(a, a + 1000), rows[a : a + 1000], block=50)
+    assert best.scored < 0.3 * best.seen
+    for q, row in enumerate(range(0, 4000, 97)):
+        score = rows @ rows[row]
+        score[row] = topk.NONE
+        assert best.row[q].tolist() == np.lexsort((np.arange(4000), -score))[:20].tolist()
 
 
 def test_pii(spark):
