@@ -1,93 +1,52 @@
 """License detection by ordered signature rules, with DataFrame functions only.
 
-Texts are lower-cased (A-Z) and turned into words. A prefilter (one alternation, built from the rules, that
-matches where any rule does) passes few texts; for these, each rule is tried of which a keyword occurs. A rule is a regular expression over the words joined
-by single spaces, with a label and a priority. Its matches are intervals; a match that lies within another
-one's interval is suppressed if that one has the higher priority, or the same and is longer, or is the same
-interval under an earlier rule. What is left gives the labels. Three base phrases are found in every text,
-whatever the rules do, and their labels are never suppressed.
-
-The rules are built from license names (regular expressions written by hand, with the keywords that gate
-them, one of which begins a word of every match) and from the ways a text refers to a license, in order of their strength.
-
-Null text counts as empty: no words, no labels, score 0. Rows with null or repeated ids each keep their row;
-no other column is read; texts of any length are scanned whole.
+Texts are lower-cased (A-Z) and turned into words. A prefilter (one alternation of the rules' keywords, each of
+which begins a word of every match of its rules) lets few texts through; for these, the rules of the keywords
+that occur are run. A rule is a regular expression over the words joined by single spaces, with a label and a
+priority; its matches are leftmost and do not overlap each other. A match that lies within another one's interval
+is suppressed if that one has the higher priority, or the same and is longer, or is the same interval under an earlier
+rule. What is left gives the labels. Three base phrases are found in every text, whatever the rules do, and their
+labels are never suppressed.
+
+Matches are rows: their places are running sums over the pieces that a rule cuts a text into, and suppression compares each with
+running maxima of what begins before it. So the work grows with the text (and a sort of its matches), however often it repeats itself.
+
+Null text counts as empty: no words, no labels, score 0. Rows with null or repeated ids, and repeated rows, each keep their row;
+no other column is read, whatever its name; texts of any length are scanned whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.llm._license_rules import rules
 from docketry.llm._shared import texts
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: label: (keywords that gate it, by |, name as a regular expression over words)
-NAMES = {
-    "mit": ("mit|expat|x11", r"(?:mit|expat|mit expat|x11)(?: licen[sc]e)?"),
-    "apache-2": ("apache", r"apache(?: software)?(?: licen[sc]e)?(?: v| ver| version)? ?2(?: 0)?"),
-    "apache-1.1": ("apache", r"apache(?: software)?(?: licen[sc]e)?(?: version)? 1 1"),
-    "bsd-2": ("bsd|freebsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[sc]e)?"),
-    "bsd-3": ("bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)(?: licen[sc]e)?"),
-    "bsd": ("bsd", r"bsd(?: style)?(?: licen[sc]e)?"),
-    "gpl-2": ("g", r"(?:gnu )?(?:general public licen[sc]e|gpl)(?: v| version)? ?2(?: 0)?(?: only| or later)?"),
-    "gpl-3": ("g", r"(?:gnu )?(?:general public licen[sc]e|gpl)(?: v| version)? ?3(?: 0)?(?: only| or later)?"),
-    "gpl": ("g", r"(?:gnu )?(?:general public licen[sc]e|gpl)"),
-    "lgpl-2.1": ("l", r"(?:gnu )?(?:lesser general public licen[sc]e|lgpl)(?: v| version)? ?2(?: 1)?(?: only| or later)?"),
-    "lgpl-3": ("l", r"(?:gnu )?(?:lesser general public licen[sc]e|lgpl)(?: v| version)? ?3(?: 0)?(?: only| or later)?"),
-    "lgpl": ("l", r"(?:gnu )?(?:lesser|library) (?:general public licen[sc]e|gpl)|lgpl"),
-    "agpl-3": ("a", r"(?:gnu )?(?:affero general public licen[sc]e|agpl)(?: v| version)? ?3?(?: 0)?(?: only| or later)?"),
-    "mpl-2": ("m", r"(?:mozilla public licen[sc]e|mpl)(?: v| version)? ?2(?: 0)?"),
-    "mpl-1.1": ("m", r"(?:mozilla public licen[sc]e|mpl)(?: v| version)? 1 1"),
-    "epl": ("e", r"(?:eclipse public licen[sc]e|epl)(?: v| version)?(?: [12] 0)?"),
-    "cddl": ("c", r"(?:common development and distribution licen[sc]e|cddl)(?: version)?(?: 1 [01])?"),
-    "isc": ("isc", r"isc(?: licen[sc]e)?"),
-    "zlib": ("zlib", r"zlib(?: libpng)?(?: licen[sc]e)?"),
-    "boost": ("boost", r"boost software licen[sc]e(?: version)?(?: 1 0)?"),
-    "unlicense": ("unlicen", r"unlicen[sc]e"),
-    "wtfpl": ("wtfpl", r"wtfpl"),
-    "artistic-2": ("artistic", r"artistic licen[sc]e(?: version)?(?: 2(?: 0)?)?"),
-    "python": ("p", r"(?:python software foundation|psf) licen[sc]e"),
-    "ofl": ("o", r"(?:sil )?open font licen[sc]e(?: version)?(?: 1 1)?|ofl"),
-    "odbl": ("o", r"(?:open database licen[sc]e|odbl)"),
-    "cc0": ("cc0", r"cc0(?: 1 0)?"),
-    "cc-by": ("c", r"(?:cc by|creative commons attribution)(?: licen[sc]e)?(?: [1-4] [05])?(?: international| unported)?"),
-    "cc-by-sa": ("c", r"(?:cc by sa|creative commons attribution share ?alike)(?: licen[sc]e)?(?: [1-4] [05])?(?: international| unported)?"),
-    "cc-by-nd": ("c", r"(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s?)(?: licen[sc]e)?(?: [1-4] [05])?(?: international| unported)?"),
-    "cc-by-nc": ("c", r"(?:cc by nc|creative commons attribution non ?commercial)(?: licen[sc]e)?(?: [1-4] [05])?(?: international| unported)?"),
-    "cc-by-nc-sa": ("c", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: licen[sc]e)?(?: [1-4] [05])?(?: international| unported)?"),
-    "cc-by-nc-nd": ("c", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?)(?: licen[sc]e)?(?: [1-4] [05])?(?: international| unported)?"),
-    "proprietary": ("proprietary", r"proprietary(?: and confidential)?(?: licen[sc]e)?"),
-}
-
-#: ways to refer to a license: (pattern around the name, priority)
-FORMS = (
-    (r"spdx licen[sc]e identifier NAME", 100),
-    (r"licen[sc]ed under (?:the )?(?:terms of )?(?:the )?NAME", 95),
-    (r"(?:released|distributed|published|provided|made available) under (?:the )?(?:terms of )?(?:the )?NAME", 90),
-    (r"(?:subject to|governed by|in accordance with) (?:the )?(?:terms of )?(?:the )?NAME", 85),
-    (r"(?:see|under|of|with) the NAME", 80),
-    (r"licen[sc]e (?:is )?(?:the )?NAME", 75),
-    (r"copyright .{0,40}? NAME", 60),
-)
-
-
-def gate() -> str:
-    """One expression that matches a text if and only if any rule does: every form, then every name."""
-    before = "|".join(form.removesuffix("NAME") for form, _ in FORMS)
-    return f"(?<= )(?:{before})(?:{'|'.join(name for _, name in NAMES.values())})(?= )"
-
-
-#: A text without it is not looked at by the rules.
-GATE = gate()
-
-
-def rules() -> list[tuple[str, str, str, int]]:
-    """``(keywords, pattern, label, priority)`` in order; a longer name outranks a shorter one of equal form by its length."""
-    return [(keyword, f"(?<= ){form.replace('NAME', f'(?:{name})')}(?= )", label, priority) for form, priority in FORMS for label, (keyword, name) in NAMES.items()]
+#: Stands around matches while a text is cut; no word holds it.
+MARK = "\u0001"
+
+
+def gate(keywords: list[str]) -> str:
+    """One expression for all keywords at the beginnings of words, as a tree of their letters."""
+    tree: dict = {}
+    for k in keywords:
+        at = tree
+        for c in k:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def written(at: dict) -> str:
+        if "" in at:
+            return ""
+        ways = [c + written(below) for c, below in sorted(at.items())]
+        return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+    return " " + written(tree)
 
 
 def phrase(words: str) -> str:
@@ -99,28 +58,42 @@ def words_in(spaced: Column) -> Column:
     return ((F.octet_length(spaced) - F.octet_length(F.replace(spaced, F.lit(" "), F.lit("")))) / 2).cast("long")
 
 
-def matches(text: Column, rule: Column, number: Column) -> Column:
-    """Intervals of a rule's matches: lengths of what lies between them and of the matches, summed up."""
-    gaps = F.transform(F.split(text, rule["pattern"], -1), F.length)
-    sizes = F.transform(F.regexp_extract_all(text, rule["pattern"], F.lit(0)), F.length)
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-
-    def one(size, i):
-        start = total(F.slice(gaps, F.lit(1), i + 1)) + total(F.slice(sizes, F.lit(1), i))
-        return F.struct(start.alias("start"), (start + size).alias("end"), rule["priority"].alias("priority"), number.alias("rule"), rule["label"].alias("label"))
-
-    return F.transform(sizes, one)
-
-
-def kept(found: Column) -> Column:
-    """Matches that no stronger match contains."""
-
-    def stronger(y, x):
-        within = (y["start"] <= x["start"]) & (y["end"] >= x["end"])
-        longer, same = (y["end"] - y["start"]) > (x["end"] - x["start"]), (y["end"] - y["start"]) == (x["end"] - x["start"])
-        return within & ((y["priority"] > x["priority"]) | ((y["priority"] == x["priority"]) & (longer | (same & (y["rule"] < x["rule"])))))
-
-    return F.filter(found, lambda x: ~F.exists(found, lambda y: stronger(y, x)))
+def cut(words: Column, table: list) -> Column:
+    """``array<struct<rule, priority, label, sizes>>`` of the rules that match: sizes of the pieces before, in and between its matches."""
+    groups: dict = {}
+    for i, (label, priority, keyword, pattern) in enumerate(table):
+        rule = F.struct(F.lit(i).alias("rule"), F.lit(priority).alias("priority"), F.lit(label).alias("label"), F.lit(f"(?<= )({pattern})(?= )").alias("pattern"))
+        groups.setdefault(keyword, []).append(rule)
+    groups = F.array(*[F.struct(F.lit(f" {k}").alias("keyword"), F.array(*r).alias("rules")) for k, r in groups.items()])
+    tried = F.flatten(F.transform(F.filter(groups, lambda g: F.contains(words, g["keyword"])), lambda g: g["rules"]))
+    pieces = lambda r: F.transform(F.split(F.regexp_replace(words, r["pattern"], F.lit(f"{MARK}$1{MARK}")), MARK, -1), F.length)
+    found = F.transform(tried, lambda r: F.struct(r["rule"].alias("rule"), r["priority"].alias("priority"), r["label"].alias("label"), pieces(r).alias("sizes")))
+    return F.filter(found, lambda r: F.size(r["sizes"]) > 1)
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """A row for each match, ``start`` and ``end`` (code points) beside ``rule, priority, label``; one without them for a text without any."""
+    rows = rows.withColumn("found", F.explode_outer("found")).select("*", "found.*").drop("found")
+    rows = rows.select("*", F.posexplode_outer("sizes").alias("piece", "size")).drop("sizes").repartition("at")
+    before = Window.partitionBy("at", "rule").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.sum("size").over(before)).withColumn("end", F.col("start") + F.col("size"))
+    # matches are the pieces at odd places; the first piece of each rule goes with the others, but one stays where a text has none
+    return rows.where("piece IS NULL OR piece % 2 = 1").drop("piece", "size")
+
+
+def kept(rows: DataFrame, levels: list[int]) -> DataFrame:
+    """The matches that no stronger one contains."""
+    through = Window.partitionBy("at").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    higher = [F.when(F.col("priority") == p, F.max(F.when(F.col("priority") > p, F.col("end"))).over(through)) for p in levels]
+    own = Window.partitionBy("at", "priority")
+    rows = rows.withColumns({
+        "higher": F.coalesce(*higher),
+        "earlier": F.max("end").over(own.orderBy("start").rangeBetween(Window.unboundedPreceding, -1)),
+        "longest": F.max("end").over(Window.partitionBy("at", "priority", "start")),
+        "same": F.min("rule").over(Window.partitionBy("at", "priority", "start", "end")),
+    })
+    weaker = (F.col("higher") >= F.col("end")) | (F.col("earlier") >= F.col("end")) | (F.col("longest") > F.col("end")) | (F.col("same") < F.col("rule"))
+    return rows.where(F.col("rule").isNull() | ~F.coalesce(weaker, F.lit(False))).drop("higher", "earlier", "longest", "same")
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -142,13 +115,15 @@ def scanned(docs: DataFrame) -> DataFrame:
         firsts.append(F.when(n[label], words_in(F.substring_index(spaced, phrase(text), 1))))
         lasts.append(F.when(n[label], F.col("n_words") - words_in(F.substring_index(spaced, phrase(text), -1)) - len(text.split())))
     base = F.array_compact(F.array(*[F.when(n[label], F.lit(label)) for label in BASE.values()]))
-    table = F.array(*[F.struct(F.array(*[F.lit(f" {w}") for w in k.split("|")]).alias("keywords"), F.lit(p).alias("pattern"), F.lit(label).alias("label"), F.lit(q).alias("priority"), F.lit(i).alias("rule")) for i, (k, p, label, q) in enumerate(rules())])
-    none = F.array().cast("array<struct<start:int,end:int,priority:int,rule:int,label:string>>")
-    rows = rows.select("doc_id", "n_words", sum(counts[1:], counts[0]).alias("n_base"), F.least(*firsts).alias("first_word"), F.greatest(*lasts).alias("last_word"), base.alias("base"), F.replace(spaced, F.lit("  "), F.lit(" ")).alias("words"))
-    words = F.col("words")
-    tried = F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.contains(words, k)))
-    found = F.flatten(F.transform(tried, lambda r: matches(words, r, r["rule"])))
-    rows = rows.withColumn("found", F.when(words.rlike(GATE), found).otherwise(none)).withColumn("detections", kept(F.col("found")))
+    table = rules()
+    none = F.array().cast("array<struct<rule:int,priority:int,label:string,sizes:array<int>>>")
+    own = F.struct("doc_id", "n_words", sum(counts[1:], counts[0]).alias("n_base"), F.least(*firsts).alias("first_word"), F.greatest(*lasts).alias("last_word"), base.alias("base"))
+    rows = rows.select(own.alias("own"), F.replace(spaced, F.lit("  "), F.lit(" ")).alias("words"), F.monotonically_increasing_id().alias("at"))
+    passed = F.col("words").rlike(gate(sorted({keyword for _, _, keyword, _ in table})))
+    rows = rows.select("at", "own", F.when(passed, cut(F.col("words"), table)).otherwise(none).alias("found"))
+    rows = kept(placed(rows), sorted({priority for _, priority, _, _ in table}))
+    match = F.struct("start", "end", "priority", "rule", "label")
+    rows = rows.groupBy("at").agg(F.any_value("own").alias("own"), F.sort_array(F.collect_list(F.when(F.col("rule").isNotNull(), match))).alias("detections")).select("own.*", "detections")
     top = F.coalesce(F.array_max(F.transform("detections", lambda d: d["priority"])) / 100.0, F.lit(0.0))
     return rows.select(
         "doc_id",
