@@ -1,165 +1,143 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Documents of a source are put in a random but fixed order and cut into blocks. The source's j-th block
-(from 0) is released at slot ``floor(j / w)`` and due by slot ``ceil((j + 1) / w)``, where w is the source's
-share of the target weights; each slot goes to the released block with the earliest deadline (ties: the
-earlier release, then the source's name). With shares that sum to one every deadline is met, so after t slots
-each source has been given more than ``w t - 1`` and less than ``w t + 1`` blocks.
-
-Shares are rounded to multiples of ``1 / period`` (each source gets one at least), so the schedule repeats
-after ``period`` slots and one period is all that is ever computed: a table of ``period`` rows, of fixed size
-whatever the corpus. When a source has no block left, the others go on with their shares scaled up; each such
-phase has a schedule of its own, and there are at most as many phases as sources. Every document is placed
-once, none is dropped or repeated.
-
-The order within a source comes from hash buckets: their counts, summed up, give each bucket its first rank,
-and only a bucket is ever sorted in one task. So a source with a third of all rows is dealt to many tasks.
-
-A source without a weight gets ``default_weight``; a null source counts as a source of its own. Rows with null
-or repeated ids keep a place each. Weights must be positive. An empty table gives an empty result.
+Documents of a source are put in a random but fixed order and cut into blocks. With weight w a source is due its
+j-th block (from 0) between ``j / w`` and ``(j + 1) / w`` of a virtual time that all sources share. In the order of the
+middles of these windows the blocks are dealt to periods of ``PERIOD`` slots, so at the end of each period every
+source has had its due number of blocks, to the nearest whole. Within a period of n slots a source with q blocks has the share q / n: its
+block i is released at slot ``floor(i n / q)`` and due by slot ``ceil((i + 1) n / q)``, and each slot goes to the released
+block with the earliest deadline (ties: the earlier release, then the source's name). The shares sum to one, so every
+deadline is met: after t slots of a period a source has had more than ``t q / n - 1`` and less than ``t q / n + 1`` blocks.
+Rounding to whole blocks at the ends of periods is never carried on, so the mix stays within one and a half blocks of the exact weights.
+
+A source without blocks left is in no further period, and the others share its slots by their weights. Every document is
+placed once, none is dropped or repeated. Periods are scheduled side by side, each from its own rows alone, so the
+number of sources has no bound and nothing goes through the driver.
+
+The order within a source comes from hash buckets of id and text: their counts, summed up, give each bucket its first rank, and
+only a bucket is ever sorted in one task. So a source with a third of all rows is dealt to many tasks. Whole rows are shuffled once.
+
+A source without a weight gets ``default_weight``; a null source counts as a source of its own. Rows with null or repeated
+ids keep a place each; rows that are alike in id and text are in one bucket, and which of them comes first is left
+open. Texts of any length go along as they are. Weights must be positive. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Mapping
-from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.llm._shared import stored
+
 BLOCK = 16
+#: Slots of a period: what one task schedules at a time.
 PERIOD = 4096
-#: Documents that one hash bucket of a source should hold.
-BUCKET_ROWS = 20_000
+#: Documents that one hash bucket of a source should hold, and blocks of one range of the virtual time.
+BUCKET_ROWS, RANGE_BLOCKS = 2000, 1 << 16
 NO_SOURCE = "\u0000"
-#: Sources that weights can be given to.
-MOST_SOURCES = 10_000
-#: Slots of all phases that are sent to every task (8 bytes each); a longer table is joined by a shuffle.
-MOST_SENT = 1_000_000
-
-
-def shares(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Slots of each source in a period: largest remainders, one at least."""
-    if any(not w > 0 for w in weights.values()):
-        raise ValueError("weights must be positive")
-    period = max(period, 4 * len(weights))
-    total = sum(map(Fraction, weights.values()))
-    exact = {s: Fraction(w) * period / total for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (exact[s] - out[s], s), reverse=True)
-    i = 0
-    while (left := period - sum(out.values())) != 0:
-        s = order[i % len(order)] if left > 0 else order[-1 - i % len(order)]
-        if left > 0 or out[s] > 1:
-            out[s] += 1 if left > 0 else -1
-        i += 1
-    return out
 
 
-def schedule(slots: Mapping[str, int]) -> list[str]:
-    """Earliest deadline first over one period: the source of each slot."""
-    period = sum(slots.values())
-    released: list = []
-    waiting: list = []
+def source_of(docs: DataFrame):
+    return F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE))
 
-    def block(s: str, j: int) -> None:
-        release, due = j * period // slots[s], -(-(j + 1) * period // slots[s])
-        heapq.heappush(waiting, (release, due, s, j))
 
-    for s in slots:
-        block(s, 0)
+def tempered(docs: DataFrame, alpha: float = 0.7) -> DataFrame:
+    """Target weights ``source, weight`` (``count ** alpha``) from the sizes of all sources."""
+    return docs.groupBy(source_of(docs).alias("source")).agg(F.pow(F.count("*").cast("double"), F.lit(alpha)).alias("weight"))
+
+
+def schedule(quotas: Mapping[str, int]) -> list[str]:
+    """Earliest deadline first over one period: the source of each slot."""
+    n = sum(quotas.values())
+    waiting = [(0, -(-n // q), s, 0) for s, q in quotas.items()]  # release, deadline, source, block
+    heapq.heapify(waiting)
+    released: list = []
     out = []
-    for t in range(period):
+    for t in range(n):
         while waiting and waiting[0][0] <= t:
-            release, due, s, j = heapq.heappop(waiting)
-            heapq.heappush(released, (due, release, s, j))
-        due, _, s, j = heapq.heappop(released)
+            release, due, s, i = heapq.heappop(waiting)
+            heapq.heappush(released, (due, release, s, i))
+        due, _, s, i = heapq.heappop(released)
         if t >= due:
             raise AssertionError("a deadline was missed")
         out.append(s)
-        if j + 1 < slots[s]:
-            block(s, j + 1)
+        if i + 1 < quotas[s]:
+            heapq.heappush(waiting, ((i + 1) * n // quotas[s], -(-(i + 2) * n // quotas[s]), s, i + 1))
     return out
 
 
-def phases(counts: Mapping[str, int], weights: Mapping[str, float], period: int = PERIOD):
-    """Phases ``(first slot, first block of each source, schedule, slots, source that runs dry)`` until every block has a slot."""
-    left, done, begin = {s: n for s, n in counts.items() if n > 0}, dict.fromkeys(counts, 0), 0
-    while left:
-        plan = schedule(shares({s: weights[s] for s in left}, period))
-        per = {s: plan.count(s) for s in left}
-        # whole periods in which no source runs dry, then slot by slot until one does
-        whole = min((n - 1) // per[s] for s, n in left.items())
-        used = {s: whole * per[s] for s in left}
-        tail = 0
-        for s in plan:
-            used[s] += 1
-            tail += 1
-            if used[s] == left[s]:
-                break
-        slots = whole * len(plan) + tail
-        yield begin, dict(done), plan, slots, s
-        begin += slots
-        for s, n in used.items():
-            done[s] += n
-            left[s] -= n
-        left = {s: n for s, n in left.items() if n > 0}
-
-
-def tempered(docs: DataFrame, alpha: float = 0.7) -> dict[str, float]:
-    """Target weights ``count ** alpha`` from the sizes of all sources."""
-    return {k: float(n) ** alpha for k, n in source_sizes(docs).items()}
-
-
-def source_sizes(docs: DataFrame) -> dict[str, int]:
-    """Documents of each source; null counts under ``NO_SOURCE``. A row for each source comes to the driver, as the weights do."""
-    key = F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE))
-    rows = docs.groupBy(key.alias("s")).agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources: map them to groups, which is what weights are given to")
-    return {r.s: r.n for r in rows}
-
-
-def mixed(docs: DataFrame, weights: Mapping[str, float], block: int = BLOCK, period: int = PERIOD, default_weight: float = 1.0) -> DataFrame:
+def slots_of(blocks: DataFrame, period: int) -> DataFrame:
+    """``source, block, slot, position`` of every block (``source, block, size, at``: its middle in virtual time)."""
+    order = ["at", F.xxhash64("source"), "source", "block"]
+    parts = max(1, -(-blocks.count() // RANGE_BLOCKS))
+    # written with their ranges, as the bounds of ranges are drawn anew each time they are asked for
+    ranges = stored(blocks.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("part").agg(F.count("*").alias("n"))
+    # a row for each 65536 blocks
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    ranked = ranges.withColumn("nth", nth).join(before, "part").withColumn("period", F.floor((F.col("before") + F.col("nth")) / period).cast("long"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["source", "block"])
+        quotas = rows.groupby("source").size().to_dict()
+        turns: dict[str, list[int]] = {}
+        for t, s in enumerate(schedule(quotas)):
+            turns.setdefault(s, []).append(t)
+        rows["turn"] = [t for s in sorted(turns) for t in turns[s]]
+        rows = rows.sort_values("turn")
+        rows["before"] = rows["size"].cumsum() - rows["size"]
+        return rows[["source", "block", "period", "turn", "before", "size"]]
+
+    turns = ranked.select("source", "block", "size", "period").groupBy("period").applyInPandas(run, "source string, block long, period long, turn long, before long, size long")
+    turns = stored(turns, "turns")
+    # a row for each period
+    sizes = turns.groupBy("period").agg(F.sum("size").alias("n"))
+    begins = sizes.select("period", (F.sum("n").over(Window.orderBy("period")) - F.col("n")).alias("begin"))
+    return turns.join(begins, "period").select("source", "block", (F.col("period") * period + F.col("turn")).alias("slot"), (F.col("begin") + F.col("before")).alias("position"))
+
+
+def mixed(docs: DataFrame, weights: DataFrame | Mapping[str, float], block: int = BLOCK, period: int = PERIOD, default_weight: float = 1.0) -> DataFrame:
     """All rows of ``docs`` (``doc_id, text, source`` and what else it has) with their place in the mix.
 
-    Adds ``mix_block`` (long: which block of its source), ``mix_slot`` (long: the block's slot) and
-    ``mix_position`` (long: dense position of the row in the whole mix). Reading in order of ``mix_position``
-    gives the mix. Input columns of these names are replaced. ``weights`` may name the null source ``NO_SOURCE``.
+    ``weights`` is ``source, weight`` or a mapping; it may name the null source ``NO_SOURCE``. Adds ``mix_block`` (long: which
+    block of its source), ``mix_slot`` (long: the block's slot) and ``mix_position`` (long: dense position of the row in
+    the whole mix). Reading in order of ``mix_position`` gives the mix. Input columns of these names are replaced.
     """
     spark = docs.sparkSession
+    if not isinstance(weights, DataFrame):
+        weights = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "source string, weight double")
     docs = docs.drop("mix_block", "mix_slot", "mix_position")
     kept = [F.col(f"`{c}`") for c in docs.columns]
-    key = F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE))
-    hashed = F.xxhash64(F.col("doc_id").cast("long"), F.lit(5))
-    sizes = source_sizes(docs)
-    buckets = max(64, -(-sum(sizes.values()) // BUCKET_ROWS))
-    rows = docs.select(F.struct(*kept).alias("row"), key.alias("source"), F.pmod(hashed, F.lit(buckets)).alias("bucket"), hashed.alias("hash"), F.xxhash64("text").alias("tie"))
-    counts = docs.groupBy(key.alias("source"), F.pmod(hashed, F.lit(buckets)).alias("bucket")).agg(F.count("*").alias("n"))
-    before = counts.select("source", "bucket", (F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n")).alias("before"))
-    within = Window.partitionBy("source", "bucket").orderBy("hash", "tie")
-    rows = rows.withColumn("nth", F.row_number().over(within) - 1).join(before, ["source", "bucket"])
-    rows = rows.withColumn("rank", F.col("before") + F.col("nth")).withColumn("mix_block", F.floor(F.col("rank") / block).cast("long"))
-
-    blocks = {s: -(-n // block) for s, n in sizes.items()}
-    given = {s: float(weights.get(s, default_weight)) for s in sizes}
-    plan_rows, gap = [], 0
-    for begin, done, plan, slots, dry in phases(blocks, given, period):
-        turns: dict[str, list[int]] = {}
-        for t, s in enumerate(plan):
-            turns.setdefault(s, []).append(t)
-        for s, at in turns.items():
-            plan_rows.append((s, begin, done[s], len(plan), gap, at))
-        # all blocks but the last of a source are full, and that one stands at the end of its phase
-        gap += blocks[dry] * block - sizes[dry]
-    plans = spark.createDataFrame(plan_rows, "p_source string, begin long, done long, period long, gap long, turns array<long>")
-    plans = plans.withColumn("until", F.lead("done", 1, (1 << 62)).over(Window.partitionBy("p_source").orderBy("begin")))
-    if sum(len(r[-1]) for r in plan_rows) <= MOST_SENT:
-        plans = F.broadcast(plans)
-    rows = rows.join(plans, (F.col("source") == F.col("p_source")) & (F.col("mix_block") >= F.col("done")) & (F.col("mix_block") < F.col("until")))
-    nth, per = F.col("mix_block") - F.col("done"), F.size("turns").cast("long")
-    slot = F.col("begin") + F.floor(nth / per) * F.col("period") + F.element_at("turns", (nth % per + 1).cast("int"))
-    return rows.withColumn("mix_slot", slot).select(
-        "row.*", "mix_block", "mix_slot", (F.col("mix_slot") * block + F.col("rank") % block - F.col("gap")).alias("mix_position")
-    )
+    hashed = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(5))
+    return placed(docs.select(F.struct(*kept).alias("row"), source_of(docs).alias("source"), hashed.alias("hash")), weights, block, period, default_weight).select("row.*", "mix_block", "mix_slot", "mix_position")
+
+
+def placed(rows: DataFrame, weights: DataFrame, block: int = BLOCK, period: int = PERIOD, default_weight: float = 1.0) -> DataFrame:
+    """``rows`` (``source`` not null, ``hash`` long, and what else it has) with ``mix_block, mix_slot, mix_position``."""
+    keys = rows.select("source", "hash")
+    buckets = max(64, -(-keys.count() // BUCKET_ROWS))
+    bucket = F.pmod("hash", F.lit(buckets)).alias("bucket")
+    counts = stored(keys.groupBy("source", bucket).agg(F.count("*").alias("n")), "counts")
+    by_source = Window.partitionBy("source")
+    begins = counts.select("source", "bucket", "n", F.sum("n").over(by_source.orderBy("bucket")).alias("end"), F.sum("n").over(by_source).alias("size"))
+    begins = stored(begins.withColumn("before", F.col("end") - F.col("n")), "begins")
+
+    # a block belongs to the bucket that holds its first document, and reaches into the following ones
+    first, last = F.ceil(F.col("before") / block), F.ceil(F.col("end") / block) - 1
+    weights = weights.groupBy("source").agg(F.max(F.col("weight").cast("double")).alias("weight"))
+    blocks = begins.where(first <= last).select("source", "size", F.explode(F.sequence(first, last)).alias("block")).join(weights, "source", "left")
+    weight = F.coalesce("weight", F.lit(float(default_weight)))
+    weight = F.when(weight > 0, weight).otherwise(F.raise_error(F.lit("weights must be positive")).cast("double"))
+    slots = slots_of(blocks.select("source", "block", F.least(F.lit(block), F.col("size") - F.col("block") * block).alias("size"), ((F.col("block") + 0.5) / weight).alias("at")), period)
+
+    # each bucket with the places of its blocks, in order
+    held = begins.select("source", "bucket", "before", F.explode(F.sequence(F.floor(F.col("before") / block), last)).alias("block")).join(slots, ["source", "block"])
+    held = held.groupBy("source", "bucket").agg(F.first("before").alias("before"), F.sort_array(F.collect_list(F.struct("block", "slot", "position"))).alias("blocks"))
+    ranked = rows.withColumn("bucket", bucket).withColumn("nth", F.row_number().over(Window.partitionBy("source", "bucket").orderBy("hash")) - 1)
+    out = ranked.join(held, ["source", "bucket"]).withColumn("rank", F.col("before") + F.col("nth")).withColumn("mix_block", F.floor(F.col("rank") / block).cast("long"))
+    place = F.element_at("blocks", (F.col("mix_block") - F.floor(F.col("before") / block) + 1).cast("int"))
+    return out.withColumn("mix_slot", place["slot"]).withColumn("mix_position", place["position"] + F.col("rank") % block).drop("bucket", "nth", "before", "blocks", "rank")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docketry.llm import chat, decontaminate, jaccard, licenses, mixing, passages, pii, quality, tokens, topk
 from docketry.llm._shared import table
@@ -10,8 +11,10 @@ from docketry.llm.oracle import SQL as ORACLE  # noqa: F401
 
 
 def op1_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mixed(docs, mixing.tempered(docs)).select("doc_id", "source", "mix_block", "mix_slot", "mix_position")
+    docs = table(spark, sf_dir, "documents")
+    # the places alone: a text stands for itself by its hash
+    keys = docs.select("doc_id", F.col("source").alias("of"), mixing.source_of(docs).alias("source"), F.xxhash64(F.col("doc_id").cast("long"), "text", F.lit(5)).alias("hash"))
+    return mixing.placed(keys, mixing.tempered(docs)).select("doc_id", F.col("of").alias("source"), "mix_block", "mix_slot", "mix_position")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
