@@ -1,21 +1,21 @@
-"""Benchmark decontamination with a positional inverted index.
-
-The corpus is indexed where it lies: every task turns its share of the documents into postings
-(term, position) of the terms that the benchmark uses, sorted by term and position. A benchmark window
-starts from the postings of its rarest term (document frequencies are counted over the whole corpus),
-shifts them by the term's offset, and intersects them with the shifted postings of its next-rarest terms
-until nothing is left or the whole window stands. No text and no posting is shuffled; what moves is the
-benchmark, in blocks of bounded size, and one row a document.
-
-Null text has no words. A benchmark row without words, or with a null ``item_id``, takes no part;
-repeated items count once. Documents with a null or repeated ``doc_id`` each keep their own row. With an
-empty benchmark nothing is hit. Other columns of either table are not read.
+"""Benchmark decontamination with a distributed positional inverted index.
+
+The index is written once, in shards where the documents lie: a shard holds about 1 MB of texts, its distinct terms
+in order with their counts, and the positions of each (``indexed``). It serves any number of benchmarks without reading a
+text again. For a benchmark, the corpus-wide counts of its terms are summed up over the shards. Then each of its windows
+starts from the positions of its rarest term, shifts them by the term's offset, and intersects them with the shifted positions of
+its next-rarest terms until nothing is left or the whole window stands. With a slop, each word may stand so many
+positions off its place (proximity). No text and no posting is shuffled; what moves is the benchmark's windows, in blocks
+of bounded size, and a row for each document and window found.
+
+Null text has no words. A benchmark row without words, or with a null ``item_id``, takes no part; repeated items count
+once. Documents with a null or repeated ``doc_id``, and repeated rows, each keep their own row. A text of any length is indexed
+whole (a long one is a shard of its own). With an empty benchmark nothing is hit; an empty table gives an empty result. Other
+columns of either table are not read, whatever their names; ``clean`` hands them on.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,12 +24,50 @@ from pyspark.sql import functions as F
 from docketry.llm._shared import stored, texts
 from docketry.llm._words import ALNUM, Words, sliced
 
-WINDOW = 10
-#: Benchmark windows sent to the tasks at once; a larger benchmark goes in more blocks, each a pass over the corpus.
-BLOCK_WINDOWS = 400_000
-#: Positions left free between two texts of a slice, so that no window reaches from one into the next.
+WINDOW, SLOP = 10, 2
+#: Benchmark windows sent to the tasks at once; a larger benchmark goes in more blocks, each a pass over the index.
+BLOCK_WINDOWS = 100_000
+#: Positions left free between two texts of a shard, so that no window reaches from one into the next.
 GAP = 64
 
+SHARD = "doc_ids array<bigint>, n_words array<bigint>, terms binary, counts binary, positions binary"
+
+
+def shards(batches, cache: dict):
+    """Positional indexes of the slices of some batches: ``(slice, words of each text, terms, counts, positions)``."""
+    for part in sliced(batches):
+        w = Words(part.column("text"), ALNUM, cache)
+        size = np.diff(w.first)
+        position = np.arange(len(w.hashes)) + np.repeat(np.arange(part.num_rows), size) * GAP + GAP
+        by = np.argsort(w.hashes, kind="stable")
+        ordered = w.hashes[by]
+        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+        yield part, size, ordered[first], np.diff(np.append(first, len(ordered))).astype(np.uint32), position[by].astype(np.uint32)
+
+
+def indexed(docs: DataFrame) -> DataFrame:
+    """The index of a corpus, written once: a row for each shard (``SHARD``), numbered by ``shard``."""
+    listed = pa.list_(pa.int64())
+
+    def run(batches):
+        cache: dict = {}
+        for part, size, *arrays in shards(batches, cache):
+            ids = pa.array([part.column("doc_id").to_pylist()], listed)
+            yield pa.RecordBatch.from_arrays([ids, pa.array([size.tolist()], listed), *[pa.array([x.tobytes()], pa.binary()) for x in arrays]], names=["doc_ids", "n_words", "terms", "counts", "positions"])
+
+    return stored(texts(docs).mapInArrow(run, SHARD).withColumn("shard", F.monotonically_increasing_id()), "index")
+
+
+def dictionaries(docs: DataFrame) -> DataFrame:
+    """The shards' terms and counts alone, not written."""
+
+    def run(batches):
+        cache: dict = {}
+        for _, _, terms, counts, _ in shards(batches, cache):
+            yield pa.RecordBatch.from_arrays([pa.array([terms.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=["terms", "counts"])
+
+    return docs.select("text").mapInArrow(run, "terms binary, counts binary")
+
 
 def item_words(benchmark: DataFrame) -> DataFrame:
     """``item_id`` as string and the word hashes of each benchmark text."""
@@ -47,240 +85,198 @@ def item_words(benchmark: DataFrame) -> DataFrame:
 
 
 def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Distinct windows ``(words, items)``: runs of ``size`` words of an item, or all of a shorter item."""
-    return (
-        items.select(
-            "item_id",
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.size("words") - size + 1, F.lit(1))),
-                    lambda i: F.slice("words", i, F.least(F.lit(size), F.size("words"))),
-                )
-            ).alias("words"),
-        )
-        .groupBy("words")
-        .agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    )
+    """``window, item_id, words``: runs of ``size`` words of an item, or all of a shorter item; ``window`` names equal runs."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - size + 1, F.lit(1)))
+    run = F.transform(starts, lambda i: F.slice("words", i, F.least(F.lit(size), F.size("words"))))
+    return items.select("item_id", F.explode(run).alias("words")).distinct().select(F.xxhash64("words").alias("window"), "item_id", "words")
 
 
-def term_frequency(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
-    """Occurrences in the whole corpus of each of the (sorted) benchmark terms."""
-    sent = docs.sparkSession.sparkContext.broadcast(terms)
+def within(terms: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(begin, end)`` of the postings of each wanted term in a shard; an empty range where it has none."""
+    at = np.searchsorted(terms, wanted)
+    at[at == len(terms)] = 0
+    ends = np.append(0, np.cumsum(counts, dtype=np.int64))
+    here = terms[at] == wanted if len(terms) else np.zeros(len(wanted), bool)
+    return np.where(here, ends[at], 0), np.where(here, ends[np.minimum(at + 1, len(ends) - 1)], 0)
 
-    def run(batches):
-        vocabulary, count, cache = sent.value, np.zeros(len(sent.value), np.int64), {}
-        for part in sliced(batches):
-            at = term_ids(Words(part.column("text"), ALNUM, cache).hashes, vocabulary)
-            count += np.bincount(at[at >= 0], minlength=len(vocabulary))
-        used = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(count[used])], names=["term", "n"])
-
-    out = np.zeros(len(terms), np.int64)
-    for row in docs.select("text").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        out[row.term] = row.n
-    return out
 
+def term_counts(index: DataFrame, wanted: np.ndarray) -> np.ndarray:
+    """Occurrences in the whole corpus of each of the (sorted) terms."""
+    sent = index.sparkSession.sparkContext.broadcast(wanted)
 
-def term_ids(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Place of each hash in the sorted vocabulary, -1 where it is not one of its terms."""
-    if not len(vocabulary):
-        return np.full(len(hashes), -1, np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == hashes, at, -1)
+    def run(batches):
+        total = np.zeros(len(sent.value), np.int64)
+        for batch in batches:
+            for terms, counts in zip(batch.column("terms"), batch.column("counts")):
+                begin, end = within(np.frombuffer(terms.as_buffer(), np.uint64), np.frombuffer(counts.as_buffer(), np.uint32), sent.value)
+                total += end - begin
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["term", "n"])
+
+    found = index.select("terms", "counts").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(wanted), np.int64)
+    out[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    return out
 
 
-class Plan:
-    """Windows of one length as term ids, with the order from each window's rarest term to its commonest."""
+class Block:
+    """Windows of the benchmark as term numbers, each with the order from its rarest term to its commonest."""
 
-    def __init__(self, which: np.ndarray, terms: np.ndarray, frequency: np.ndarray):
-        self.which, self.terms = which, terms
-        self.order = np.argsort(frequency[terms], axis=1, kind="stable")
+    def __init__(self, names: np.ndarray, words: list[np.ndarray], count):
+        self.terms = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
+        frequency = count(self.terms)
+        self.plans = []
+        size = np.array([len(w) for w in words])
+        for n in np.unique(size).tolist():
+            which = np.flatnonzero(size == n)
+            ids = np.searchsorted(self.terms, np.stack([words[i] for i in which]))
+            here = (frequency[ids] > 0).all(axis=1)
+            if here.any():
+                self.plans.append((names[which[here]], ids[here], np.argsort(frequency[ids[here]], axis=1, kind="stable")))
+
+    def search(self, terms: np.ndarray, counts: np.ndarray, positions: np.ndarray, slop: int):
+        """For each plan ``(names, words, window rows, starts)`` of what stands in a shard; starts count from the shard's first position."""
+        begin, end = within(terms, counts, self.terms)
+        # the postings of the benchmark's terms as one sorted list: term * stride + position
+        many = end - begin
+        stride = (int(positions.max()) if len(positions) else 0) + 4 * GAP
+        of = np.repeat(np.arange(len(self.terms)), many)
+        first = np.append(0, np.cumsum(many))
+        inner = np.arange(len(of)) - first[of]
+        postings = of * stride + positions[begin[of] + inner].astype(np.int64)
+        for names, ids, order in self.plans:
+            rows = np.arange(len(ids))
+            live = rows[(many[ids] > 0).all(axis=1)]
+            anchor = order[live, 0]
+            term = ids[live, anchor]
+            row, offset, term = (np.repeat(x, many[term]) for x in (live, anchor, term))
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(many[ids[live, anchor]]) - many[ids[live, anchor]], many[ids[live, anchor]])
+            start = postings[first[term] + nth] - term * stride - offset
+            if slop:
+                row, start = np.repeat(row, 2 * slop + 1), (start[:, None] + np.arange(-slop, slop + 1)).ravel()
+            for j in range(1, ids.shape[1]):
+                if not len(row):
+                    break
+                offset = order[row, j]
+                want = ids[row, offset] * stride + start + offset
+                at = np.searchsorted(postings, want - slop)
+                ok = at < len(postings)
+                ok[ok] = postings[at[ok]] <= want[ok] + slop
+                row, start = row[ok], start[ok]
+            yield names, ids, row, start
+
+
+def blocks_of(index: DataFrame, held: DataFrame, block_windows: int):
+    """The benchmark's windows (``window, words``) in blocks of bounded size, ready to be sent."""
+    n = max(1, -(-held.count() // block_windows))
+    for b in range(n):
+        got = held.where(F.pmod("window", F.lit(n)) == b).toArrow()
+        words = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in got.column("words")]
+        yield Block(got.column("window").to_numpy(), words, lambda terms: term_counts(index, terms) if len(terms) else np.zeros(0, np.int64))
 
 
-def intersect(postings: np.ndarray, begin: np.ndarray, plan: Plan, stride: int, slop: int = 0):
-    """Pairs (row of the plan, position of the window's first word) for which every shifted posting list agrees.
+def matches(index: DataFrame, held: DataFrame, slop: int = SLOP, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """``shard, nth`` (document of the shard) ``, window, exact`` and ``starts`` (word numbers where it stands exactly) of each window
+    that stands in a document exactly or within the slop."""
+    out = pa.schema([("shard", pa.int64()), ("nth", pa.int32()), ("window", pa.int64()), ("n", pa.int32()), ("starts", pa.list_(pa.int64()))])
+    every = []
+    for block in blocks_of(index, held, block_windows):
+        sent = index.sparkSession.sparkContext.broadcast(block)
 
-    ``postings`` are sorted term * stride + position, ``begin[t]`` where those of term t start. With a slop each
-    term may stand up to so many positions off its place.
-    """
-    rows = np.arange(len(plan.terms))
-    anchor = plan.order[:, 0]
-    first = plan.terms[rows, anchor]
-    many = begin[first + 1] - begin[first]
-    row = np.repeat(rows, many)
-    if not len(row):
-        return row, row
-    inner = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    start = postings[begin[first][row] + inner] - first[row] * stride - anchor[row]
-    for j in range(1, plan.terms.shape[1]):
-        offset = plan.order[row, j]
-        term = plan.terms[row, offset]
-        want = term * stride + start + offset
-        at = np.searchsorted(postings, want - slop)
-        ok = at < len(postings)
-        ok[ok] = postings[at[ok]] <= want[ok] + slop
-        row, start = row[ok], start[ok]
-        if not len(row):
-            break
-    return row, start
-
-
-def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int = 2, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """One row a document: ``doc_id, n_words, n_hit, items`` (sorted) ``, near_items`` and ``spans`` (hit word ranges).
-
-    ``items`` have a window whose words stand consecutively in the document; ``near_items`` have one whose words
-    all stand within ``slop`` positions of their places.
-    """
-    if size + slop >= GAP:
-        raise ValueError(f"size + slop must be below {GAP}")
-    docs = texts(docs)
-    parts = [_find_block(docs, block, slop) for block in blocks_of(docs, benchmark, size, block_windows)]
-    blocks = len(parts)
-    if blocks == 1:
-        return parts[0]
-    every = reduce(DataFrame.unionByName, parts)
-    return every.groupBy("doc_id", "n_words", "text_hash").agg(
-        (F.count("*") / blocks).cast("int").alias("copies"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("near_items")))).alias("near_items"),
-        F.flatten(F.collect_list("spans")).alias("spans"),
-    ).withColumn("spans", merged("spans")).withColumn("n_hit", covered("spans")).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies", "copy")
-
-
-def merged(spans: str):
-    """Union of word ranges ``[start, end)``, in order."""
+        def run(batches, sent=sent):
+            for batch in batches:
+                for shard, sizes, *arrays in zip(*(batch.column(c) for c in ("shard", "n_words", "terms", "counts", "positions"))):
+                    terms, counts, positions = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(arrays, (np.uint64, np.uint32, np.uint32)))
+                    if not len(terms):
+                        continue
+                    sizes = sizes.values.to_numpy()
+                    begins = np.cumsum(sizes) - sizes + (np.arange(len(sizes)) + 1) * GAP
+                    # a place of the window lies in its document; with a slop, up to so many positions outside
+                    owner = lambda at: np.searchsorted(begins, at, "right") - 1  # noqa: B023, E731
+                    found: dict = {}
+                    for off in (0, slop) if slop else (0,):
+                        for names, ids, row, start in sent.value.search(terms, counts, positions, off):
+                            # with a slop a place may lie before its text; words stand less than GAP / 2 from it
+                            nth = owner(start + (GAP // 2 if off else 0))
+                            for d, i, s in zip(nth.tolist(), row.tolist(), (start - begins[nth]).tolist()):
+                                starts = found.setdefault((d, int(names[i])), (ids.shape[1], []))[1]
+                                if not off:
+                                    starts.append(s)
+                    rows = [(shard.as_py(), d, w, n, sorted(set(starts))) for (d, w), (n, starts) in found.items()]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], out.field(k).type) for k in range(5)], schema=out)
+
+        every.append(index.mapInArrow(run, "shard bigint, nth int, window bigint, n int, starts array<bigint>"))
+    got = every[0]
+    for more in every[1:]:
+        got = got.unionByName(more)
+    return got
+
+
+def found_in(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int = SLOP, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """One row a document of the index: ``doc_id, n_words, n_hit`` (words inside exact matches) ``, items`` (sorted; with a window
+    whose words stand consecutively) ``, near_items`` (with one whose words all stand within ``slop`` positions of their
+    places, those that stand exactly included) and ``spans`` (hit word ranges)."""
+    if size + 2 * slop >= GAP // 2:
+        raise ValueError(f"size + 2 * slop must be below {GAP // 2}")
+    named = stored(windows(item_words(benchmark), size), "windows")
+    held = stored(named.groupBy("window").agg(F.any_value("words").alias("words")), "distinct-windows")
+    hits = stored(matches(index, held, slop, block_windows), "matches")
+    span = F.transform("starts", lambda s: F.struct(s.alias("start"), (s + F.col("n")).alias("end")))
+    spans = hits.where("size(starts) > 0").groupBy("shard", "nth").agg(F.sort_array(F.flatten(F.collect_list(span))).alias("spans"))
     empty = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
 
     def add(acc, x):
-        last = F.element_at(acc, -1)
-        return F.when((F.size(acc) > 0) & (x["start"] <= last["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(F.sort_array(spans), empty, add)
-
-
-def covered(spans: str):
-    return F.aggregate(spans, F.lit(0).cast("bigint"), lambda acc, x: acc + x["end"] - x["start"])
+        last = F.try_element_at(acc, F.lit(-1))
+        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when((F.size(acc) > 0) & (x["start"] <= last["end"]), F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(x)))
 
+    spans = spans.withColumn("spans", F.aggregate("spans", empty, add))
+    items = hits.join(named.select("window", "item_id"), "window").groupBy("shard", "nth").agg(
+        F.sort_array(F.collect_set(F.when(F.size("starts") > 0, F.col("item_id")))).alias("items"), F.sort_array(F.collect_set("item_id")).alias("near_items")
+    )
+    rows = index.select("shard", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("nth", "d")).select("shard", "nth", F.col("d.doc_ids").alias("doc_id"), F.col("d.n_words").alias("n_words"))
+    rows = rows.join(spans, ["shard", "nth"], "left").join(items, ["shard", "nth"], "left")
+    none = F.array().cast("array<string>")
+    rows = rows.select("doc_id", "n_words", F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items"), F.coalesce("spans", empty).alias("spans"))
+    return rows.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, x: acc + x["end"] - x["start"]))
 
-class Block:
-    """Windows of the benchmark with their terms, ready to be sent to the tasks."""
 
-    def __init__(self, docs: DataFrame, windows_and_items: list):
-        words = [np.array(w, np.int64).view(np.uint64) for w, _ in windows_and_items]
-        self.items = [items for _, items in windows_and_items]
-        self.terms = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
-        frequency = term_frequency(docs, self.terms) if words else np.zeros(0, np.int64)
-        self.plans = []
-        for n in sorted({len(w) for w in words}):
-            which = np.array([i for i, w in enumerate(words) if len(w) == n])
-            ids = np.searchsorted(self.terms, np.stack([words[i] for i in which]))
-            here = (frequency[ids] > 0).all(axis=1)
-            if here.any():
-                self.plans.append(Plan(which[here], ids[here], frequency))
-
-    def search(self, w: Words, n_texts: int, slop: int = 0):
-        """Over one slice of texts: ``(whether each word is hit, exact (text, window) pairs, pairs within the slop)``."""
-        doc = np.repeat(np.arange(n_texts), np.diff(w.first))
-        position = np.arange(len(doc)) + doc * GAP
-        length = len(doc) + n_texts * GAP + 2 * GAP
-        at = term_ids(w.hashes, self.terms)
-        used = at >= 0
-        postings = np.sort(at[used] * length + position[used] + GAP)
-        begin = np.searchsorted(postings, np.arange(len(self.terms) + 1) * length)
-        hit = np.zeros(length + 1, np.int64)
-        exact, near = set(), set()
-        whose = np.repeat(np.arange(n_texts), np.diff(w.first) + GAP)
-        for plan in self.plans:
-            n = plan.terms.shape[1]
-            for where, off in ((exact, 0), (near, slop)) if slop else ((exact, 0),):
-                row, start = intersect(postings, begin, plan, length, off)
-                start = start - GAP
-                if not off:
-                    np.add.at(hit, start, 1)
-                    np.add.at(hit, start + n, -1)
-                where.update(zip(whose[start + plan.order[row, 0]].tolist(), plan.which[row].tolist()))
-        return np.cumsum(hit)[position] > 0, exact, near
-
-
-def blocks_of(docs: DataFrame, benchmark: DataFrame, size: int, block_windows: int):
-    """The benchmark's windows in blocks of bounded size."""
-    found = stored(windows(item_words(benchmark), size), "windows")
-    n = max(1, -(-found.count() // block_windows))
-    for b in range(n):
-        yield Block(docs, [(r.words, r.items) for r in found.where(F.pmod(F.xxhash64("words"), F.lit(n)) == b).collect()])
+def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int = SLOP, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """``found_in`` over an index of ``docs``."""
+    return found_in(indexed(docs), benchmark, size, slop, block_windows)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark window occurs, as they are (``text`` as string)."""
-    docs = docs.withColumn("text", F.col("text").cast("string"))
-    kept = docs
-    for block in blocks_of(docs, benchmark, size, block_windows):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+    """The rows of ``docs`` in which no benchmark window occurs, as they are (``text`` as string).
 
-        def run(batches, sent=sent):
-            cache: dict = {}
-            for part in sliced(batches):
-                _, exact, _ = sent.value.search(Words(part.column("text"), ALNUM, cache), part.num_rows)
-                bad = {d for d, _ in exact}
-                yield part.take(pa.array([i for i in range(part.num_rows) if i not in bad], pa.int64()))
+    A pass over the texts that keeps no index: each task drops its shards when it has searched them.
+    """
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    held = stored(windows(item_words(benchmark), size).groupBy("window").agg(F.any_value("words").alias("words")), "distinct-windows")
+    for block in blocks_of(dictionaries(docs), held, block_windows):
+        docs = docs.where(~is_hit(docs.sparkSession.sparkContext.broadcast(block))(F.col("text")))
+    return docs
 
-        kept = kept.mapInArrow(run, docs.schema)
-    return kept
 
+def is_hit(sent):
+    """A function of texts: whether a window of the block stands in one."""
+    cache: dict = {}
 
-def _find_block(docs: DataFrame, block: Block, slop: int) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(block)
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    names = pa.list_(pa.string())
-    out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", names), ("near_items", names), ("spans", span), ("text_hash", pa.int64())])
+    @F.arrow_udf("boolean")
+    def run(texts_: pa.Array) -> pa.Array:
+        out, done = np.zeros(len(texts_), bool), 0
+        for part, size, terms, counts, positions in shards([pa.RecordBatch.from_arrays([texts_], names=["text"])], cache):
+            begins = np.cumsum(size) - size + (np.arange(len(size)) + 1) * GAP
+            for _, _, _, start in sent.value.search(terms, counts, positions, 0):
+                out[done + np.searchsorted(begins, start, "right") - 1] = True
+            done += part.num_rows
+        return pa.array(out)
 
-    def run(batches):
-        cache: dict = {}
-        for part in sliced(batches):
-            w = Words(part.column("text"), ALNUM, cache)
-            on, exact, near = sent.value.search(w, part.num_rows, slop)
-            count = np.diff(np.append(0, np.cumsum(on))[w.first])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id"),
-                    pa.array(np.diff(w.first)),
-                    pa.array(count),
-                    pa.array(_names(exact, sent.value.items, part.num_rows), names),
-                    pa.array(_names(near | exact, sent.value.items, part.num_rows), names),
-                    pa.array(_runs(on, w.first), span),
-                    pa.array(_sums(w)),
-                ],
-                schema=out,
-            )
-
-    return docs.mapInArrow(run, "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, near_items array<string>, spans array<struct<start:bigint,end:bigint>>, text_hash bigint")
-
-
-def _sums(w: Words) -> np.ndarray:
-    total = np.append(np.uint64(0), np.cumsum(w.hashes * (np.arange(len(w.hashes), dtype=np.uint64) * np.uint64(2) + np.uint64(1))))
-    return (total[w.first[1:]] - total[w.first[:-1]]).view(np.int64)
-
-
-def _names(found: set, items: list, n: int) -> list:
-    out: list = [set() for _ in range(n)]
-    for d, i in found:
-        out[d].update(items[i])
-    return [sorted(x) for x in out]
-
-
-def _runs(on: np.ndarray, first: np.ndarray) -> list:
-    out = []
-    for a, b in zip(first, first[1:]):
-        if not on[a:b].any():
-            out.append([])
-            continue
-        step = np.flatnonzero(np.diff(np.concatenate([[False], on[a:b], [False]]).astype(np.int8)))
-        out.append([{"start": int(s), "end": int(e)} for s, e in zip(step[::2], step[1::2])])
-    return out
+    return run
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The contract's columns: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``."""
+    """The contract's columns ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``, and ``n_near`` (items near or exact)."""
     return find(docs, benchmark).select(
         "doc_id",
         "n_words",
@@ -288,4 +284,5 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("bigint").alias("n_near"),
     )

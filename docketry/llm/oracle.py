@@ -12,10 +12,17 @@ lens AS (SELECT DISTINCT len(t) AS n FROM win),
 grams AS (SELECT doc_id, i AS pos, n, w[i:i + n - 1] AS t FROM d, lens, unnest(range(1, len(w) - n + 2)) AS u(i)),
 hits AS (SELECT g.doc_id, g.pos, g.n, win.item_id FROM grams g JOIN win ON g.t = win.t),
 marks AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS p FROM hits) GROUP BY doc_id),
+occ AS (SELECT doc_id, i AS pos, w[i] AS word FROM d, unnest(range(1, len(w) + 1)) AS u(i)),
+freq AS (SELECT word, count(*) AS n FROM occ GROUP BY word),
+places AS (SELECT t, k, coalesce(n, 0) AS n, t[k] AS word FROM (SELECT DISTINCT t, unnest(range(1, len(t) + 1)) AS k FROM win) LEFT JOIN freq ON word = t[k]),
+rare AS (SELECT t, arg_min(k, n) AS k FROM places GROUP BY t),
+tries AS (SELECT DISTINCT doc_id, t, pos - k + off AS s FROM rare JOIN occ ON word = t[k], unnest(range(-2, 3)) AS v(off)),
+near AS (SELECT DISTINCT doc_id, t FROM tries JOIN d USING (doc_id) WHERE len(list_filter(range(1, len(t) + 1), lambda j: s + j + 2 >= 1 AND list_contains(w[greatest(1, s + j - 2):s + j + 2], t[j]))) = len(t)),
+nears AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM near JOIN win USING (t) GROUP BY doc_id),
 named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN marks USING (doc_id) LEFT JOIN named USING (doc_id)
+  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN marks USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN nears USING (doc_id)
 """
 
 JACCARD = f"""

@@ -130,7 +130,9 @@ def test_passages_that_the_smallest_document_holds_in_part(spark):
 
 
 def test_decontamination(spark, rows):
-    bench = [(1, " ".join(rows[3][1].split()[2:14])), (2, "one two"), (3, None), (None, "one"), (4, "..."), (2, "one two"), (5, " ".join(rows[3][1].split()[:30]))]
+    moved = rows[5][1].split()[:14]
+    moved[3:5] = [moved[4], moved[3]]
+    bench = [(1, " ".join(rows[3][1].split()[2:14])), (6, " ".join(moved)), (2, "one two"), (3, None), (None, "one"), (4, "..."), (2, "one two"), (5, " ".join(rows[3][1].split()[:30]))]
     items = spark.createDataFrame(bench, "item_id long, text string")
     words = lambda t: re.findall(ALNUM, (t or "").translate(FOLD))
     windows = collections.defaultdict(set)
@@ -147,9 +149,11 @@ def test_decontamination(spark, rows):
                 if tuple(w[k : k + len(win)]) == win:
                     hit |= set(range(k, k + len(win)))
                     names |= ids
-        want[(d, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit))] += 1
+        near = {i for win, ids in windows.items() if any(all(x in w[max(0, s + j - 2) : max(0, s + j + 3)] for j, x in enumerate(win)) for s in range(-2, len(w) + 2)) for i in ids}
+        assert names <= near
+        want[(d, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit), len(near))] += 1
     assert collections.Counter(tuple(r) for r in decontaminate.report(docs(spark, rows), items).collect()) == want
-    blocks = decontaminate.find(docs(spark, rows), items, block_windows=5).selectExpr("doc_id", "n_words", "n_hit", "cast(size(items) as bigint)", "sha2(array_join(items, ','), 256)", "n_hit > 0")
+    blocks = decontaminate.find(docs(spark, rows), items, block_windows=5).selectExpr("doc_id", "n_words", "n_hit", "cast(size(items) as bigint)", "sha2(array_join(items, ','), 256)", "n_hit > 0", "cast(size(near_items) as bigint)")
     assert collections.Counter(tuple(r) for r in blocks.collect()) == want
     clean = collections.Counter(r.doc_id for r in decontaminate.clean(docs(spark, rows), items, block_windows=5).collect())
     assert clean == collections.Counter({d: n for d, n in sum((collections.Counter({k[0]: v}) for k, v in want.items() if not k[5]), collections.Counter()).items()})
@@ -158,8 +162,12 @@ def test_decontamination(spark, rows):
 def test_proximity(spark):
     text = "a b c d e x f g h i j"
     items = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
-    got = decontaminate.find(docs(spark, [(1, text), (2, "a b c")]), items).orderBy("doc_id").collect()
-    assert [(r["items"], r.near_items) for r in got] == [([], ["1"]), ([], [])]
+    index = decontaminate.indexed(docs(spark, [(1, text), (2, "a b c")]))
+    got = decontaminate.found_in(index, items).orderBy("doc_id").collect()
+    assert [(r["items"], r.near_items, r.spans) for r in got] == [([], ["1"], []), ([], [], [])]
+    # the same index serves another benchmark
+    other = spark.createDataFrame([("x", "b c")], "item_id string, text string")
+    assert [(r["items"], r.n_hit) for r in decontaminate.found_in(index, other).orderBy("doc_id").collect()] == [(["x"], 2), (["x"], 2)]
 
 
 def test_tokens(spark, rows):
@@ -321,27 +329,62 @@ def test_chat(spark):
     assert all(w.n_tokens <= chat.BUDGET + 2 * chat.HISTORY + 800 or w.conv_id == 77 for w in windows)
 
 
-def test_mixing(spark, rows):
-    d = docs(spark, rows)
-    got = mixing.mixed(d, {"s0": 5.0, "s1": 1.0}, block=4, period=64).collect()
-    assert sorted(r.mix_position for r in got) == list(range(len(rows)))
-    assert set(d.columns) < set(got[0].asDict())
-    sizes = mixing.source_sizes(d)
-    weights = {s: {"s0": 5.0, "s1": 1.0}.get(s, 1.0) for s in sizes}
+def brute_mix(sizes, weights, block, period):
+    """Slots by the definition: nothing but lists, searched through."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    tie = {r.s: r.h for r in spark.createDataFrame([(s,) for s in sizes], "s string").select("s", F.xxhash64("s").alias("h")).collect()}
+    blocks = sorted(((j + 0.5) / weights[s], tie[s], s, j) for s, n in sizes.items() for j in range(-(-n // block)))
     slots = {}
-    for begin, done, plan, n, _ in mixing.phases({s: -(-k // 4) for s, k in sizes.items()}, weights, 64):
-        given = collections.Counter(done)
+    for begin in range(0, len(blocks), period):
+        part = sorted((s, j) for _, _, s, j in blocks[begin : begin + period])
+        n, jobs, quotas = len(part), [], collections.Counter(s for s, _ in part)
+        nth = collections.Counter()
+        for s, j in part:
+            i, q = nth[s], quotas[s]
+            jobs.append((-(-(i + 1) * n // q), i * n // q, s, j))
+            nth[s] += 1
+        given = collections.Counter()
         for t in range(n):
-            s = plan[t % len(plan)]
-            slots[s, given[s]] = begin + t
-            given[s] += 1
-            for x in set(plan):
-                share = plan.count(x) / len(plan)
-                assert abs(given[x] - done[x] - share * (t + 1)) < 1
-    assert all(r.mix_slot == slots[r.source if r.source is not None else mixing.NO_SOURCE, r.mix_block] for r in got)
+            best = min(x for x in jobs if x[1] <= t)
+            assert t < best[0]
+            jobs.remove(best)
+            slots[best[2], best[3]] = begin + t
+            given[best[2]] += 1
+            assert all(abs(given[s] - quotas[s] * (t + 1) / n) < 1 for s in quotas)
+    return slots
+
+
+def test_mixing(spark, rows):
+    d = docs(spark, rows)
+    name = lambda s: mixing.NO_SOURCE if s is None else s
+    sizes = collections.Counter(name(r.source) for r in d.collect())
+    for period in (8, 64):
+        got = mixing.mixed(d, {"s0": 5.0, "s1": 1.0}, block=4, period=period).collect()
+        assert sorted(r.mix_position for r in got) == list(range(len(rows)))
+        assert set(d.columns) < set(got[0].asDict())
+        slots = brute_mix(sizes, {s: {"s0": 5.0}.get(s, 1.0) for s in sizes}, 4, period)
+        assert all(r.mix_slot == slots[name(r.source), r.mix_block] for r in got)
+        by_place = sorted(got, key=lambda r: r.mix_position)
+        assert [r.mix_slot for r in by_place] == sorted(r.mix_slot for r in got)
+        assert collections.Counter((name(r.source), r.mix_block) for r in got) == collections.Counter({(s, j): min(4, n - 4 * j) for s, n in sizes.items() for j in range(-(-n // 4))})
     again = mixing.mixed(d.repartition(7), {"s0": 5.0, "s1": 1.0}, block=4, period=64).collect()
     key = lambda r: (r.doc_id is None, r.doc_id, r.text or "", r.mix_position)
-    assert [(r.doc_id, r.mix_position) for r in sorted(got, key=lambda r: r.mix_position) if r.doc_id is not None] == [(r.doc_id, r.mix_position) for r in sorted(again, key=lambda r: r.mix_position) if r.doc_id is not None] and sorted(map(key, got)) == sorted(map(key, again))
+    assert sorted(map(key, got)) == sorted(map(key, again))
+    with pytest.raises(Exception, match="positive"):
+        mixing.mixed(d, {"s0": 0.0}).collect()
+
+
+def test_mixing_of_very_many_sources_and_of_rows_without_ids(spark):
+    many = spark.range(30000).selectExpr("cast(null as long) doc_id", "concat('t', id) text", "concat('s', if(id % 3 = 0, 0, id % 12000)) source")
+    got = mixing.mixed(many, mixing.tempered(many)).toPandas()
+    assert sorted(got.mix_position) == list(range(30000)) and got.source.nunique() > 7000
+    hot = got[got.source == "s0"]
+    assert len(hot) == 10000 and hot.mix_slot.nunique() == 625
+    # by its weight of 631 it is due about a tenth of the first period's slots, in which the small sources stand as well
+    early = (hot.drop_duplicates("mix_slot").mix_slot < mixing.PERIOD).sum()
+    assert 0 < early < 625
 
 
 def brute_topk(vec, k=20, every=20):
@@ -458,7 +501,7 @@ def test_empty_tables(spark):
     assert jaccard.near_duplicates(none).count() == jaccard.deduplicated(none).count() == 0
     assert passages.repeats(none).count() == passages.repeats(some).count() == 0
     assert decontaminate.report(none, items).count() == 0 and [r.contaminated for r in decontaminate.report(some, items).collect()] == [False]
-    assert tokens.counted(none, pieces=([b"a"], [b"b"])).count() == licenses.scanned(none).count() == pii.detected(none).count() == mixing.mixed(none, {}).count() == 0
+    assert tokens.counted(none, pieces=([b"a"], [b"b"])).count() == licenses.scanned(none).count() == pii.detected(none).count() == mixing.mixed(none, {}).count() == mixing.mixed(none, mixing.tempered(none)).count() == 0
     assert quality.scored(none, labels).count() == quality.accepted(none, labels).count() == pii.masked(none).count() == 0
     assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert chat.digest(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
