@@ -5,11 +5,13 @@ grown on a random part of the labelled rows and of the statistics, are taken apa
 their paths; a logistic regression with an L1 penalty over these rules keeps the few that matter; and the kept
 rules become one column expression, which scores all documents.
 
-The classifier is fitted on about ``SAMPLE`` labelled rows at most, those with a low hash of the id; rows
+The classifier is fitted on about ``SAMPLE`` labelled rows, those with a low hash of the id (twice as many at most); rows
 whose ``crc32(doc_id) mod 4`` is 2 are held out. Statistics and scores cover every document. Nothing but the
 text makes up a score.
 
-Null text counts as empty. Rows with null or repeated ids each keep their row (a null id is not held out).
+Null text counts as empty; texts of any length are read whole. Rows with null or repeated ids each keep their row (a null
+id is not held out); equal texts have equal scores. An empty table gives an empty result. Other columns are not read, and
+``accepted`` hands them on, whatever their names.
 Labels of null quality are left out. Without labels of both kinds every score is the share of label 1, or 0.5.
 """
 
@@ -82,22 +84,41 @@ def described(raw: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.
     return out
 
 
-def statistics(docs: DataFrame, prefix: str = "") -> DataFrame:
-    """``docs`` as they are, but for ``text`` as string, and the statistics of every text in columns of these names after the prefix."""
-    docs = docs.withColumn("text", F.col("text").cast("string"))
-    held = docs.columns
+def measured(texts_: pa.Array, cache: dict) -> np.ndarray:
+    """A row of statistics for each text."""
+    out = []
+    for part in sliced([pa.RecordBatch.from_arrays([texts_], names=["text"])]):
+        w = Words(part.column("text"), SPACED, cache, fold=False)
+        rows = np.zeros((part.num_rows, len(STATS)))
+        for i in range(part.num_rows):
+            a, b = w.first[i], w.first[i + 1]
+            rows[i] = described(w.bytes[w.at[i] : w.at[i + 1]], w.hashes[a:b], w.starts[a:b] - w.at[i], w.ends[a:b] - w.at[i])
+        out.append(rows)
+    return np.round(np.concatenate(out), 9) if out else np.zeros((0, len(STATS)))
+
+
+def statistics(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and the statistics of every text; of rows that hold both."""
 
     def run(batches):
         cache: dict = {}
-        for part in sliced(batches):
-            w = Words(part.column("text"), SPACED, cache, fold=False)
-            rows = np.zeros((part.num_rows, len(STATS)))
-            for i in range(part.num_rows):
-                a, b = w.first[i], w.first[i + 1]
-                rows[i] = described(w.bytes[w.at[i] : w.at[i + 1]], w.hashes[a:b], w.starts[a:b] - w.at[i], w.ends[a:b] - w.at[i])
-            yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(np.round(rows[:, j], 9)) for j in range(len(STATS))]], names=[*held, *[prefix + s for s in STATS]])
+        for batch in batches:
+            rows = measured(batch.column("text"), cache)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(rows[:, j]) for j in range(len(STATS))]], names=["doc_id", *STATS])
+
+    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(s, T.DoubleType()) for s in STATS]]))
+
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *[T.StructField(prefix + s, T.DoubleType()) for s in STATS]]))
+def statistics_of(text: Column) -> Column:
+    """The same as a struct beside the row: only the text goes to Python, and only numbers come back."""
+    cache: dict = {}
+
+    @F.arrow_udf(T.StructType([T.StructField(s, T.DoubleType()) for s in STATS]))
+    def run(texts_: pa.Array) -> pa.Array:
+        rows = measured(texts_, cache)
+        return pa.StructArray.from_arrays([pa.array(rows[:, j]) for j in range(len(STATS))], names=list(STATS))
+
+    return run(text)
 
 
 Rule = tuple[tuple[int, float, bool], ...]  # (statistic, threshold, whether above it)
@@ -181,7 +202,7 @@ def compiled(intercept: float, rules: list[tuple[Rule, float]], prefix: str = ""
     for rule, weight in rules:
         test = F.lit(True)
         for j, t, above in rule:
-            c = F.col(f"`{prefix}{STATS[j]}`")
+            c = F.col(f"{prefix}{STATS[j]}")
             test &= (c > t) if above else (c <= t)
         total = total + F.when(test, F.lit(weight)).otherwise(F.lit(0.0))
     return F.round(1 / (1 + F.exp(-total)), 9)
@@ -191,25 +212,34 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def learned(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE, prefix: str = "") -> Column:
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).where("quality IS NOT NULL")
-    known = known.where("doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
-    rows = stats.join(sampled(known, sample, known.count()), "doc_id").toPandas().sort_values(["doc_id", "quality", *STATS])
+def known(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """``doc_id, quality`` of the labelled rows to learn from: at most twice ``sample`` rows, so they may be broadcast."""
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).where("quality IS NOT NULL AND doc_id IS NOT NULL")
+    rows = rows.where(~held_out(F.col("doc_id")))
+    return sampled(rows, sample, rows.count(), "doc_id")
+
+
+def learned(stats: DataFrame, labels: DataFrame, sample: int, prefix: str = "") -> Column:
+    """The score, learned from ``stats`` (``doc_id`` and statistics) of the labelled rows."""
+    rows = stats.join(F.broadcast(known(labels, sample)), "doc_id")
+    rows = sampled(rows, 2 * sample, rows.count(), "doc_id", *STATS).toPandas().sort_values(["doc_id", "quality", *STATS])
     return compiled(*fitted(rows[list(STATS)].to_numpy(np.float64), (rows["quality"].to_numpy() > 0.5).astype(float)), prefix)
 
 
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every text."""
-    stats = stored(statistics(texts(docs)).drop("text"), "statistics")
+    stats = stored(statistics(texts(docs)), "statistics")
     score = learned(stats, labels, sample)
     return stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that score ``THRESHOLD`` or more, as they are."""
-    prefix = "_"
-    while any(c.startswith(prefix) for c in docs.columns):
-        prefix += "_"
-    stats = statistics(texts(docs)).drop("text")
-    score = learned(stats, labels, sample, prefix)
-    return statistics(docs, prefix).where(score >= THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
+    column = "_statistics"
+    while column in docs.columns:
+        column += "_"
+    # the statistics of the rows to learn from alone
+    own = stored(statistics(texts(docs).join(F.broadcast(known(labels, sample)).select("doc_id").distinct(), "doc_id", "left_semi")), "statistics")
+    score = learned(own, labels, sample, f"{column}.")
+    kept = docs.withColumn(column, statistics_of(F.col("text").cast("string"))).where(score >= THRESHOLD)
+    return kept.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
