@@ -4,7 +4,7 @@ or more is linked, and each document gets the smallest ``doc_id`` that it reache
 1. Texts with the same set are one class, so exact copies meet in an aggregation that is combined before the
    shuffle. Classes, not documents, are joined.
 2. A first round merges what is clearly alike: min-hash bands name groups of classes, each member is compared
-   with its group's first member and one neighbour only, and links that hold form components.
+   with the first member of its group and of the smaller groups that it shares two bands with, and links that hold form components.
 3. A second round makes the join exact. Two sets of similarity 0.75 share an element among the rarest quarter
    of each (prefix filter), so classes are tiled by prefix element and size band. Elements that repeat most
    often come last in the order that picks the prefixes, which keeps the tiles small. Only pairs of
@@ -12,13 +12,15 @@ or more is linked, and each document gets the smallest ``doc_id`` that it reache
    early enough in both for their two sizes.
 
 A comparison first bounds the overlap from above by the bit counts of hashed bitmap signatures, and only pairs
-that can still reach the threshold have their sorted hash arrays intersected. Sets hold 64-bit hashes of
+that can still reach the threshold have their sorted hash arrays intersected. The arrays are written once for
+each class that is compared, and texts are never joined. Sets hold 64-bit hashes of
 shingles; that two different shingles or sets share a hash is left out of account (odds below 1e-8 at a
 billion sets).
 
 Words are runs of anything but ASCII white space; a text of one to four words is one shingle of its own length; a text without words, or
 null, has an empty set and is linked with nothing. A row with a null ``doc_id`` gets its set size and a null
-component, and links nothing. Rows that repeat a ``doc_id`` each keep their row.
+component, and links nothing. Rows that repeat a ``doc_id`` each keep their row. Texts of any length are read whole; an empty
+table gives an empty result; of other columns only ``deduplicated`` hands any on, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm._shared import components, only_members, stored, texts
+from docketry.llm._shared import components, discarded, members, salted, stored, texts
 from docketry.llm._words import SPACED, Words, joined, mix, sliced
 
 SHINGLE = 5
@@ -38,6 +40,8 @@ BANDS, ROWS = 6, 3
 #: So many shingles at most, those that repeat most often, go to the end of the prefix order (8 bytes each).
 MOST_COMMON = 1 << 19
 WINDOW_SIZE = 1 << 20
+#: Sets that a task remembers to have sent on.
+MOST_SEEN = 1 << 17
 SEEDS = np.random.default_rng(23).integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
 
 
@@ -98,19 +102,24 @@ def described(docs: DataFrame) -> DataFrame:
 
 def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
     """``(key, set_id, size)``: the elements of each set of which a set of similarity 0.75 must hold one; ``size`` holds
-    the set's size (upper 32 bits) and the element's rank in the prefix, from 0."""
+    the set's size (upper 32 bits) and the element's rank in the prefix, from 0. Of equal sets each task sends one on
+    (forgetting after ``MOST_SEEN`` sets), so a text with very many copies gives a key one row a task."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
     out = pa.schema([("key", pa.int64()), ("set_id", pa.int64()), ("size", pa.int64())])
 
     def run(batches):
         last = sent.value
         cache: dict = {}
+        seen: set = set()
         for part in sliced(batches):
             keys, prints, sizes = [], [], []
             for found in shingle_sets(part, cache):
                 n = len(found)
-                if not n:
+                if not n or (name := fingerprint(found)) in seen:
                     continue
+                if len(seen) >= MOST_SEEN:
+                    seen.clear()
+                seen.add(name)
                 take = n - -(-PERCENT * n // 100) + 1
                 if len(last):
                     at = np.minimum(np.searchsorted(last, found), len(last) - 1)
@@ -119,7 +128,7 @@ def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 else:
                     found_in_order = found
                 keys.append(found_in_order[:take])
-                prints.append(np.full(take, fingerprint(found), np.int64))
+                prints.append(np.full(take, name, np.int64))
                 sizes.append((n << 32) + np.arange(take, dtype=np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(prints)), pa.array(np.concatenate(sizes))], schema=out)
@@ -148,30 +157,39 @@ def overlap_bound(n: int, a: np.ndarray, m: int, b: np.ndarray) -> int:
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, name: str, whole: bool) -> DataFrame:
-    """``(set_id, n, map, text)`` of one document of each class in ``(x, y)`` pairs; the text is null unless ``whole``."""
+    """``(set_id, doc_id, n, map, elements)`` of each class in ``(x, y)`` pairs, and of a few other documents: size, signature
+    and, where ``whole``, sorted hashes of its smallest document."""
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("set_id")).distinct()
-    one = classes.join(wanted, "set_id", "left_semi").select("doc_id")
-    out = pa.schema([("set_id", pa.int64()), ("n", pa.int32()), ("map", pa.binary()), ("text", pa.string())])
+    may_be = members(classes.join(wanted, "set_id", "left_semi"), "doc_id")
+    out = pa.schema([("set_id", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("map", pa.binary()), ("elements", pa.binary())])
 
     def run(batches):
         cache: dict = {}
-        seen: set = set()
-        for part in sliced(batches):
-            rows, first = [], []
-            for i, x in enumerate(shingle_sets(part, cache)):
-                if len(x) and (key := fingerprint(x)) not in seen:
-                    seen.add(key)
-                    rows.append((key, len(x), signature(x).tobytes()))
-                    first.append(i)
-            texts_ = part.column("text").take(pa.array(first, pa.int64())) if whole else pa.nulls(len(first), pa.string())
-            yield pa.RecordBatch.from_arrays([*[pa.array([r[k] for r in rows], out.field(k).type) for k in range(3)], texts_], schema=out)
+        for batch in batches:
+            for part in sliced([batch.filter(pa.array(may_be(batch.column("doc_id"))))]):
+                ids = part.column("doc_id").to_pylist()
+                rows = [(fingerprint(x), ids[i], len(x), signature(x).tobytes(), x.tobytes() if whole else None) for i, x in enumerate(shingle_sets(part, cache)) if len(x)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], out.field(k).type) for k in range(5)], schema=out)
+
+    return stored(docs.where("doc_id IS NOT NULL").mapInArrow(run, "set_id bigint, doc_id bigint, n int, map binary, elements binary"), name)
+
 
-    return stored(only_members(docs, one, "doc_id").mapInArrow(run, "set_id bigint, n int, map binary, text string"), name)
+def met(pairs: DataFrame, classes: DataFrame, held: DataFrame, *columns: str) -> DataFrame:
+    """Pairs ``(x, y)`` beside the columns of both. A class in very many pairs is split: its row is copied once for each
+    ``HOT_ROWS`` pairs, and no task gets all of them."""
+    total = pairs.count()
+    for c, other in (("x", "y"), ("y", "x")):
+        pairs = salted(pairs, c, other, total).withColumnRenamed("salt", f"{c}_salt")
+    out = pairs
+    for c in ("x", "y"):
+        side = held.select(F.col("set_id").alias(c), "doc_id", *[F.col(k).alias(f"{c}_{k}") for k in columns])
+        copies = pairs.select(c, f"{c}_salt").distinct().join(classes.select(F.col("set_id").alias(c), "doc_id"), c).join(side, [c, "doc_id"]).drop("doc_id")
+        out = out.join(copies, [c, f"{c}_salt"])
+    return out
 
 
-def within_bound(pairs: DataFrame, held: DataFrame) -> DataFrame:
+def within_bound(pairs: DataFrame, classes: DataFrame, held: DataFrame) -> DataFrame:
     """Those pairs ``(x, y)`` whose signatures leave room for the threshold."""
-    side = lambda c: held.select(F.col("set_id").alias(c), F.col("n").alias(f"{c}_n"), F.col("map").alias(f"{c}_map"))
     out = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
     def run(batches):
@@ -181,8 +199,7 @@ def within_bound(pairs: DataFrame, held: DataFrame) -> DataFrame:
             keep = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("x").take(keep), batch.column("y").take(keep)], schema=out)
 
-    met = pairs.join(side("x"), "x").join(side("y"), "y")
-    return met.select("x", "y", "x_n", "y_n", "x_map", "y_map").mapInArrow(run, "x bigint, y bigint")
+    return met(pairs, classes, held, "n", "map").select("x", "y", "x_n", "y_n", "x_map", "y_map").mapInArrow(run, "x bigint, y bigint")
 
 
 def needed(n: int, m: int) -> int:
@@ -190,31 +207,34 @@ def needed(n: int, m: int) -> int:
     return -(-PERCENT * (n + m) // (100 + PERCENT))
 
 
-def links(pairs: DataFrame, held: DataFrame, name: str) -> DataFrame:
-    """Those pairs of classes ``(x, y)`` that reach the threshold; ``held`` has the classes' texts."""
-    side = lambda c: held.select(F.col("set_id").alias(c), F.col("text").alias(f"{c}_text"))
-    out = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+def shared_elements(a: np.ndarray, b: np.ndarray) -> int:
+    """Elements that two sorted arrays share: each of the shorter one is looked up in the longer."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int(np.count_nonzero(b[at] == a))
+
 
-    def sets(column: pa.Array, cache: dict):
-        return [(x, signature(x)) for x in shingle_sets(pa.RecordBatch.from_arrays([column], names=["text"]), cache)]
+def links(pairs: DataFrame, classes: DataFrame, held: DataFrame, name: str) -> DataFrame:
+    """Those pairs of classes ``(x, y)`` that reach the threshold; ``held`` has the classes' signatures and elements."""
+    out = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
     def run(batches):
-        cache: dict = {}
-        y_id, y_set, y_map = None, None, None
-        for part in sliced(batches, "x_text"):
+        for batch in batches:
             keep = []
-            ys = part.column("y").to_pylist()
-            for i, (x, x_map) in enumerate(sets(part.column("x_text"), cache)):
-                if y_id != ys[i]:
-                    y_id, (y_set, y_map) = ys[i], sets(part.column("y_text").slice(i, 1), cache)[0]
-                need = needed(len(x), len(y_set))
-                if overlap_bound(len(x), x_map, len(y_set), y_map) >= need and len(np.intersect1d(x, y_set, assume_unique=True)) >= need:
+            a, b, x_map, y_map = (batch.column(c) for c in ("x_elements", "y_elements", "x_map", "y_map"))
+            for i in range(batch.num_rows):
+                x, y = np.frombuffer(a[i].as_buffer(), np.uint64), np.frombuffer(b[i].as_buffer(), np.uint64)
+                need = needed(len(x), len(y))
+                bound = overlap_bound(len(x), np.frombuffer(x_map[i].as_buffer(), np.uint8), len(y), np.frombuffer(y_map[i].as_buffer(), np.uint8))
+                if bound >= need and shared_elements(x, y) >= need:
                     keep.append(i)
             keep = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("x").take(keep), part.column("y").take(keep)], schema=out)
+            yield pa.RecordBatch.from_arrays([batch.column("x").take(keep), batch.column("y").take(keep)], schema=out)
 
-    met = pairs.join(side("x"), "x").join(side("y"), "y")
-    return stored(met.select("x", "y", "x_text", "y_text").mapInArrow(run, "x bigint, y bigint").distinct(), name)
+    both = met(pairs, classes, held, "map", "elements")
+    return stored(both.select("x", "y", "x_elements", "y_elements", "x_map", "y_map").mapInArrow(run, "x bigint, y bigint").distinct(), name)
 
 
 def fits(a: str, b: str):
@@ -249,14 +269,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # only classes that share a prefix element with another one can have a link
     able = stored(classes.join(shared.select("set_id").distinct(), "set_id", "left_semi"), "able")
 
-    # each member of a band meets the band's first member, and the one before it in the order of another band
-    banded = able.select("set_id", "doc_id", "n", "bands", F.posexplode("bands").alias("i", "band")).withColumn("other", F.element_at("bands", (F.col("i") + 1) % BANDS + 1))
-    first = F.min(F.struct("doc_id", "set_id", "n")).over(Window.partitionBy("band"))
-    before = F.lag(F.struct("doc_id", "set_id", "n")).over(Window.partitionBy("band").orderBy("other", "doc_id", "set_id"))
-    met = banded.withColumn("first", first).withColumn("before", before).select("set_id", "n", F.explode(F.array_distinct(F.array("first", "before"))).alias("r"))
-    star = met.where("r.set_id <> set_id").where(fits(F.col("n"), F.col("r.n"))).select(F.greatest("set_id", "r.set_id").alias("x"), F.least("set_id", "r.set_id").alias("y")).distinct()
+    # each member of a band meets the band's first member, and the first of those that share another band with it too
+    banded = able.select("set_id", "doc_id", "n", "bands", F.posexplode("bands").alias("i", "band"))
+    other = lambda step: F.element_at("bands", ((F.col("i") + step) % BANDS + 1).cast("int"))
+    groups = F.array(F.col("band"), F.xxhash64("band", other(1)), F.xxhash64("band", other(2)))
+    banded = banded.select("set_id", "doc_id", "n", F.explode(groups).alias("band"))
+    first = banded.groupBy("band").agg(F.min(F.struct("doc_id", "set_id", "n")).alias("r"), F.count("*").alias("members")).where("members > 1").drop("members")
+    star = banded.join(first, "band").where("r.set_id <> set_id").where(fits(F.col("n"), F.col("r.n"))).select(F.greatest("set_id", "r.set_id").alias("x"), F.least("set_id", "r.set_id").alias("y")).distinct()
     star = stored(star, "star")
-    near = links(star, sets_of(docs, classes, star, "star-texts", True), "near")
+    sets = sets_of(docs, classes, star, "star-sets", True)
+    near = links(star, classes, sets, "near")
+    discarded(sets, star)
     merged = components(near.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "set_id")
     part_of = able.join(merged, "set_id", "left").select("set_id", F.coalesce("component", "set_id").alias("part"))
 
@@ -269,8 +292,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     early = (F.col("rx") <= F.col("nx") - need) & (F.col("ry") <= F.col("ny") - need)
     pairs = left.join(right, ["key", "tile"]).where("px <> py AND (nx < ny OR nx = ny AND x < y)").where(fits("nx", "ny") & early).select("x", "y").distinct()
     pairs = stored(pairs, "pairs")
-    pairs = stored(within_bound(pairs, sets_of(docs, classes, pairs, "maps", False)).distinct(), "bounded")
-    every = near.unionByName(links(pairs, sets_of(docs, classes, pairs, "texts", True), "rest"))
+    pairs = stored(within_bound(pairs, classes, sets_of(docs, classes, pairs, "maps", False)).distinct(), "bounded")
+    sets = sets_of(docs, classes, pairs, "sets", True)
+    every = near.unionByName(links(pairs, classes, sets, "rest"))
+    discarded(sets, shared, tiles, held)
     ids = classes.select("set_id", "doc_id")
     named = every.join(ids.select(F.col("set_id").alias("x"), F.col("doc_id").alias("a")), "x").join(ids.select(F.col("set_id").alias("y"), F.col("doc_id").alias("b")), "y").select("a", "b")
     reached = components(named).withColumnRenamed("node", "doc_id")
