@@ -8,11 +8,12 @@ The vocabulary is a trie over bytes with failure links. Where no edge goes on, t
 settled some pieces: their number is stored with the failure link, so a word is read once from left to
 right and its piece count is a sum of stored numbers. No piece is ever built.
 
-The automaton runs over the distinct words of a slice of texts at once, one byte of every word a step.
+The automaton runs over the distinct words of a slice of texts at once, one byte of every word a step; the few words of
+more than ``LONG`` bytes are run one by one.
 Words are runs of anything but ASCII white space, so punctuation is spelled with the word it touches.
 
-Null and empty texts have no words and no tokens. Rows with null or repeated ids each keep their row;
-no other column is read. A text of any length is counted whole.
+Null and empty texts have no words and no tokens. Rows with null or repeated ids, and repeated rows, each keep their row;
+no other column is read, whatever its name. A text, and a word, of any length is counted whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from docketry.llm._words import SPACED, Words, sliced
 
 SENTENCEPIECE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+#: Bytes of a word that is run on its own, as so few words are left at that step that they gain nothing from each other.
+LONG = 256
 
 
 def pieces_of(path: str = SENTENCEPIECE) -> tuple[list[bytes], list[bytes]]:
@@ -96,18 +99,51 @@ class Automaton:
         to = np.array(list(edges.values()), np.int64)
         by = np.argsort(keys)
         self.keys, self.to = keys[by], to[by]
+        self.edges: dict | None = None
 
     def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
         want = state * 256 + byte
         at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
         return np.where(self.keys[at] == want, self.to[at], -1)
 
+    def one(self, word: bytes) -> tuple[int, bool]:
+        """``(tokens, whether known)`` of a single word."""
+        if self.edges is None:
+            self.edges = dict(zip(self.keys.tolist(), self.to.tolist()))
+        edges, fail, pops = self.edges, self.fail, self.pops
+        state = count = 0
+        for byte in word:
+            to = edges.get(state * 256 + byte)
+            while to is None:
+                back = int(fail[state])
+                if back < 0:
+                    return 1, False
+                count += int(pops[state])
+                state = back
+                to = edges.get(state * 256 + byte)
+            state = to
+        while state > 1:
+            back = int(fail[state])
+            if back < 0:
+                return 1, False
+            count += int(pops[state])
+            state = back
+        return count, True
+
     def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(tokens, whether unknown)`` of the words ``data[starts[i] : ends[i]]``."""
         n = len(starts)
         count, known = np.zeros(n, np.int64), np.ones(n, bool)
         if not len(self.keys):
             return np.ones(n, np.int64), known
+        long_ = np.flatnonzero(ends - starts > LONG)
+        if len(long_):
+            short = np.flatnonzero(ends - starts <= LONG)
+            count[short], lost = self.counts(data, starts[short], ends[short])
+            known[short] = ~lost
+            for i in long_.tolist():
+                count[i], known[i] = self.one(data[starts[i] : ends[i]].tobytes())
+            return np.where(known, count, 1), ~known
         state = np.zeros(n, np.int64)
         size = ends - starts
         by = np.argsort(-size, kind="stable")

@@ -129,6 +129,27 @@ def test_passages_that_the_smallest_document_holds_in_part(spark):
     assert all(got[k + 3].class_id in (k + 1, k + 2) for k in range(0, 400, 10))
 
 
+def test_near_passages_against_brute_force(spark):
+    """Passages of 60 to 90 words that stand in two documents with words exchanged, put in and left out: of the pairs with near windows
+    at least nine in ten are found, and of the others none."""
+    rng = random.Random(17)
+    said, near = [], set()
+    shingles = lambda w, i: {tuple(w[k : k + 5]) for k in range(i, i + 46)}
+    for k in range(0, 600, 2):
+        passage = prose(rng, rng.randrange(60, 90), 9000).split()
+        other = list(passage)
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(len(other))
+            other[at : at + rng.randrange(2)] = [f"e{rng.randrange(10**6)}"] * rng.randrange(2)
+        x, y = prose(rng, 15, 9000).split() + passage + prose(rng, 15, 9000).split(), prose(rng, 9, 9000).split() + other + prose(rng, 20, 9000).split()
+        said += [(k, " ".join(x)), (k + 1, " ".join(y))]
+        ours, theirs = ([shingles(w, i) for i in range(len(w) - 49)] for w in (x, y))
+        if any(4 * len(a & b) >= 3 * len(a | b) for a in ours for b in theirs):
+            near.add(k)
+    got = {r.doc_id - r.doc_id % 2 for r in passages.repeats(docs(spark, said)).collect()}
+    assert got <= near and len(got) >= 0.9 * len(near) and len(near) > 150, (len(got), len(near))
+
+
 def test_decontamination(spark, rows):
     moved = rows[5][1].split()[:14]
     moved[3:5] = [moved[4], moved[3]]
@@ -214,6 +235,38 @@ def test_tokens_of_words_that_only_the_bare_mark_begins():
     got = tokens.Automaton(first, more).counts(np.frombuffer(b"".join(data), np.uint8), ends - [len(w) for w in data], ends)
     assert list(zip(got[0].tolist(), got[1].tolist())) == [brute(w) for w in data]
     assert got[0][0] > 1 and not got[1][0]
+    # words of all lengths around the one from which they are run on their own, and one of 400 KB in no time
+    long_ = ["".join(rng.choice("abcdefghij0123日本") for _ in range(n)) for n in (80, 200, 255, 256, 257, 300, 5000)] + ["a" * 256, "a" * 257, "a" * 400 + "\u2603"]
+    data = [w.encode() for w in long_]
+    ends = np.cumsum([len(w) for w in data])
+    machine = tokens.Automaton(first, more)
+    got = machine.counts(np.frombuffer(b"".join(data), np.uint8), ends - [len(w) for w in data], ends)
+    assert list(zip(got[0].tolist(), got[1].tolist())) == [brute(w) for w in data]
+    import time
+
+    began = time.time()
+    machine.counts(np.frombuffer(b"QmFzZTY0" * 50000, np.uint8), np.array([0]), np.array([400000]))
+    assert time.time() - began < 5
+
+
+def test_tokens_of_prose_with_the_whole_vocabulary(spark, rows):
+    first, more = map(set, tokens.pieces_of())
+
+    def brute(word):
+        n, voc = 0, first
+        while word or voc is first:
+            size = next((k for k in range(min(len(word), 64), -1, -1) if word[:k] in voc and (k or voc is first)), None)
+            if size is None:
+                return 1, 1
+            word, n, voc = word[size:], n + 1, more
+        return n, 0
+
+    said = rows + [(900, "The quick brown fox, naïve déjà-vu; 3.14159 Straße 漢字かな x\u2603y " * 3)]
+    want = collections.Counter()
+    for d, t in said:
+        c = [brute(w.encode()) for w in re.findall(SPACED, t or "")]
+        want[(d, len(c), sum(n for n, _ in c), sum(u for _, u in c))] += 1
+    assert collections.Counter(tuple(r) for r in tokens.counted(docs(spark, said)).collect()) == want
 
 
 def test_licenses(spark):
@@ -451,29 +504,54 @@ def test_pii(spark):
     assert masked[2, True] is None and masked[4, False] == rows[3][1]
 
 
-def test_skip_edges_carry_a_label():
-    """An address cut short has its label from a like mention elsewhere."""
-    import numpy as np
-
-    weights = {"token": np.zeros((len(pii.FEATURES), 5)), "transition": np.zeros((5, 5))}
-    weights["token"][pii.FEATURES.index("ruled0"), 1] = 6.0
-    text = "write ab@cd.ef now and then (ab@cd.ef) again, 12 times"
-    places, x, _, words = pii.tokens(text, [(0, 6, 14)])
-    best, _ = pii.labelled(places, x, words, weights)
-    assert best.tolist() == [1, 1, 0]
+def personal(rng):
+    """A text with mentions of all kinds and numbers that are none."""
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    name = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+    card = next(c for c in iter(lambda: "4" + digits(15), None) if pii.luhn(c))
+    made = [f"{name()}.{name()}@{name()}.org", ".".join(str(rng.randrange(256)) for _ in range(4)), " ".join(card[i : i + 4] for i in range(0, 16, 4)), f"+{rng.randrange(1, 99)} {digits(3)} {digits(3)} {digits(4)}"]
+    made += [digits(4), digits(10), f"{digits(3)}-{digits(2)}", f"{digits(2)}.{digits(2)}"]
+    return " ".join(f"{prose(rng, rng.randrange(3, 9)).replace('w', 'wo').translate(str.maketrans('0123456789', 'abcdefghij'))} {m}" for m in rng.sample(made, rng.randrange(2, 7)))
 
 
-def test_labels_reach_every_mention_and_one_cut_short():
-    import numpy as np
-
-    weights = {"token": np.zeros((len(pii.FEATURES), 5)), "transition": np.zeros((5, 5))}
-    weights["token"][pii.FEATURES.index("ruled0"), 1] = 6.0
-    text = "mail jo@x.org " + "and then jo@x.org " * 29 + "or jo@x here, or 55-123-45 and 5512345, 12 times"
-    places, x, _, words = pii.tokens(text, [(0, 5, 13)])
-    best, sure = pii.labelled(places, x, words, weights)
-    assert best.tolist() == [1] * 31 + [0, 0, 0] and sure[:30].min() > pii.MARGIN - 1e-4
-    x[31, pii.FEATURES.index("ruled0")] = 1
-    assert pii.labelled(places, x, words, weights)[0].tolist() == [1] * 33 + [0]
+@pytest.fixture(scope="module")
+def pii_weights(spark):
+    rng = random.Random(21)
+    return pii.fitted(spark.createDataFrame([(i, personal(rng)) for i in range(500)], "doc_id long, text string"))
+
+
+def test_pii_field_finds_what_the_rules_miss(pii_weights):
+    """Mentions cut, or written in another way, that the fit has not seen: most are found, and little else is."""
+    rng, right, missed, wrong = random.Random(22), 0, 0, 0
+    for _ in range(400):
+        text, planted = pii.learned_from(personal(rng), rng)
+        base, every = pii.spans_of(text, pii_weights)
+        new = [s for s in every if s not in base]
+        hit = lambda x, y: x[0] == y[0] and x[1] < y[2] and y[1] < x[2]
+        hard = [p for p in planted if not any(p[1] < e and s < p[2] for _, s, e in base)]
+        found = [any(hit(p, s) for s in new) for p in hard]
+        right, missed = right + sum(found), missed + found.count(False)
+        wrong += sum(not any(hit(p, s) for p in hard) for s in new)
+    assert right / (right + missed) > 0.85 and right / (right + wrong) > 0.95, (right, missed, wrong)
+    # without links the same mentions are nothing
+    alone = dict(pii_weights, skip=pii_weights["skip"] * 0)
+    assert pii.spans_of("write jo.smith@example.org now, as jo.smith@example is cut", alone)[1] == [(0, 6, 26)]
+
+
+def test_pii_field_on_single_texts(pii_weights):
+    new = lambda text: [(pii.KINDS[k], text[a:b]) for k, a, b in pii.spans_of(text, pii_weights)[1] if (k, a, b) not in pii.ruled(text)]
+    assert new("mail jo.smith@example.org today, since jo.smith@example is cut") == [("email", "jo.smith@example")]
+    assert new("call +90 312 555 1234 or 312 555 1234 before 2024") == [("phone", "312 555 1234")]
+    assert new("no mention of 312 555 1234 elsewhere, or of 42") == [] and new("only jo.smith@example stands here") == []
+    # every mention has it, however far from the evidence
+    text = "pay by 4111 1111 1111 1111 " + "and then some words and 4111.1111.1111.1111 again " * 30
+    assert new(text) == [("card", "4111.1111.1111.1111")] * 30
+
+
+def test_links_grow_with_the_text(spark):
+    words = ["12345678"] * 500 + ["1234567"] * 500 + ["jo@x.org", "jo@x"] * 300
+    edges, nodes = pii.linked(words)
+    assert len(edges) <= 2 * len(words) and nodes <= 2 * len(words)
 
 
 def test_quality(spark):
