@@ -68,9 +68,14 @@ def tr_normalize(c) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(tr_plain(c), "[^a-z0-9 ]", " "), " +", " "))
 
 
+def term_text(c) -> Column:
+    """A text as words of a-z and digits with single spaces between them."""
+    return F.regexp_replace(tr_plain(c), "[^a-z0-9]+", " ")
+
+
 def tokenize(c) -> Column:
     """Terms of the sparse index, in order."""
-    words = F.split(F.regexp_replace(tr_plain(c), "[^a-z0-9]+", " "), " ")
+    words = F.split(term_text(c), " ")
     return F.filter(words, lambda t: (F.length(t) >= 2) & ~F.array_contains(strings(*STOPWORDS), t))
 
 
@@ -202,13 +207,22 @@ def same_service_strict(a, b) -> Column:
     return tr_normalize(a) == tr_normalize(b)
 
 
+def long_words(name) -> Column:
+    """Words of more than three letters of a normalised name."""
+    return F.array_distinct(F.filter(F.split(name, " "), lambda w: F.length(w) > 3))
+
+
+def like_names(x, y, x_long, y_long) -> Column:
+    """Normalised names that are equal, one within the other, or have enough long words in common."""
+    fewer = F.least(F.size(x_long), F.size(y_long))
+    words = (fewer > 0) & (F.size(F.array_intersect(x_long, y_long)) >= fewer * 0.6)
+    return F.coalesce((x != "") & (y != "") & ((x == y) | F.contains(x, y) | F.contains(y, x) | words), F.lit(False))
+
+
 def same_service(a, b) -> Column:
     """Equal, one within the other, or enough long words in common."""
     x, y = tr_normalize(a), tr_normalize(b)
-    long = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) > 3))
-    fewer = F.least(F.size(long(x)), F.size(long(y)))
-    words = (fewer > 0) & (F.size(F.array_intersect(long(x), long(y))) >= fewer * 0.6)
-    return F.coalesce((x != "") & (y != "") & ((x == y) | F.contains(x, y) | F.contains(y, x) | words), F.lit(False))
+    return like_names(x, y, long_words(x), long_words(y))
 
 
 def is_entry_point(c) -> Column:

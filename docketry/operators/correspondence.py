@@ -68,17 +68,19 @@ def letters_by_document(letters: DataFrame) -> DataFrame:
     return letters.withColumn("place", F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("created_at"), F.desc("id"))))
 
 
-def assign_letter_numbers(letters: DataFrame, start: int = 1, partitions: int | None = None) -> DataFrame:
+def assign_letter_numbers(letters: DataFrame, start: int = 1, unit: str = "day") -> DataFrame:
     """Consecutive ``letter_no`` for saved letters in order of creation; previews get none.
 
-    Ranges of the order are counted and then numbered side by side: no task sees all letters.
+    Letters are counted by the ``unit`` of time they were made in, which is a value of theirs, and numbered within it: no task
+    sees all letters, and the counts belong to the rows however often either is computed.
     """
-    saved = letters.where("saved").repartitionByRange(*([partitions] if partitions else []), "created_at", "id").withColumn("part", F.spark_partition_id())
+    made = F.coalesce(F.date_trunc(unit, "created_at"), F.lit("0001-01-01").cast("timestamp"))
+    saved = letters.where("saved").withColumn("part", made)
     local = saved.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy("created_at", "id")))
-    sizes = saved.groupBy("part").agg(F.count("*").alias("n"), F.min(F.struct("created_at", "id")).alias("first"))
-    # one row a range: their running sum is small, whatever the number of letters
-    offsets = sizes.withColumn("before", F.sum("n").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1))).select("part", F.coalesce("before", F.lit(0)).alias("before"))
-    numbered = local.join(F.broadcast(offsets), "part").withColumn("letter_no", (F.col("before") + F.col("nth") + start - 1).cast("bigint")).drop("part", "nth", "before")
+    # one row a unit of time: their running sum is small, whatever the number of letters
+    sizes = saved.groupBy("part").agg(F.count("*").alias("n"))
+    offsets = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    numbered = local.join(offsets, "part").withColumn("letter_no", (F.col("before") + F.col("nth") + start - 1).cast("bigint")).drop("part", "nth", "before")
     return numbered.unionByName(letters.where("NOT coalesce(saved, false)").withColumn("letter_no", F.lit(None).cast("bigint")))
 
 

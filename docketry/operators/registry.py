@@ -130,11 +130,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def routing_inconsistencies(docs: DataFrame) -> DataFrame:
-    """Keys with several services, and the files of those keys only."""
+    """Keys with several services, and the files (``filename, service``; no service where none was found) of those keys only."""
     rows = _keyed(docs)
     bad = rows.groupBy("routing_key").agg(F.sort_array(F.collect_set("named")).alias("services")).where("size(services) > 1")
-    files = rows.join(bad.select("routing_key"), "routing_key", "left_semi").groupBy("routing_key").agg(F.sort_array(F.collect_list(F.struct("filename", "named"))).alias("files"))
-    return bad.join(files, "routing_key").select("routing_key", "services", F.transform("files", lambda f: F.concat_ws("=", f["filename"], f["named"])).alias("files"))
+    files = rows.join(bad.select("routing_key"), "routing_key", "left_semi").groupBy("routing_key").agg(F.sort_array(F.collect_list(F.struct("filename", F.col("routed_service").alias("service")))).alias("files"))
+    return bad.join(files, "routing_key").select("routing_key", "services", "files")
 
 
 def routing_key_report(docs: DataFrame) -> DataFrame:

@@ -72,9 +72,11 @@ def reconcile_units(decisions: DataFrame, hits: DataFrame) -> DataFrame:
     named = F.exists(F.coalesce("services", X.strings()), lambda s: X.same_service_strict(s, F.col("service")))
     rows = rows.withColumn("service", F.when(F.col("active") & ~named & (F.size("services") == 1), F.get("services", F.lit(0))).otherwise(F.col("service"))).drop("services")
     rows = undetermined(rows, F.col("active") & X.is_entry_point(F.col("service")), F.concat("service", F.lit(" evrakin giris noktasidir (kayit ve sevk gorevi), yonlendirme hedefi degildir; evrakin ait oldugu asil servis yonetmelikte bulunamadi.")))
-    asked = rows.where("active AND service IS NOT NULL").select("decision_id", F.col("service").alias("asked"))
-    owners = hits.where("service IS NOT NULL").select("decision_id", "rank", F.col("service").alias("h_service"), F.col("unit").alias("h_unit"), F.col("sub_unit").alias("h_sub"))
-    strict, like = X.same_service_strict(F.col("h_service"), F.col("asked")), X.same_service(F.col("h_service"), F.col("asked"))
+    # names are normalised once, before the join
+    named_ = lambda df, c: df.withColumn("name", X.tr_normalize(F.col(c))).withColumn("long", X.long_words(F.col("name")))
+    asked = named_(rows.where("active AND service IS NOT NULL").select("decision_id", "service"), "service").select("decision_id", F.col("name").alias("a_name"), F.col("long").alias("a_long"))
+    owners = named_(hits.where("service IS NOT NULL").select("decision_id", "rank", F.col("service").alias("h_service"), F.col("unit").alias("h_unit"), F.col("sub_unit").alias("h_sub")), "h_service")
+    strict, like = F.col("name") == F.col("a_name"), X.like_names(F.col("name"), F.col("a_name"), F.col("long"), F.col("a_long"))
     best = asked.join(owners, "decision_id").where(strict | like).groupBy("decision_id").agg(F.min_by(F.struct("h_service", "h_unit", "h_sub"), F.struct(F.when(strict, 0).otherwise(1), F.col("rank"))).alias("hit"))
     rows = rows.join(best, "decision_id", "left")
     hit_entry = F.col("hit").isNotNull() & X.is_entry_point(F.col("hit.h_service"))

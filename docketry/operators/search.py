@@ -6,10 +6,12 @@ smaller chunk id, so results do not depend on partitioning.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,16 +29,40 @@ def ranked(df: DataFrame, by: list, keys: list[str] = ["query_id"], name: str =
 
 
 def sparse_postings(chunks: DataFrame, k1: float = K1, b: float = B, average: float = AVERAGE) -> DataFrame:
-    """``chunk_id, term, term_id, weight``: term weights within a text, counted within the row (nothing is shuffled)."""
-    rows = chunks.select(F.col("id").alias("chunk_id"), X.tokenize("text").alias("tokens"))
-    # sorted terms lie in runs; a run's length is its count
-    rows = rows.withColumn("sorted", F.array_sort("tokens")).withColumn("n", F.size("tokens"))
-    starts = F.filter(F.sequence(F.lit(1), F.col("n")), lambda i: (i == 1) | (F.element_at("sorted", i) != F.element_at("sorted", F.greatest(i - 1, F.lit(1)))))
-    rows = rows.where("n > 0").withColumn("starts", starts)
-    counted = F.transform("starts", lambda s, i: F.struct(F.element_at("sorted", s).alias("term"), (F.coalesce(F.get("starts", i + 1), F.col("n") + 1) - s).alias("tf")))
-    norm = k1 * (1 - b + b * F.col("n") / average)
-    posts = rows.select("chunk_id", norm.alias("norm"), F.explode(counted).alias("p"))
-    return posts.select("chunk_id", F.col("p.term").alias("term"), X.term_id(F.col("p.term")).alias("term_id"), (F.col("p.tf") * (k1 + 1) / (F.col("p.tf") + F.col("norm"))).alias("weight"))
+    """``chunk_id, term, term_id, weight``: term weights within a text, counted within the row (nothing is shuffled).
+
+    Texts are folded by Spark; their terms are counted in one pass over Arrow batches, in which a term is hashed once.
+    """
+    stop, most = frozenset(X.STOPWORDS), 1 << 20
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[str, int] = {}
+
+        def name(term: str) -> int:
+            h = names.get(term)
+            if h is None:
+                if len(names) >= most:
+                    names.clear()
+                h = 2166136261
+                for c in term.encode():
+                    h = ((h ^ c) * 16777619) & 4294967295
+                names[term] = h
+            return h
+
+        for batch in batches:
+            at, terms, ids, weights = [], [], [], []
+            for i, text in enumerate(batch.column("words").to_pylist()):
+                words = [w for w in (text or "").split(" ") if len(w) >= 2 and w not in stop]
+                norm = k1 * (1 - b + b * len(words) / average)
+                for term, tf in Counter(words).items():
+                    at.append(i)
+                    terms.append(term)
+                    ids.append(name(term))
+                    weights.append(tf * (k1 + 1) / (tf + norm))
+            yield pa.RecordBatch.from_arrays([batch.column("chunk_id").take(pa.array(at, pa.int64())), pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.array(weights, pa.float64())], names=["chunk_id", "term", "term_id", "weight"])
+
+    rows = chunks.select(F.col("id").alias("chunk_id"), X.term_text("text").alias("words"))
+    return rows.mapInArrow(run, f"chunk_id {rows.schema['chunk_id'].dataType.simpleString()}, term string, term_id bigint, weight double")
 
 
 def term_idf(postings: DataFrame, points: DataFrame) -> DataFrame:
@@ -46,11 +72,16 @@ def term_idf(postings: DataFrame, points: DataFrame) -> DataFrame:
     return seen.crossJoin(F.broadcast(n)).select("term_id", "df", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
 
 
-def sparse_search(queries: DataFrame, postings: DataFrame, idf: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """Top k of the dot product of query weight, idf and text weight, for ``id, text`` queries."""
+def sparse_scores(queries: DataFrame, postings: DataFrame, idf: DataFrame) -> DataFrame:
+    """``query_id, chunk_id, score`` of all that share a term: the dot product of query weight, idf and text weight."""
     asked = sparse_postings(queries).select(F.col("chunk_id").alias("query_id"), "term_id", F.col("weight").alias("q")).join(idf, "term_id")
-    scored = asked.join(postings.select("term_id", "chunk_id", "weight"), "term_id").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("q") * F.col("idf") * F.col("weight")), 6).alias("score"))
-    return ranked(scored, [F.desc("score"), F.col("chunk_id")]).where(F.col("rank") <= k)
+    met = asked.join(postings.select("term_id", "chunk_id", "weight"), "term_id")
+    return met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("q") * F.col("idf") * F.col("weight")), 6).alias("score"))
+
+
+def sparse_search(queries: DataFrame, postings: DataFrame, idf: DataFrame, k: int = CANDIDATES) -> DataFrame:
+    """Top k of ``sparse_scores`` for ``id, text`` queries."""
+    return ranked(sparse_scores(queries, postings, idf), [F.desc("score"), F.col("chunk_id")]).where(F.col("rank") <= k)
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, block: int = QUERY_BLOCK) -> DataFrame:
@@ -71,10 +102,17 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, bl
                 if not len(pdf):
                     continue
                 v = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-                score = np.round(q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).T, 6)
-                ids = pdf["id"].to_numpy()
-                best = np.lexsort((np.broadcast_to(ids, score.shape), -score))[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(q_names, best.shape[1]), "chunk_id": ids[best].ravel(), "score": np.take_along_axis(score, best, 1).ravel()})
+                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+                by = np.argsort(pdf["id"].to_numpy(), kind="stable")
+                ids, v = pdf["id"].to_numpy()[by], v[by]
+                for a in range(0, len(q), 64):
+                    score = np.round(q[a : a + 64] @ v.T, 6)
+                    # rows stand in the order of their ids, so of equal scores the first are the ones to keep
+                    least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k, None] if len(ids) > k else score.min(axis=1, keepdims=True)
+                    for i, (s, floor) in enumerate(zip(score, least)):
+                        best = np.flatnonzero(s >= floor)
+                        best = best[np.argsort(-s[best], kind="stable")[:k]]
+                        yield pd.DataFrame({"query_id": np.repeat(q_names[a + i : a + i + 1], len(best)), "chunk_id": ids[best], "score": s[best]})
 
         kind = vectors.schema["id"].dataType.simpleString()
         parts.append(vectors.where("embedding IS NOT NULL").select("id", "embedding").mapInPandas(local, f"query_id {queries.schema['id'].dataType.simpleString()}, chunk_id {kind}, score double"))
@@ -107,10 +145,12 @@ def rrf_fuse(legs: list[DataFrame], k: int = RRF_K, limit: int = CANDIDATES) ->
 
 
 def hybrid_search(queries: DataFrame, points: DataFrame, top: int = TOP, candidates: int = CANDIDATES, k: int = RRF_K, **filters) -> DataFrame:
-    """Both legs over the filtered points (``id, text, embedding``), fused; queries have ``id, text, embedding``."""
+    """Both legs over the filtered points (``id, text, embedding``), fused; queries have ``id, text, embedding``. Filters
+    choose the candidates; the statistics of terms are those of all points."""
     allowed = apply_filters(points, **filters)
-    postings = sparse_postings(allowed)
-    sparse = sparse_search(queries, postings, term_idf(postings, points), candidates)
+    postings = sparse_postings(points)
+    own = postings.join(allowed.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
+    sparse = sparse_search(queries, own, term_idf(postings, points), candidates)
     dense = dense_search(queries.where("embedding IS NOT NULL"), allowed, candidates)
     return rrf_fuse([sparse, dense], k, candidates).where(F.col("rank") <= top)
 

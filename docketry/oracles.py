@@ -221,7 +221,7 @@ SQL["t12_verify_findings"] = f"""WITH {DOCS}, f AS (SELECT id, text, n, unnest([
 g AS (SELECT *, [2, 0, 1][pos + 1] AS rank, CASE pos WHEN 0 THEN {words('text', 2, 3)} WHEN 1 THEN {words('text', 1, 2)} || ' … ' || {words('text', 4, 2)} ELSE CASE WHEN n % 2 = 0 THEN '' ELSE 'yok boyle' END END AS quote, {simple('substr(text, 1, 12000)')} AS body FROM f),
 h AS (SELECT *, list_filter(list_transform(regexp_split_to_array(quote, '…|\\.\\.\\.'), lambda p: {simple('p')}), lambda p: p <> '') AS parts FROM g)
 SELECT id, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY rank, pos) AS kept FROM h WHERE quote = '' OR (len(parts) > 0 AND len(list_filter(parts, lambda p: NOT contains(body, p))) = 0) GROUP BY id"""
-SQL["t13_routing_key"] = docs_sql(f"doc_type || '|' || corpus || '|' || trim(regexp_replace({low('substr(text, 1, 60)')}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS value")
+SQL["t13_routing_key"] = docs_sql(f"doc_type || '|' || corpus || '|' || trim(regexp_replace({low('text')}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS value")
 REC = f"CASE WHEN n % 2 = 0 THEN {words('text', 1, 2)} ELSE '' END"
 SQL["t14_routing_query"] = f"WITH {DOCS}, r AS (SELECT *, {REC} AS rec, {PHRASES}[n % 9 + 1] AS ph FROM docs) SELECT id, ph || CASE WHEN rec <> '' THEN ' ' || rec ELSE '' END AS query, 'Belge turu: ' || doc_type || chr(10) || 'Talep edilen islem: ' || ph || chr(10) || CASE WHEN rec <> '' THEN 'Alacak/vergi turu: ' || rec || chr(10) ELSE '' END || 'Ozet: ' || {words('text', 1, 3)} AS text FROM r"
 SQL["t15_parse_citation"] = f"""WITH {SERVICES}, {DECS}, p AS (SELECT decision_id, cited[1] AS a, list_filter(regexp_split_to_array(cited[1], '[-.\\s]+'), lambda x: x <> '') AS parts FROM decs), q AS (SELECT *, CASE WHEN regexp_full_match(parts[1], '[0-9]+') THEN parts[2:] ELSE parts END AS rest FROM p)
@@ -231,7 +231,7 @@ c AS (SELECT 'NATION_' || c_nationkey || ' Servisi' AS service FROM customer) SE
 SQL["t17_service_predicates"] = f"""WITH {FLOW}, s AS (SELECT id, routed_service || CASE n % 3 WHEN 0 THEN ' Arşiv Servisi' WHEN 1 THEN ' İhtilaflı  İşler' ELSE '' END AS s, n FROM flow)
 SELECT id, coalesce(contains({norm('s')}, 'arsiv'), false) AS entry_point, coalesce(contains({norm('s')}, 'ihtilafli isler'), false) AS dispute, n % 14 = 12 AS dependent FROM s"""
 SQL["t18_is_not_found"] = docs_sql(f"regexp_matches({plain(chr(40) + 'text || CASE WHEN n % 3 = 0 THEN ' + lit(' Bu BİLGİ dokümanlarda BULUNAMADI.') + ' ELSE ' + lit('') + ' END' + chr(41))}, {lit('|'.join(NOT_FOUND))}) AS value")
-_REPLY = "('Tutar ' || (n * 37) || ',00 TL, 2,5 ve ' || substr(text, 1, 200))"
+_REPLY = "('Tutar ' || (n * 37) || ',00 TL, 2,5 ve ' || text)"
 _SUPPORTED = "d = k OR (len(d) >= 3 AND starts_with(k, d)) OR (len(k) >= 3 AND starts_with(d, k))"
 SQL["t19_unsupported_numbers"] = f"""WITH {DOCS}, r AS (SELECT id, regexp_extract_all({_REPLY}, {lit(NUMBER)}) AS nums, text || ' ' || (n * 37) AS src FROM docs),
 k AS (SELECT id, nums, regexp_replace(src, '\\s+', ' ', 'g') AS flat, list_transform(regexp_extract_all(src, {lit(NUMBER)}), lambda x: {digits('x')}) AS known FROM r),
@@ -272,7 +272,7 @@ SELECT decision_id, CASE WHEN undetermined THEN 'belirlenemedi — manuel incele
 || 'Alt servis/masa: belirtilmedi (yonetmelik yalnizca servis seviyesinde dayanak sagliyor; masalar arasi gorev dagilimi Islem Yonergesi''nde)' || chr(10) || 'Guven skoru: ' || printf('%.2f', confidence) || chr(10)
 || 'Gerekce: ' || CASE WHEN reasoning <> '' THEN reasoning ELSE 'Karar, ' || array_to_string(list_transform(cited, lambda c: 'Madde ' || c), ', ') || ' kapsamindaki gorev tanimina dayanmaktadir.' END || chr(10) || chr(10) || 'Dayanak maddeler:' || chr(10)
 || array_to_string(list_transform(cited, lambda c, i: '[' || i || '] Madde ' || c || ' - ' || titles[i] || CASE WHEN list_contains(a, regexp_extract(c, '[0-9]+')) THEN ' (madde numarasi kaynak metinden okunamadi, sira ile turetildi)' ELSE '' END), chr(10)) END AS text FROM r"""
-SQL["t29_escape_html"] = docs_sql("regexp_replace(replace(replace(replace(replace('<a href=\"x\">&[SIRA NO]' || substr(text, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '\\[([^\\]]+)\\]', '<span class=\"eksik\">[\\1]</span>', 'g') AS value")
+SQL["t29_escape_html"] = docs_sql("regexp_replace(replace(replace(replace(replace('<a href=\"x\">&[SIRA NO]' || text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '\\[([^\\]]+)\\]', '<span class=\"eksik\">[\\1]</span>', 'g') AS value")
 
 # retrieval
 SQL["r1_term_id"] = f"WITH {DOCS}, {POSTS} SELECT term, term_id FROM terms"
@@ -284,15 +284,15 @@ SQL["r6_apply_filters"] = f"WITH {DOCS} SELECT id FROM docs WHERE doc_type = 'en
 FUSED = "f AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query_id, chunk_id, rank FROM sparse UNION ALL SELECT query_id, chunk_id, rank FROM dense) GROUP BY 1, 2)"
 SQL["r7_rrf_fuse"] = f"{BOTH}, {FUSED}, t AS ({topk('f', 30)}) SELECT query_id, chunk_id, rank, score FROM t"
 SQL["r8_hybrid_search"] = (
-    f"WITH {DOCS.replace('docs AS', 'every AS')}, docs AS (SELECT * FROM every WHERE corpus = 'documents'), allowed AS (SELECT * FROM docs WHERE NOT coalesce(contains_pii, false)), {POSTS.replace('FROM docs', 'FROM allowed')}, {IDF}, {ASKED}, {SCORED}, sparse AS ({topk('scored', 30)}), "
+    f"WITH {DOCS.replace('docs AS', 'every AS')}, docs AS (SELECT * FROM every WHERE corpus = 'documents'), allowed AS (SELECT * FROM docs WHERE NOT coalesce(contains_pii, false)), {POSTS}, {IDF}, {ASKED}, {SCORED.replace('GROUP BY', 'WHERE chunk_id IN (SELECT id FROM allowed) GROUP BY')}, sparse AS ({topk('scored', 30)}), "
     f"{VEC}, {QVEC}, dscored AS (SELECT q.id AS query_id, c.id AS chunk_id, round(list_cosine_similarity(q.v, c.v), 6) AS score FROM qvec q, vec c WHERE c.id IN (SELECT id FROM allowed)), dense AS ({topk('dscored', 30)}), {FUSED}, t AS ({topk('f', 8)}) SELECT query_id, chunk_id, rank, score FROM t"
 )
 SQL["r9_rerank"] = f"{SPARSE}, t AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN query_id <> 'q3' THEN length(chunk_id) END DESC NULLS LAST, rank) AS r FROM sparse) SELECT query_id, chunk_id, CAST(r AS INT) AS rank FROM t WHERE r <= 8"
-SQL["r10_entity_search"] = f"""{HITDOC}, own AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM hd WHERE source = 'src1' QUALIFY r <= 10), nown AS (SELECT query_id, count(*) AS many FROM own GROUP BY 1),
+SQL["r10_entity_search"] = f"""{HITDOC}, own AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM scored JOIN docs ON docs.id = chunk_id WHERE source = 'src1' QUALIFY r <= 10), nown AS (SELECT query_id, count(*) AS many FROM own GROUP BY 1),
 e AS (SELECT query_id, chunk_id, 0 AS stage, r FROM own UNION ALL SELECT hd.query_id, hd.chunk_id, 1, hd.rank FROM hd LEFT JOIN nown USING (query_id) LEFT JOIN own USING (query_id, chunk_id) WHERE coalesce(many, 0) < 3 AND own.r IS NULL)
 SELECT query_id, chunk_id, stage, CAST(row_number() OVER (PARTITION BY query_id ORDER BY stage, r, chunk_id) AS INT) AS rank FROM e QUALIFY rank <= 10"""
 SQL["r11_depth_by_intent"] = f"{HITDOC} SELECT query_id, chunk_id, rank FROM hd WHERE rank <= CASE length(query_id) % 3 WHEN 0 THEN 12 WHEN 1 THEN 10 ELSE 8 END"
-SQL["r12_search_in_documents"] = f"{HITDOC}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, chunk_id) AS k FROM hd WHERE source IN ('src0', 'src2', 'src5') QUALIFY k <= 2) SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM o"
+SQL["r12_search_in_documents"] = f"{HITDOC}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, chunk_id) AS k FROM scored JOIN docs ON docs.id = chunk_id WHERE source IN ('src0', 'src2', 'src5') QUALIFY k <= 2) SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM o"
 SQL["r13_prioritize_cited"] = f"{REGULATED}, c AS (SELECT 'q' || item_id AS query_id, item_id % 5 + 9 AS a FROM benchmark) SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n % 5 + 9 = a THEN 0 ELSE 1 END, rank) AS INT) AS rank FROM rg JOIN c USING (query_id)"
 DIVERSE = "SELECT *, row_number() OVER (PARTITION BY query_id, coalesce('s' || service, article_no) ORDER BY rank) AS k FROM "
 SQL["r14_diversify"] = f"{REGULATED}, v AS ({DIVERSE} rg) SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN k > 2 THEN 1 ELSE 0 END, rank) AS INT) AS rank FROM v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN k > 2 THEN 1 ELSE 0 END, rank) <= 14"
@@ -351,7 +351,7 @@ SQL["a3_service_board"] = f"{BOARD} SELECT * FROM board"
 SQL["a4_unit_rollup"] = f"""{BOARD} SELECT 'unit' AS level, substr(unit, 4) AS unit, 0 AS place, count(*) AS services, CAST(sum(pending) AS BIGINT) AS pending, CAST(sum(completed) AS BIGINT) AS completed FROM board WHERE service IS NOT NULL GROUP BY 2
 UNION ALL SELECT 'total', NULL, 2, count(service), CAST(sum(pending) AS BIGINT), CAST(sum(completed) AS BIGINT) FROM board"""
 KEYED = "keyed AS (SELECT *, coalesce(routed_service, '(belirlenemedi)') AS named FROM flow WHERE corpus = 'documents' AND routing_status <> 'pending')"
-SQL["a5_routing_inconsistencies"] = f"WITH {FLOW}, {KEYED} SELECT routing_key, array_to_string(list_sort(list(DISTINCT named)), '|') AS services, md5(string_agg(filename || '=' || named, '|' ORDER BY filename, named)) AS files FROM keyed WHERE routing_key IS NOT NULL GROUP BY 1 HAVING count(DISTINCT named) > 1"
+SQL["a5_routing_inconsistencies"] = f"WITH {FLOW}, {KEYED} SELECT routing_key, array_to_string(list_sort(list(DISTINCT named)), '|') AS services, md5(string_agg(concat_ws('=', filename, routed_service), '|' ORDER BY filename, routed_service NULLS FIRST)) AS files FROM keyed WHERE routing_key IS NOT NULL GROUP BY 1 HAVING count(DISTINCT named) > 1"
 SQL["a6_routing_key_report"] = f"WITH {FLOW}, {KEYED} SELECT routing_key, count(*) AS n_docs, CASE WHEN routing_key IS NULL THEN '' ELSE array_to_string(list_sort(list(DISTINCT named)), '|') END AS services FROM keyed GROUP BY 1"
 ARCHIVE = f"WITH {FLOW}, {LETTERS}, lt AS (SELECT document_id, arg_max(decision, created_at::VARCHAR || id || decision) AS d FROM letters GROUP BY 1), a AS (SELECT * FROM flow WHERE {OFFICIAL} AND lifecycle_status {{}} 'completed' ORDER BY {{}} DESC NULLS LAST, id LIMIT 200) SELECT id, {{}}, coalesce(completed_decision, d) AS last_decision FROM a LEFT JOIN lt ON document_id = id"
 SQL["a7_archive_done"] = ARCHIVE.format("=", "completed_at", "completed_at")
@@ -387,7 +387,7 @@ SQL["m3_letters_by_document"] = f"WITH {LETTERS} SELECT document_id, id, CAST(ro
 SQL["m4_assign_letter_numbers"] = f"WITH {LETTERS} SELECT id, 47 + row_number() OVER (ORDER BY created_at, id) AS letter_no FROM letters WHERE saved UNION ALL SELECT id, NULL FROM letters WHERE NOT saved"
 SQL["m7_number_source"] = docs_sql("md5(concat_ws(chr(10), source, 'ozet', '', id || chr(10) || doc_type || chr(10) || 'A' || chr(10) || 'B', '1', '11' || chr(10) || 't', '', text)) AS source")
 GRADED = f"""WITH {DOCS}, golden AS (SELECT 'g' || item_id AS id, CASE WHEN item_id % 5 = 0 THEN 'trap' ELSE 'entity' END AS scenario, CASE WHEN item_id % 3 > 0 THEN 'SRC' || (item_id % 20) || '/' END AS doc, CASE WHEN item_id % 4 > 0 THEN upper({words('text', 1, 1)}) END AS e1, {words('text', 2, 1)} AS e2, CASE WHEN item_id % 6 = 0 THEN {words('text', 3, 1)} END AS f FROM benchmark),
-ans AS (SELECT 't' || (n // 40) AS target, 'g' || (n % 40) AS id, CASE WHEN n % 9 > 0 THEN CASE WHEN n % 10 = 0 THEN 'Bilgi BULUNAMADI. ' ELSE '' END || text END AS answer, filename, CASE WHEN n % 9 = 0 THEN 'zaman asimi' END AS error FROM docs WHERE n < 300),
+ans AS (SELECT 't' || (n // 40) AS target, 'g' || (n % 40) AS id, CASE WHEN n % 9 > 0 THEN CASE WHEN n % 10 = 0 THEN 'Bilgi BULUNAMADI. ' ELSE '' END || text END AS answer, filename, CASE WHEN n % 9 = 0 THEN 'zaman asimi' END AS error FROM docs),
 j AS (SELECT t.target, g.*, answer, filename, coalesce(error, 'cevap yok') AS error, answer IS NOT NULL AS ok, {low('answer')} AS l FROM (SELECT DISTINCT target FROM ans) t CROSS JOIN golden g LEFT JOIN ans ON ans.target = t.target AND ans.id = g.id),
 graded AS (SELECT target, id, scenario, CASE WHEN doc IS NOT NULL THEN coalesce(ok AND contains({low('filename')}, {low('doc')}), false) END AS source_hit, CASE WHEN scenario = 'trap' THEN coalesce(ok AND regexp_matches({plain('answer')}, {lit('|'.join(NOT_FOUND))}), false) END AS trap_passed,
  CASE WHEN e1 IS NOT NULL THEN coalesce(ok AND contains(l, {low('e1')}) AND contains(l, {low('e2')}), false) END AS answer_hit, CASE WHEN ok AND f IS NOT NULL THEN contains(l, {low('f')}) END AS forbidden_hit, ok, error FROM j)"""

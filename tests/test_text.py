@@ -91,3 +91,19 @@ def test_term_id(spark):
 def test_not_found(spark):
     rows = [("Bu BİLGİ dokümanlarda BULUNAMADI.",), ("Servis bellidir",)]
     assert values(spark, rows, "s string", X.is_not_found(F.col("s"))) == [(True,), (False,)]
+
+
+def test_letter_numbers_on_written_rows(spark, tmp_path):
+    """Each number once, from the start without gaps, whatever the unit of time and the number of partitions."""
+    from docketry.operators import correspondence
+
+    made = "timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(pmod(hash(id), 90) as int), cast(pmod(hash(id, 1), 24) as int))"
+    letters = spark.range(20000).selectExpr("cast(id as string) id", f"if(id % 97 = 0, null, {made}) created_at", "id % 5 <> 0 saved")
+    want = None
+    for unit, parts in (("day", 1), ("day", 64), ("hour", 7), ("month", 4)):
+        path = str(tmp_path / f"{unit}{parts}")
+        correspondence.assign_letter_numbers(letters.repartition(parts), 48, unit).write.parquet(path)
+        rows = spark.read.parquet(path).select("id", "letter_no").collect()
+        assert sorted(r.letter_no for r in rows if r.letter_no is not None) == list(range(48, 48 + 16000))
+        want = want or sorted(map(tuple, rows), key=str)
+        assert sorted(map(tuple, rows), key=str) == want
