@@ -36,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Bytes of an Arrow batch while a table is written: what a Python worker and its task hold at once beside one row.
 BATCH_BYTES = 2 << 20
+#: Bytes of a row group of such a table: what a task holds while it writes or reads one.
+ROW_GROUP_BYTES = 16 << 20
 
 
 @contextlib.contextmanager
@@ -55,7 +57,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docketry/{name}-{uuid.uuid4().hex}"
     with small_batches(spark):
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

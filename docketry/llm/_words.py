@@ -98,13 +98,13 @@ def joined(words: np.ndarray, k: int) -> np.ndarray:
     return mix(out + np.uint64(k))
 
 
-def sliced(batches, column: str = "text"):
-    """Slices of the batches with about SLICE bytes of text each."""
+def sliced(batches, column: str = "text", size: int = SLICE):
+    """Slices of the batches with about ``size`` bytes of text each."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        group = (np.cumsum(size) - size) // SLICE
+        own = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        group = (np.cumsum(own) - own) // size
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)

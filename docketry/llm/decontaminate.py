@@ -1,6 +1,6 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is written once, in shards where the documents lie: a shard holds about 1 MB of texts, its distinct terms
+The index is written once, in shards where the documents lie: a shard holds about half a MB of texts, its distinct terms
 in order with their counts, and the positions of each (``indexed``). It serves any number of benchmarks without reading a
 text again. For a benchmark, the corpus-wide counts of its terms are summed up over the shards. Then each of its windows
 starts from the positions of its rarest term, shifts them by the term's offset, and intersects them with the shifted positions of
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm._shared import stored, texts
+from docketry.llm._shared import small_batches, stored, texts
 from docketry.llm._words import ALNUM, Words, sliced
 
 WINDOW, SLOP = 10, 2
@@ -30,12 +30,14 @@ BLOCK_WINDOWS = 100_000
 #: Positions left free between two texts of a shard, so that no window reaches from one into the next.
 GAP = 64
 
+#: Bytes of text in a shard, but for a text that is longer alone.
+SHARD_BYTES = 1 << 19
 SHARD = "doc_ids array<bigint>, n_words array<bigint>, terms binary, counts binary, positions binary"
 
 
 def shards(batches, cache: dict):
     """Positional indexes of the slices of some batches: ``(slice, words of each text, terms, counts, positions)``."""
-    for part in sliced(batches):
+    for part in sliced(batches, size=SHARD_BYTES):
         w = Words(part.column("text"), ALNUM, cache)
         size = np.diff(w.first)
         position = np.arange(len(w.hashes)) + np.repeat(np.arange(part.num_rows), size) * GAP + GAP
@@ -113,7 +115,8 @@ def term_counts(index: DataFrame, wanted: np.ndarray) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["term", "n"])
 
-    found = index.select("terms", "counts").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    with small_batches(index.sparkSession):
+        found = index.select("terms", "counts").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(wanted), np.int64)
     out[found.column("term").to_numpy()] = found.column("n").to_numpy()
     return out
