@@ -32,10 +32,9 @@ def parse_blocks(docs: DataFrame) -> DataFrame:
 
     def run(frames):
         for pdf in frames:
-            for r in pdf.itertuples():
-                blocks = [{"doc_id": r.id, "pos": i, "type": b.kind, "text": b.text, "level": b.level, "path": list(b.path)} for i, b in enumerate(_markdown.pieces(_markdown.cleaned(r.text)))]
-                frame = _rows(["doc_id", "pos", "type", "text", "level", "path"], blocks)
-                yield frame.astype({"level": "Int32"})
+            rows = [{"doc_id": r.id, "pos": i, "type": b.kind, "text": b.text, "level": b.level, "path": list(b.path)} for r in pdf.itertuples() for i, b in enumerate(_markdown.pieces(_markdown.cleaned(r.text)))]
+            for a in range(0, len(rows), 2000):
+                yield _rows(["doc_id", "pos", "type", "text", "level", "path"], rows[a : a + 2000]).astype({"level": "Int32"})
 
     return _input(docs).mapInPandas(run, BLOCKS)
 

@@ -185,16 +185,62 @@ SQL["s12_tag_documents"] = f"WITH {FLOW} SELECT id, CASE WHEN n % 18 = 0 THEN 'r
 # chunking
 SQL["c1_clean_markdown"] = docs_sql("md5(regexp_replace(regexp_replace('<!-- image -->' || repeat(chr(10), 4) || replace(text, chr(10), repeat(chr(10), 4)), '<!--\\s*image\\s*-->', '', 'g'), '\\n{3,}', repeat(chr(10), 2), 'g')) AS cleaned")
 SQL["c2_estimate_tokens"] = docs_sql("CAST(ceil(length(text) / 3.5) AS BIGINT) AS tokens")
-SQL["c4_assign_sections"] = f"WITH {DOCS} SELECT id AS doc_id, CAST(0 AS BIGINT) AS last_section, source || '|' || doc_type AS path FROM docs"
-SQL["c5_parent_chunks"] = f"WITH {DOCS} SELECT id AS doc_id, source || ' > ' || doc_type AS section, true AS crumb, true AS filled FROM docs"
+NL = "chr(10)"
+STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+TOKENS = "CAST(ceil(length({}) / 3.5) AS INT)"
+# the Markdown of a document, its lines, and blocks: runs of lines of one class; the texts hold no fences
+BLOCKS = f"""{DOCS}, md AS (SELECT id, filename, '# ' || source || {NL} || {NL} || '## ' || doc_type || {NL} || {NL} || text || {NL} || {NL} || '| id | n |' || {NL} || '|---|---|' || {NL} || '| ' || id || ' | 1 |' || {NL} AS t FROM docs),
+li AS (SELECT id, i, l[i] AS x FROM (SELECT id, string_split(regexp_replace(t, '\\n{{3,}}', {NL} || {NL}, 'g'), {NL}) AS l FROM md), unnest(range(1, len(l) + 1)) AS v(i)),
+cl AS (SELECT *, CASE WHEN regexp_full_match(x, '#{{1,6}}\\s+.*') THEN 'heading' WHEN trim(x) = '' THEN 'blank' WHEN regexp_matches(x, '^\\s*\\|') THEN 'table' ELSE 'text' END AS c FROM li),
+st AS (SELECT *, sum(CASE WHEN c = 'heading' OR c IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS b FROM (SELECT *, lag(c) OVER (PARTITION BY id ORDER BY i) AS before FROM cl)),
+bl AS (SELECT id, b, any_value(c) AS c, arg_min(x, i) AS head, {STRIP.format(f"string_agg(x, {NL} ORDER BY i)")} AS whole FROM st WHERE c <> 'blank' GROUP BY id, b),
+bk AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY b) - 1 AS INT) AS pos, CASE WHEN c = 'text' THEN CASE WHEN regexp_matches(head, '^\\s*([-*+]|[0-9]+[.])\\s+') THEN 'list' ELSE 'paragraph' END ELSE c END AS type,
+  CASE WHEN c = 'heading' THEN trim(regexp_replace(head, '^#+\\s+', '')) ELSE whole END AS text, CASE WHEN c = 'heading' THEN CAST(length(regexp_extract(head, '^#+')) AS INT) END AS level FROM bl),
+ends AS (SELECT h.id, h.pos, h.text, min(g.pos) AS until FROM bk h LEFT JOIN bk g ON g.id = h.id AND g.pos > h.pos AND g.level <= h.level WHERE h.level IS NOT NULL GROUP BY ALL),
+above AS (SELECT bk.id, bk.pos, list(e.text ORDER BY e.pos) AS path FROM bk JOIN ends e ON e.id = bk.id AND e.pos <= bk.pos AND (until IS NULL OR until > bk.pos) GROUP BY ALL),
+blocks AS (SELECT bk.*, coalesce(path, []) AS path FROM bk LEFT JOIN above USING (id, pos)),
+ch AS (SELECT *, path[1:2] AS top, lag(path[1:2]) OVER (PARTITION BY id ORDER BY pos) AS before FROM blocks WHERE type <> 'heading'),
+sections AS (SELECT *, sum(CASE WHEN top IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY pos) - 1 AS section_no FROM ch),
+whole AS (SELECT id, section_no, arg_min(top, pos) AS top, string_agg(text, {NL} || {NL} ORDER BY pos) AS w FROM sections GROUP BY ALL),
+parents AS (SELECT id, CAST(section_no AS BIGINT) AS section_no, nullif(array_to_string(top, ' > '), '') AS section, '[Dosya: ' || filename || coalesce(' > ' || section, '') || ']' || {NL} AS crumb, CASE WHEN {TOKENS.format('w')} > 3500 THEN substr(w, 1, 14000) ELSE w END AS body FROM whole JOIN docs USING (id))"""
+SQL["c3_parse_blocks"] = f"WITH {BLOCKS} SELECT id AS doc_id, pos, type, md5(text) AS text_md5, level, array_to_string(path, '|') AS path FROM blocks"
+SQL["c4_assign_sections"] = f"WITH {BLOCKS} SELECT id AS doc_id, pos, CAST(section_no AS BIGINT) AS section_no, array_to_string(top, '|') AS path, md5(text) AS text_md5 FROM sections"
+SQL["c5_parent_chunks"] = f"WITH {BLOCKS} SELECT id AS doc_id, section_no, section, md5(crumb || body) AS text_md5, {TOKENS.format('body')} AS token_count FROM parents"
+# sentences, the running count of their tokens, and runs of sentences (first, last): each of 650 tokens with its first new sentence
+# at least, beginning with the last sentences of the run before that make 78 tokens
+PIECES = f"""sent AS (SELECT id, s, list_transform(range(1, len(s) + 1), lambda i: list_sum(list_transform(s[1:i], lambda x: ceil(length(x) / 3.5)))) AS p FROM (SELECT id, regexp_extract_all(text, '[^.!?\\n]+[.!?\\n]+|\\s*[^.!?\\n]+$') AS s FROM docs)),
+runs AS (SELECT id, 0 AS r, 1 AS a, CAST(greatest(1, len(list_filter(p, lambda v: v <= 650))) AS INT) AS z FROM sent WHERE len(s) > 0
+  UNION ALL SELECT id, r, a, CAST(greatest(k, len(list_filter(p, lambda v: v <= 650 + CASE WHEN a > 1 THEN p[a - 1] ELSE 0 END))) AS INT) FROM (SELECT id, r + 1 AS r, z + 1 AS k, CAST(greatest(a, 1 + len(list_filter(p, lambda v: v <= p[z] - 78))) AS INT) AS a, p FROM runs JOIN sent USING (id) WHERE z < len(p))),
+cut AS (SELECT id, r, {STRIP.format("array_to_string(s[a:z], '')")} AS piece FROM runs JOIN sent USING (id)),
+pieces AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY r) - 1 AS INT) AS pos, piece FROM cut WHERE piece <> '')"""
+SQL["c7_split_long_text"] = f"WITH RECURSIVE {DOCS}, {PIECES} SELECT id, pos, md5(piece) AS piece_md5 FROM pieces"
+# a document is one section of a paragraph (whole, or in pieces beyond 900 tokens) and a table, which joins the paragraph up to 900 tokens
+CHILDREN = f"""{BLOCKS}, {PIECES}, two AS (SELECT id, coalesce(max(text) FILTER (WHERE type = 'paragraph'), '') AS t, max(text) FILTER (WHERE type = 'table') AS tab FROM sections GROUP BY id),
+kids AS (SELECT id, pos, piece AS body FROM pieces JOIN two USING (id) WHERE {TOKENS.format('t')} > 900
+  UNION ALL SELECT id, 0, t || {NL} || {NL} || tab FROM two WHERE t <> '' AND {TOKENS.format('t')} + {TOKENS.format('tab')} <= 900
+  UNION ALL SELECT id, 0, t FROM two WHERE {TOKENS.format('t')} BETWEEN 1 AND 900 AND {TOKENS.format('t')} + {TOKENS.format('tab')} > 900
+  UNION ALL SELECT id, 1 << 20, tab FROM two WHERE t = '' OR {TOKENS.format('t')} + {TOKENS.format('tab')} > 900),
+children AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS INT) AS ordinal, body FROM kids)"""
+SQL["c6_child_chunks"] = f"WITH RECURSIVE {CHILDREN} SELECT id AS doc_id, ordinal, md5(body) AS body_md5, {TOKENS.format('body')} AS body_tokens FROM children"
+SQL["c9_chunk_documents"] = f"""WITH RECURSIVE {CHILDREN} SELECT sha256(id || ':parent:' || section_no) AS id, id AS doc_id, 'parent' AS kind, CAST(section_no AS INT) AS ordinal, md5(crumb || body) AS text_md5, section, NULL AS parent_id, {TOKENS.format('body')} AS token_count FROM parents
+UNION ALL SELECT sha256(c.id || ':child:' || ordinal), c.id, 'child', ordinal, md5(crumb || c.body), section, sha256(c.id || ':parent:0'), {TOKENS.format('(crumb || c.body)')} FROM children c JOIN parents p USING (id)"""
+# a regulation's articles and the segments of its third; a text stands in the first article and in the first service
+LAST = f"'A) Ana Hizmet Birimleri' || {NL} || {NL} || 'I- Vergilendirme Bölümü' || {NL} || {NL} || '1) Sicil Servisi' || {NL} || {NL} || x || {NL} || {NL} || '2) Tecil Servisi' || {NL} || {NL} || '- takip' || {NL}"
+ARTICLES = f"""{DOCS}, rg AS (SELECT id, filename, regexp_replace(text, '[ \\t]+(\\n|$)', '\\1', 'g') AS x FROM docs WHERE corpus = 'regulations'),
+ar AS (SELECT id, filename, x, CAST(p AS INT) AS pos, ['Amaç', 'Kapsam ve Dayanak Esasları', 'Görev Dağılımı'][p + 1] AS title, {NL} || [x || {NL}, 'ara metin' || {NL}, {LAST}][p + 1] AS body FROM rg, unnest(range(0, 3)) AS u(p))"""
+SQL["c10_parse_articles"] = f"WITH {ARTICLES} SELECT id AS doc_id, pos, title, 'BİRİNCİ KISIM Genel' AS part, CASE pos WHEN 0 THEN 1 WHEN 2 THEN 3 END AS number, md5(body) AS body_md5 FROM ar"
+SQL["c11_infer_article_numbers"] = f"WITH {ARTICLES} SELECT id AS doc_id, CAST(pos + 1 AS VARCHAR) AS article_no, title, pos <> 1 AS certain, md5(body) AS body_md5 FROM ar"
+SEGMENTS = f"""{ARTICLES}, sg AS (SELECT id, filename, title, pos, 0 AS segment, NULL AS unit, NULL AS sub_unit, NULL AS service, [] AS markers, body FROM ar WHERE pos < 2
+  UNION ALL SELECT id, filename, title, pos, CAST(k AS INT), 'A) Ana Hizmet Birimleri', 'I- Vergilendirme Bölümü', ['Sicil Servisi', 'Tecil Servisi'][k + 1], ['A) Ana Hizmet Birimleri', 'I- Vergilendirme Bölümü', ['Sicil Servisi', 'Tecil Servisi'][k + 1]], {NL} || [x, '- takip'][k + 1] || {NL} FROM ar, unnest([0, 1]) AS u(k) WHERE pos = 2)"""
+SQL["c12_split_segments"] = f"WITH {SEGMENTS} SELECT id AS doc_id, pos, segment, unit, sub_unit, service, CAST(NULL AS VARCHAR) AS service_no, array_to_string(markers, '|') AS markers, md5(body) AS body_md5 FROM sg"
+INFERRED = f"{NL} || '(Not: bu maddenin numarasi kaynak metinden okunamadi, komsu madde numaralarindan turetildi.)'"
+SQL["c13_chunk_regulations"] = f"""WITH {SEGMENTS}, pa AS (SELECT id, filename, title, pos, segment, unit, service, markers, body, 'child' AS kind, pos + segment AS ordinal FROM sg UNION ALL SELECT id, filename, title, pos, 0, NULL, NULL, [], body, 'parent', 0 FROM ar WHERE pos = 2),
+tx AS (SELECT *, 'Madde ' || (pos + 1) || ' - ' || title AS label, '[Dosya: ' || filename || ' > ' || array_to_string(list_concat(['BİRİNCİ KISIM Genel', label], markers), ' > ') || ']' || {NL} || array_to_string(list_prepend(label, markers), {NL}) || CASE WHEN pos = 1 THEN {INFERRED} ELSE '' END || {NL} || {NL} || {STRIP.format('body')} AS text FROM pa)
+SELECT sha256(id || ':' || kind || ':' || ordinal) AS id, id AS doc_id, kind, CAST(ordinal AS INT) AS ordinal, md5(text) AS text_md5, label || coalesce(' > ' || service, '') AS section, CASE WHEN service IS NOT NULL THEN sha256(id || ':parent:0') END AS parent_id, {TOKENS.format('text')} AS token_count, CAST(pos + 1 AS VARCHAR) AS article_no, unit, service, pos <> 1 AS certain FROM tx"""
 SQL["c8_assign_pages"] = f"""WITH {DOCS}, t AS (SELECT id, n, substr(trim(regexp_replace(lower(substr(text, 120, 400)), '\\s+', ' ', 'g')), 1, 80) AS probe, string_split(text, chr(10)) AS l FROM docs),
 u AS (SELECT id, i, probe, trim(regexp_replace(lower(l[i]), '\\s+', ' ', 'g')) AS e FROM t, unnest(range(1, len(l) + 1)) AS v(i) WHERE length(probe) >= 15),
 p AS (SELECT id, coalesce(min(i) FILTER (WHERE contains(e, probe) OR contains(probe, e)), min(i) FILTER (WHERE contains(e, substr(probe, 1, 40)))) AS page FROM u GROUP BY id)
 SELECT docs.id, CAST(page AS INT) AS page FROM docs LEFT JOIN p USING (id)"""
-SQL["c9_chunk_documents"] = f"WITH {DOCS} SELECT id AS doc_id, CAST(1 AS BIGINT) AS parents, source || ' > ' || doc_type AS section FROM docs"
-SQL["c10_parse_articles"] = f"""WITH {DOCS} SELECT id AS doc_id, CAST(p AS INT) AS pos, ['Amaç', 'Kapsam ve Dayanak Esasları', 'Görev Dağılımı'][p + 1] AS title, 'BİRİNCİ KISIM Genel' AS part, CAST(CASE p WHEN 0 THEN 1 WHEN 2 THEN 3 END AS INT) AS number
-FROM docs, unnest(range(0, 3)) AS u(p) WHERE corpus = 'regulations'""".replace("'BİRİNCİ KISIM Genel'", "'BİRİNCİ KISIM Genel'")
-SQL["c11_infer_article_numbers"] = f"WITH {DOCS} SELECT id AS doc_id, CAST(p + 1 AS VARCHAR) AS article_no, ['Amaç', 'Kapsam ve Dayanak Esasları', 'Görev Dağılımı'][p + 1] AS title, p <> 1 AS certain FROM docs, unnest(range(0, 3)) AS u(p) WHERE corpus = 'regulations'"
 SQL["c14_pending_chunking"] = f"WITH {FLOW}, {CHUNKS} SELECT id FROM flow WHERE status = 'parsed' AND id NOT IN (SELECT doc_id FROM chunks WHERE CAST(doc_id AS BIGINT) % 2 = 0)"
 SQL["c15_regulation_candidates"] = f"WITH {DOCS} SELECT id, 'VERGİ YÖNETMELİĞİ ' || filename AS filename FROM docs WHERE n % 4 = 0"
 SQL["c16_chunk_stats"] = f"WITH {CHUNKS} SELECT count(DISTINCT doc_id) AS docs, count(*) FILTER (WHERE kind = 'child') AS children, count(*) FILTER (WHERE kind = 'parent') AS parents, CAST(coalesce(round(avg(token_count) FILTER (WHERE kind = 'child')), 0) AS BIGINT) AS avg_child_tokens FROM chunks"
@@ -257,7 +303,7 @@ SQL["t25_build_letters"] = f"""WITH {LETTER_ROWS} SELECT document_id, 'E-1234567
 CASE WHEN length(s) > 90 THEN rtrim(substr(s, 1, 87)) || '...' ELSE s END AS subject, recipient, kind AS recipient_kind, CASE WHEN NOT court THEN CASE WHEN n % 5 = 0 THEN '4840847211' ELSE '10000000146' END END AS recipient_number,
 CASE WHEN kind = 'kurum' THEN {upp('recipient')} ELSE 'Sayın ' || recipient END AS address_line, {CLOSING} AS closing,
 'Birim adı (LETTER_BIRIM_ADI)|İmza sahibi (LETTER_IMZA_AD)|İmza unvanı (LETTER_IMZA_UNVAN)' || CASE WHEN recipient = '[MUHATAP]' THEN '|Muhatap adı (form)' WHEN recipient LIKE '[VERG%' THEN '|Vergi mahkemesi adı (evrakta bulunamadı)' ELSE '' END AS missing FROM lm"""
-SQL["m5_draft_letters"] = f"WITH {LETTER_ROWS} SELECT {CLOSING} AS closing, kind AS recipient_kind, count(*) AS n FROM lm GROUP BY ALL"
+SQL["m5_draft_letters"] = f"""WITH {LETTER_ROWS} SELECT document_id, recipient, kind AS recipient_kind, CASE WHEN NOT court THEN CASE WHEN n % 5 = 0 THEN '4840847211' ELSE '10000000146' END END AS recipient_number, CASE WHEN kind = 'kurum' THEN {upp('recipient')} ELSE 'Sayın ' || recipient END AS address_line, {CLOSING} AS closing FROM lm"""
 SQL["t26_letter_blocks"] = f"""WITH {DOCS}, w AS (SELECT id, n, string_split(text, ' ') AS w, replace({words('text', 1, 2)}, 'ß', 'ss') AS a FROM docs), v AS (SELECT *, w[1:3] AS r, w[1:n % 3] AS e FROM w)
 SELECT id, CASE WHEN n % 2 = 0 THEN {upp('a')} ELSE 'Sayın ' || a END AS address, array_to_string(list_transform(r, lambda x, i: CASE WHEN regexp_matches(trim(x), '^[A-Za-zçğıöşüÇĞİÖŞÜ]\\s*\\)') THEN trim(x) ELSE chr(CAST(96 + i AS INT)) || ') ' || trim(x) END), '|') AS refs,
 CASE WHEN len(e) = 0 THEN '' ELSE (CASE WHEN len(e) > 1 THEN 'Ekler:' ELSE 'Ek:' END) || '|' || array_to_string(list_transform(e, lambda x, i: i || '- ' || x), '|') END AS attachments, 'Telefon: 0312' AS contact FROM v"""
@@ -314,15 +360,26 @@ w AS (SELECT *, NOT undetermined AND len(good) = 0 AS falls FROM v)"""
 SQL["d2_verify_citations"] = f"""{VERIFY} SELECT decision_id, CASE WHEN NOT falls THEN main_unit END AS main_unit, CASE WHEN NOT falls THEN other_unit END AS other_unit, CASE WHEN NOT falls THEN service END AS service,
 array_to_string(CASE WHEN undetermined THEN cited ELSE good END, ',') AS cited, CASE WHEN falls THEN 0 ELSE confidence END AS confidence, undetermined OR falls AS undetermined, CASE WHEN undetermined THEN '' ELSE array_to_string(bad, ',') END AS invented,
 CASE WHEN falls THEN 'Kararin dayandirildigi madde(ler) (' || array_to_string(bad, ', ') || ') getirilen yonetmelik parcalarinda bulunmadi; dogrulanamayan atifla servis atamasi yapilmadi.' ELSE reasoning END AS reasoning FROM w"""
-OWNERS = f"""WITH {HITS}, {DECS}, paths AS (SELECT decision_id, string_split(c, '-') AS p FROM (SELECT decision_id, unnest(cited) AS c FROM decs WHERE NOT undetermined) WHERE contains(c, '-')),
+
+
+def owners(decs):
+    """Services that the citation paths of decisions name."""
+    return f"""paths AS (SELECT decision_id, string_split(c, '-') AS p FROM (SELECT decision_id, unnest(cited) AS c FROM {decs} WHERE NOT undetermined) WHERE contains(c, '-')),
 owned AS (SELECT DISTINCT decision_id, h.service FROM paths JOIN hits h USING (decision_id) WHERE h.article_no = p[1] AND h.service_no = p[-1] AND (p[2] NOT IN ('A', 'B', 'C') OR starts_with(h.unit, p[2] || ')')) AND starts_with(h.sub_unit, p[3] || '-'))"""
-SQL["d3_cited_services"] = f"{OWNERS} SELECT decision_id, string_agg(service, '|' ORDER BY service) AS services FROM owned GROUP BY 1"
-SQL["d4_reconcile_units"] = f"""{OWNERS}, ow AS (SELECT decision_id, list(service) AS s FROM owned GROUP BY 1), a AS (SELECT decs.*, s, NOT undetermined AND service IS NOT NULL AS active FROM decs LEFT JOIN ow USING (decision_id)),
+
+
+def reconciled(decs):
+    """Decisions with service and units as the hits have them."""
+    return f"""{owners(decs)}, ow AS (SELECT decision_id, list(service) AS s FROM owned GROUP BY 1), a AS (SELECT d.*, s, NOT undetermined AND service IS NOT NULL AS active FROM {decs} d LEFT JOIN ow USING (decision_id)),
 b AS (SELECT *, CASE WHEN active AND len(s) = 1 AND {norm('s[1]')} <> {norm('service')} THEN s[1] ELSE service END AS svc2 FROM a),
 m AS (SELECT b.decision_id, arg_min(struct_pack(service := h.service, unit := h.unit, sub := h.sub_unit), (CASE WHEN {norm('h.service')} = {norm('svc2')} THEN 0 ELSE 100 END) + h.rank) AS hit FROM b JOIN hits h USING (decision_id) WHERE active AND ({norm('h.service')} = {norm('svc2')} OR {same_service('h.service', 'svc2')}) GROUP BY 1),
 r AS (SELECT b.*, hit, CASE WHEN hit IS NULL THEN main_unit WHEN starts_with(hit.unit, 'B') THEN NULL ELSE CASE split_part(hit.sub, '-', 1) WHEN 'I' THEN 'Vergilendirme' WHEN 'II' THEN 'Muhasebe' WHEN 'III' THEN 'Kovusturma' ELSE 'Tarama ve Kontrol' END END AS mu,
-  CASE WHEN hit IS NULL THEN other_unit END AS ou, coalesce(hit.service, svc2) AS s3 FROM b LEFT JOIN m USING (decision_id))
-SELECT decision_id, mu AS main_unit, ou AS other_unit, s3 AS service, array_to_string(cited, ',') AS cited, confidence, undetermined, active AND (s3 IS DISTINCT FROM service OR mu IS DISTINCT FROM main_unit OR ou IS DISTINCT FROM other_unit) AS corrected FROM r"""
+  CASE WHEN hit IS NULL THEN other_unit END AS ou, coalesce(hit.service, svc2) AS s3 FROM b LEFT JOIN m USING (decision_id)),
+rec AS (SELECT decision_id, mu AS main_unit, ou AS other_unit, s3 AS service, array_to_string(cited, ',') AS cited, confidence, undetermined, active AND (s3 IS DISTINCT FROM service OR mu IS DISTINCT FROM main_unit OR ou IS DISTINCT FROM other_unit) AS corrected FROM r)"""
+
+
+SQL["d3_cited_services"] = f"WITH {HITS}, {DECS}, {owners('decs')} SELECT decision_id, string_agg(service, '|' ORDER BY service) AS services FROM owned GROUP BY 1"
+SQL["d4_reconcile_units"] = f"WITH {HITS}, {DECS}, {reconciled('decs')} SELECT * FROM rec"
 SQL["d5_flag_uncertain"] = f"WITH {HITS}, {DECS} SELECT decision_id, len(list_filter(cited, lambda c: list_contains(a, regexp_extract(c, '[0-9]+')))) > 0 AS uncertain FROM (SELECT decs.*, coalesce(a, []) AS a FROM decs LEFT JOIN (SELECT decision_id, list(article_no) AS a FROM hits WHERE NOT certain GROUP BY 1) USING (decision_id))"
 NOTE = "chr(10) || chr(10) || '[Otomatik kontrol] Karar \"' || {} || '\" adını gösteriyor; yönetmelik kataloğunda böyle bir servis yok. Evrak manuel incelemeye alındı.'"
 SQL["d6_enforce_catalog"] = f"""WITH {SERVICES}, {DECS}, w AS (SELECT *, NOT undetermined AND service IS NOT NULL AND service NOT IN (SELECT service FROM svc WHERE nk % 2 = 0) AS falls FROM decs)
@@ -385,6 +442,13 @@ SQL["m2_chat_exchanges"] = f"WITH {MSG}, t AS (SELECT *, lead(role) OVER w AS nr
 SQL["m2_append_exchange"] = f"WITH {MSG}, l AS (SELECT document_id, max(seq) AS m FROM msg WHERE document_id % 2 = 1 GROUP BY 1) SELECT document_id, seq, role, md5(content) AS content FROM msg UNION ALL SELECT document_id, m + 1, 'user', md5('soru') FROM l UNION ALL SELECT document_id, m + 2, 'assistant', md5('cevap') FROM l"
 SQL["m3_letters_by_document"] = f"WITH {LETTERS} SELECT document_id, id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY created_at DESC, id DESC) AS INT) AS place FROM letters"
 SQL["m4_assign_letter_numbers"] = f"WITH {LETTERS} SELECT id, 47 + row_number() OVER (ORDER BY created_at, id) AS letter_no FROM letters WHERE saved UNION ALL SELECT id, NULL FROM letters WHERE NOT saved"
+# three attempts a document; those for a refusal without a reason are void
+SQL["m6_select_draft"] = f"""WITH {DOCS}, tried AS (SELECT id, n, k, text, trim(regexp_replace(replace('**' || {words('text', 1, 4)} || '** ' || CASE WHEN (n + k) % 3 = 0 THEN '98.765' ELSE '' END, '**', ''), '\\s+', ' ', 'g')) AS para, CASE WHEN n % 2 > 0 THEN '' WHEN n % 4 = 0 THEN 'insan' WHEN k > 1 THEN 'model' END AS reason FROM docs, unnest([1, 2, 3]) AS u(k)),
+nums AS (SELECT id, k, regexp_extract_all(para || {NL} || reason, {lit(NUMBER)}) AS nums, list_transform(regexp_extract_all(text, {lit(NUMBER)}), lambda x: {digits('x')}) AS known, regexp_replace(text, '\\s+', ' ', 'g') AS flat FROM tried WHERE reason IS NOT NULL),
+u AS (SELECT id, k, known, flat, i, nums[i] AS x, {digits('nums[i]')} AS d FROM nums, unnest(range(1, len(nums) + 1)) AS v(i)),
+bad AS (SELECT id, k, x, min(i) AS i FROM u WHERE len(d) >= 2 AND NOT contains(flat, x) AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(known) AS k) WHERE {_SUPPORTED}) GROUP BY ALL),
+un AS (SELECT id, k, string_agg(x, '|' ORDER BY i) AS unsupported FROM bad GROUP BY ALL)
+SELECT id AS document_id, k AS attempt, reason, coalesce(unsupported, '') AS unsupported, para AS paragraphs FROM tried LEFT JOIN un USING (id, k) WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY unsupported IS NOT NULL, CASE WHEN unsupported IS NULL THEN k ELSE -k END) = 1"""
 SQL["m7_number_source"] = docs_sql("md5(concat_ws(chr(10), source, 'ozet', '', id || chr(10) || doc_type || chr(10) || 'A' || chr(10) || 'B', '1', '11' || chr(10) || 't', '', text)) AS source")
 GRADED = f"""WITH {DOCS}, golden AS (SELECT 'g' || item_id AS id, CASE WHEN item_id % 5 = 0 THEN 'trap' ELSE 'entity' END AS scenario, CASE WHEN item_id % 3 > 0 THEN 'SRC' || (item_id % 20) || '/' END AS doc, CASE WHEN item_id % 4 > 0 THEN upper({words('text', 1, 1)}) END AS e1, {words('text', 2, 1)} AS e2, CASE WHEN item_id % 6 = 0 THEN {words('text', 3, 1)} END AS f FROM benchmark),
 ans AS (SELECT 't' || (n // 40) AS target, 'g' || (n % 40) AS id, CASE WHEN n % 9 > 0 THEN CASE WHEN n % 10 = 0 THEN 'Bilgi BULUNAMADI. ' ELSE '' END || text END AS answer, filename, CASE WHEN n % 9 = 0 THEN 'zaman asimi' END AS error FROM docs),
@@ -405,3 +469,9 @@ SQL["w4_session_registry"] = "SELECT user_id % 20 AS session_id, event_id % 50 A
 SQL["w5_split_official"] = f"WITH {FLOW} SELECT 'official' AS part, count(*) AS n FROM flow WHERE session_id IS NULL UNION ALL SELECT 'attached', count(*) FROM flow WHERE session_id IS NOT NULL"
 
 SQL["p2_routing_queries"] = f"WITH {DOCS} SELECT DISTINCT doc_type || '|' || {REQUESTS}[n % 9 + 1] || '|' || source AS id, {PHRASES}[n % 9 + 1] || ' ' || source AS text FROM docs"
+KIDS_AS_DOCS = f"{CHILDREN}, kd AS (SELECT sha256(c.id || ':child:' || ordinal) AS id, filename, crumb || c.body AS text FROM children c JOIN parents p USING (id) JOIN docs USING (id))"
+SQL["p1_search_files"] = f"""WITH RECURSIVE {KIDS_AS_DOCS}, {POSTS.replace('FROM docs', 'FROM kd')}, {IDF.replace('FROM docs', 'FROM kd')}, {ASKED}, {SCORED}, sparse AS ({topk('scored', 10)})
+SELECT query_id, filename, round(max(score), 3) AS score, count(*) AS n_hits FROM sparse JOIN kd ON kd.id = chunk_id GROUP BY 1, 2"""
+SQL["p3_checked_decisions"] = f"""{VERIFY}, checked AS (SELECT decision_id, CASE WHEN NOT falls THEN main_unit END AS main_unit, CASE WHEN NOT falls THEN other_unit END AS other_unit, CASE WHEN NOT falls THEN service END AS service, CASE WHEN undetermined THEN cited ELSE good END AS cited, CASE WHEN falls THEN 0 ELSE confidence END AS confidence, undetermined OR falls AS undetermined FROM w),
+{reconciled('checked')}, final AS (SELECT *, NOT undetermined AND service IS NOT NULL AND service NOT IN (SELECT service FROM svc) AS outside FROM rec)
+SELECT decision_id, CASE WHEN NOT outside THEN main_unit END AS main_unit, CASE WHEN NOT outside THEN other_unit END AS other_unit, CASE WHEN NOT outside THEN service END AS service, CASE WHEN outside THEN '' ELSE cited END AS cited, CASE WHEN outside THEN 0 ELSE confidence END AS confidence, undetermined OR outside AS undetermined, corrected FROM final"""

@@ -222,30 +222,31 @@ def c2_estimate_tokens(spark, d):
 
 @query
 def c3_parse_blocks(spark, d):
-    return chunking.parse_blocks(structured(spark, d)).groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    return chunking.parse_blocks(structured(spark, d)).select("doc_id", "pos", "type", F.md5("text").alias("text_md5"), "level", joined("path").alias("path"))
 
 
 @query
 def c4_assign_sections(spark, d):
-    return chunking.assign_sections(chunking.parse_blocks(structured(spark, d))).groupBy("doc_id").agg(F.max("section_no").alias("last_section"), F.first(joined("section_path")).alias("path"))
+    return chunking.assign_sections(chunking.parse_blocks(structured(spark, d))).select("doc_id", "pos", "section_no", joined("section_path").alias("path"), F.md5("text").alias("text_md5"))
 
 
 @query
 def c5_parent_chunks(spark, d):
     docs = structured(spark, d)
     sections = chunking.assign_sections(chunking.parse_blocks(docs))
-    return chunking.parent_chunks(sections, docs.select(F.col("id").alias("doc_id"), "filename")).select("doc_id", "section", F.startswith("text", F.concat(F.lit("[Dosya: "))).alias("crumb"), (F.col("token_count") > 0).alias("filled"))
+    return chunking.parent_chunks(sections, docs.select(F.col("id").alias("doc_id"), "filename")).select("doc_id", "section_no", "section", F.md5("text").alias("text_md5"), "token_count")
 
 
 @query
 def c6_child_chunks(spark, d):
     chunks = chunking.chunk_documents(structured(spark, d)).where("kind = 'child'")
-    return chunks.groupBy("doc_id").agg(F.count("*").alias("children"), F.max("token_count").alias("largest"), F.sum(F.length("text")).alias("chars"))
+    return chunks.select("doc_id", "ordinal", F.md5("probe").alias("body_md5"), F.ceil(F.length("probe") / 3.5).cast("int").alias("body_tokens"))
 
 
 @query
 def c7_split_long_text(spark, d):
-    return documents(spark, d).select("id", F.size(chunking.split_long_text("text")).alias("pieces"))
+    pieces = F.posexplode(chunking.split_long_text("text")).alias("pos", "piece")
+    return documents(spark, d).select("id", pieces).select("id", "pos", F.md5("piece").alias("piece_md5"))
 
 
 def pages_of(spark, d):
@@ -264,28 +265,33 @@ def c8_assign_pages(spark, d):
 @query
 def c9_chunk_documents(spark, d):
     chunks = chunking.chunk_documents(structured(spark, d))
-    return chunks.groupBy("doc_id").agg(F.count_if(F.col("kind") == "parent").alias("parents"), F.min("section").alias("section"))
+    return chunks.select("id", "doc_id", "kind", "ordinal", F.md5("text").alias("text_md5"), "section", "parent_id", "token_count")
+
+
+def body_md5(column="body"):
+    return F.md5(F.array_join(column, "\n")).alias("body_md5")
 
 
 @query
 def c10_parse_articles(spark, d):
-    return chunking.parse_articles(regulations(spark, d)).select("doc_id", "pos", "title", "part", "number")
+    return chunking.parse_articles(regulations(spark, d)).select("doc_id", "pos", "title", "part", "number", body_md5())
 
 
 @query
 def c11_infer_article_numbers(spark, d):
-    return chunking.infer_article_numbers(chunking.parse_articles(regulations(spark, d))).select("doc_id", "article_no", "title", "certain")
+    return chunking.infer_article_numbers(chunking.parse_articles(regulations(spark, d))).select("doc_id", "article_no", "title", "certain", body_md5())
 
 
 @query
 def c12_split_segments(spark, d):
     numbered = chunking.infer_article_numbers(chunking.parse_articles(regulations(spark, d)))
-    return chunking.split_segments(numbered.where("article_no = '3'")).select("doc_id", "segment", "service", "service_no", "unit")
+    return chunking.split_segments(numbered).select("doc_id", "pos", "segment", "unit", "sub_unit", "service", "service_no", joined("markers").alias("markers"), body_md5("lines"))
 
 
 @query
 def c13_chunk_regulations(spark, d):
-    return chunking.chunk_regulations(regulations(spark, d)).select("doc_id", "kind", "ordinal", "section")
+    chunks = chunking.chunk_regulations(regulations(spark, d))
+    return chunks.select("id", "doc_id", "kind", "ordinal", F.md5("text").alias("text_md5"), "section", "parent_id", "token_count", "metadata.article_no", "metadata.unit", "metadata.service", "metadata.certain")
 
 
 @query
@@ -937,7 +943,7 @@ def m4_assign_letter_numbers(spark, d):
 
 @query
 def m5_draft_letters(spark, d):
-    return correspondence.build_letters(letter_input(spark, d), INSTITUTION).groupBy("closing", "recipient_kind").agg(F.count("*").alias("n"))
+    return correspondence.build_letters(letter_input(spark, d), INSTITUTION).select("document_id", "recipient", "recipient_kind", "recipient_number", "address_line", "closing")
 
 
 def drafts(spark, d):
