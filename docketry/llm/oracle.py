@@ -64,7 +64,21 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || c
 FROM f LEFT JOIN repeats USING (conv_id) GROUP BY conv_id
 """
 
+RANKED = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {ALNUM} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+b AS (SELECT row_number() OVER () AS item, item_id, list_distinct({ALNUM}) AS w FROM benchmark WHERE item_id IS NOT NULL),
+n AS (SELECT count(*) AS docs, sum(len(w)) AS words FROM d WHERE len(w) > 0),
+asked AS (SELECT item, unnest(w) AS term FROM b),
+tf AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY row, term),
+weight AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, n GROUP BY term),
+m AS (SELECT row, doc_id, CAST(10 + (CAST(90 * len(w) AS HUGEINT) * docs) // words AS BIGINT) AS m FROM d, n WHERE len(w) > 0),
+scores AS (SELECT item, row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM asked JOIN tf USING (term) JOIN weight USING (term) JOIN m USING (row) GROUP BY item, row, doc_id)
+SELECT item_id, CAST(row_number() OVER o AS INTEGER) AS rank, doc_id, score
+FROM scores JOIN b USING (item) WHERE score > 0 WINDOW o AS (PARTITION BY item ORDER BY score DESC, doc_id, row) QUALIFY row_number() OVER o <= 10
+"""
+
 SQL = {
+    "op13_ranked_search": RANKED,
     "op3_chat_format": CHAT,
     "op6_exact_topk": TOPK,
     "op4_decontaminate": DECONTAMINATE,

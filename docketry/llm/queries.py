@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import chat, decontaminate, jaccard, licenses, mixing, passages, pii, quality, tokens, topk
+from docketry.llm import chat, decontaminate, jaccard, licenses, mixing, passages, periods, pii, quality, ranked, simhash, tokens, topk
 from docketry.llm._shared import table
 from docketry.llm.oracle import SQL as ORACLE  # noqa: F401
 
@@ -55,4 +55,16 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detected(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pfair_mixing, op2_substring_dedup, op3_chat_format, op4_decontaminate, op5_license_scan, op6_exact_topk, op7_token_counts, op8_ngram_jaccard, op9_quality, op10_pii)}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.periodic(table(spark, sf_dir, "documents"), tails=True).drop("runs", "collapsed")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(ranked.indexed(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pfair_mixing, op2_substring_dedup, op3_chat_format, op4_decontaminate, op5_license_scan, op6_exact_topk, op7_token_counts, op8_ngram_jaccard, op9_quality, op10_pii, op11_simhash, op12_periodic_runs, op13_ranked_search)}
