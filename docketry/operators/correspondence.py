@@ -123,10 +123,19 @@ def build_letters(df: DataFrame, institution: dict[str, str]) -> DataFrame:
 # evaluation: golden ``id, scenario, expected_docs, expected, forbidden``; answers ``target, id, answer, sources, error``
 
 
+#: Questions of a golden set that meet a target in one group.
+QUESTIONS = 256
+
+
 def grade_answers(answers: DataFrame, golden: DataFrame) -> DataFrame:
-    """One row a question and target. NULL is not measured; a failed answer fails what is measured, but for forbidden phrases."""
-    targets = answers.select("target").distinct()
-    rows = targets.crossJoin(F.broadcast(golden)).join(answers, ["target", "id"], "left")
+    """One row a question and target. NULL is not measured; a failed answer fails what is measured, but for forbidden phrases.
+
+    Every target is asked every question of the set, in parts of ``QUESTIONS`` questions, by which they are joined.
+    """
+    parts = max(1, -(-golden.count() // QUESTIONS))
+    targets = answers.select("target").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = golden.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    rows = targets.join(asked, "part").drop("part").join(answers, ["target", "id"], "left")
     ok, low = F.col("answer").isNotNull() & F.col("error").isNull(), X.tr_lower(F.col("answer"))
     holds = lambda p: F.contains(low, X.tr_lower(p))
     source = F.exists("expected_docs", lambda d: F.exists("sources", lambda s: F.contains(X.tr_lower(s), X.tr_lower(d))))

@@ -130,11 +130,20 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def routing_inconsistencies(docs: DataFrame) -> DataFrame:
-    """Keys with several services, and the files (``filename, service``; no service where none was found) of those keys only."""
+    """``routing_key, services, n_files`` of the keys with several services; their files are those of ``inconsistent_files``.
+
+    Both columns are combined before the shuffle: a key has no more services than the catalogue, however many files it has.
+    """
+    rows = _keyed(docs).groupBy("routing_key").agg(F.sort_array(F.collect_set("named")).alias("services"), F.count("*").alias("n_files"))
+    return rows.where("size(services) > 1")
+
+
+def inconsistent_files(docs: DataFrame) -> DataFrame:
+    """``routing_key, filename, service`` (none where none was found): a row for each file of the keys with several services."""
     rows = _keyed(docs)
-    bad = rows.groupBy("routing_key").agg(F.sort_array(F.collect_set("named")).alias("services")).where("size(services) > 1")
-    files = rows.join(bad.select("routing_key"), "routing_key", "left_semi").groupBy("routing_key").agg(F.sort_array(F.collect_list(F.struct("filename", F.col("routed_service").alias("service")))).alias("files"))
-    return bad.join(files, "routing_key").select("routing_key", "services", "files")
+    # the least and the greatest name tell whether there are several
+    bad = rows.groupBy("routing_key").agg(F.min("named").alias("low"), F.max("named").alias("high")).where("low <> high").select("routing_key")
+    return rows.join(bad, "routing_key", "left_semi").select("routing_key", "filename", F.col("routed_service").alias("service"))
 
 
 def routing_key_report(docs: DataFrame) -> DataFrame:

@@ -28,37 +28,47 @@ def ranked(df: DataFrame, by: list, keys: list[str] = ["query_id"], name: str =
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
 
 
+def term_counter(k1: float = K1, b: float = B, average: float = AVERAGE) -> Callable[[pa.Array], tuple[list, list, list, list]]:
+    """A function from folded texts to ``(place, term, term id, weight)`` of their terms, in which a term is hashed once."""
+    stop, most = frozenset(X.STOPWORDS), 1 << 20
+    names: dict[str, int] = {}
+
+    def name(term: str) -> int:
+        h = names.get(term)
+        if h is None:
+            if len(names) >= most:
+                names.clear()
+            h = 2166136261
+            for c in term.encode():
+                h = ((h ^ c) * 16777619) & 4294967295
+            names[term] = h
+        return h
+
+    def counted(texts: pa.Array) -> tuple[list, list, list, list]:
+        at, terms, ids, weights = [], [], [], []
+        for i, text in enumerate(texts.to_pylist()):
+            words = [w for w in (text or "").split(" ") if len(w) >= 2 and w not in stop]
+            norm = k1 * (1 - b + b * len(words) / average)
+            for term, tf in Counter(words).items():
+                at.append(i)
+                terms.append(term)
+                ids.append(name(term))
+                weights.append(tf * (k1 + 1) / (tf + norm))
+        return at, terms, ids, weights
+
+    return counted
+
+
 def sparse_postings(chunks: DataFrame, k1: float = K1, b: float = B, average: float = AVERAGE) -> DataFrame:
     """``chunk_id, term, term_id, weight``: term weights within a text, counted within the row (nothing is shuffled).
 
-    Texts are folded by Spark; their terms are counted in one pass over Arrow batches, in which a term is hashed once.
+    Texts are folded by Spark; their terms are counted in one pass over Arrow batches.
     """
-    stop, most = frozenset(X.STOPWORDS), 1 << 20
+    count = term_counter(k1, b, average)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[str, int] = {}
-
-        def name(term: str) -> int:
-            h = names.get(term)
-            if h is None:
-                if len(names) >= most:
-                    names.clear()
-                h = 2166136261
-                for c in term.encode():
-                    h = ((h ^ c) * 16777619) & 4294967295
-                names[term] = h
-            return h
-
         for batch in batches:
-            at, terms, ids, weights = [], [], [], []
-            for i, text in enumerate(batch.column("words").to_pylist()):
-                words = [w for w in (text or "").split(" ") if len(w) >= 2 and w not in stop]
-                norm = k1 * (1 - b + b * len(words) / average)
-                for term, tf in Counter(words).items():
-                    at.append(i)
-                    terms.append(term)
-                    ids.append(name(term))
-                    weights.append(tf * (k1 + 1) / (tf + norm))
+            at, terms, ids, weights = count(batch.column("words"))
             yield pa.RecordBatch.from_arrays([batch.column("chunk_id").take(pa.array(at, pa.int64())), pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.array(weights, pa.float64())], names=["chunk_id", "term", "term_id", "weight"])
 
     rows = chunks.select(F.col("id").alias("chunk_id"), X.term_text("text").alias("words"))
@@ -124,15 +134,25 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, bl
     return ranked(out, [F.desc("score"), F.col("chunk_id")]).where(F.col("rank") <= k)
 
 
-def apply_filters(points: DataFrame, doc_type: str | None = None, entity: str | None = None, doc_id=None, include_pii: bool = False) -> DataFrame:
-    """Filters of a search, laid on what is searched; texts marked as personal are left out unless asked for, unmarked ones pass."""
-    if doc_type is not None:
-        points = points.where(F.col("doc_type") == doc_type)
-    if entity is not None:
-        points = points.where(F.array_contains("entities", entity))
-    if doc_id is not None:
-        points = points.where(F.col("doc_id") == doc_id)
-    return points if include_pii else points.where(~F.coalesce("contains_pii", F.lit(False)))
+def passes(doc_type: str | None = None, entity: str | None = None, doc_id=None, include_pii: bool = False) -> Callable[[Callable[[str], Column]], Column]:
+    """What a search may find, as a condition over columns that a function names; texts marked as personal are left out unless asked for, unmarked ones pass."""
+
+    def allowed(c: Callable[[str], Column]) -> Column:
+        out = F.lit(True)
+        if doc_type is not None:
+            out &= c("doc_type") == doc_type
+        if entity is not None:
+            out &= F.array_contains(c("entities"), entity)
+        if doc_id is not None:
+            out &= c("doc_id") == doc_id
+        return out if include_pii else out & ~F.coalesce(c("contains_pii"), F.lit(False))
+
+    return allowed
+
+
+def apply_filters(points: DataFrame, **filters) -> DataFrame:
+    """The points that a search with these filters (``passes``) may find."""
+    return points.where(passes(**filters)(F.col))
 
 
 def rrf_fuse(legs: list[DataFrame], k: int = RRF_K, limit: int = CANDIDATES) -> DataFrame:
@@ -144,14 +164,11 @@ def rrf_fuse(legs: list[DataFrame], k: int = RRF_K, limit: int = CANDIDATES) ->
     return ranked(fused, [F.desc("score"), F.col("chunk_id")]).where(F.col("rank") <= limit)
 
 
-def hybrid_search(queries: DataFrame, points: DataFrame, top: int = TOP, candidates: int = CANDIDATES, k: int = RRF_K, **filters) -> DataFrame:
-    """Both legs over the filtered points (``id, text, embedding``), fused; queries have ``id, text, embedding``. Filters
-    choose the candidates; the statistics of terms are those of all points."""
-    allowed = apply_filters(points, **filters)
-    postings = sparse_postings(points)
-    own = postings.join(allowed.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
-    sparse = sparse_search(queries, own, term_idf(postings, points), candidates)
-    dense = dense_search(queries.where("embedding IS NOT NULL"), allowed, candidates)
+def hybrid_search(queries: DataFrame, index, vectors: DataFrame, top: int = TOP, candidates: int = CANDIDATES, k: int = RRF_K, **filters) -> DataFrame:
+    """Both legs, fused; queries have ``id, text, embedding``, ``index`` is a ``SparseIndex`` with the filters' columns as payload, and
+    ``vectors`` holds ``id, embedding`` and these columns. Filters choose the candidates; the statistics of terms are those of the whole index."""
+    sparse = index.search(queries, candidates, passes(**filters))
+    dense = dense_search(queries.where("embedding IS NOT NULL"), apply_filters(vectors, **filters), candidates)
     return rrf_fuse([sparse, dense], k, candidates).where(F.col("rank") <= top)
 
 
@@ -179,9 +196,9 @@ def depth_by_intent(hits: DataFrame) -> DataFrame:
     return hits.where(F.col("rank") <= F.when(F.col("intent") == "doc_find", 12).when(F.col("intent") == "entity", 10).otherwise(8))
 
 
-def search_in_documents(scored: DataFrame, pairs: DataFrame, k: int = 6) -> DataFrame:
-    """Top k of each asked document (``query_id, doc_id``), then one list a query by score."""
-    own = ranked(scored.join(pairs, ["query_id", "doc_id"], "left_semi"), [F.desc("score"), F.col("chunk_id")], ["query_id", "doc_id"], "in_doc").where(F.col("in_doc") <= k)
+def search_in_documents(index, queries: DataFrame, pairs: DataFrame, k: int = 6, scope: str = "doc_id") -> DataFrame:
+    """Top k of each asked document (``query_id, doc_id``; or another column of the index's payload), then one list a query by score."""
+    own = index.search(queries, k, scopes=pairs, scope=scope).withColumnRenamed("rank", "in_doc")
     return ranked(own, [F.desc("score"), F.col("chunk_id")])
 
 

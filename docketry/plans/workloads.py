@@ -9,25 +9,25 @@ from pyspark.sql import functions as F
 
 from docketry.functions import text as X
 from docketry.operators import chunking, routing, search
+from docketry.operators.sparse_index import SparseIndex
 
 
 class Index(NamedTuple):
     chunks: DataFrame
-    postings: DataFrame
-    idf: DataFrame
+    sparse: SparseIndex
 
 
-def index_corpus(docs: DataFrame, regulations: bool = False) -> Index:
-    """Documents ``id, filename, text`` to chunks, term weights of the child chunks and term statistics."""
-    chunks = chunking.chunk_regulations(docs) if regulations else chunking.chunk_documents(docs)
-    children = chunks.where("kind = 'child'")
-    postings = search.sparse_postings(children)
-    return Index(chunks, postings, search.term_idf(postings, children))
+def index_corpus(docs: DataFrame, path: str, regulations: bool = False) -> Index:
+    """Documents ``id, filename, text`` to chunks, and the child chunks into a stored index at ``path``."""
+    index = SparseIndex(docs.sparkSession, path)
+    chunks = index.store.staged(chunking.chunk_regulations(docs) if regulations else chunking.chunk_documents(docs))
+    index.add(chunks.where("kind = 'child'"))
+    return Index(chunks, index)
 
 
 def search_files(queries: DataFrame, docs: DataFrame, index: Index, candidates: int = search.CANDIDATES) -> DataFrame:
     """Files that answer ``id, text`` queries: the best child chunks, grouped by file."""
-    hits = search.sparse_search(queries, index.postings, index.idf, candidates)
+    hits = index.sparse.search(queries, candidates)
     text = index.chunks.select(F.col("id").alias("chunk_id"), "doc_id", "text")
     files = docs.select(F.col("id").alias("doc_id"), "filename")
     return search.group_by_document(hits.join(text, "chunk_id").join(files, "doc_id"))

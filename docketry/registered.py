@@ -7,14 +7,18 @@ whole tables.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.functions import letters as L
 from docketry.functions import text as X
 from docketry.operators import chunking, correspondence, registry, routing, search
+from docketry.operators.sparse_index import SparseIndex
 from docketry.plans import workloads
 from docketry.sources import files
+from docketry.sources.scratch import shared_folder
 from docketry.streaming import streams
 
 QUERIES: dict = {}
@@ -515,6 +519,22 @@ def points(spark, d):
     return docs.join(embedded_docs(spark, d), "id", "left").withColumn("doc_id", F.col("id"))
 
 
+#: Indexes that were written in this session, by what they were made of.
+INDEXES: dict = {}
+POINT = "struct<doc_id:string,source:string,doc_type:string,entities:array<string>,contains_pii:boolean>"
+
+
+def stored_index(spark, d, corpus=None):
+    """The index of the documents (of one corpus), written once a session and searched by all queries over it."""
+    key = spark.sparkContext.applicationId, d, corpus
+    if key not in INDEXES:
+        index = SparseIndex(spark, f"{shared_folder(spark)}/docketry/index-{uuid.uuid4().hex}", payload=POINT)
+        docs = documents(spark, d).withColumn("entities", F.array("source")).withColumn("doc_id", F.col("id"))
+        index.add(docs if corpus is None else docs.where(F.col("corpus") == corpus))
+        INDEXES[key] = index.store.path
+    return SparseIndex(spark, INDEXES[key])
+
+
 def asked(spark, d):
     b = table(spark, d, "benchmark").select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("id"), "text", F.col("item_id").cast("string").alias("vec"))
     return b.join(embedded_docs(spark, d).select(F.col("id").alias("vec"), "embedding"), "vec", "left").drop("vec")
@@ -539,9 +559,7 @@ def r3_term_idf(spark, d):
 
 @query
 def r4_sparse_search(spark, d):
-    docs = documents(spark, d)
-    postings = search.sparse_postings(docs)
-    return search.sparse_search(asked(spark, d), postings, search.term_idf(postings, docs), 10).select("query_id", "chunk_id", "rank", F.round("score", 4).alias("score"))
+    return stored_index(spark, d).search(asked(spark, d), 10).select("query_id", "chunk_id", "rank", F.round("score", 4).alias("score"))
 
 
 @query
@@ -556,11 +574,8 @@ def r6_apply_filters(spark, d):
 
 
 def legs(spark, d):
-    docs = documents(spark, d)
-    postings = search.sparse_postings(docs)
-    v = embedded_docs(spark, d)
     q = asked(spark, d)
-    return search.sparse_search(q, postings, search.term_idf(postings, docs)), search.dense_search(q.where("embedding IS NOT NULL"), v)
+    return stored_index(spark, d).search(q), search.dense_search(q.where("embedding IS NOT NULL"), embedded_docs(spark, d))
 
 
 @query
@@ -571,7 +586,7 @@ def r7_rrf_fuse(spark, d):
 @query
 def r8_hybrid_search(spark, d):
     p = points(spark, d).where("corpus = 'documents'")
-    return search.hybrid_search(asked(spark, d), p).select("query_id", "chunk_id", "rank", "score")
+    return search.hybrid_search(asked(spark, d), stored_index(spark, d, "documents"), p).select("query_id", "chunk_id", "rank", "score")
 
 
 @query
@@ -587,18 +602,11 @@ def hits_of(spark, d):
     return legs(spark, d)[0].join(docs, "chunk_id")
 
 
-def scores(spark, d):
-    """Sparse scores of all texts, with their document."""
-    docs = documents(spark, d)
-    postings = search.sparse_postings(docs)
-    return search.sparse_scores(asked(spark, d), postings, search.term_idf(postings, docs)).join(docs.select(F.col("id").alias("chunk_id"), "source"), "chunk_id")
-
-
 @query
 def r10_entity_search(spark, d):
-    found = scores(spark, d)
-    by = [F.desc("score"), F.col("chunk_id")]
-    return search.entity_search(search.ranked(found.where("source = 'src1'"), by), search.ranked(found, by).where("rank <= 30")).select("query_id", "chunk_id", "rank", "stage")
+    index, q = stored_index(spark, d), asked(spark, d)
+    own = index.search(q, 10, search.passes(entity="src1", include_pii=True))
+    return search.entity_search(own, index.search(q, 30)).select("query_id", "chunk_id", "rank", "stage")
 
 
 @query
@@ -609,9 +617,8 @@ def r11_depth_by_intent(spark, d):
 
 @query
 def r12_search_in_documents(spark, d):
-    found = scores(spark, d).withColumnRenamed("source", "doc_id")
-    pairs = table(spark, d, "benchmark").select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("query_id"), F.explode(F.array(F.lit("src0"), F.lit("src2"), F.lit("src5"))).alias("doc_id"))
-    return search.search_in_documents(found, pairs, 2).select("query_id", "chunk_id", "rank")
+    pairs = table(spark, d, "benchmark").select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("query_id"), F.explode(F.array(F.lit("src0"), F.lit("src2"), F.lit("src5"))).alias("source"))
+    return search.search_in_documents(stored_index(spark, d), asked(spark, d), pairs, 2, "source").select("query_id", "chunk_id", "rank")
 
 
 def regulated(spark, d):
@@ -780,8 +787,12 @@ def a4_unit_rollup(spark, d):
 
 @query
 def a5_routing_inconsistencies(spark, d):
-    out = registry.routing_inconsistencies(workflow(spark, d))
-    return out.select("routing_key", joined("services").alias("services"), F.md5(joined(F.transform("files", lambda f: F.concat_ws("=", f["filename"], f["service"])))).alias("files"))
+    return registry.routing_inconsistencies(workflow(spark, d)).withColumn("services", joined("services"))
+
+
+@query
+def a5_inconsistent_files(spark, d):
+    return registry.inconsistent_files(workflow(spark, d))
 
 
 @query
@@ -1034,7 +1045,8 @@ def w5_split_official(spark, d):
 @query
 def p1_search_files(spark, d):
     docs = structured(spark, d)
-    out = workloads.search_files(asked(spark, d), docs, workloads.index_corpus(docs), 10)
+    index = workloads.index_corpus(docs, f"{shared_folder(spark)}/docketry/files-{uuid.uuid4().hex}")
+    out = workloads.search_files(asked(spark, d), docs, index, 10)
     return out.select("query_id", "filename", F.round("score", 3).alias("score"), "n_hits")
 
 

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from docketry.operators import chunking
-from docketry.operators.registry import RANKS, rank_of
+from docketry.operators.registry import RANKS, apply_status, detect_changes, rank_of, upsert_documents
+from docketry.sources import versions
+from docketry.sources.files import scan_files, with_file_identity
+from docketry.sources.versions import Change, Store
 
 
 def lifecycle_state(events: DataFrame) -> DataFrame:
@@ -37,21 +44,203 @@ def pending_jobs(events: DataFrame) -> DataFrame:
     return events.withColumn("runs", (F.col("event") == "queued") & (before.isNull() | (before == "done"))).where("runs").drop("runs")
 
 
-def dedupe_jobs(stream: DataFrame, within: str = "1 hour") -> DataFrame:
-    """On a stream: one row a job within the watermark."""
-    return stream.withWatermark("ts", within).dropDuplicatesWithinWatermark(["job_id"])
+class _InOrder(StatefulProcessor):
+    """Events of a key, handed on in the order of their times once the watermark has passed them.
+
+    What the order of arrival or the cut into micro-batches is makes no difference to the result. Held are events that the
+    watermark has not reached; a subclass keeps what it must know of the earlier ones, and says so in ``settled``.
+    """
+
+    event = "string"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", "us bigint, event string", "n int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            for us, event in zip(_micros(pdf["ts"]), self.named(pdf)):
+                self.held.updateValue((us, event), (1,))
+                # a timer is in whole milliseconds: the first that is not before the event
+                self.handle.registerTimer(-(-us // 1000))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # all that the watermark has passed, whichever timer is the first to say so
+        now = timerValues.getCurrentWatermarkInMs()
+        due = sorted((us, event) for us, event in self.held.keys() if -(-us // 1000) <= now)
+        for k in due:
+            self.held.removeKey(k)
+        yield from self.settled(key, due, now)
+
+    def named(self, pdf: pd.DataFrame) -> list[str]:
+        return pdf["event"].tolist()
+
+    def close(self) -> None:
+        pass
+
+
+def _micros(ts: pd.Series) -> list[int]:
+    return ts.astype("datetime64[us]").astype("int64").tolist()
+
+
+class _Jobs(_InOrder):
+    """A request runs where no earlier one is pending; ``done`` ends what is pending. Kept is one row for each pending job."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.pending = handle.getValueState("pending", "since bigint")
+
+    def settled(self, key, due: list[tuple[int, str]], now: int) -> Iterator[pd.DataFrame]:
+        runs, pending = [], self.pending.exists()
+        before = pending
+        since = self.pending.get()[0] if pending else None
+        for us, event in due:
+            if event == "queued" and not pending:
+                runs.append(us)
+                pending, since = True, us
+            elif event == "done":
+                pending = False
+        if pending:
+            self.pending.update((since,))
+        elif before:
+            self.pending.clear()
+        if runs:
+            yield pd.DataFrame({"job_id": [key[0]] * len(runs), "ts": pd.to_datetime(runs, unit="us"), "event": ["queued"] * len(runs)})
+
+
+class _Sessions(_InOrder):
+    """The first upload of a pair attaches it for a time; uploads meanwhile change nothing, one after it attaches it anew."""
+
+    hours = 12
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.until = handle.getValueState("until", "us bigint")
+
+    def named(self, pdf: pd.DataFrame) -> list[str]:
+        return [""] * len(pdf)
+
+    def settled(self, key, due: list[tuple[int, str]], now: int) -> Iterator[pd.DataFrame]:
+        until, ended = (self.until.get()[0] if self.until.exists() else None), []
+        before = until
+        for us, _ in due:
+            if until is not None and us >= until:
+                ended.append(until)
+                until = None
+            if until is None:
+                until = us + self.hours * 3_600_000_000
+                self.handle.registerTimer(-(-until // 1000))
+        if until is not None and -(-until // 1000) <= now:
+            ended.append(until)
+            until = None
+        if until is not None:
+            self.until.update((until,))
+        elif before is not None:
+            self.until.clear()
+        if ended:
+            yield pd.DataFrame({"session_id": [key[0]] * len(ended), "document_id": [key[1]] * len(ended), "expires_at": pd.to_datetime(ended, unit="us")})
+
+
+#: The state store that keyed state with timers needs; set for the session before a stream starts.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _kind(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.simpleString()
+
+
+def dedupe_jobs(stream: DataFrame, late: str = "1 minute") -> DataFrame:
+    """``pending_jobs`` on a stream of ``job_id, ts, event``: the requests to run, whatever the micro-batches.
+
+    A request is answered when the watermark (``late`` behind the newest event) has passed it. Nulls and other events are left out.
+    """
+    stream.sparkSession.conf.set(*STATE_STORE)
+    rows = stream.select("job_id", "ts", "event").where("job_id IS NOT NULL AND ts IS NOT NULL AND event IN ('queued', 'done')").withWatermark("ts", late)
+    return rows.groupBy("job_id").transformWithStateInPandas(_Jobs(), f"job_id {_kind(stream, 'job_id')}, ts timestamp, event string", "Append", "EventTime")
+
+
+def session_expiries(events: DataFrame, ttl_hours: int = 12) -> DataFrame:
+    """``session_id, document_id, expires_at``: each attachment of a pair when it ends. An upload while one lasts changes nothing,
+    one after its end begins the next. A pair's own uploads are sorted in one row."""
+    times = F.sort_array(F.collect_set(F.unix_micros("ts")))
+    span = ttl_hours * 3_600_000_000
+    begun = F.aggregate(times, F.array().cast("array<bigint>"), lambda a, t: F.when((F.size(a) > 0) & (t < F.try_element_at(a, F.lit(-1))), a).otherwise(F.concat(a, F.array(t + span))))
+    rows = events.where("session_id IS NOT NULL AND document_id IS NOT NULL AND ts IS NOT NULL").groupBy("session_id", "document_id").agg(begun.alias("ends"))
+    return rows.select("session_id", "document_id", F.explode("ends").alias("us")).select("session_id", "document_id", F.timestamp_micros("us").alias("expires_at"))
+
+
+def expire_sessions(stream: DataFrame, ttl_hours: int = 12, late: str = "1 minute") -> DataFrame:
+    """``session_expiries`` on a stream: a row when an attachment ends, after which nothing of it is kept."""
+    stream.sparkSession.conf.set(*STATE_STORE)
+    processor = _Sessions()
+    processor.hours = ttl_hours
+    rows = stream.select("session_id", "document_id", "ts").where("session_id IS NOT NULL AND document_id IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", late)
+    kinds = f"session_id {_kind(stream, 'session_id')}, document_id {_kind(stream, 'document_id')}, expires_at timestamp"
+    return rows.groupBy("session_id", "document_id").transformWithStateInPandas(processor, kinds, "Append", "EventTime")
+
+
+# arrivals
+
+
+REGISTRY = "id string, path string, filename string, format string, size_bytes bigint, hash string, status string, error string, created_at timestamp, updated_at timestamp"
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
+def document_store(spark: SparkSession, path: str, buckets: int = 64) -> Store:
+    """The registry (by path) and the chunks (by document) of ingested files, under one manifest."""
+    return Store(spark, path, {"registry": (REGISTRY, "path", buckets), "chunks": (chunking.CHUNKS, "doc_id", buckets)})
+
+
+def ingest_files(store: Store, arrivals: DataFrame, now: Column | None = None, batch: tuple[str, int] | None = None, document_path: Column | None = None) -> int:
+    """Text files (``path, modificationTime, length, content``) into registry and chunks, as one version; returns its number.
+
+    Of several arrivals of one document the newest counts. What is known with the same hash and parsed is left alone. New files get a row,
+    changed ones keep id and creation time (S5), and the chunks of both give way to those of the new text (S7). ``document_path`` tells
+    a document from the path of its arrival, where new states of a document arrive under other names. Bytes that are no UTF-8 become U+FFFD.
+    """
+    now = F.current_timestamp() if now is None else now
+    named = arrivals.withColumn("path", document_path) if document_path is not None else arrivals
+    newest = named.groupBy("path").agg(F.max_by(F.struct("length", "content"), F.struct("modificationTime", F.sha2("content", 256))).alias("f")).select("path", "f.*")
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    rows = with_file_identity(newest).withColumnRenamed("job_id", "id").join(newest.select("path", text.alias("text")), "path")
+    # written once: what is read of a file must be the same for the registry and the chunks
+    came = store.staged(rows.withColumn("now", now))
+    if came.isEmpty():
+        return store.version()
+
+    def changes(store: Store) -> list[Change]:
+        known = store.rows_of("registry", came.select("path"))
+        work = detect_changes(came, known).where("change <> 'unchanged'").drop("change")
+        work = work.join(known.select("path", F.col("id").alias("known_id")), "path", "left").withColumn("id", F.coalesce("known_id", "id")).drop("known_id")
+        parsed = work.select("id", F.lit("parsed").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("parsed_path"))
+        stamp = F.lit(came.agg(F.max("now")).first()[0])
+
+        def merged(old: DataFrame, new: DataFrame) -> DataFrame:
+            return apply_status(upsert_documents(old, new, stamp).withColumn("parsed_path", F.lit(None).cast("string")), parsed)
+
+        fresh = chunking.chunk_documents(work.select("id", "filename", "text"))
+        docs = work.select(F.col("id").alias("doc_id"))
+        return [versions.upsert("registry", "path", work.drop("text", "now"), merged), versions.replace("chunks", "doc_id", docs, fresh)]
+
+    return store.commit(changes, batch)
+
+
+def ingest_folder(store: Store, folder: str, batch: tuple[str, int] | None = None) -> int:
+    """One pass over a folder: files that are new or have changed since the last one."""
+    return ingest_files(store, scan_files(store.spark, folder, (".txt", ".md")), batch=batch)
 
 
-def ingest_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, max_files: int = 1000):
-    """Text files that arrive in ``folder`` become registry rows and chunks under ``out``; returns the query.
+def ingest_stream(store: Store, folder: str, checkpoint: str, name: str = "arrivals", max_files: int = 1000, document_path: Column | None = None):
+    """Text files that arrive in ``folder`` become registry rows and chunks; returns the query.
 
-    Each batch is written under its own number, so a batch that runs again replaces what it wrote.
+    Each micro-batch is one version of the store and carries its number under ``name``: one that is run again changes nothing, one
+    that fails leaves the last version. A file source takes a path once; files rewritten in place are the work of ``ingest_folder``, and
+    new states that arrive under new paths are told by ``document_path``.
     """
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md}").load(folder)
+    files = store.spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md}").load(folder)
 
     def write(batch: DataFrame, number: int) -> None:
-        docs = batch.select(F.sha1("path").alias("id"), "path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.sha2("content", 256).alias("hash"), F.col("length").alias("size_bytes"), F.decode("content", "UTF-8").alias("text"))
-        docs.select("id", "path", "filename", "hash", "size_bytes", F.lit("parsed").alias("status")).write.mode("overwrite").parquet(f"{out}/registry/batch={number}")
-        chunking.chunk_documents(docs).write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
+        ingest_files(store, batch, batch=(name, number), document_path=document_path)
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
