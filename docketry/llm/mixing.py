@@ -1,17 +1,17 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Documents of a source are put in a random but fixed order and cut into blocks. With weight w a source is due its
-j-th block (from 0) between ``j / w`` and ``(j + 1) / w`` of a virtual time that all sources share. In the order of the
-middles of these windows the blocks are dealt to periods of ``PERIOD`` slots, so at the end of each period every
-source has had its due number of blocks, to the nearest whole. Within a period of n slots a source with q blocks has the share q / n: its
-block i is released at slot ``floor(i n / q)`` and due by slot ``ceil((i + 1) n / q)``, and each slot goes to the released
-block with the earliest deadline (ties: the earlier release, then the source's name). The shares sum to one, so every
-deadline is met: after t slots of a period a source has had more than ``t q / n - 1`` and less than ``t q / n + 1`` blocks.
-Rounding to whole blocks at the ends of periods is never carried on, so the mix stays within one and a half blocks of the exact weights.
-
-A source without blocks left is in no further period, and the others share its slots by their weights. Every document is
-placed once, none is dropped or repeated. Periods are scheduled side by side, each from its own rows alone, so the
-number of sources has no bound and nothing goes through the driver.
+Documents of a source are put in a random but fixed order and cut into blocks. Shares are exact at any size of the table: at a
+virtual time v a source has been due ``weight * v`` blocks, or all it has; the slot in which v falls is the sum of that over all sources, so a source
+that runs dry leaves its slots to the others by their weights. A source's block j (from 0) is released at the slot in which it begins to be due
+(rounded down) and must be served before the slot in which it is due whole (rounded up), and each slot goes to the released
+block with the earliest deadline (ties: the earlier release, then the source's name, then the block). What is due adds up to one block a slot, so all
+deadlines are met: after any number of slots, a source is less than one block away from its exact share.
+
+Periods of ``PERIOD`` slots are scheduled side by side. A period has to know which of the blocks whose windows reach into it were served
+before. It first takes those with the earliest deadlines, as many as the exact shares say; where the period before ends otherwise, it is run
+again, until each begins where the one before ends. That is the one schedule over all slots: each round settles one more period at least, and
+as a period holds many windows of most sources, few rounds change anything. Every document is placed once, none is dropped or
+repeated; nothing goes through the driver, and the number of sources has no bound.
 
 The order within a source comes from hash buckets of id and text: their counts, summed up, give each bucket its first rank, and
 only a bucket is ever sorted in one task. So a source with a third of all rows is dealt to many tasks. Whole rows are shuffled once.
@@ -30,12 +30,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm._shared import stored
+from docketry.llm._shared import discarded, stored
 
 BLOCK = 16
 #: Slots of a period: what one task schedules at a time.
-PERIOD = 4096
-#: Documents that one hash bucket of a source should hold, and blocks of one range of the virtual time.
+PERIOD = 1 << 17
+#: Documents that one hash bucket of a source should hold, and rows of one range of the virtual time.
 BUCKET_ROWS, RANGE_BLOCKS = 2000, 1 << 16
 NO_SOURCE = "\u0000"
 
@@ -49,55 +49,88 @@ def tempered(docs: DataFrame, alpha: float = 0.7) -> DataFrame:
     return docs.groupBy(source_of(docs).alias("source")).agg(F.pow(F.count("*").cast("double"), F.lit(alpha)).alias("weight"))
 
 
-def schedule(quotas: Mapping[str, int]) -> list[str]:
-    """Earliest deadline first over one period: the source of each slot."""
-    n = sum(quotas.values())
-    waiting = [(0, -(-n // q), s, 0) for s, q in quotas.items()]  # release, deadline, source, block
-    heapq.heapify(waiting)
+def shares(blocks: DataFrame) -> DataFrame:
+    """``source, block, size, release, due`` of every block (``source, block, size, weight, last``): the slots of its window.
+
+    At a virtual time v that all sources share, a source has been due ``min(its blocks, weight * v)``; the sum over all sources is the slot in which v
+    falls. It needs the sources that have run dry before v (their blocks) and those that have not (their weights): sums in the order of v, kept
+    by ranges of v, so nothing of it depends on the number of sources.
+    """
+    ends = F.array(F.struct(F.col("block").alias("at"), F.lit(0).alias("end")), F.struct((F.col("block") + 1).alias("at"), F.lit(1).alias("end")))
+    rows = blocks.select("*", F.explode(ends).alias("e")).select("source", "block", "size", "weight", "e.end", (F.col("e.at") / F.col("weight")).alias("v"), F.when(F.col("last") & (F.col("e.end") == 1), F.col("e.at")).alias("dry"))
+    order = ["v", "source", "block", "end"]
+    parts = max(1, -(-2 * blocks.count() // RANGE_BLOCKS))
+    # written with their ranges, as the bounds of ranges are drawn anew each time they are asked for
+    ranges = stored(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "ranges")
+    sums = ranges.groupBy("part").agg(F.coalesce(F.sum("dry"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("dry").isNotNull(), F.col("weight"))), F.lit(0.0)).alias("w"))
+    # a row for each 65536 rows; weights are summed up from the end, so that what is left is never a small difference of large sums
+    before, after = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"), F.coalesce(F.sum("w").over(after), F.lit(0.0)).alias("w_after"))
+    up, down = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("part").orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    done = F.col("n_before") + F.coalesce(F.sum("dry").over(up), F.lit(0))
+    left = F.col("w_after") + F.coalesce(F.sum(F.when(F.col("dry").isNotNull(), F.col("weight"))).over(down), F.lit(0.0))
+    slot = done + F.col("v") * left
+    slack = F.greatest(F.lit(1e-6), slot * 1e-13)
+    edge = F.when(F.col("end") == 0, F.floor(slot + slack)).otherwise(F.ceil(slot - slack))
+    edges = ranges.join(sums, "part").select("source", "block", "size", "end", edge.cast("long").alias("edge"))
+    return edges.groupBy("source", "block").agg(F.max("size").alias("size"), F.min(F.when(F.col("end") == 0, F.col("edge"))).alias("release"), F.max(F.when(F.col("end") == 1, F.col("edge"))).alias("due"))
+
+
+def earliest_first(jobs: list[tuple[int, int, str, int]], begin: int, end: int) -> list[int]:
+    """For the slots ``begin .. end - 1``: which of the jobs ``(due, release, source, block)`` has it, the released one that is due first."""
+    order = sorted(range(len(jobs)), key=lambda i: jobs[i][1])
     released: list = []
-    out = []
-    for t in range(n):
-        while waiting and waiting[0][0] <= t:
-            release, due, s, i = heapq.heappop(waiting)
-            heapq.heappush(released, (due, release, s, i))
-        due, _, s, i = heapq.heappop(released)
-        if t >= due:
-            raise AssertionError("a deadline was missed")
-        out.append(s)
-        if i + 1 < quotas[s]:
-            heapq.heappush(waiting, ((i + 1) * n // quotas[s], -(-(i + 2) * n // quotas[s]), s, i + 1))
+    out, at = [], 0
+    for t in range(begin, end):
+        while at < len(order) and jobs[order[at]][1] <= t:
+            heapq.heappush(released, (jobs[order[at]], order[at]))
+            at += 1
+        if not released:
+            break
+        out.append(heapq.heappop(released)[1])
     return out
 
 
+RAN = "period long, source string, block long, size long, release long, due long, done boolean, slot long"
+
+
 def slots_of(blocks: DataFrame, period: int) -> DataFrame:
-    """``source, block, slot, position`` of every block (``source, block, size, at``: its middle in virtual time)."""
-    order = ["at", F.xxhash64("source"), "source", "block"]
-    parts = max(1, -(-blocks.count() // RANGE_BLOCKS))
-    # written with their ranges, as the bounds of ranges are drawn anew each time they are asked for
-    ranges = stored(blocks.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "ranges")
-    sizes = ranges.groupBy("part").agg(F.count("*").alias("n"))
-    # a row for each 65536 blocks
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    nth = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
-    ranked = ranges.withColumn("nth", nth).join(before, "part").withColumn("period", F.floor((F.col("before") + F.col("nth")) / period).cast("long"))
+    """``source, block, slot, position`` of every block (``source, block, size, weight, last``)."""
+    windows = stored(shares(blocks), "windows")
+    turn = F.explode(F.sequence(F.floor(F.col("release") / period), F.floor((F.col("due") - 1) / period))).alias("period")
+    jobs = windows.select(turn, "*").withColumn("came", F.col("release") < F.col("period") * period)
+    # how many of the blocks that a period takes over have been served: the slots before it, less the blocks that were due by then
+    due = windows.groupBy(F.ceil(F.col("due") / period).alias("period")).agg(F.count("*").alias("n"))
+    due = due.select("period", F.sum("n").over(Window.orderBy("period")).alias("served"))  # a row for each period
+    rank = F.row_number().over(Window.partitionBy("period", "came").orderBy("due", "release", "source", "block"))
+    jobs = jobs.join(due, "period", "left").withColumn("done", F.col("came") & (rank <= F.col("period") * period - F.coalesce("served", F.lit(0))))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["source", "block"])
-        quotas = rows.groupby("source").size().to_dict()
-        turns: dict[str, list[int]] = {}
-        for t, s in enumerate(schedule(quotas)):
-            turns.setdefault(s, []).append(t)
-        rows["turn"] = [t for s in sorted(turns) for t in turns[s]]
-        rows = rows.sort_values("turn")
-        rows["before"] = rows["size"].cumsum() - rows["size"]
-        return rows[["source", "block", "period", "turn", "before", "size"]]
-
-    turns = ranked.select("source", "block", "size", "period").groupBy("period").applyInPandas(run, "source string, block long, period long, turn long, before long, size long")
-    turns = stored(turns, "turns")
-    # a row for each period
+        begin = int(rows["period"].iloc[0]) * period
+        open_ = rows[~rows["done"]]
+        served = earliest_first(list(zip(open_["due"].tolist(), open_["release"].tolist(), open_["source"].tolist(), open_["block"].tolist())), begin, begin + period)
+        slot = pd.Series(pd.array([None] * len(rows), "Int64"), index=rows.index)
+        slot.loc[open_.index[served]] = range(begin, begin + len(served))
+        return rows.assign(slot=slot)[["period", "source", "block", "size", "release", "due", "done", "slot"]]
+
+    kept = ["period", "source", "block", "size", "release", "due", "done"]
+    ran = stored(jobs.select(*kept).groupBy("period").applyInPandas(run, RAN), "ran")
+    while True:
+        # a period begins where the one before it ends; those that began elsewhere are run again
+        ends = ran.select((F.col("period") + 1).alias("period"), "source", "block", (F.col("done") | F.col("slot").isNotNull()).alias("ended"))
+        began = ran.join(ends, ["period", "source", "block"], "left").withColumn("ended", F.coalesce("ended", F.lit(False)))
+        wrong = stored(began.where("ended <> done").select("period").distinct(), "wrong")
+        if wrong.isEmpty():
+            break
+        again = began.join(wrong, "period", "left_semi").withColumn("done", F.col("ended")).select(*kept)
+        before, ran = ran, stored(ran.join(wrong, "period", "left_anti").unionByName(again.groupBy("period").applyInPandas(run, RAN)), "ran")
+        discarded(before)
+    late = F.when(F.col("slot") < F.col("due"), F.col("slot")).otherwise(F.raise_error(F.lit("a deadline was missed")).cast("long"))
+    turns = ran.where("slot IS NOT NULL").select("source", "block", "size", "period", late.alias("slot"))
     sizes = turns.groupBy("period").agg(F.sum("size").alias("n"))
-    begins = sizes.select("period", (F.sum("n").over(Window.orderBy("period")) - F.col("n")).alias("begin"))
-    return turns.join(begins, "period").select("source", "block", (F.col("period") * period + F.col("turn")).alias("slot"), (F.col("begin") + F.col("before")).alias("position"))
+    begins = sizes.select("period", (F.sum("n").over(Window.orderBy("period")) - F.col("n")).alias("begin"))  # a row for each period
+    ahead = F.sum("size").over(Window.partitionBy("period").orderBy("slot")) - F.col("size")
+    return turns.withColumn("ahead", ahead).join(begins, "period").select("source", "block", "slot", (F.col("begin") + F.col("ahead")).alias("position"))
 
 
 def mixed(docs: DataFrame, weights: DataFrame | Mapping[str, float], block: int = BLOCK, period: int = PERIOD, default_weight: float = 1.0) -> DataFrame:
@@ -132,7 +165,8 @@ def placed(rows: DataFrame, weights: DataFrame, block: int = BLOCK, period: int
     blocks = begins.where(first <= last).select("source", "size", F.explode(F.sequence(first, last)).alias("block")).join(weights, "source", "left")
     weight = F.coalesce("weight", F.lit(float(default_weight)))
     weight = F.when(weight > 0, weight).otherwise(F.raise_error(F.lit("weights must be positive")).cast("double"))
-    slots = slots_of(blocks.select("source", "block", F.least(F.lit(block), F.col("size") - F.col("block") * block).alias("size"), ((F.col("block") + 0.5) / weight).alias("at")), period)
+    own = F.col("size") - F.col("block") * block
+    slots = stored(slots_of(stored(blocks.select("source", "block", F.least(F.lit(block), own).alias("size"), weight.alias("weight"), (own <= block).alias("last")), "blocks"), period), "slots")
 
     # each bucket with the places of its blocks, in order
     held = begins.select("source", "bucket", "before", F.explode(F.sequence(F.floor(F.col("before") / block), last)).alias("block")).join(slots, ["source", "block"])

@@ -40,9 +40,9 @@ from docketry.llm._words import ALNUM, Words, sliced
 
 TOP = 10
 #: Text and documents of one shard; a longer text is a shard of its own.
-SHARD_BYTES, SHARD_DOCS = 4 << 20, 8192
+SHARD_BYTES, SHARD_DOCS = 3 << 19, 8192
 #: Documents of a block of a posting list.
-BLOCK = 64
+BLOCK = 32
 #: Unit of the summaries: an impact is below a million, so a summary fits a byte.
 UNIT = 4096
 #: Terms of the queries that are sent to all tasks at once.
@@ -50,11 +50,11 @@ QUERY_TERMS = 1 << 16
 SHARD = {
     "ids": np.int64, "n": np.int64,  # documents and their lengths
     "terms": np.uint64,  # all terms of the shard, sorted
-    "own_first": np.int64, "own_term": np.int32, "own_tf": np.int32,  # by document: its terms (their places) and how often
+    "own_first": np.int32, "own_term": np.int32, "own_tf": np.int32,  # by document: its terms (their places) and how often
 }
 LISTS = {
     "most": np.int32,  # by term: largest impact
-    "first": np.int64, "docs": np.int32, "impacts": np.int32,  # by term: its documents, in blocks; by document: impacts
+    "first": np.int32, "docs": np.uint16, "impacts": np.int32,  # by term: its documents, in blocks; by document: impacts
     "long": np.int32, "block_first": np.int32, "summaries": np.uint8,  # terms with long lists, where their blocks begin, a row a block
 }
 
@@ -199,7 +199,7 @@ def document_frequencies(index: Index, wanted: np.ndarray) -> np.ndarray:
         df = np.zeros(len(terms), np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
-                shard = unpacked(batch, i, {"terms": np.uint64, "first": np.int64})
+                shard = unpacked(batch, i, {"terms": np.uint64, "first": np.int32})
                 at = np.minimum(np.searchsorted(shard["terms"], terms), len(shard["terms"]) - 1)
                 df += np.where(shard["terms"][at] == terms, np.diff(shard["first"])[at], 0)
         some = np.flatnonzero(df)

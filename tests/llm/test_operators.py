@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -382,42 +383,65 @@ def test_chat(spark):
     assert all(w.n_tokens <= chat.BUDGET + 2 * chat.HISTORY + 800 or w.conv_id == 77 for w in windows)
 
 
-def brute_mix(sizes, weights, block, period):
-    """Slots by the definition: nothing but lists, searched through."""
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
-    tie = {r.s: r.h for r in spark.createDataFrame([(s,) for s in sizes], "s string").select("s", F.xxhash64("s").alias("h")).collect()}
-    blocks = sorted(((j + 0.5) / weights[s], tie[s], s, j) for s, n in sizes.items() for j in range(-(-n // block)))
-    slots = {}
-    for begin in range(0, len(blocks), period):
-        part = sorted((s, j) for _, _, s, j in blocks[begin : begin + period])
-        n, jobs, quotas = len(part), [], collections.Counter(s for s, _ in part)
-        nth = collections.Counter()
-        for s, j in part:
-            i, q = nth[s], quotas[s]
-            jobs.append((-(-(i + 1) * n // q), i * n // q, s, j))
-            nth[s] += 1
-        given = collections.Counter()
-        for t in range(n):
-            best = min(x for x in jobs if x[1] <= t)
-            assert t < best[0]
-            jobs.remove(best)
-            slots[best[2], best[3]] = begin + t
-            given[best[2]] += 1
-            assert all(abs(given[s] - quotas[s] * (t + 1) / n) < 1 for s in quotas)
+def exact_shares(blocks, weights, times):
+    """How many blocks each source is due after each number of slots: shares by weight, phase by phase, until sources run dry."""
+    left, due, out, t = dict(blocks), dict.fromkeys(blocks, Fraction(0)), [], Fraction(0)
+    times = sorted(times)
+    while times:
+        active = {s: Fraction(weights[s]) for s, n in left.items() if due[s] < n}
+        if not active:
+            return out + [dict(due) for _ in times]
+        total = sum(active.values())
+        ends = t + min((left[s] - due[s]) * total / w for s, w in active.items())
+        while times and times[0] <= ends:
+            out.append({s: d + (active[s] / total * (times[0] - t) if s in active else 0) for s, d in due.items()})
+            times.pop(0)
+        for s, w in active.items():
+            due[s] += w / total * (ends - t)
+        t = ends
+    return out
+
+
+def brute_mix(blocks, weights):
+    """Slots by the definition: at each slot, of the blocks that have begun to be due the one that is due whole first."""
+    total = sum(blocks.values())
+    shares = exact_shares(blocks, weights, range(total + 1))
+    release = {(s, j): next(t for t in range(total) if shares[t + 1][s] > j) for s, n in blocks.items() for j in range(n)}
+    due = {(s, j): next(t for t in range(total + 1) if shares[t][s] >= j + 1) for s, n in blocks.items() for j in range(n)}
+    given, slots = dict.fromkeys(blocks, 0), {}
+    for t in range(total):
+        s, j = min(((s, j) for s, j in given.items() if j < blocks[s] and release[s, j] <= t), key=lambda x: (due[x], release[x], *x))
+        slots[s, j] = t
+        given[s] += 1
     return slots
 
 
+def lag(slots, blocks, weights, every=1):
+    """The largest distance of a source from its exact share, after any number of slots."""
+    order = [s for s, _ in sorted(slots, key=slots.get)]
+    assert sorted(slots.values()) == list(range(len(order)))
+    times = range(0, len(order) + 1, every)
+    given, worst, at = dict.fromkeys(blocks, 0), 0, 0
+    for t, shares in zip(times, exact_shares(blocks, weights, times)):
+        for s in order[at:t]:
+            given[s] += 1
+        at = t
+        worst = max(worst, max(abs(given[s] - shares[s]) for s in blocks))
+    return worst
+
+
 def test_mixing(spark, rows):
     d = docs(spark, rows)
     name = lambda s: mixing.NO_SOURCE if s is None else s
     sizes = collections.Counter(name(r.source) for r in d.collect())
-    for period in (8, 64):
+    blocks = {s: -(-n // 4) for s, n in sizes.items()}
+    weights = {s: {"s0": 5.0}.get(s, 1.0) for s in sizes}
+    slots = brute_mix(blocks, weights)
+    assert lag(slots, blocks, weights) < 1
+    for period in (3, 8, 64):
         got = mixing.mixed(d, {"s0": 5.0, "s1": 1.0}, block=4, period=period).collect()
         assert sorted(r.mix_position for r in got) == list(range(len(rows)))
         assert set(d.columns) < set(got[0].asDict())
-        slots = brute_mix(sizes, {s: {"s0": 5.0}.get(s, 1.0) for s in sizes}, 4, period)
         assert all(r.mix_slot == slots[name(r.source), r.mix_block] for r in got)
         by_place = sorted(got, key=lambda r: r.mix_position)
         assert [r.mix_slot for r in by_place] == sorted(r.mix_slot for r in got)
@@ -429,6 +453,24 @@ def test_mixing(spark, rows):
         mixing.mixed(d, {"s0": 0.0}).collect()
 
 
+@pytest.mark.parametrize(("blocks", "period", "weights"), [(10, 1 << 17, {"a": 1.0, "b": 1.0, "c": 1.0}), (690, 1 << 17, {"a": 7.3, "b": 2.1}), (690, 64, {"a": 7.3, "b": 2.1}), (690, 16, {"a": 0.01}), (100_000, 1 << 17, {"a": 7.3, "b": 2.1}), (100_000, 1 << 13, {"a": 1000.0, "b": 3.0})])
+def test_a_mix_stays_within_one_block_of_the_target_weights(spark, blocks, period, weights):
+    """Not a rule of the operator's own but the exact shares: also after sources run dry, with many sources of little weight."""
+    names = ["a", "b", *(f"s{i}" for i in range(min(30, blocks // 20)))] if blocks > 10 else ["a", "b", "c"]
+    held = {s: blocks // len(names) + (blocks % len(names) if s == "a" else 0) for s in names}
+    every = {s: weights.get(s, 1.0 / (1 + n % 7)) for n, s in enumerate(names)}
+    rows = spark.createDataFrame([(s, n) for s, n in held.items()], "source string, n long").select("source", F.explode(F.sequence(F.lit(1), "n")).alias("hash"))
+    got = mixing.placed(rows, spark.createDataFrame(list(every.items()), "source string, weight double"), block=1, period=period)
+    slots = {(s, j): t for s, j, t in got.select("source", "mix_block", "mix_slot").toPandas().itertuples(index=False)}
+    assert len(slots) == blocks and lag(slots, held, every, max(1, blocks // 5000)) < 1
+
+
+def test_other_weights_give_another_mix(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("source"), F.col("id").alias("hash"))
+    first = lambda w: mixing.placed(rows, spark.createDataFrame([("a", w), ("b", 1.0)], "source string, weight double")).where("mix_slot < 40 AND source = 'a'").select("mix_slot").distinct().count()
+    assert all(abs(first(w) - 40 * w / (1 + w)) < 1 for w in (0.1, 1.0, 3.0))
+
+
 def test_mixing_of_very_many_sources_and_of_rows_without_ids(spark):
     many = spark.range(30000).selectExpr("cast(null as long) doc_id", "concat('t', id) text", "concat('s', if(id % 3 = 0, 0, id % 12000)) source")
     got = mixing.mixed(many, mixing.tempered(many)).toPandas()
