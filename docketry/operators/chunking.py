@@ -1,7 +1,7 @@
 """Documents to parent and child chunks, their pages, and the bookkeeping around them.
 
-A document is one row and is cut in one narrow pass; nothing is shuffled. Chunk ids are digests of document id,
-kind and ordinal, so a rerun writes the same chunks.
+A Markdown document is one row and is cut in one narrow pass; nothing is shuffled. Regulations are cut by windows over their lines. Chunk
+ids are digests of document id, kind and ordinal, so a rerun writes the same chunks.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketry.functions.text import tr_lower
-from docketry.operators import _markdown, _regulation
+from docketry.operators import _markdown, regulation
 
 METADATA = "struct<part:string,chapter:string,unit:string,sub_unit:string,service:string,service_no:string,article_no:string,title:string,certain:boolean>"
 CHUNKS = f"id string, doc_id string, kind string, ordinal int, text string, section string, parent_id string, token_count int, probe string, metadata {METADATA}"
@@ -74,7 +74,7 @@ def chunk_documents(docs: DataFrame, target: int = _markdown.TARGET, largest: in
 
 def chunk_regulations(docs: DataFrame) -> DataFrame:
     """Article and service chunks of ``id, filename, text`` regulations."""
-    return _chunked(docs, lambda r: _regulation.chunks(r.id, r.filename, r.text))
+    return regulation.chunks(docs, infer_article_numbers(parse_articles(docs)))
 
 
 def _chunked(docs: DataFrame, cut) -> DataFrame:
@@ -95,13 +95,7 @@ def _chunked(docs: DataFrame, cut) -> DataFrame:
 
 def parse_articles(docs: DataFrame) -> DataFrame:
     """Articles as they stand, before numbers are inferred: ``doc_id, pos, title, part, chapter, number, body``."""
-
-    def run(frames):
-        for pdf in frames:
-            rows = [{"doc_id": r.id, "pos": i, "title": a.title, "part": a.part, "chapter": a.chapter, "number": a.number, "body": a.body} for r in pdf.itertuples() for i, a in enumerate(_regulation.articles(r.text))]
-            yield _rows(["doc_id", "pos", "title", "part", "chapter", "number", "body"], rows).astype({"number": "Int32"})
-
-    return _input(docs).mapInPandas(run, "doc_id string, pos int, title string, part string, chapter string, number int, body array<string>")
+    return regulation.articles(docs)
 
 
 def infer_article_numbers(articles: DataFrame) -> DataFrame:
@@ -124,17 +118,7 @@ def infer_article_numbers(articles: DataFrame) -> DataFrame:
 
 def split_segments(articles: DataFrame) -> DataFrame:
     """Segments of ``doc_id, pos, body`` articles."""
-
-    def run(frames):
-        for pdf in frames:
-            rows = [
-                {"doc_id": r.doc_id, "pos": r.pos, "segment": i, "unit": s.unit, "sub_unit": s.sub_unit, "service": s.service, "service_no": s.service_no, "markers": list(s.markers), "lines": s.lines}
-                for r in pdf.itertuples()
-                for i, s in enumerate(_regulation.segments(list(r.body)))
-            ]
-            yield _rows(["doc_id", "pos", "segment", "unit", "sub_unit", "service", "service_no", "markers", "lines"], rows)
-
-    return articles.select("doc_id", "pos", "body").mapInPandas(run, "doc_id string, pos int, segment int, unit string, sub_unit string, service string, service_no string, markers array<string>, lines array<string>")
+    return regulation.segments(articles)
 
 
 def normal_text(c) -> Column:

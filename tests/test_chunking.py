@@ -1,5 +1,4 @@
 from docketry.operators import _markdown as M
-from docketry.operators import _regulation as R
 from docketry.operators import chunking
 
 LONG = " ".join(f"Bu sözleşmenin {i + 1}. maddesi uyarınca taraflar karşılıklı yükümlülüklerini yerine getirmeyi kabul ve taahhüt eder." for i in range(60))
@@ -37,21 +36,74 @@ def test_odd_markdown():
     assert len(list(M.packed([M.Piece("paragraph", "a", None, ()), M.Piece("table", table, None, ())]))) == 2
 
 
-def test_regulation_articles():
+def regulation(spark, md):
+    """Chunks of one regulation, parents before children, in order; ids belong to the kind and ordinal."""
+    docs = spark.createDataFrame([("r", "y.md", md)], "id string, filename string, text string")
+    rows = sorted(chunking.chunk_regulations(docs).collect(), key=lambda r: (r.kind != "parent", r.ordinal))
+    for kind in ("parent", "child"):
+        own = [r for r in rows if r.kind == kind]
+        assert [r.ordinal for r in own] == list(range(len(own)))
+        assert all(r.id == M.chunk_id("r", kind, r.ordinal) for r in own)
+    assert all(r.token_count == M.tokens(r.text) and r.probe == r.text for r in rows)
+    return rows
+
+
+def read_articles(spark, md):
+    docs = spark.createDataFrame([("r", "y.md", md)], "id string, filename string, text string")
+    return [(r.title, r.part, r.chapter, r.number, r.body) for r in chunking.parse_articles(docs).orderBy("pos").collect()]
+
+
+def test_regulation_articles(spark):
     md = "## İKİNCİ KISIM Örgütlenme\n\n## İKİNCİ BÖLÜM Servislerin Görevleri\n\n## Servislerin Görevleri : Madde 11\n\nmetin\n\n## Bağlı Daireler - Madde 12\n\nbaşka\n"
-    rows = list(R.chunks("r", "y.md", md))
-    assert [r["section"] for r in rows] == ["Madde 11 - Servislerin Görevleri", "Madde 12 - Bağlı Daireler"]
-    assert rows[0]["metadata"]["part"].startswith("İKİNCİ KISIM") and rows[0]["metadata"]["chapter"].startswith("İKİNCİ BÖLÜM")
+    rows = regulation(spark, md)
+    assert [r.section for r in rows] == ["Madde 11 - Servislerin Görevleri", "Madde 12 - Bağlı Daireler"]
+    assert rows[0].metadata.part == "İKİNCİ KISIM Örgütlenme" and rows[0].metadata.chapter == "İKİNCİ BÖLÜM Servislerin Görevleri"
+    assert rows[0].text == "[Dosya: y.md > İKİNCİ KISIM Örgütlenme > İKİNCİ BÖLÜM Servislerin Görevleri > Madde 11 - Servislerin Görevleri]\nMadde 11 - Servislerin Görevleri\n\nmetin"
+
 
+def test_headings_of_parts_and_chapters(spark):
+    # a part whose name is the next heading, though text stands between; a new part ends the chapter
+    md = "## BİRİNCİ KISIM\n\nara\n\n## Genel Esaslar\n## BİRİNCİ BÖLÜM Yönetim: - Madde 13\nx\n## Üçüncü Kisim\r\n## ÜÇÜNCÜ BÖLÜM\n## Adı : Madde 3\n## Amaç - Madde 14\ny"
+    assert read_articles(spark, md) == [("Yönetim", "BİRİNCİ KISIM Genel Esaslar", "BİRİNCİ BÖLÜM Yönetim", 13, ["x"]), ("Amaç", "Üçüncü Kisim", "ÜÇÜNCÜ BÖLÜM Adı : Madde 3", 14, ["y"])]
+    both = "## BİRİNCİ KISIM İKİNCİ BÖLÜM Adlar : Madde 4\nx\n## İKİNCİ KISIM Ad - Madde 5\n## : Madde 6"
+    assert read_articles(spark, both) == [("Adlar", "BİRİNCİ KISIM", "İKİNCİ BÖLÜM Adlar", 4, ["x"]), ("Ad", "İKİNCİ KISIM", None, 5, []), ("Madde 6", "İKİNCİ KISIM", None, 6, [])]
 
-def test_services_and_inferred_numbers():
+
+def test_halves_of_titles(spark):
+    # the first half of a title is no text; any other loose heading goes to the article before, right before the next text
+    md = "## A : Madde 20\n## Servis Şeflerinin\n\n## ve Uzmanların Görevleri : Madde 22\n## Gevşek başlık\n\n\nmetin\n## genel olarak\n## Şefler : Madde 23\n## son"
+    assert read_articles(spark, md) == [("A", None, None, 20, [""]), ("Servis Şeflerinin ve Uzmanların Görevleri", None, None, 22, ["", "", "Gevşek başlık", "metin", "genel olarak"]), ("Şefler", None, None, 23, ["son"])]
+    assert read_articles(spark, "## Genel\nmetin\n<!-- image -->\n") == [] and read_articles(spark, "") == []
+    # a part or chapter on the same line leaves the half where it is
+    assert read_articles(spark, "## A - Madde 1\n## Yarım\n## BİRİNCİ BÖLÜM ve Ad : Madde 2")[0][4] == ["Yarım"]
+
+
+def test_services_and_inferred_numbers(spark):
     md = "## A : Madde 20\nx\n## Müdür Yardımcılarının Sorumlulukları :\ny\n## Servis Şeflerinin\n## ve Uzmanların Görevleri : Madde 22\nA) Ana Hizmet Birimleri\nI- Vergilendirme Bölümü\n- 1) Sicil Servisi\nkayıt\n- 2) Tecil Servisi\n"
-    rows = list(R.chunks("r", "y.md", md))
-    inferred = next(r for r in rows if r["metadata"]["article_no"] == "21")
-    assert inferred["metadata"]["certain"] is False and "turetildi" in inferred["text"]
-    assert any(r["metadata"]["title"] == "Servis Şeflerinin ve Uzmanların Görevleri" for r in rows)
-    bare = next(r for r in rows if r["metadata"]["service"] == "Tecil Servisi")
-    assert bare["text"].endswith("2) Tecil Servisi") and bare["metadata"]["unit"] == "A) Ana Hizmet Birimleri" and bare["metadata"]["service_no"] == "2"
+    rows = regulation(spark, md)
+    inferred = next(r for r in rows if r.metadata.article_no == "21")
+    assert inferred.metadata.certain is False and "turetildi" in inferred.text
+    assert any(r.metadata.title == "Servis Şeflerinin ve Uzmanların Görevleri" for r in rows)
+    bare = next(r for r in rows if r.metadata.service == "Tecil Servisi")
+    assert bare.text.endswith("2) Tecil Servisi") and bare.metadata.unit == "A) Ana Hizmet Birimleri" and bare.metadata.service_no == "2"
+    parents = [r for r in rows if r.kind == "parent"]
+    assert len(parents) == 1 and bare.parent_id == parents[0].id and inferred.parent_id is None
+    assert bare.section == "Madde 22 - Servis Şeflerinin ve Uzmanların Görevleri > Tecil Servisi"
+
+
+def test_segments_of_units(spark):
+    body = ["giriş", "A) Ana Hizmet Birimleri", "I- Vergilendirme Bölümü", "madde,", "1) Sicil Servisi", "a) masa", "B) Başka Birim", "2. Takip Servisi,", "Takip Şubesinin Görevleri", "", "C) Diğer Hizmet Birimleri", "Uzun " * 40 + "Servisi"]
+    arts = spark.createDataFrame([("r", 0, body)], "doc_id string, pos int, body array<string>")
+    got = [(r.segment, r.unit, r.sub_unit, r.service, r.service_no, r.markers, r.lines) for r in chunking.split_segments(arts).orderBy("segment").collect()]
+    a, i = "A) Ana Hizmet Birimleri", "I- Vergilendirme Bölümü"
+    assert got == [
+        (0, None, None, None, None, [], ["giriş"]),
+        (1, a, i, None, None, [a, i], ["madde,"]),
+        (2, a, i, "Sicil Servisi", None, [a, i, "Sicil Servisi"], ["a) masa"]),
+        (3, None, None, None, None, ["B) Başka Birim"], ["2. Takip Servisi,"]),
+        (4, None, None, "Takip Şubesi", None, ["Takip Şubesinin Görevleri"], ["Takip Şubesinin Görevleri"]),
+        (5, "C) Diğer Hizmet Birimleri", None, None, None, ["C) Diğer Hizmet Birimleri"], ["Uzun " * 40 + "Servisi"]),
+    ]
 
 
 def test_pages(spark):
