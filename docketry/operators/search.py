@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -94,46 +93,6 @@ def sparse_search(queries: DataFrame, postings: DataFrame, idf: DataFrame, k: in
     return ranked(sparse_scores(queries, postings, idf), [F.desc("score"), F.col("chunk_id")]).where(F.col("rank") <= k)
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, block: int = QUERY_BLOCK) -> DataFrame:
-    """Top k by cosine of ``id, embedding``: every task keeps its own best k a query, and only those are shuffled."""
-    spark, parts = vectors.sparkSession, []
-    n = queries.count()
-    rounds = max(1, -(-n // block))
-    for i in range(rounds):
-        asked = queries.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == i).select("id", "embedding").toPandas()
-        if not len(asked):
-            continue
-        names, matrix = asked["id"].to_numpy(), np.stack(asked["embedding"].to_numpy()).astype(np.float64)
-        sent = spark.sparkContext.broadcast((names, matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)))
-
-        def local(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            q_names, q = sent.value
-            for pdf in frames:
-                if not len(pdf):
-                    continue
-                v = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                by = np.argsort(pdf["id"].to_numpy(), kind="stable")
-                ids, v = pdf["id"].to_numpy()[by], v[by]
-                for a in range(0, len(q), 64):
-                    score = np.round(q[a : a + 64] @ v.T, 6)
-                    # rows stand in the order of their ids, so of equal scores the first are the ones to keep
-                    least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k, None] if len(ids) > k else score.min(axis=1, keepdims=True)
-                    for i, (s, floor) in enumerate(zip(score, least)):
-                        best = np.flatnonzero(s >= floor)
-                        best = best[np.argsort(-s[best], kind="stable")[:k]]
-                        yield pd.DataFrame({"query_id": np.repeat(q_names[a + i : a + i + 1], len(best)), "chunk_id": ids[best], "score": s[best]})
-
-        kind = vectors.schema["id"].dataType.simpleString()
-        parts.append(vectors.where("embedding IS NOT NULL").select("id", "embedding").mapInPandas(local, f"query_id {queries.schema['id'].dataType.simpleString()}, chunk_id {kind}, score double"))
-    if not parts:
-        return spark.createDataFrame([], f"query_id {queries.schema['id'].dataType.simpleString()}, chunk_id {vectors.schema['id'].dataType.simpleString()}, score double, rank int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return ranked(out, [F.desc("score"), F.col("chunk_id")]).where(F.col("rank") <= k)
-
-
 def passes(doc_type: str | None = None, entity: str | None = None, doc_id=None, include_pii: bool = False) -> Callable[[Callable[[str], Column]], Column]:
     """What a search may find, as a condition over columns that a function names; texts marked as personal are left out unless asked for, unmarked ones pass."""
 
@@ -164,12 +123,11 @@ def rrf_fuse(legs: list[DataFrame], k: int = RRF_K, limit: int = CANDIDATES) ->
     return ranked(fused, [F.desc("score"), F.col("chunk_id")]).where(F.col("rank") <= limit)
 
 
-def hybrid_search(queries: DataFrame, index, vectors: DataFrame, top: int = TOP, candidates: int = CANDIDATES, k: int = RRF_K, **filters) -> DataFrame:
-    """Both legs, fused; queries have ``id, text, embedding``, ``index`` is a ``SparseIndex`` with the filters' columns as payload, and
-    ``vectors`` holds ``id, embedding`` and these columns. Filters choose the candidates; the statistics of terms are those of the whole index."""
-    sparse = index.search(queries, candidates, passes(**filters))
-    dense = dense_search(queries.where("embedding IS NOT NULL"), apply_filters(vectors, **filters), candidates)
-    return rrf_fuse([sparse, dense], k, candidates).where(F.col("rank") <= top)
+def hybrid_search(queries: DataFrame, sparse, dense, top: int = TOP, candidates: int = CANDIDATES, k: int = RRF_K, **filters) -> DataFrame:
+    """Both legs, fused; queries have ``id, text, embedding``, and ``sparse`` and ``dense`` are stored indexes with the filters' columns as
+    payload. Filters choose the candidates; the statistics of terms are those of the whole index."""
+    legs = [sparse.search(queries, candidates, passes(**filters)), dense.search(queries, candidates, passes(**filters))]
+    return rrf_fuse(legs, k, candidates).where(F.col("rank") <= top)
 
 
 def rerank(hits: DataFrame, scores: DataFrame, top: int = TOP) -> DataFrame:

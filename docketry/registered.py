@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from docketry.functions import letters as L
 from docketry.functions import text as X
 from docketry.operators import chunking, correspondence, registry, routing, search
+from docketry.operators.dense_index import DenseIndex
 from docketry.operators.sparse_index import SparseIndex
 from docketry.plans import workloads
 from docketry.sources import files
@@ -524,15 +525,36 @@ INDEXES: dict = {}
 POINT = "struct<doc_id:string,source:string,doc_type:string,entities:array<string>,contains_pii:boolean>"
 
 
-def stored_index(spark, d, corpus=None):
-    """The index of the documents (of one corpus), written once a session and searched by all queries over it."""
-    key = spark.sparkContext.applicationId, d, corpus
+def once(spark, d, name, make):
+    """An index of the tables in ``d``, written once a session by ``make(path)`` and opened by every query over it."""
+    key = spark.sparkContext.applicationId, d, name
     if key not in INDEXES:
-        index = SparseIndex(spark, f"{shared_folder(spark)}/docketry/index-{uuid.uuid4().hex}", payload=POINT)
+        path = f"{shared_folder(spark)}/docketry/{name}-{uuid.uuid4().hex}"
+        make(path)
+        INDEXES[key] = path
+    return INDEXES[key]
+
+
+def stored_index(spark, d, corpus=None):
+    """The sparse index of the documents (of one corpus)."""
+
+    def make(path):
         docs = documents(spark, d).withColumn("entities", F.array("source")).withColumn("doc_id", F.col("id"))
-        index.add(docs if corpus is None else docs.where(F.col("corpus") == corpus))
-        INDEXES[key] = index.store.path
-    return SparseIndex(spark, INDEXES[key])
+        SparseIndex(spark, path, payload=POINT).add(docs if corpus is None else docs.where(F.col("corpus") == corpus))
+
+    return SparseIndex(spark, once(spark, d, f"sparse-{corpus}", make))
+
+
+def stored_vectors(spark, d, corpus=None):
+    """The dense index of the vectors, or of those of one corpus' documents with what is known of them."""
+
+    def make(path):
+        if corpus is None:
+            DenseIndex(spark, path).add(embedded_docs(spark, d))
+        else:
+            DenseIndex(spark, path, payload=POINT).add(points(spark, d).where(F.col("corpus") == corpus))
+
+    return DenseIndex(spark, once(spark, d, f"dense-{corpus}", make))
 
 
 def asked(spark, d):
@@ -564,8 +586,8 @@ def r4_sparse_search(spark, d):
 
 @query
 def r5_dense_search(spark, d):
-    v = embedded_docs(spark, d)
-    return search.dense_search(v.where(F.col("id").cast("bigint") % 50 == 0), v, 10).select("query_id", "chunk_id", "rank", F.round("score", 4).alias("score"))
+    asked = embedded_docs(spark, d).where(F.col("id").cast("bigint") % 50 == 0)
+    return stored_vectors(spark, d).search(asked, 10).select("query_id", "chunk_id", "rank", F.round("score", 4).alias("score"))
 
 
 @query
@@ -575,7 +597,7 @@ def r6_apply_filters(spark, d):
 
 def legs(spark, d):
     q = asked(spark, d)
-    return stored_index(spark, d).search(q), search.dense_search(q.where("embedding IS NOT NULL"), embedded_docs(spark, d))
+    return stored_index(spark, d).search(q), stored_vectors(spark, d).search(q)
 
 
 @query
@@ -585,8 +607,7 @@ def r7_rrf_fuse(spark, d):
 
 @query
 def r8_hybrid_search(spark, d):
-    p = points(spark, d).where("corpus = 'documents'")
-    return search.hybrid_search(asked(spark, d), stored_index(spark, d, "documents"), p).select("query_id", "chunk_id", "rank", "score")
+    return search.hybrid_search(asked(spark, d), stored_index(spark, d, "documents"), stored_vectors(spark, d, "documents")).select("query_id", "chunk_id", "rank", "score")
 
 
 @query
