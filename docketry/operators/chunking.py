@@ -6,7 +6,9 @@ ids are digests of document id, kind and ordinal, so a rerun writes the same chu
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -125,12 +127,64 @@ def normal_text(c) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
 
 
+#: Bytes of a window that decides on an anchor, and of the anchor itself: what is contained in a text and at least as long
+#: as the window has the anchor of its own first window among the text's.
+ANCHOR_WINDOW, ANCHOR = 15, 8
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _anchored(rows: DataFrame, first: bool, *kept: str) -> DataFrame:
+    """``anchor`` and the columns ``kept`` of texts (``needle``): hashes of the eight bytes that are least in a window of fifteen, in any
+    window, or only in the ``first``. About two anchors for every nine bytes."""
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)
+    grams = ANCHOR_WINDOW - ANCHOR + 1
+
+    def anchors(text: bytes) -> np.ndarray:
+        raw = np.frombuffer(text[:ANCHOR_WINDOW] if first else text, np.uint8)
+        if len(raw) < ANCHOR_WINDOW:
+            return np.zeros(0, np.uint64)
+        h = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, ANCHOR)).view(np.uint64)[:, 0] * _SPREAD
+        h ^= h >> np.uint64(29)
+        return np.unique(np.lib.stride_tricks.sliding_window_view(h, grams).min(axis=1))
+
+    def run(batches):
+        for batch in batches:
+            found = [anchors((t or "").encode()) for t in batch.column("needle").to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in kept), pa.array(np.concatenate(found).view(np.int64))], names=[*kept, "anchor"])
+
+    return rows.select("needle", *kept).mapInArrow(run, f"{kinds}, anchor bigint")
+
+
+def page_candidates(asked: DataFrame, entries: DataFrame) -> DataFrame:
+    """``id, doc_id, pos``: of chunks ``id, doc_id, probe`` and entries ``doc_id, pos, norm_text`` of one document all that can contain one another, or
+    hold the probe's first 40 characters, and few others. What meets is joined by document and anchor, so the rows grow with the texts."""
+    probes, texts = asked.withColumn("needle", F.col("probe")), entries.withColumn("needle", F.col("norm_text"))
+    long = texts.where(F.octet_length("norm_text") >= ANCHOR_WINDOW)
+    # the probe's beginning in an entry, and an entry's beginning in the probe
+    around = _anchored(probes, True, "id", "doc_id").join(_anchored(long, False, "doc_id", "pos"), ["doc_id", "anchor"])
+    within = _anchored(probes, False, "id", "doc_id").join(_anchored(long.where(F.octet_length("norm_text") <= 4 * 80), True, "doc_id", "pos"), ["doc_id", "anchor"])
+    # shorter entries by their first three characters; of equal ones in a document the first stands for all
+    short = texts.where((F.octet_length("norm_text") < ANCHOR_WINDOW) & (F.col("norm_text") != "")).groupBy("doc_id", "norm_text").agg(F.min("pos").alias("pos"))
+    grams = F.array_distinct(F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.length("probe") - n + 1), lambda i: F.substring("probe", i, n)))))
+    beside = asked.join(short.select("doc_id").distinct(), "doc_id", "left_semi").select("id", "doc_id", F.explode(grams).alias("gram"))
+    small = beside.join(short.select("doc_id", "pos", F.substring("norm_text", 1, 3).alias("gram")), ["doc_id", "gram"])
+    # an empty entry is in every probe
+    empty = asked.join(entries.where("norm_text = ''").groupBy("doc_id").agg(F.min("pos").alias("pos")), "doc_id")
+    out = around.select("id", "doc_id", "pos")
+    for more in (within, small, empty):
+        out = out.unionByName(more.select("id", "doc_id", "pos"))
+    return out.distinct()
+
+
 def assign_pages(chunks: DataFrame, entries: DataFrame) -> DataFrame:
     """Adds ``page``: of the document's entries ``doc_id, pos, norm_text, page`` the first, by position, that holds the
     chunk's first 80 characters or lies within them; else the first that holds its first 40."""
     probe = F.substring(normal_text(F.regexp_replace(F.coalesce("probe", "text"), r"^\[.*?\]\n", "")), 1, 80)
     asked = chunks.select("id", "doc_id", probe.alias("probe")).where(F.length("probe") >= 15)
-    met = asked.join(entries.select("doc_id", "pos", "norm_text", F.col("page").alias("entry_page")), "doc_id")
+    rows = entries.where("norm_text IS NOT NULL").select("doc_id", "pos", "norm_text", F.col("page").alias("entry_page"))
+    met = page_candidates(asked, rows).join(rows, ["doc_id", "pos"]).join(asked.select("id", "probe"), "id")
     near = F.contains("norm_text", F.col("probe")) | F.contains("probe", F.col("norm_text"))
     found = met.groupBy("id").agg(
         F.min_by(F.when(near, F.col("entry_page")), F.when(near, F.col("pos"))).alias("first"),

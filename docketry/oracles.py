@@ -237,10 +237,10 @@ INFERRED = f"{NL} || '(Not: bu maddenin numarasi kaynak metinden okunamadi, koms
 SQL["c13_chunk_regulations"] = f"""WITH {SEGMENTS}, pa AS (SELECT id, filename, title, pos, segment, unit, service, markers, body, 'child' AS kind, pos + segment AS ordinal FROM sg UNION ALL SELECT id, filename, title, pos, 0, NULL, NULL, [], body, 'parent', 0 FROM ar WHERE pos = 2),
 tx AS (SELECT *, 'Madde ' || (pos + 1) || ' - ' || title AS label, '[Dosya: ' || filename || ' > ' || array_to_string(list_concat(['BİRİNCİ KISIM Genel', label], markers), ' > ') || ']' || {NL} || array_to_string(list_prepend(label, markers), {NL}) || CASE WHEN pos = 1 THEN {INFERRED} ELSE '' END || {NL} || {NL} || {STRIP.format('body')} AS text FROM pa)
 SELECT sha256(id || ':' || kind || ':' || ordinal) AS id, id AS doc_id, kind, CAST(ordinal AS INT) AS ordinal, md5(text) AS text_md5, label || coalesce(' > ' || service, '') AS section, CASE WHEN service IS NOT NULL THEN sha256(id || ':parent:0') END AS parent_id, {TOKENS.format('text')} AS token_count, CAST(pos + 1 AS VARCHAR) AS article_no, unit, service, pos <> 1 AS certain FROM tx"""
-SQL["c8_assign_pages"] = f"""WITH {DOCS}, t AS (SELECT id, n, substr(trim(regexp_replace(lower(substr(text, 120, 400)), '\\s+', ' ', 'g')), 1, 80) AS probe, string_split(text, chr(10)) AS l FROM docs),
+SQL["c8_assign_pages"] = f"""WITH {DOCS}, t AS (SELECT id || '-' || k AS id, substr(trim(regexp_replace(lower(substr(text, 400 * k + 1, 400)), '\\s+', ' ', 'g')), 1, 80) AS probe, string_split(text, chr(10)) AS l FROM docs, unnest(range(0, length(text) // 400 + 1)) AS w(k)),
 u AS (SELECT id, i, probe, trim(regexp_replace(lower(l[i]), '\\s+', ' ', 'g')) AS e FROM t, unnest(range(1, len(l) + 1)) AS v(i) WHERE length(probe) >= 15),
 p AS (SELECT id, coalesce(min(i) FILTER (WHERE contains(e, probe) OR contains(probe, e)), min(i) FILTER (WHERE contains(e, substr(probe, 1, 40)))) AS page FROM u GROUP BY id)
-SELECT docs.id, CAST(page AS INT) AS page FROM docs LEFT JOIN p USING (id)"""
+SELECT t.id, CAST(page AS INT) AS page FROM t LEFT JOIN p USING (id)"""
 SQL["c14_pending_chunking"] = f"WITH {FLOW}, {CHUNKS} SELECT id FROM flow WHERE status = 'parsed' AND id NOT IN (SELECT doc_id FROM chunks WHERE CAST(doc_id AS BIGINT) % 2 = 0)"
 SQL["c15_regulation_candidates"] = f"WITH {DOCS} SELECT id, 'VERGİ YÖNETMELİĞİ ' || filename AS filename FROM docs WHERE n % 4 = 0"
 SQL["c16_chunk_stats"] = f"WITH {CHUNKS} SELECT count(DISTINCT doc_id) AS docs, count(*) FILTER (WHERE kind = 'child') AS children, count(*) FILTER (WHERE kind = 'parent') AS parents, CAST(coalesce(round(avg(token_count) FILTER (WHERE kind = 'child')), 0) AS BIGINT) AS avg_child_tokens FROM chunks"
@@ -286,7 +286,7 @@ b AS (SELECT id, x, min(i) AS i FROM u WHERE len(d) >= 2 AND NOT contains(flat,
 SELECT docs.id, coalesce(string_agg(x, '|' ORDER BY i), '') AS value FROM docs LEFT JOIN b USING (id) GROUP BY docs.id"""
 SQL["t20_normalize_body"] = docs_sql("md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(replace(x, '**', ''), '\\s+', ' ', 'g'))), lambda x: x <> ''), '|')) AS value")
 SQL["t21_snippet"] = docs_sql("substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 160) AS value")
-SQL["t22_finalize_classification"] = f"WITH {DOCS}, e AS (SELECT *, string_split({words('text', 1, 30)}, ' ') AS w, least(1.0, n % 15 / 10.0) AS c FROM docs) SELECT id, CAST(c AS DOUBLE) AS confidence, array_to_string(({distinct('w')})[1:10], '|') AS entities, c < 0.6 AS needs_review, substr(text, 1, 500) AS summary FROM e"
+SQL["t22_finalize_classification"] = f"WITH {DOCS}, e AS (SELECT *, string_split(text, ' ') AS w, least(1.0, n % 15 / 10.0) AS c FROM docs) SELECT id, CAST(c AS DOUBLE) AS confidence, array_to_string(({distinct('w')})[1:10], '|') AS entities, c < 0.6 AS needs_review, substr(text, 1, 500) AS summary FROM e"
 SQL["t23_analysis_from_row"] = f"""WITH {DOCS}, r AS (SELECT *, CASE WHEN n % 2 = 0 THEN {words('text', 1, 2)} END AS s, CASE WHEN n % 3 = 0 THEN {words('text', 2, 2)} END AS t FROM docs)
 SELECT id, coalesce(s, filename) AS subject, coalesce(t, s, filename) AS title, CASE WHEN n % 4 = 0 THEN {words('text', 1, 9)} ELSE '' END AS summary, CASE WHEN n % 5 > 0 THEN doc_type ELSE 'diger' END AS doc_type,
 CASE WHEN n % 3 = 1 THEN 'diger' ELSE {REQUESTS}[n % 9 + 1] END AS request, '' AS receivable, CASE WHEN n % 2 = 0 THEN source ELSE '' END AS people, coalesce(contains_pii, false) AS contains_pii, coalesce(confidence, 0.0) AS confidence FROM r"""
@@ -345,7 +345,7 @@ SQL["r14_diversify"] = f"{REGULATED}, v AS ({DIVERSE} rg) SELECT query_id, chunk
 SQL["r15_filter_org_type"] = f"{REGULATED} SELECT query_id, chunk_id, rank FROM rg WHERE service IS NULL OR n % 5 = 3"
 SQL["r16_routing_candidates"] = f"{REGULATED}, k AS (SELECT * FROM rg WHERE rank <= 28 AND (service IS NULL OR n % 5 <> 3)), v AS ({DIVERSE} k) SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN k > 2 THEN 1 ELSE 0 END, rank) AS INT) AS rank FROM v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN k > 2 THEN 1 ELSE 0 END, rank) <= 14"
 SQL["r17_group_by_document"] = f"{HITDOC} SELECT query_id, source AS filename, round(max(score), 4) AS score, count(*) AS n_hits, arg_min(substr(trim(regexp_replace(regexp_replace(text, '^\\[[^\\n]*\\]\\n', ''), '\\s+', ' ', 'g')), 1, 160), rank) AS sample FROM hd GROUP BY 1, 2"
-SQL["r18_build_context"] = f"""{HITDOC}, c AS (SELECT query_id, md5(string_agg('--- Parca ' || rank || ' (' || filename || ', s.' || page || ') ---' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS context, string_agg(filename, '|' ORDER BY rank) AS sources FROM hd WHERE rank <= 5 GROUP BY 1) SELECT * FROM c"""
+SQL["r18_build_context"] = f"""{HITDOC}, c AS (SELECT query_id, md5(string_agg('--- Parca ' || rank || ' (' || filename || ', s.' || page || ') ---' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS context, string_agg(filename, '|' ORDER BY rank) AS sources FROM hd GROUP BY 1) SELECT * FROM c"""
 SQL["r19_expand_to_parent"] = f"""{HITDOC}, p AS (SELECT source, min(text) AS t FROM docs GROUP BY 1), x AS (SELECT query_id, 'p' || hd.source AS unit_id, chunk_id, rank, md5(CASE WHEN hd.source = 'src4' THEN text ELSE t END) AS text FROM hd JOIN p USING (source))
 SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY query_id, unit_id ORDER BY rank) = 1"""
 SQL["r20_embedding_backlog"] = f"WITH {FLOW}, {CHUNKS} SELECT c.id, c.doc_id FROM chunks c JOIN flow ON flow.id = c.doc_id WHERE corpus = 'regulations' AND kind = 'child' AND c.id NOT IN (SELECT id FROM chunks WHERE section = 'F')"
@@ -387,7 +387,7 @@ SELECT decision_id, CASE WHEN NOT falls THEN main_unit END AS main_unit, CASE WH
 CASE WHEN falls THEN 0 ELSE confidence END AS confidence, undetermined OR falls AS undetermined, CASE WHEN falls THEN reasoning || {NOTE.format('service')} ELSE reasoning END AS reasoning FROM w"""
 SQL["d7_repair_routing"] = f"""WITH {FLOW}, w AS (SELECT *, corpus = 'documents' AND coalesce(routed_service = '5-LOW', false) AS bad FROM flow) SELECT id, CASE WHEN NOT bad THEN routed_service END AS routed_service, CASE WHEN NOT bad THEN routed_unit END AS routed_unit,
 CASE WHEN bad THEN 0 ELSE routing_confidence END AS routing_confidence, CASE WHEN bad THEN 'belirlenemedi' ELSE routing_status END AS routing_status, CASE WHEN bad THEN routing_reasoning || {NOTE.format('routed_service')} ELSE routing_reasoning END AS routing_reasoning FROM w"""
-SQL["d8_apply_decisions"] = f"""WITH {SERVICES}, {FLOW}, {DECS}, w AS (SELECT flow.*, d.k IS NOT NULL AS hit, d.undetermined AS un, d.service AS ds, coalesce(d.main_unit, d.other_unit) AS du, d.confidence AS dc, d.routing_key AS dk FROM flow LEFT JOIN decs d ON d.decision_id = flow.id AND d.k % 2 = 0)
+SQL["d8_apply_decisions"] = f"""WITH {SERVICES}, {FLOW}, {DECS}, w AS (SELECT flow.*, d.k IS NOT NULL AS hit, d.undetermined AS un, d.service AS ds, coalesce(d.main_unit, d.other_unit) AS du, d.confidence AS dc, d.routing_key AS dk FROM flow LEFT JOIN decs d ON d.decision_id = flow.id)
 SELECT id, CASE WHEN hit AND NOT un THEN ds WHEN NOT hit THEN routed_service END AS routed_service, CASE WHEN hit AND NOT un THEN du WHEN NOT hit THEN routed_unit END AS routed_unit, CASE WHEN hit THEN dc ELSE routing_confidence END AS routing_confidence,
 CASE WHEN hit AND un THEN 'belirlenemedi' WHEN hit THEN 'routed' ELSE routing_status END AS routing_status, coalesce(dk, routing_key) AS routing_key, CASE WHEN hit AND lifecycle_status = 'new' THEN 'routed' ELSE lifecycle_status END AS lifecycle_status FROM w"""
 SQL["d9_apply_manual"] = f"""WITH {FLOW}, o AS (SELECT CAST(l_orderkey AS VARCHAR) AS id, coalesce(max(CASE WHEN l_linestatus = 'F' THEN 'neden' END), 'Servis calisani tarafindan elle atandi') AS reason FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)

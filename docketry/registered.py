@@ -262,8 +262,9 @@ def pages_of(spark, d):
 
 @query
 def c8_assign_pages(spark, d):
-    docs = documents(spark, d)
-    chunks = docs.select("id", F.col("id").alias("doc_id"), F.concat(F.lit("[Dosya]\n"), F.substring("text", 120, 400)).alias("text"), F.lit(None).cast("string").alias("probe"))
+    # a document's text in pieces of 400 characters
+    pieces = documents(spark, d).select(F.col("id").alias("doc_id"), "text", F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 400))).alias("n"))
+    chunks = pieces.select(F.concat_ws("-", "doc_id", "n").alias("id"), "doc_id", F.concat(F.lit("[Dosya]\n"), F.substring("text", (F.col("n") * 400 + 1).cast("int"), F.lit(400))).alias("text"), F.lit(None).cast("string").alias("probe"))
     return chunking.assign_pages(chunks, pages_of(spark, d)).select("id", "page")
 
 
@@ -456,7 +457,7 @@ def t21_snippet(spark, d):
 
 @query
 def t22_finalize_classification(spark, d):
-    raw = documents(spark, d).select("id", (F.col("n") % 15 / 10.0).alias("confidence"), F.split(words("text", 1, 30), " ").alias("entities"), F.col("text").alias("summary_long"))
+    raw = documents(spark, d).select("id", (F.col("n") % 15 / 10.0).alias("confidence"), F.split("text", " ").alias("entities"), F.col("text").alias("summary_long"))
     return registry.finalize_classification(raw).select("id", "confidence", joined("entities").alias("entities"), "needs_review", "summary")
 
 
@@ -675,7 +676,7 @@ def r17_group_by_document(spark, d):
 
 @query
 def r18_build_context(spark, d):
-    out = search.build_context(hits_of(spark, d).where("rank <= 5"))
+    out = search.build_context(hits_of(spark, d))
     return out.select("query_id", F.md5("context").alias("context"), joined("sources").alias("sources"))
 
 
@@ -756,7 +757,7 @@ def d7_repair_routing(spark, d):
 
 @query
 def d8_apply_decisions(spark, d):
-    return routing.apply_decisions(workflow(spark, d), decisions(spark, d).where(F.col("decision_id").cast("bigint") % 2 == 0)).select("id", "routed_service", "routed_unit", "routing_confidence", "routing_status", "routing_key", "lifecycle_status")
+    return routing.apply_decisions(workflow(spark, d), decisions(spark, d)).select("id", "routed_service", "routed_unit", "routing_confidence", "routing_status", "routing_key", "lifecycle_status")
 
 
 @query

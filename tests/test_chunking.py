@@ -1,3 +1,5 @@
+import random
+
 from docketry.operators import _markdown as M
 from docketry.operators import chunking
 
@@ -110,3 +112,28 @@ def test_pages(spark):
     entries = spark.createDataFrame([("d", 0, "kısa", 1), ("d", 1, "uzun bir cümle burada geçiyor ve devam ediyor", 2)], "doc_id string, pos int, norm_text string, page int")
     chunks = spark.createDataFrame([("c1", "d", "[Dosya: x]\nUzun bir  cümle burada geçiyor"), ("c2", "d", "az"), ("c3", "e", "uzun bir cümle burada")], "id string, doc_id string, text string").selectExpr("*", "cast(null as string) probe")
     assert {r.id: r.page for r in chunking.assign_pages(chunks, entries).collect()} == {"c1": 2, "c2": None, "c3": None}
+
+
+def test_pages_against_every_entry(spark):
+    rng = random.Random(12)
+    word = lambda: rng.choice(["vergi", "daire", "ÖDEME", "12", "a", "ş", "tahakkuk", "sicil", "müdürlüğü", ".", "yapılır"])
+    line = lambda n: " ".join(word() for _ in range(n))
+    entries, chunks = [], []
+    for d in range(12):
+        own = [line(rng.choice([1, 1, 2, 3, 8, 30, 60])).lower() for _ in range(40)] + (["", "ab", "ö"] if d % 3 == 0 else [])
+        rng.shuffle(own)
+        entries += [(f"d{d}", i, t, i // 4) for i, t in enumerate(own)]
+        for i in range(30):
+            text = rng.choice(own)
+            at = rng.randrange(max(1, len(text) // 2))
+            body = rng.choice([text[at:], text[at:] + " " + line(5), line(3) + " " + text, line(20), text[:45] + " sapma", line(2)])
+            chunks.append((f"d{d}c{i}", f"d{d}", f"[Dosya: x]\n{body}"))
+    got = chunking.assign_pages(
+        spark.createDataFrame(chunks, "id string, doc_id string, text string").selectExpr("*", "cast(null as string) probe"), spark.createDataFrame(entries, "doc_id string, pos int, norm_text string, page int")
+    )
+    want = {}
+    for i, d, text in chunks:
+        probe = " ".join(text.split("\n", 1)[1].lower().split())[:80]
+        own = [(t, p) for e, _, t, p in entries if e == d] if len(probe) >= 15 else []
+        want[i] = next((p for t, p in own if probe in t or t in probe), next((p for t, p in own if probe[:40] in t), None))
+    assert {r.id: r.page for r in got.collect()} == want and len(set(want.values())) > 5
