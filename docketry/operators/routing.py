@@ -16,8 +16,13 @@ CITATIONS = "array<struct<article_no:string,title:string>>"
 # Unit names by what is written in the folded heading or service name.
 MAIN_UNITS = (("vergilendirme", "Vergilendirme"), ("muhasebe", "Muhasebe"), ("kovusturma", "Kovusturma"), ("tarama ve kontrol", "Tarama ve Kontrol"))
 OTHER_UNITS = (("vergi denetmenleri", "Vergi Denetmenleri"), ("takdir", "Takdir"), ("uzlasma", "Uzlasma"), ("ozluk", "Ozluk ve Destek"), ("^gelir servisi", "Gelir"))
+# The messages that stored decisions carry.
 NOT_DETERMINED = "belirlenemedi — manuel inceleme gerekli"
 NO_CITATION = "Karar hicbir yonetmelik maddesine dayandirilmadi."
+UNKNOWN_ARTICLES = ("Kararin dayandirildigi madde(ler) (", ") getirilen yonetmelik parcalarinda bulunmadi; dogrulanamayan atifla servis atamasi yapilmadi.")
+ENTRY_POINT = " evrakin giris noktasidir (kayit ve sevk gorevi), yonlendirme hedefi degildir; evrakin ait oldugu asil servis yonetmelikte bulunamadi."
+ENTRY_POINT_HIT = " evrakin giris noktasidir, yonlendirme hedefi degildir."
+OUTSIDE = ('\n\n[Otomatik kontrol] Karar "', '" adını gösteriyor; yönetmelik kataloğunda böyle bir servis yok. Evrak manuel incelemeye alındı.')
 
 
 def undetermined(df: DataFrame, when: Column, reason: Column) -> DataFrame:
@@ -50,7 +55,7 @@ def verify_citations(decisions: DataFrame, hits: DataFrame) -> DataFrame:
     invented = F.transform(F.filter("citations", lambda c: ~F.array_contains(F.col("known"), X.article_number(c["article_no"]))), lambda c: c["article_no"])
     open_ = ~F.col("undetermined")
     rows = rows.withColumn("invented", F.when(open_, invented).otherwise(X.strings())).withColumn("citations", F.when(open_, real).otherwise(F.col("citations")))
-    listed = F.concat(F.lit("Kararin dayandirildigi madde(ler) ("), F.array_join("invented", ", "), F.lit(") getirilen yonetmelik parcalarinda bulunmadi; dogrulanamayan atifla servis atamasi yapilmadi."))
+    listed = F.concat(F.lit(UNKNOWN_ARTICLES[0]), F.array_join("invented", ", "), F.lit(UNKNOWN_ARTICLES[1]))
     return undetermined(rows, open_ & (F.size("citations") == 0), F.when(F.size("invented") > 0, listed).otherwise(F.lit(NO_CITATION))).drop("known")
 
 
@@ -71,7 +76,7 @@ def reconcile_units(decisions: DataFrame, hits: DataFrame) -> DataFrame:
     rows = decisions.join(cited_services(decisions, hits), "decision_id", "left").withColumn("active", ~F.col("undetermined") & F.col("service").isNotNull())
     named = F.exists(F.coalesce("services", X.strings()), lambda s: X.same_service_strict(s, F.col("service")))
     rows = rows.withColumn("service", F.when(F.col("active") & ~named & (F.size("services") == 1), F.get("services", F.lit(0))).otherwise(F.col("service"))).drop("services")
-    rows = undetermined(rows, F.col("active") & X.is_entry_point(F.col("service")), F.concat("service", F.lit(" evrakin giris noktasidir (kayit ve sevk gorevi), yonlendirme hedefi degildir; evrakin ait oldugu asil servis yonetmelikte bulunamadi.")))
+    rows = undetermined(rows, F.col("active") & X.is_entry_point(F.col("service")), F.concat("service", F.lit(ENTRY_POINT)))
     # names are normalised once, before the join
     named_ = lambda df, c: df.withColumn("name", X.tr_normalize(F.col(c))).withColumn("long", X.long_words(F.col("name")))
     asked = named_(rows.where("active AND service IS NOT NULL").select("decision_id", "service"), "service").select("decision_id", F.col("name").alias("a_name"), F.col("long").alias("a_long"))
@@ -80,7 +85,7 @@ def reconcile_units(decisions: DataFrame, hits: DataFrame) -> DataFrame:
     best = asked.join(owners, "decision_id").where(strict | like).groupBy("decision_id").agg(F.min_by(F.struct("h_service", "h_unit", "h_sub"), F.struct(F.when(strict, 0).otherwise(1), F.col("rank"))).alias("hit"))
     rows = rows.join(best, "decision_id", "left")
     hit_entry = F.col("hit").isNotNull() & X.is_entry_point(F.col("hit.h_service"))
-    rows = undetermined(rows, hit_entry, F.concat("hit.h_service", F.lit(" evrakin giris noktasidir, yonlendirme hedefi degildir.")))
+    rows = undetermined(rows, hit_entry, F.concat("hit.h_service", F.lit(ENTRY_POINT_HIT)))
     unit, sub = X.tr_normalize(F.coalesce("hit.h_unit", F.lit(""))), X.tr_normalize(F.coalesce("hit.h_sub", F.lit("")))
 
     def first_of(table, c) -> Column:
@@ -108,7 +113,7 @@ def flag_uncertain(decisions: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def outside_note(service: Column) -> Column:
-    return F.concat(F.lit('\n\n[Otomatik kontrol] Karar "'), service, F.lit('" adını gösteriyor; yönetmelik kataloğunda böyle bir servis yok. Evrak manuel incelemeye alındı.'))
+    return F.concat(F.lit(OUTSIDE[0]), service, F.lit(OUTSIDE[1]))
 
 
 def enforce_catalog(decisions: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -274,6 +274,9 @@ SQL["t15_parse_citation"] = f"""WITH {SERVICES}, {DECS}, p AS (SELECT decision_i
 SELECT decision_id, {article('a')} AS article, list_filter(rest, lambda x: regexp_full_match(x, '[A-C]'))[1] AS unit, list_filter(rest, lambda x: x IN ('I', 'II', 'III', 'IV', 'V'))[1] AS part, list_filter(rest, lambda x: regexp_full_match(x, '[0-9]+'))[1] AS service FROM q"""
 SQL["t16_same_service"] = f"""WITH {SERVICES}, o AS (SELECT lower(substr(service, 1, 8)) || ' servis' AS other FROM svc), m AS (SELECT service, other FROM svc, o WHERE {same_service('service', 'other')}),
 c AS (SELECT 'NATION_' || c_nationkey || ' Servisi' AS service FROM customer) SELECT service, other, count(*) AS n, bool_or({norm('service')} = {norm('other')}) AS strict FROM m JOIN c USING (service) GROUP BY ALL"""
+SQL["t16_best_service"] = f"""WITH {SERVICES}, a AS (SELECT CASE o_orderkey % 4 WHEN 0 THEN 'nation_' || o_orderkey % 25 || ' servısı' WHEN 1 THEN 'Nation ' || o_orderkey % 25 WHEN 2 THEN 'NATION_' || o_orderkey % 25 || ' Servisi Şefliği' ELSE 'Gelir ' || o_orderkey % 25 END AS name FROM orders),
+g AS (SELECT name, count(*) AS n FROM a GROUP BY 1), m AS (SELECT name, n, service, {norm('service')} <> {norm('name')} AS loose FROM g, svc WHERE {same_service('service', 'name')})
+SELECT name, any_value(n) AS n, arg_min(service, {{'l': loose, 's': service}}) AS service FROM m GROUP BY name"""
 SQL["t17_service_predicates"] = f"""WITH {FLOW}, s AS (SELECT id, routed_service || CASE n % 3 WHEN 0 THEN ' Arşiv Servisi' WHEN 1 THEN ' İhtilaflı  İşler' ELSE '' END AS s, n FROM flow)
 SELECT id, coalesce(contains({norm('s')}, 'arsiv'), false) AS entry_point, coalesce(contains({norm('s')}, 'ihtilafli isler'), false) AS dispute, n % 14 = 12 AS dependent FROM s"""
 SQL["t18_is_not_found"] = docs_sql(f"regexp_matches({plain(chr(40) + 'text || CASE WHEN n % 3 = 0 THEN ' + lit(' Bu BİLGİ dokümanlarda BULUNAMADI.') + ' ELSE ' + lit('') + ' END' + chr(41))}, {lit('|'.join(NOT_FOUND))}) AS value")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import letters as L
 from docketry.functions import text as X
-from docketry.operators import chunking, correspondence, registry, routing, search
+from docketry.operators import chunking, correspondence, names, registry, routing, search
 from docketry.operators.dense_index import DenseIndex
 from docketry.operators.sparse_index import SparseIndex
 from docketry.plans import workloads
@@ -421,9 +421,21 @@ def t15_parse_citation(spark, d):
 
 @query
 def t16_same_service(spark, d):
-    s = services(spark, d).select("service")
-    other = s.select(F.concat(F.lower(F.substring("service", 1, 8)), F.lit(" servis")).alias("other"))
-    return s.join(F.broadcast(other), X.same_service(F.col("service"), F.col("other"))).join(table(spark, d, "customer").select(F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string"), F.lit(" Servisi")).alias("service")), "service").groupBy("service", "other").agg(F.count("*").alias("n"), F.max(X.same_service_strict(F.col("service"), F.col("other"))).alias("strict"))
+    s = services(spark, d).select(F.col("service").alias("name"))
+    other = s.select(F.concat(F.lower(F.substring("name", 1, 8)), F.lit(" servis")).alias("name"))
+    asked = table(spark, d, "customer").select(F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string"), F.lit(" Servisi")).alias("name"))
+    alike = names.like_pairs(s, other).select(F.col("name").alias("service"), "other", "strict")
+    return alike.join(asked.withColumnRenamed("name", "service"), "service").groupBy("service", "other", "strict").agg(F.count("*").alias("n"))
+
+
+@query
+def t16_best_service(spark, d):
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey") % 25
+    # as they may be written: other case, without the last word, with one more, or of no service
+    written = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("nation_"), k.cast("string"), F.lit(" servısı"))).when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("Nation "), k.cast("string"))).when(F.col("o_orderkey") % 4 == 2, F.concat(F.lit("NATION_"), k.cast("string"), F.lit(" Servisi Şefliği"))).otherwise(F.concat(F.lit("Gelir "), k.cast("string")))
+    asked = o.select(written.alias("name"))
+    return asked.groupBy("name").agg(F.count("*").alias("n")).join(names.best_service(asked, services(spark, d)), "name")
 
 
 @query
