@@ -425,7 +425,7 @@ def t16_same_service(spark, d):
     other = s.select(F.concat(F.lower(F.substring("name", 1, 8)), F.lit(" servis")).alias("name"))
     asked = table(spark, d, "customer").select(F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string"), F.lit(" Servisi")).alias("name"))
     alike = names.like_pairs(s, other).select(F.col("name").alias("service"), "other", "strict")
-    return alike.join(asked.withColumnRenamed("name", "service"), "service").groupBy("service", "other", "strict").agg(F.count("*").alias("n"))
+    return alike.join(other.withColumnRenamed("name", "other"), "other").join(asked.withColumnRenamed("name", "service"), "service").groupBy("service", "other", "strict").agg(F.count("*").alias("n"))
 
 
 @query
