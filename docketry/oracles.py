@@ -167,6 +167,10 @@ def docs_sql(select, more=""):
 
 
 # sources
+SQL["s1_scan_files"] = "SELECT doc_id, '.txt' AS format, strlen(text) + 1 AS size_bytes FROM documents WHERE text IS NOT NULL"
+SQL["s3_read_text_documents"] = "SELECT doc_id, 'txt' AS kind, md5(text || chr(10)) AS text_md5 FROM documents WHERE text IS NOT NULL"
+SQL["s11_read_golden"] = """SELECT 'g' || item_id AS id, CASE WHEN item_id % 5 = 0 THEN 'trap' ELSE 'fact' END AS scenario, md5(text) AS question, CASE WHEN item_id % 2 = 0 THEN item_id || '.txt' ELSE '' END AS expected_docs,
+  CASE WHEN item_id % 3 = 0 THEN text ELSE '' END AS expected, CASE WHEN item_id % 7 = 0 THEN 'yasak' ELSE '' END AS forbidden FROM benchmark"""
 SQL["s2_file_identity"] = "SELECT sha1(url) AS job_id, url AS path, split_part(url, '/', -1) AS filename, substr(lower(regexp_extract(url, '(\\.[^./]+)$', 1)), 2, 20) AS format, CAST(strlen(html) AS BIGINT) AS size_bytes, sha256(html) AS hash FROM pages"
 SQL["s4_detect_changes"] = f"WITH {FLOW}, {INCOMING} SELECT inc.id, inc.path, CASE WHEN flow.id IS NULL THEN 'new' WHEN flow.hash IS NOT DISTINCT FROM inc.hash AND flow.status = 'parsed' THEN 'unchanged' ELSE 'changed' END AS change FROM inc LEFT JOIN flow ON flow.path = inc.path"
 SQL["s5_upsert_documents"] = f"""WITH {FLOW}, {INCOMING} SELECT coalesce(f.id, i.id) AS id, coalesce(f.path, i.path) AS path, coalesce(f.filename, i.filename) AS filename, coalesce(f.format, i.format) AS format,
@@ -466,6 +470,8 @@ SQL["e3_summarize"] = f"{GRADED} SELECT {RATES} FROM graded"
 SQL["e4_compare_targets"] = f"{GRADED} SELECT target, {RATES} FROM graded GROUP BY 1"
 
 # streams
+SQL["w1_ingest"] = r"""WITH t AS (SELECT doc_id, text, doc_id % 3 = 0 AS c, CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || chr(10) || '# Ek' || chr(10) || chr(10) || 'sonradan gelen' ELSE text END AS now FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, true AS named, sha256(now) AS hash, strlen(now) AS size_bytes, 'parsed' AS status, c AS updated, CASE WHEN c OR regexp_matches(text, '\S') THEN c END AS changed FROM t"""
 SQL["w2_pending_jobs"] = "WITH e AS (SELECT user_id AS job_id, ts, CASE WHEN event_type IN ('error', 'purchase') THEN 'done' ELSE 'queued' END AS event FROM events), l AS (SELECT *, lag(event) OVER (PARTITION BY job_id ORDER BY ts, event) AS b FROM e) SELECT job_id, count(*) AS runs, min(ts) AS first_at FROM l WHERE event = 'queued' AND (b IS NULL OR b = 'done') GROUP BY 1"
 SQL["w3_lifecycle_state"] = """WITH e AS (SELECT user_id * 10 + event_id % 10 AS document_id, ts, event_id, CASE event_type WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 0 END AS r FROM events)
 SELECT document_id, ['new', 'routed', 'in_progress', 'completed'][max(r) + 1] AS lifecycle_status, min(ts) FILTER (WHERE r = 3) AS completed_at, CASE WHEN arg_min(event_id, ts) FILTER (WHERE r = 3) % 2 = 0 THEN 'onay' END AS completed_decision FROM e GROUP BY 1"""

@@ -20,6 +20,7 @@ from docketry.operators.sparse_index import SparseIndex
 from docketry.plans import workloads
 from docketry.sources import files
 from docketry.sources.scratch import shared_folder
+from docketry.sources.versions import Store
 from docketry.streaming import streams
 
 QUERIES: dict = {}
@@ -137,6 +138,48 @@ def joined(c):
 # sources
 
 
+def folder_of_files(spark, d):
+    """The documents as text files of their own, beside files of a kind that no scan takes; written once a session."""
+
+    def make(path):
+        rows = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("doc"), "text")
+        rows.repartition("doc").write.partitionBy("doc").text(f"{path}/texts")
+        rows.select("doc").write.parquet(f"{path}/other")
+
+    return once(spark, d, "files", make)
+
+
+def document_of(path):
+    return F.regexp_extract(path, "/doc=([0-9]+)/", 1).cast("bigint").alias("doc_id")
+
+
+@query
+def s1_scan_files(spark, d):
+    return files.scan_files(spark, folder_of_files(spark, d)).select(document_of("path"), files.extension("path").alias("format"), F.col("length").alias("size_bytes"))
+
+
+@query
+def s3_read_text_documents(spark, d):
+    return files.read_text_documents(spark, folder_of_files(spark, d)).select(document_of("path"), F.element_at(F.split("filename", r"\."), -1).alias("kind"), F.md5("text").alias("text_md5"))
+
+
+@query
+def s11_read_golden(spark, d):
+    def make(path):
+        n = F.col("item_id")
+        some = lambda when, c: F.when(when, F.array(c)).otherwise(X.strings())
+        q = F.struct(
+            F.concat(F.lit("g"), n.cast("string")).alias("id"), F.when(n % 5 == 0, "trap").otherwise("fact").alias("scenario"), F.col("text").alias("question"),
+            some(n % 2 == 0, F.concat(n.cast("string"), F.lit(".txt"))).alias("expectedDocs"), some(n % 3 == 0, F.col("text")).alias("expectedAnswerContains"), F.when(n % 7 == 0, F.array(F.lit("yasak"))).alias("expectedAnswerNotContains"),
+        )
+        # a set is a file with a list of a hundred questions or so
+        sets = table(spark, d, "benchmark").groupBy(F.floor(n / 100).alias("set")).agg(F.to_json(F.struct(F.collect_list(q).alias("questions"))).alias("value"))
+        sets.write.partitionBy("set").text(path)
+
+    out = files.read_golden(spark, once(spark, d, "golden", make))
+    return out.select("id", "scenario", F.md5("question").alias("question"), *[joined(c).alias(c) for c in ("expected_docs", "expected", "forbidden")])
+
+
 @query
 def s2_file_identity(spark, d):
     raw = table(spark, d, "pages").select(F.col("url").alias("path"), F.encode("html", "UTF-8").alias("content"), F.octet_length("html").cast("bigint").alias("length"))
@@ -1049,6 +1092,25 @@ def lifecycle_events(spark, d):
     return table(spark, d, "events").select((F.col("user_id") * 10 + F.col("event_id") % 10).alias("document_id"), "ts", status.alias("status"), F.when((t == "purchase") & (F.col("event_id") % 2 == 0), "onay").alias("decision"), "event_id")
 
 
+@query
+def w1_ingest(spark, d):
+    """All documents arrive, then a third of them changed and a third as they were; the second batch comes twice."""
+
+    def make(path):
+        store = streams.document_store(spark, path)
+        docs = table(spark, d, "documents").where("text IS NOT NULL").select((F.col("doc_id") % 3).alias("r"), F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text")
+        arrived = lambda rows, hour: rows.select("path", F.lit(f"2030-01-01 0{hour}:00:00").cast("timestamp").alias("modificationTime"), F.octet_length("text").cast("long").alias("length"), F.encode("text", "UTF-8").alias("content"))
+        streams.ingest_files(store, arrived(docs, 1), batch=("arrivals", 0))
+        later = docs.where("r < 2").withColumn("text", F.when(F.col("r") == 0, F.concat("text", F.lit("\n\n# Ek\n\nsonradan gelen"))).otherwise(F.col("text")))
+        for _ in range(2):
+            streams.ingest_files(store, arrived(later, 2), batch=("arrivals", 1))
+
+    store = Store(spark, once(spark, d, "store", make))
+    of = store.table("chunks").where("kind = 'child'").groupBy(F.col("doc_id").alias("id")).agg(F.max(F.contains("text", F.lit("sonradan gelen"))).alias("changed"))
+    rows = store.table("registry").join(of, "id", "left")
+    return rows.select(F.regexp_extract("path", "([0-9]+)", 1).cast("bigint").alias("doc_id"), (F.col("id") == F.sha1("path")).alias("named"), "hash", "size_bytes", "status", (F.col("updated_at") > F.col("created_at")).alias("updated"), "changed")
+
+
 @query
 def w2_pending_jobs(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("job_id"), "ts", F.when(F.col("event_type").isin("error", "purchase"), "done").otherwise("queued").alias("event"))

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The kinds of files that are taken in.
 FORMATS = (".pdf", ".docx", ".xlsx", ".pptx", ".html", ".txt", ".md")
 
 
@@ -26,8 +27,8 @@ def with_file_identity(files: DataFrame) -> DataFrame:
 
 
 def read_text_documents(spark: SparkSession, root: str) -> DataFrame:
-    """Plain text and Markdown files as UTF-8."""
-    return scan_files(spark, root, (".txt", ".md")).select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.decode("content", "UTF-8").alias("text"))
+    """Plain text and Markdown files as UTF-8; bytes that are none become U+FFFD."""
+    return scan_files(spark, root, (".txt", ".md")).select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 PAGES = "struct<texts:array<struct<text:string,prov:array<struct<page_no:int>>>>>"
@@ -37,7 +38,7 @@ def page_entries(docs: DataFrame) -> DataFrame:
     """``doc_id, pos, norm_text, page`` of a parser's JSON (``id, parser_json``): entries with a text and a page."""
     items = docs.select(F.col("id").alias("doc_id"), F.from_json("parser_json", PAGES).alias("j")).select("doc_id", F.posexplode("j.texts").alias("pos", "t"))
     page = F.get(F.col("t.prov"), F.lit(0))["page_no"]
-    return items.select("doc_id", "pos", F.trim(F.regexp_replace(F.lower("t.text"), r"\s+", " ")).alias("norm_text"), page.alias("page")).where("norm_text IS NOT NULL AND page IS NOT NULL").where(F.length("norm_text") >= 0)
+    return items.select("doc_id", "pos", F.trim(F.regexp_replace(F.lower("t.text"), r"\s+", " ")).alias("norm_text"), page.alias("page")).where("norm_text IS NOT NULL AND page IS NOT NULL")
 
 
 def parse_model_output(df: DataFrame, schema: str, required: tuple[str, ...] = (), enums: Mapping[str, tuple[str, ...]] | None = None, ranges: Mapping[str, tuple[float, float]] | None = None) -> DataFrame:
