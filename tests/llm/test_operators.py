@@ -383,6 +383,13 @@ def test_chat(spark):
     assert all(w.n_tokens <= chat.BUDGET + 2 * chat.HISTORY + 800 or w.conv_id == 77 for w in windows)
 
 
+def test_passages_of_rows_that_share_an_id(spark):
+    rng = random.Random(31)
+    one, two = prose(rng, 80), prose(rng, 80)
+    found = {r.doc_id: r.class_id for r in passages.repeats(docs(spark, [(1, one), (1, two), (2, one), (3, two), (4, prose(rng, 80))])).collect()}
+    assert found == {1: 1, 2: 1, 3: 1}
+
+
 def exact_shares(blocks, weights, times):
     """How many blocks each source is due after each number of slots: shares by weight, phase by phase, until sources run dry."""
     left, due, out, t = dict(blocks), dict.fromkeys(blocks, Fraction(0)), [], Fraction(0)
