@@ -330,6 +330,11 @@ SQL["t29_escape_html"] = docs_sql("regexp_replace(replace(replace(replace(replac
 # retrieval
 SQL["r1_term_id"] = f"WITH {DOCS}, {POSTS} SELECT term, term_id FROM terms"
 SQL["r2_sparse_postings"] = f"WITH {DOCS}, {POSTS} SELECT chunk_id, term_id, round(weight, 6) AS weight FROM posts"
+SQL["s6_stored_registry"] = f"""WITH {FLOW}, d AS (SELECT id, CASE WHEN n % 4 = 0 THEN 'parsed' ELSE status END AS status, CASE WHEN n % 4 > 0 THEN error END AS error, CASE WHEN n % 8 = 0 THEN id || '.v2.md' ELSE parsed_path END AS parsed_path,
+  CASE WHEN n % 18 = 0 THEN 'regulations' ELSE corpus END AS corpus, CASE WHEN n % 27 = 0 THEN 's99' ELSE session_id END AS session_id FROM flow),
+c AS (SELECT CAST(l_orderkey AS VARCHAR) AS id, l_linenumber AS o FROM lineitem WHERE l_orderkey % 5 > 0 OR l_linenumber <= 2),
+k AS (SELECT id, count(*) AS chunks, count(*) FILTER (WHERE o BETWEEN 2 AND 6) AS points FROM c GROUP BY id)
+SELECT d.*, coalesce(chunks, 0) AS n_chunks, coalesce(points, 0) AS n_points FROM d LEFT JOIN k USING (id) WHERE corpus <> 'regulations'"""
 SQL["r3_term_idf"] = f"WITH {DOCS}, {POSTS}, {IDF} SELECT term_id, df, round(idf, 6) AS idf FROM idf"
 SQL["r4_sparse_search"] = f"{SPARSE} SELECT query_id, chunk_id, rank, round(score, 4) AS score FROM sparse WHERE rank <= 10"
 SQL["r5_dense_search"] = f"WITH {VEC}, qvec AS (SELECT * FROM vec WHERE CAST(id AS BIGINT) % 50 = 0), {DSCORED}, t AS ({topk('dscored', 10)}) SELECT query_id, chunk_id, rank, round(score, 4) AS score FROM t"

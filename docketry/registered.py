@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import letters as L
 from docketry.functions import text as X
-from docketry.operators import chunking, correspondence, names, registry, routing, search
+from docketry.operators import chunking, correspondence, names, registry, routing, search, stored_registry
 from docketry.operators.dense_index import DenseIndex
 from docketry.operators.sparse_index import SparseIndex
 from docketry.plans import workloads
@@ -225,6 +225,32 @@ def embedded_docs(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding", F.col("label").alias("vec_label"))
 
 
+DOCUMENTS = "id string, path string, status string, error string, parsed_path string, corpus string, session_id string"
+LINES = "id string, doc_id string, kind string, ordinal int"
+
+
+@query
+def s6_stored_registry(spark, d):
+    """The changes of S6, S7, S12, A18 and A20 on stored tables, one after the other; what is left of each document."""
+
+    def make(path):
+        w, n = workflow(spark, d), F.col("n")
+        chunks = line_chunks(spark, d).select("id", "doc_id", "kind", "ordinal")
+        points = chunks.where("kind = 'child'").select(F.when(F.col("ordinal") == 7, F.concat("id", F.lit("-old"))).otherwise(F.col("id")).alias("id"), "doc_id")
+        store = stored_registry.registry_store(spark, path, DOCUMENTS, LINES, buckets=16)
+        stored_registry.load(store, documents=w, chunks=chunks, points=points)
+        stored_registry.set_status(store, w.where(n % 4 == 0).select("id", F.lit("parsed").alias("status"), F.lit(None).cast("string").alias("error"), F.when(n % 8 == 0, F.concat("id", F.lit(".v2.md"))).alias("parsed_path")))
+        stored_registry.tag(store, w.where(n % 9 == 0).select("id", F.when(n % 2 == 0, "regulations").alias("corpus"), F.when(n % 27 == 0, "s99").alias("session_id")))
+        stored_registry.replace_chunks(store, w.where(n % 5 == 0).select("id"), chunks.where(F.col("doc_id").cast("bigint") % 5 == 0).where("ordinal <= 2"))
+        stored_registry.repair_drift(store)
+        stored_registry.purge(store, "regulations")
+
+    store = Store(spark, once(spark, d, "registry", make))
+    count = lambda name: store.table(name).groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias(f"n_{name}"))
+    docs = store.table("documents").join(count("chunks"), "id", "left").join(count("points"), "id", "left")
+    return docs.select("id", "status", "error", "parsed_path", "corpus", "session_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_chunks", "n_points")])
+
+
 @query
 def s8_index_payload(spark, d):
     docs = documents(spark, d).withColumn("entities", F.when(F.col("n") % 2 == 0, F.array("source")))

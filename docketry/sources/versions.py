@@ -28,11 +28,13 @@ from pyspark.sql import types as T
 
 class Change(NamedTuple):
     """``rows`` of the buckets that hold ``keys`` (a DataFrame with the table's key column) become ``how(rows)``; without ``how``, ``keys``
-    are whole rows that are added to them, and what is there is neither read nor written."""
+    are whole rows that are added to them, and what is there is neither read nor written. Where ``how`` leaves rows in their buckets
+    (``stays``: it changes or drops rows, but adds none and changes no key) they are written by the tasks that read them."""
 
     table: str
     keys: DataFrame
     how: Callable[[DataFrame], DataFrame] | None = None
+    stays: bool = False
 
 
 class ConcurrentChange(Exception):
@@ -165,7 +167,8 @@ class Store:
                 table["folders"]["0"] = [*(table["folders"].get("0", []) if change.how is None else []), folder]
                 continue
             bucketed = new.withColumn("_bucket", self._bucket(table))
-            bucketed.repartition(len(touched) or table["buckets"], "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+            placed = bucketed if change.stays else bucketed.repartition(len(touched) or table["buckets"], "_bucket")
+            placed.write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
             names = [f.getPath().getName() for f in self._files().listStatus(self._path(*folder.split("/")))]
             written = {int(n.removeprefix("_bucket=")) for n in names if n.startswith("_bucket=")}
             for b in written | set(touched):
@@ -208,9 +211,15 @@ def replace(table: str, key: str, keys: DataFrame, rows: DataFrame) -> Change:
     return Change(table, keys.select(key), lambda old: old.join(keys.select(key).distinct(), key, "left_anti").unionByName(rows, allowMissingColumns=True))
 
 
+def patch(table: str, key: str, rows: DataFrame, change: Callable[[DataFrame, DataFrame], DataFrame]) -> Change:
+    """The rows that ``rows`` speaks of are changed by ``change(old, rows)``, a left join: nothing is added, nothing moves to another bucket.
+    ``rows`` should be ``Store.staged``, so that Spark knows its size and sends a small patch to the tasks that read the table."""
+    return Change(table, rows.select(key), lambda old: change(old, rows), stays=True)
+
+
 def append(table: str, rows: DataFrame) -> Change:
     return Change(table, rows)
 
 
 def delete(table: str, key: str, keys: DataFrame) -> Change:
-    return Change(table, keys.select(key), lambda old: old.join(keys.select(key).distinct(), key, "left_anti"))
+    return Change(table, keys.select(key), lambda old: old.join(keys.select(key).distinct(), key, "left_anti"), stays=True)

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from docketry.operators import registry, stored_registry
 from docketry.sources import versions
 from docketry.sources.versions import Store
 from docketry.streaming import streams
@@ -164,6 +165,25 @@ def test_store_changes(spark, tmp_path):
     assert [r.v for r in store.rows_of("t", rows((1, ""))).collect()] == []
 
 
+def test_a_patch_shuffles_and_writes_only_its_buckets(spark, tmp_path):
+    store = stored_registry.registry_store(spark, str(tmp_path / "registry"), "id string, status string, error string, parsed_path string", "id string, doc_id string", buckets=32)
+    docs = spark.range(20_000).select(F.col("id").cast("string").alias("id"), F.lit("new").alias("status"), F.lit("e").alias("error"), F.lit("p").alias("parsed_path"))
+    stored_registry.load(store, documents=docs, chunks=docs.select("id", F.col("id").alias("doc_id")), points=docs.select("id", F.col("id").alias("doc_id")))
+    before = store.manifest()["tables"]
+    ids = [str(i) for i in range(0, 20_000, 7000)]
+    patches = store.staged(spark.createDataFrame([(i, "parsed", None, None) for i in ids], "id string, status string, error string, parsed_path string"))
+    change = versions.patch("documents", "id", patches, registry.apply_status)
+    plan = change.how(store.table("documents"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    version = stored_registry.set_status(store, patches, batch=("s", 0))
+    assert stored_registry.set_status(store, patches, batch=("s", 0)) == version
+    after = store.manifest()["tables"]
+    moved = [b for b in before["documents"]["folders"] if after["documents"]["folders"][b] != before["documents"]["folders"][b]]
+    assert 1 <= len(moved) <= len(ids) and after["chunks"] == before["chunks"]
+    rows = {r.id: (r.status, r.error, r.parsed_path) for r in store.table("documents").collect()}
+    assert len(rows) == 20_000 and {i for i, r in rows.items() if r == ("parsed", None, "p")} == set(ids)
+
+
 def test_two_writers(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"), {"t": ("k long", "k", 4)})
     asked = []
