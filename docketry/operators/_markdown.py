@@ -39,53 +39,40 @@ def cleaned(markdown: str) -> str:
     return re.sub("\n{3,}", "\n\n", IMAGE.sub("", markdown))
 
 
+def line_kinds(lines: list[str]) -> Iterator[tuple[tuple[str, int], str]]:
+    """What each line is by itself, and a number: neighbouring lines alike in both are one block.
+
+    Fences are numbered in pairs, so a fenced block holds its two fences and all between; a heading is a block of its own.
+    """
+    fences = headings = 0
+    for line in lines:
+        bare = line.strip()
+        if bare.startswith("```"):
+            kind, fences = ("code", fences // 2), fences + 1
+        elif fences % 2:
+            kind = ("code", fences // 2)
+        elif HEADING.match(line):
+            kind, headings = ("heading", headings), headings + 1
+        else:
+            kind = ("table" if bare.startswith("|") else "text" if bare else "blank", 0)
+        yield kind, line
+
+
 def pieces(markdown: str) -> Iterator[Piece]:
     """Blocks of a text in order, each with the headings above it."""
     above: list[tuple[int, str]] = []
-    held: list[str] = []
-    kind = "paragraph"
-
-    def closed() -> Iterator[Piece]:
-        text = "\n".join(held).strip()
-        held.clear()
-        if text:
-            yield Piece(kind, text, None, tuple(t for _, t in above))
-
-    fenced = False
-    for line in markdown.split("\n"):
-        mark = line.lstrip()
-        if mark.startswith("```"):
-            if not fenced:
-                yield from closed()
-                kind = "code"
-            held.append(line)
-            if fenced:
-                yield from closed()
-                kind = "paragraph"
-            fenced = not fenced
-        elif fenced:
-            held.append(line)
-        elif heading := HEADING.match(line):
-            yield from closed()
-            kind = "paragraph"
-            level, title = len(heading[1]), heading[2].strip()
-            # headings below the last one of a higher rank are closed
-            keep = max((i + 1 for i, (rank, _) in enumerate(above) if rank < level), default=0)
-            above = [*above[:keep], (level, title)]
-            yield Piece("heading", title, level, tuple(t for _, t in above))
-        else:
-            row = mark.startswith("|")
-            if row != (kind == "table"):
-                yield from closed()
-                kind = "table" if row else "paragraph"
-            if kind == "paragraph" and not held and ITEM.match(line):
-                kind = "list"
-            if not line.strip() and kind != "table":
-                yield from closed()
-                kind = "paragraph"
-            else:
-                held.append(line)
-    yield from closed()
+    for (kind, _), rows in groupby(line_kinds(markdown.split("\n")), key=lambda x: x[0]):
+        lines = [line for _, line in rows]
+        text, level = "\n".join(lines).strip(), None
+        if kind == "heading":
+            found = HEADING.match(lines[0])
+            level, text = len(found[1]), found[2].strip()
+            # a heading closes those of its own rank and below
+            above = [*(h for h in above if h[0] < level), (level, text)]
+        elif kind == "text":
+            kind = "list" if ITEM.match(lines[0]) else "paragraph"
+        if kind != "blank" and (text or level):
+            yield Piece(kind, text, level, tuple(t for _, t in above))
 
 
 def split_long(text: str, sizes: Sizes = Sizes()) -> list[str]:
