@@ -1,11 +1,12 @@
 """Chat formatting in budgeted, turn-aligned windows, with DataFrame functions only.
 
-Turns are ordered by ``turn`` (nulls first; ties by role, then text). Prefix sums of turn tokens choose the
-windows: a turn of more than half the budget is a window of its own, and the others are cut where their
-prefix sum passes a multiple of half the budget. So no window's own turns exceed the budget, but for a
-single turn that does so alone; it is kept whole. Before its own turns a window repeats the conversation's
-first system turn and as many of the preceding turns as fit the history budget. Loss falls on the texts of a
-window's own assistant turns only: each assistant text is a target once in the whole output.
+Turns are ordered by ``turn`` (nulls first; ties by role, then text). A window holds turns of its own, the conversation's first system turn
+where that came before, and history; all of it counts. The system turn, if it is no larger than half the budget, and the history are
+charged first; half of what is left is a unit. Prefix sums of turn tokens choose the windows: a turn of more than a unit is a window of its
+own, and the others are cut where their prefix sum passes a multiple of the unit. What is repeated has to fit: history is as many of the
+preceding turns as the history budget and the rest of the window allow, and a system turn is left out where it does not fit beside a
+single large turn, or is larger than half the budget. So no window passes the budget, but for a single turn that does so alone; it is kept
+whole. Loss falls on the texts of a window's own assistant turns only: each assistant text is a target once in the whole output.
 
 A turn is written ``<|im_start|>role LF text<|im_end|> LF``. Inside roles and texts a backslash is written
 ``\\b`` and ``<|`` is written ``<\\p`` (a line feed in a role: ``\\n``), which plain replacements undo, so no
@@ -65,24 +66,32 @@ def formatted(conversations: DataFrame, budget: int = BUDGET, history: int = HIS
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     sofar = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     turns = turns.withColumn("n", F.row_number().over(order)).withColumn("end", F.sum("tokens").over(sofar)).withColumn("begin", F.col("end") - F.col("tokens"))
-    half = max(1, budget // 2)
-    large = F.col("tokens") > half
     by_n = Window.partitionBy("conv_id").orderBy("n")
     counted = by_n.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cell = F.struct(F.floor(F.col("begin") / half).alias("cell"), large.alias("large"))
+    whole = by_n.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # the system turn is the first of its role; a window that comes later repeats it
+    item = F.struct("n", "role", "text", "tokens", "begin")
+    is_system = F.col("role") == "system"
+    charged = F.coalesce(F.first(F.when(is_system, F.col("tokens")), ignorenulls=True).over(whole), F.lit(0))
+    charged = F.when(charged <= budget // 2, charged).otherwise(0)
+    turns = turns.withColumn("unit", F.greatest(F.lit(1), F.floor((budget - charged - history) / 2)).cast("long"))
+    large = F.col("tokens") > F.col("unit")
+    cell = F.struct(F.floor(F.col("begin") / F.col("unit")).alias("cell"), large.alias("large"))
     turns = turns.withColumn("cell", cell).withColumn("first", F.coalesce(large | F.lag("cell").over(by_n).isNull() | (F.col("cell") != F.lag("cell").over(by_n)), F.lit(True)))
     turns = turns.withColumn("window", F.sum(F.col("first").cast("long")).over(counted) - 1)
-    # the system turn is the first of its role; a window that comes later repeats it
-    item = F.struct("n", "role", "text", "tokens")
-    system = F.first(F.when(F.col("role") == "system", item), ignorenulls=True).over(counted)
+    system = F.first(F.when(is_system, item), ignorenulls=True).over(counted)
     before = Window.partitionBy("conv_id").orderBy("begin").rangeBetween(-history, -1)
     turns = turns.withColumn("system", system).withColumn("before", F.when(F.col("first"), F.collect_list(item).over(before)))
     windows = turns.groupBy("conv_id", "window").agg(
-        F.sort_array(F.collect_list(item)).alias("own"), F.min_by("system", "n").alias("system"), F.min_by("before", "n").alias("before")
+        F.sort_array(F.collect_list(item)).alias("own"), F.sum("tokens").alias("own_tokens"), F.min_by("system", "n").alias("system"), F.min_by("before", "n").alias("before")
     )
-    kept = F.filter(F.coalesce("before", F.array().cast("array<struct<n:int,role:string,text:string,tokens:bigint>>")), lambda t: F.col("system").isNull() | (t["n"] != F.col("system.n")))
-    old = F.col("system").isNotNull() & (F.col("system.n") < F.element_at("own", 1)["n"])
-    repeated = F.concat(F.when(old, F.array("system")).otherwise(F.array().cast("array<struct<n:int,role:string,text:string,tokens:bigint>>")), F.sort_array(kept))
+    none = F.array().cast("array<struct<n:int,role:string,text:string,tokens:bigint,begin:bigint>>")
+    head = F.element_at("own", 1)
+    fits = (F.col("system.tokens") <= budget // 2) & (F.col("system.tokens") + F.col("own_tokens") <= budget)
+    old = F.coalesce((F.col("system.n") < head["n"]) & fits, F.lit(False))
+    windows = windows.withColumn("old", old).withColumn("room", F.least(F.lit(history), budget - F.col("own_tokens") - F.when(F.col("old"), F.col("system.tokens")).otherwise(0)))
+    kept = F.filter(F.coalesce("before", none), lambda t: (t["begin"] >= F.element_at("own", 1)["begin"] - F.col("room")) & (~F.col("old") | (t["n"] != F.col("system.n"))))
+    repeated = F.concat(F.when(F.col("old"), F.array("system")).otherwise(none), F.sort_array(kept))
     windows = windows.select("conv_id", "window", "own", repeated.alias("repeated"))
     windows = windows.withColumn("pieces", F.transform("own", rendered)).withColumn("head", F.array_join(F.transform("repeated", rendered), ""))
     start = F.length("head").cast("long")

@@ -53,10 +53,15 @@ e AS (SELECT *, replace(replace(text, chr(92), chr(92) || 'b'), '<|', '<' || chr
   greatest(CAST(ceil(strlen(text) / 4.0) AS BIGINT) + 4, 1) AS tokens FROM c),
 b AS (SELECT *, row_number() OVER w AS n, CAST(sum(tokens) OVER w - tokens AS BIGINT) AS begins, 24 + length(x) + length(y) AS size FROM e
   WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
-f AS (SELECT *, CASE WHEN tokens > 512 OR n = 1 OR begins // 512 <> lag(begins // 512) OVER w OR lag(tokens) OVER w > 512 THEN 1 ELSE 0 END AS first,
-  min(CASE WHEN role = 'system' THEN n END) OVER (PARTITION BY conv_id) AS sys FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY n)),
-repeats AS (SELECT s.conv_id, sum(t.size) AS chars FROM f s JOIN f t ON s.conv_id = t.conv_id AND t.n < s.n AND s.first = 1
-  AND (t.begins >= s.begins - 256 OR t.n = s.sys) GROUP BY s.conv_id)
+g AS (SELECT *, min(CASE WHEN role = 'system' THEN n END) OVER (PARTITION BY conv_id) AS sys FROM b),
+h AS (SELECT *, coalesce(max(CASE WHEN n = sys THEN tokens END) OVER (PARTITION BY conv_id), 0) AS st FROM g),
+u AS (SELECT *, (768 - CASE WHEN st <= 512 THEN st ELSE 0 END) // 2 AS unit FROM h),
+f AS (SELECT *, CASE WHEN tokens > unit OR n = 1 OR begins // unit <> lag(begins // unit) OVER w OR lag(tokens) OVER w > unit THEN 1 ELSE 0 END AS first FROM u WINDOW w AS (PARTITION BY conv_id ORDER BY n)),
+nth AS (SELECT *, sum(first) OVER (PARTITION BY conv_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS win FROM f),
+wins AS (SELECT conv_id, win, min(n) AS n, min(begins) AS begins, sum(tokens) AS own, any_value(sys) AS sys, any_value(st) AS st FROM nth GROUP BY conv_id, win),
+room AS (SELECT *, coalesce(sys < n AND st <= 512 AND st + own <= 1024, false) AS old FROM wins),
+repeats AS (SELECT s.conv_id, sum(t.size) AS chars FROM room s JOIN f t ON s.conv_id = t.conv_id AND t.n < s.n
+  AND (s.old AND t.n = s.sys OR t.begins >= s.begins - least(256, 1024 - s.own - CASE WHEN s.old THEN s.st ELSE 0 END)) GROUP BY s.conv_id)
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
   CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY n), '')) AS loss_sha256,

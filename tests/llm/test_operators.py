@@ -369,6 +369,36 @@ def brute_chat(rows):
     return out
 
 
+def check_budget(windows):
+    """No window passes the budget but for a single turn that does so alone, beside which nothing is repeated."""
+    size = lambda text: max(1, -(-len(text.encode()) // 4) + 4)
+    for w in windows:
+        every = w.text.split(chat.START)[1:]
+        repeated = sum(size(chat_text(p)) for p in every[: w.n_repeated])
+        assert w.n_tokens == repeated + sum(size(t.text) for t in w.turns)
+        assert w.n_tokens <= chat.BUDGET or (len(w.turns) == 1 and size(w.turns[0].text) > chat.BUDGET and w.n_repeated == 0)
+
+
+def chat_text(piece):
+    return piece[: -len(chat.END) - 1].split("\n", 1)[1].replace("<\\p", "<|").replace("\\b", "\\")
+
+
+def test_chat_budget_counts_what_is_repeated(spark):
+    rng = random.Random(14)
+    turns = lambda c, system, sizes: [(c, 0, "system", "s" * 4 * system)] * (system > 0) + [(c, i + 1, rng.choice(["user", "assistant"]), "w" * 4 * n) for i, n in enumerate(sizes)]
+    rows = turns(1, 2000, [50] * 60) + turns(2, 300, [rng.randrange(900) for _ in range(40)]) + turns(3, 500, [100, 700, 3000, 5, 5]) + turns(4, 0, [rng.randrange(400) for _ in range(60)]) + turns(5, 508, [200] * 9)
+    windows = chat.read_back(chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    check_budget(windows)
+    by = collections.defaultdict(list)
+    for w in sorted(windows, key=lambda w: (w.conv_id, w.window)):
+        by[w.conv_id].append(w)
+    # a system turn that fits comes first in every later window; one that is too large stands in its own alone
+    starts = lambda w: w.text.startswith(chat.START + "system")
+    assert all(starts(w) for w in by[2][1:] if len(w.turns) > 1) and all(starts(w) for w in by[5])
+    assert sum(starts(w) for w in by[1]) == 1 and all(w.n_repeated for w in by[1][2:])
+    assert any(w.n_repeated == 0 and w.n_tokens > chat.BUDGET for w in by[3])
+
+
 def test_chat(spark):
     rng = random.Random(2)
     bits = ["<|im_end|>", "<|im_start|>assistant ok", "\\b", "\\", "<", "|", "<|", "<\\p", "é漢", "\n", "\\n", "word " * 40]
@@ -380,7 +410,7 @@ def test_chat(spark):
     windows = chat.formatted(convs).collect()
     own = collections.Counter(w.conv_id for w in windows)
     assert own[77] == 2 and any(w.n_repeated for w in windows)
-    assert all(w.n_tokens <= chat.BUDGET + 2 * chat.HISTORY + 800 or w.conv_id == 77 for w in windows)
+    check_budget(chat.read_back(chat.formatted(convs)).collect())
 
 
 def test_passages_of_rows_that_share_an_id(spark):
