@@ -6,6 +6,8 @@ ids are digests of document id, kind and ordinal, so a rerun writes the same chu
 
 from __future__ import annotations
 
+from itertools import groupby, islice
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -34,9 +36,9 @@ def parse_blocks(docs: DataFrame) -> DataFrame:
 
     def run(frames):
         for pdf in frames:
-            rows = [{"doc_id": r.id, "pos": i, "type": b.kind, "text": b.text, "level": b.level, "path": list(b.path)} for r in pdf.itertuples() for i, b in enumerate(_markdown.pieces(_markdown.cleaned(r.text)))]
-            for a in range(0, len(rows), 2000):
-                yield _rows(["doc_id", "pos", "type", "text", "level", "path"], rows[a : a + 2000]).astype({"level": "Int32"})
+            rows = ({"doc_id": r.id, "pos": i, "type": b.kind, "text": b.text, "level": b.level, "path": list(b.path)} for r in pdf.itertuples() for i, b in enumerate(_markdown.pieces(_markdown.cleaned(r.text))))
+            while some := list(islice(rows, 2000)):
+                yield _rows(["doc_id", "pos", "type", "text", "level", "path"], some).astype({"level": "Int32"})
 
     return _input(docs).mapInPandas(run, BLOCKS)
 
@@ -68,10 +70,47 @@ def split_long_text(column: str | Column, target: int = _markdown.TARGET, overla
     return pieces(column)
 
 
-def chunk_documents(docs: DataFrame, target: int = _markdown.TARGET, largest: int = _markdown.LARGEST, parent: int = _markdown.LONGEST_PARENT, overlap: float = _markdown.OVERLAP) -> DataFrame:
-    """Parent and child chunks of ``id, filename, text`` documents."""
+#: Bytes of a text up to which it is cut where it lies, as one row.
+LARGE = 4 << 20
+
+
+def chunk_documents(docs: DataFrame, target: int = _markdown.TARGET, largest: int = _markdown.LARGEST, parent: int = _markdown.LONGEST_PARENT, overlap: float = _markdown.OVERLAP, large: int = LARGE) -> DataFrame:
+    """Parent and child chunks of ``id, filename, text`` documents.
+
+    A text of more than ``large`` bytes is cut into lines first, which go through one task in order: that task holds a block at a time,
+    not the text. Chunks are the same either way (of equal rows with such a text one counts).
+    """
     sizes = _markdown.Sizes(target, largest, parent, overlap)
-    return _chunked(docs, lambda r: _markdown.chunks(r.id, r.filename, r.text, sizes))
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    small = _chunked(docs.where(size <= large), lambda r: _markdown.chunks(r.id, r.filename, r.text, sizes))
+    return small.unionByName(_chunked_by_line(docs.where(size > large), sizes))
+
+
+def _chunked_by_line(docs: DataFrame, sizes: _markdown.Sizes) -> DataFrame:
+    fields = _fields()
+    clean = F.regexp_replace(F.regexp_replace("text", r"<!--\s*image\s*-->", ""), "\n{3,}", "\n\n")
+    rows = docs.select(F.col("id").cast("string").alias("id"), "filename", F.xxhash64("filename", "text").alias("row"), clean.alias("text")).dropDuplicates(["id", "row"])
+    lines = rows.select("id", "filename", "row", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+
+    def run(batches):
+        def rows():
+            for batch in batches:
+                yield from zip(*(batch.column(c).to_pylist() for c in ("id", "row", "filename", "text")))
+
+        held: list = []
+        for (doc_id, _, filename), own in groupby(rows(), key=lambda r: r[:3]):
+            for chunk in _markdown.chunks(doc_id, filename, (r[3] for r in own), sizes):
+                held.append(chunk)
+                if len(held) >= 500:
+                    yield pa.RecordBatch.from_pylist(held, schema)
+                    held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema)
+
+    meta = pa.struct([(f.split(":")[0], pa.bool_() if f.endswith("boolean") else pa.string()) for f in METADATA[7:-1].split(",")])
+    kinds = {"ordinal": pa.int32(), "token_count": pa.int32(), "metadata": meta}
+    schema = pa.schema([(f, kinds.get(f, pa.string())) for f in fields])
+    return lines.repartition("id").sortWithinPartitions("id", "row", "line").select("id", "row", "filename", "text").mapInArrow(run, CHUNKS)
 
 
 def chunk_regulations(docs: DataFrame) -> DataFrame:
@@ -79,17 +118,22 @@ def chunk_regulations(docs: DataFrame) -> DataFrame:
     return regulation.chunks(docs, infer_article_numbers(parse_articles(docs)))
 
 
+def _fields() -> list[str]:
+    return [f.split()[0] for f in CHUNKS.split(", metadata")[0].split(", ")] + ["metadata"]
+
+
 def _chunked(docs: DataFrame, cut) -> DataFrame:
-    fields = [f.split()[0] for f in CHUNKS.split(", metadata")[0].split(", ")] + ["metadata"]
+    fields = _fields()
 
     def run(frames):
         for pdf in frames:
             held: list = []
             for r in pdf.itertuples():
-                held += cut(r)
-                if len(held) > 500:
-                    yield _rows(fields, held)
-                    held = []
+                for chunk in cut(r):
+                    held.append(chunk)
+                    if len(held) > 500:
+                        yield _rows(fields, held)
+                        held = []
             yield _rows(fields, held)
 
     return _input(docs).mapInPandas(run, CHUNKS)

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 from docketry.operators import _markdown as M
 from docketry.operators import chunking
@@ -28,6 +29,24 @@ def test_chunks_of_a_contract(spark):
     assert sorted(r.id for r in again) == sorted(r.id for r in rows)
 
 
+def test_long_texts_are_cut_by_line_to_the_same_chunks(spark):
+    rng = random.Random(4)
+    bits = ["# Başlık", "## Alt", "### Derin", "metin " * 30, "Cümle bir. Cümle iki! " * 80, "| a | b |", "|---|---|", "- madde", "", "", "```", "x = 1", "<!-- image -->", "<!--", "image", "-->", "\tson\r", LONG]
+    texts = [CONTRACT, "", "\n\n\n", None, "```\naçık"] + ["\n".join(rng.choice(bits) for _ in range(rng.choice([3, 30, 200]))) for _ in range(60)]
+    docs = spark.createDataFrame([(f"d{i}", f"f{i}.md", t) for i, t in enumerate(texts)], "id string, filename string, text string").repartition(3)
+    rows = lambda large: sorted(map(repr, chunking.chunk_documents(docs, large=large).collect()))
+    assert rows(1 << 30) == rows(0) == rows(2000) and len(rows(0)) > 300
+
+
+def test_a_section_of_any_length_takes_little_memory():
+    lines = (f"satır {i} " + "kelime " * 8 if i % 9 else "" for i in range(400_000))  # 25 MB in one section
+    tracemalloc.start()
+    n = sum(1 for _ in M.chunks("d", "f", lines))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 5000 and peak < 2 << 20
+
+
 def test_odd_markdown():
     assert [b.kind for b in M.pieces("```\n# kod\n\n```\n- a\n- b")] == ["code", "list"]
     assert [b.kind for b in M.pieces("# a\r\nb")] == ["paragraph"]  # a carriage return makes it no heading
