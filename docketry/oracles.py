@@ -402,8 +402,8 @@ CASE WHEN bad THEN 0 ELSE routing_confidence END AS routing_confidence, CASE WHE
 SQL["d8_apply_decisions"] = f"""WITH {SERVICES}, {FLOW}, {DECS}, w AS (SELECT flow.*, d.k IS NOT NULL AS hit, d.undetermined AS un, d.service AS ds, coalesce(d.main_unit, d.other_unit) AS du, d.confidence AS dc, d.routing_key AS dk FROM flow LEFT JOIN decs d ON d.decision_id = flow.id)
 SELECT id, CASE WHEN hit AND NOT un THEN ds WHEN NOT hit THEN routed_service END AS routed_service, CASE WHEN hit AND NOT un THEN du WHEN NOT hit THEN routed_unit END AS routed_unit, CASE WHEN hit THEN dc ELSE routing_confidence END AS routing_confidence,
 CASE WHEN hit AND un THEN 'belirlenemedi' WHEN hit THEN 'routed' ELSE routing_status END AS routing_status, coalesce(dk, routing_key) AS routing_key, CASE WHEN hit AND lifecycle_status = 'new' THEN 'routed' ELSE lifecycle_status END AS lifecycle_status FROM w"""
-SQL["d9_apply_manual"] = f"""WITH {FLOW}, o AS (SELECT CAST(l_orderkey AS VARCHAR) AS id, coalesce(max(CASE WHEN l_linestatus = 'F' THEN 'neden' END), 'Servis calisani tarafindan elle atandi') AS reason FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)
-SELECT flow.id, CASE WHEN o.id IS NOT NULL THEN '1-URGENT' ELSE routed_service END AS routed_service, coalesce(reason, routing_reasoning) AS routing_reasoning, CASE WHEN o.id IS NOT NULL THEN 1 ELSE routing_confidence END AS routing_confidence, CASE WHEN o.id IS NOT NULL THEN 'routed' ELSE routing_status END AS routing_status FROM flow LEFT JOIN o USING (id)"""
+SQL["d9_apply_manual"] = f"""WITH {FLOW}, o AS (SELECT CAST(l_orderkey AS VARCHAR) AS id, max({{'at': l_linenumber, 's': CASE l_linenumber % 3 WHEN 1 THEN '1-URGENT' ELSE '2-HIGH' END, 'r': CASE WHEN l_linestatus = 'F' THEN 'neden' ELSE '' END}}) AS m FROM lineitem WHERE l_linenumber % 3 <> 2 GROUP BY 1)
+SELECT flow.id, CASE WHEN o.id IS NOT NULL THEN m.s ELSE routed_service END AS routed_service, CASE WHEN o.id IS NULL THEN routing_reasoning WHEN m.r = '' THEN 'Servis calisani tarafindan elle atandi' ELSE m.r END AS routing_reasoning, CASE WHEN o.id IS NOT NULL THEN 1 ELSE routing_confidence END AS routing_confidence, CASE WHEN o.id IS NOT NULL THEN 'routed' ELSE routing_status END AS routing_status FROM flow LEFT JOIN o USING (id)"""
 SQL["d10_grading"] = f"""WITH {SERVICES}, {DECS}, t AS (SELECT *, unnest([1, 2]) AS attempt FROM decs), v AS (SELECT *, CASE WHEN attempt = 2 THEN service || ' B' ELSE service END AS s, undetermined OR ((k + attempt) % 3 > 0 AND k % 7 <> 0) AS approved FROM t),
 p AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY decision_id ORDER BY approved DESC, attempt) = 1)
 SELECT decision_id, CASE WHEN approved THEN main_unit END AS main_unit, CASE WHEN approved THEN other_unit END AS other_unit, CASE WHEN approved THEN s END AS service, CASE WHEN approved THEN array_to_string(cited, ',') ELSE '' END AS cited, CASE WHEN approved THEN confidence ELSE 0 END AS confidence, undetermined OR NOT approved AS undetermined, CAST(attempt AS INT) AS attempt, approved FROM p"""
@@ -445,7 +445,7 @@ SQL["a18_drop_orphans"] = f"{POINTS} SELECT doc_id, count(*) AS n FROM pts WHERE
 SQL["a19_corpus_inventory"] = f"WITH {FLOW}, {CHUNKS}, {LETTERS}, own AS (SELECT id FROM flow WHERE corpus = 'regulations') SELECT 'documents' AS table_name, count(*) AS n FROM own UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE doc_id IN (SELECT id FROM own) UNION ALL SELECT 'letters', count(*) FROM letters WHERE document_id IN (SELECT id FROM own)"
 SQL["a20_purge_corpus"] = f"WITH {FLOW}, {CHUNKS}, {LETTERS}, own AS (SELECT id FROM flow WHERE corpus = 'regulations') SELECT 'documents' AS table_name, count(*) AS n FROM flow WHERE corpus <> 'regulations' UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE doc_id NOT IN (SELECT id FROM own) UNION ALL SELECT 'letters', count(*) FROM letters WHERE document_id NOT IN (SELECT id FROM own)"
 SQL["a21_backfill_lifecycle"] = f"WITH {FLOW} SELECT CASE WHEN lifecycle_status = 'new' AND routing_status = 'routed' THEN 'routed' ELSE lifecycle_status END AS lifecycle_status, routing_status, count(*) AS n FROM flow GROUP BY 1, 2"
-SQL["a21_backfill_sessions"] = f"""WITH {FLOW}, u AS (SELECT CAST(l_orderkey AS VARCHAR) AS id, min('u' || l_linenumber) AS s FROM lineitem WHERE l_linenumber <= 2 AND l_orderkey % 10 = 3 GROUP BY 1), b AS (SELECT flow.*, coalesce(session_id, s) AS sid, coalesce(session_id, s) IS NOT NULL AND routing_status <> 'pending' AS wrong FROM flow LEFT JOIN u USING (id))
+SQL["a21_backfill_sessions"] = f"""WITH {FLOW}, u AS (SELECT CAST(l_orderkey - l_orderkey % 10 + 3 AS VARCHAR) AS id, min('u' || l_linenumber) AS s FROM lineitem GROUP BY 1), b AS (SELECT flow.*, coalesce(session_id, s) AS sid, coalesce(session_id, s) IS NOT NULL AND routing_status <> 'pending' AS wrong FROM flow LEFT JOIN u USING (id))
 SELECT id, sid AS session_id, CASE WHEN NOT wrong THEN routed_service END AS routed_service, CASE WHEN wrong THEN 'pending' ELSE routing_status END AS routing_status, CASE WHEN wrong THEN 'new' ELSE lifecycle_status END AS lifecycle_status, CASE WHEN NOT wrong THEN routing_key END AS routing_key FROM b"""
 SQL["a22_session_documents"] = f"WITH {FLOW} SELECT id FROM flow WHERE session_id = 's3' AND id <> '23'"
 

@@ -843,7 +843,8 @@ def d8_apply_decisions(spark, d):
 
 @query
 def d9_apply_manual(spark, d):
-    o = table(spark, d, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").cast("string").alias("id"), F.when(F.col("l_linenumber") == 1, "1-URGENT").otherwise("5-LOW").alias("service"), F.when(F.col("l_linestatus") == "F", "neden").alias("reason"), F.col("l_linenumber").alias("at"))
+    k = F.col("l_linenumber") % 3
+    o = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("id"), F.when(k == 1, "1-URGENT").when(k == 2, "9-NONE").otherwise("2-HIGH").alias("service"), F.when(F.col("l_linestatus") == "F", "neden").alias("reason"), F.col("l_linenumber").alias("at"))
     return routing.apply_manual(workflow(spark, d), o, priorities(spark, d)).select("id", "routed_service", "routing_reasoning", "routing_confidence", "routing_status")
 
 
@@ -1013,7 +1014,9 @@ def a21_backfill_lifecycle(spark, d):
 
 
 def uploads(spark, d):
-    return table(spark, d, "lineitem").where("l_linenumber <= 2 AND l_orderkey % 10 = 3").select(F.concat(F.lit("u"), F.col("l_linenumber").cast("string")).alias("session_id"), F.col("l_orderkey").cast("string").alias("document_id"), F.col("l_shipdate").alias("ts"))
+    # the lines of ten orders are uploads of one document
+    document = F.col("l_orderkey") - F.col("l_orderkey") % 10 + 3
+    return table(spark, d, "lineitem").select(F.concat(F.lit("u"), F.col("l_linenumber").cast("string")).alias("session_id"), document.cast("string").alias("document_id"), F.col("l_shipdate").alias("ts"))
 
 
 @query
