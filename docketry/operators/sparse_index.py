@@ -6,8 +6,9 @@ Chunks are indexed where they lie, in shards of about ``SHARD_CHUNKS``. A shard
 change together, as one version of a ``Store``.
 
 A search sends blocks of queries to all shards. Of a query and a shard the block maxima give each range of chunks a bound; ranges are
-scored from the best bound on, and once a bound is below the k-th score so far, that range and all after it are skipped. Scores below no
-bound are left out, so the result is that of scoring everything. A task carries its best k from shard to shard and hands on no more
+scored from the best bound on, and once a bound is below the k-th score so far, that range and all after it are skipped. Within the others only the
+lists of terms without which no chunk can reach that score are read; the rest are looked up for the chunks found in these, while they can
+still reach it. Nothing that could win is left out, so the result is that of scoring everything. A task carries its best k from shard to shard and hands on no more
 than k rows a query: no row is made for a pair of query and chunk that cannot win.
 """
 
@@ -125,9 +126,14 @@ class _Best:
                     continue
             first, last = shard["first_block"][at], shard["first_block"][at + 1]
             blocks = _places(first, last)
-            given = np.repeat(own, last - first)
+            most = own * np.maximum.reduceat(shard["block_most"][blocks], np.append(0, np.cumsum(last - first)[:-1]))
+            # the terms that can give most come first; what those from each on can give together
+            by = np.argsort(-most, kind="stable")
+            own, first, last = own[by], first[by], last[by]
+            left = np.append(np.cumsum(most[by][::-1])[::-1], 0.0)
+            blocks, nth = _places(first, last), np.repeat(np.arange(len(by)), last - first)
             where = shard["block_range"][blocks]
-            bounds = np.bincount(where, given * shard["block_most"][blocks], ranges)
+            bounds = np.bincount(where, own[nth] * shard["block_most"][blocks], ranges)
             if may is not None:
                 bounds[np.add.reduceat(may, np.arange(0, n, RANGE)) == 0] = 0
             begin, end = shard["block_begin"][blocks], shard["block_begin"][blocks + 1]
@@ -136,29 +142,49 @@ class _Best:
             done = 0
             while done < ranges:
                 # twice as many ranges each time, as the k-th score rises
+                floor = self._floor(q) - SLACK
                 turn = order[done : 2 * done + 1]
-                turn = turn[(bounds[turn] > 0) & (bounds[turn] >= self._floor(q) - SLACK)]
+                turn = turn[(bounds[turn] > 0) & (bounds[turn] >= floor)]
                 if not len(turn):
                     break
-                open_ = np.isin(where, turn)
+                # a chunk with none of the first terms cannot reach the k-th score with all the others
+                needed = int((left[:-1] >= floor).sum())
+                open_ = np.isin(where, turn) & (nth < needed)
                 places = _places(begin[open_], end[open_])
                 self.read += len(places)
-                scores = np.bincount(shard["docs"][places], np.repeat(given[open_], (end - begin)[open_]) * shard["weights"][places], n)
+                scores = np.bincount(shard["docs"][places], np.repeat(own[nth[open_]], (end - begin)[open_]) * shard["weights"][places], n)
                 if may is not None:
                     scores[~may] = 0
-                self._take(q, ids, np.round(scores, PLACES))
+                found = np.flatnonzero(scores)
+                self._take(q, ids, *self._completed(shard, found, scores[found], own, first, last, left, needed, floor))
                 done = 2 * done + 1
 
+    def _completed(self, shard: dict, found: np.ndarray, scores: np.ndarray, own: np.ndarray, first: np.ndarray, last: np.ndarray, left: np.ndarray, needed: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks with what the other terms give them, looked up one term at a time for those that can still reach the k-th score."""
+        for j in range(needed, len(own)):
+            keep = scores + left[j] >= floor
+            found, scores = found[keep], scores[keep]
+            if not len(found):
+                break
+            lo, hi = shard["block_begin"][first[j]], shard["block_begin"][last[j]]
+            at = np.searchsorted(shard["docs"][lo:hi], found)
+            at[at == hi - lo] = 0
+            hit = shard["docs"][lo + at] == found
+            scores[hit] += own[j] * shard["weights"][lo + at[hit]]
+            self.read += len(found)
+        return found, np.round(scores, PLACES)
+
     def _floor(self, q: int) -> float:
         return self.top[q][-1][0] if len(self.top[q]) == self.k else 0.0
 
-    def _take(self, q: int, ids: pa.Array, scores: np.ndarray) -> None:
-        found = np.flatnonzero((scores >= self._floor(q)) & (scores > 0))
-        if len(found) > self.k:
+    def _take(self, q: int, ids: pa.Array, places: np.ndarray, scores: np.ndarray) -> None:
+        keep = (scores >= self._floor(q)) & (scores > 0)
+        places, scores = places[keep], scores[keep]
+        if len(places) > self.k:
             # of equal scores any can have the smaller id, so all of them are kept for now
-            least = np.partition(scores[found], len(found) - self.k)[len(found) - self.k]
-            found = found[scores[found] >= least]
-        new = [(float(scores[i]), ids[int(i)].as_py()) for i in found]
+            least = np.partition(scores, len(places) - self.k)[len(places) - self.k]
+            places, scores = places[scores >= least], scores[scores >= least]
+        new = [(float(s), ids[int(i)].as_py()) for i, s in zip(places, scores)]
         self.top[q] = sorted(self.top[q] + new, key=lambda x: (-x[0], x[1]))[: self.k]
 
 
