@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +28,25 @@ def ranked(df: DataFrame, by: list, keys: list[str] = ["query_id"], name: str =
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
 
 
+#: Bytes of texts whose terms a task counts at once.
+TEXT_BYTES = 1 << 20
+
+
+def slices(batch: pa.RecordBatch, column: str, size: int = TEXT_BYTES, rows: int = 1 << 12) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of no more than so many rows and bytes of a text column, or of one row."""
+    first, held = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if i > first and (held + n > size or i - first >= rows):
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += n
+    if batch.num_rows > first:
+        yield batch.slice(first)
+
+
 def term_counter(k1: float = K1, b: float = B, average: float = AVERAGE) -> Callable[[pa.Array], tuple[list, list, list, list]]:
     """A function from folded texts to ``(place, term, term id, weight)`` of their terms, in which a term is hashed once."""
-    stop, most = frozenset(X.STOPWORDS), 1 << 20
+    stop, most = frozenset(X.STOPWORDS), 1 << 17
     names: dict[str, int] = {}
 
     def name(term: str) -> int:
@@ -61,14 +78,14 @@ def term_counter(k1: float = K1, b: float = B, average: float = AVERAGE) -> Call
 def sparse_postings(chunks: DataFrame, k1: float = K1, b: float = B, average: float = AVERAGE) -> DataFrame:
     """``chunk_id, term, term_id, weight``: term weights within a text, counted within the row (nothing is shuffled).
 
-    Texts are folded by Spark; their terms are counted in one pass over Arrow batches.
+    Texts are folded by Spark; their terms are counted in one pass over Arrow batches, ``TEXT_BYTES`` of texts at a time.
     """
     count = term_counter(k1, b, average)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, terms, ids, weights = count(batch.column("words"))
-            yield pa.RecordBatch.from_arrays([batch.column("chunk_id").take(pa.array(at, pa.int64())), pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.array(weights, pa.float64())], names=["chunk_id", "term", "term_id", "weight"])
+        for part in (p for batch in batches for p in slices(batch, "words")):
+            at, terms, ids, weights = count(part.column("words"))
+            yield pa.RecordBatch.from_arrays([part.column("chunk_id").take(pa.array(at, pa.int64())), pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.array(weights, pa.float64())], names=["chunk_id", "term", "term_id", "weight"])
 
     rows = chunks.select(F.col("id").alias("chunk_id"), X.term_text("text").alias("words"))
     return rows.mapInArrow(run, f"chunk_id {rows.schema['chunk_id'].dataType.simpleString()}, term string, term_id bigint, weight double")

@@ -23,11 +23,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import text as X
-from docketry.operators.search import AVERAGE, CANDIDATES, K1, B, ranked, sparse_postings, term_counter
+from docketry.operators.search import AVERAGE, CANDIDATES, K1, B, ranked, slices, sparse_postings, term_counter
+from docketry.sources.scratch import small_batches
 from docketry.sources.versions import Store, append, replace
 
-#: Chunks of a shard, and of one range of it.
-SHARD_CHUNKS, RANGE = 4096, 64
+#: Chunks of a shard, and of one range of it; postings that close a shard before it has so many chunks.
+SHARD_CHUNKS, RANGE, SHARD_POSTINGS = 4096, 64, 1 << 20
 #: The term id under which the number of chunks is counted.
 ALL = -1
 #: Scores are rounded to so many places, as everywhere; a bound may fall short of a score by half a unit of the last one.
@@ -73,22 +74,22 @@ def _sharded(chunks: DataFrame, payload: list[str], k1: float, b: float, average
 
     def shard(held: list) -> pa.RecordBatch:
         size = np.cumsum([0, *(len(h[0]) for h in held)])
-        docs = np.concatenate([np.asarray(h[2], np.int64) + n for h, n in zip(held, size)])
-        arrays = _arrays(docs, np.concatenate([np.asarray(h[3], np.int64) for h in held]), np.concatenate([np.asarray(h[4], np.float64) for h in held]))
+        arrays = _arrays(*(np.concatenate(x) for x in ([h[2] + np.int32(n) for h, n in zip(held, size)], [h[3] for h in held], [h[4] for h in held])))
         lists = [pa.ListArray.from_arrays(pa.array([0, size[-1]], pa.int32()), pa.concat_arrays([h[c] for h in held])) for c in (0, 1)]
         return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *lists, *[pa.array([np.ascontiguousarray(arrays[a], kind).tobytes()], pa.binary()) for a, kind in ARRAYS.items()]], names=["shard", "ids", "payload", *ARRAYS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, postings = [], 0, 0
         for batch in batches:
-            for a in range(0, batch.num_rows, SHARD_CHUNKS):
-                part = batch.slice(a, SHARD_CHUNKS)
-                if size + part.num_rows > SHARD_CHUNKS:
-                    yield shard(held)
-                    held, size = [], 0
+            for part in slices(batch, "words", rows=SHARD_CHUNKS):
                 at, _, ids, weights = count(part.column("words"))
-                held.append((part.column("chunk_id"), part.column("payload"), at, ids, weights))
-                size += part.num_rows
+                if held and (size + part.num_rows > SHARD_CHUNKS or postings + len(ids) > SHARD_POSTINGS):
+                    yield shard(held)
+                    held, size, postings = [], 0, 0
+                # copies, as a slice keeps the whole batch
+                own = [part.column(c).take(pa.array(range(part.num_rows))) for c in ("chunk_id", "payload")]
+                held.append((*own, np.asarray(at, np.int32), np.asarray(ids, np.int64), np.asarray(weights, np.float64)))
+                size, postings = size + part.num_rows, postings + len(ids)
         if held:
             yield shard(held)
 
@@ -200,17 +201,20 @@ class SparseIndex:
     def add(self, chunks: DataFrame, k1: float = K1, b: float = B, average: float = AVERAGE, batch: tuple[str, int] | None = None) -> None:
         """Index ``id, text`` and the payload's columns. Chunks whose id is there already take its place."""
         payload = [c for c in self.payload if c != "any"]
-        fresh = self.store.staged(_sharded(chunks, payload, k1, b, average))
+        with small_batches(self.spark):
+            fresh = self.store.staged(_sharded(chunks, payload, k1, b, average))
 
         def changes(store: Store):
             ids = fresh.select(F.explode("ids").alias("chunk_id"))
             return [*self._removal(ids), append("shards", fresh), append("terms", _deltas(fresh.withColumn("places", F.lit(None).cast("array<int>"))))]
 
-        self.store.commit(changes, batch)
+        with small_batches(self.spark):
+            self.store.commit(changes, batch)
 
     def remove(self, ids: DataFrame, batch: tuple[str, int] | None = None) -> None:
         """Take chunks (``chunk_id``) out of the index."""
-        self.store.commit(lambda store: self._removal(ids), batch)
+        with small_batches(self.spark):
+            self.store.commit(lambda store: self._removal(ids), batch)
 
     def _removal(self, ids: DataFrame) -> list:
         if not self.store.filled("shards"):
@@ -316,6 +320,9 @@ class SparseIndex:
 
             hits = shards.mapInArrow(run, f"query_id {id_kind}, scope {scope_kind}, chunk_id {self.kind}, score double, postings bigint, read bigint")
             out = hits if out is None else out.unionByName(hits)
+        # written within, so that a task gets a shard or two at a time whoever reads the hits
+        with small_batches(self.spark):
+            out = self.store.staged(out)
         return out.withColumnRenamed("scope", scope or "scope"), weighed
 
 

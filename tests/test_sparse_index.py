@@ -101,3 +101,32 @@ def test_postings_are_skipped(spark, tmp_path):
     index.add(spark.createDataFrame(rows, CHUNK).coalesce(1))
     asked = spark.createDataFrame([("q1", "ortak konu3 konu3x1 konu3x2"), ("q2", "ortak konu7x1")], "id string, text string")
     assert index.skipped(asked, 5) > 0.7
+
+
+def test_memory_is_bounded_by_texts_and_postings(spark, tmp_path, monkeypatch, made):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from docketry.sources.versions import Store, append
+
+    batch = pa.RecordBatch.from_pydict({"n": list(range(7)), "words": ["a" * 10, None, "b" * 10, "c" * 50, "", "d", "e"]})
+    parts = list(search.slices(batch, "words", 25))
+    assert [p.column("n").to_pylist() for p in parts] == [[0, 1, 2], [3], [4, 5, 6]]
+    assert [p.num_rows for p in search.slices(batch, "words", 1000, 3)] == [3, 3, 1] and not list(search.slices(batch.slice(0, 0), "words"))
+
+    chunks, queries = made
+    monkeypatch.setattr(sparse_index, "SHARD_POSTINGS", 400)
+    monkeypatch.setattr(search, "TEXT_BYTES", 1000)
+    monkeypatch.setattr(sparse_index, "slices", lambda b, c, rows: search.slices(b, c, 1000, rows))
+    index = SparseIndex(spark, str(tmp_path / "index"), payload=PAYLOAD)
+    index.add(spark.createDataFrame(chunks, CHUNK).coalesce(1))
+    sizes = [r.n for r in index.store.table("shards").select((F.length("docs") / 4).alias("n")).collect()]
+    assert len(sizes) > 5 and max(sizes) <= 400
+    assert rows_of(index.search(spark.createDataFrame(queries, "id string, text string"), 5)) == plain(spark, chunks, queries, 5)
+
+    # row groups of very large rows close after a few of them, not after a hundred
+    store = Store(spark, str(tmp_path / "store"), {"t": ("id bigint, b binary", "id", 1)})
+    large = spark.range(8, numPartitions=1).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(100000)), lambda i: F.sha2(F.concat("id", i).cast("string"), 256)), "").cast("binary").alias("b"))
+    store.commit(lambda s: [append("t", large)])
+    file = next((tmp_path / "store" / "data").glob("t-*/*.parquet"))
+    assert pq.ParquetFile(file).num_row_groups > 1 and store.table("t").count() == 8
