@@ -420,7 +420,7 @@ SQL["a3_service_board"] = f"{BOARD} SELECT * FROM board"
 SQL["a4_unit_rollup"] = f"""{BOARD} SELECT 'unit' AS level, substr(unit, 4) AS unit, 0 AS place, count(*) AS services, CAST(sum(pending) AS BIGINT) AS pending, CAST(sum(completed) AS BIGINT) AS completed FROM board WHERE service IS NOT NULL GROUP BY 2
 UNION ALL SELECT 'total', NULL, 2, count(service), CAST(sum(pending) AS BIGINT), CAST(sum(completed) AS BIGINT) FROM board"""
 KEYED = "keyed AS (SELECT *, coalesce(routed_service, '(belirlenemedi)') AS named FROM flow WHERE corpus = 'documents' AND routing_status <> 'pending')"
-SQL["a5_routing_inconsistencies"] = f"WITH {FLOW}, {KEYED} SELECT routing_key, array_to_string(list_sort(list(DISTINCT named)), '|') AS services, count(*) AS n_files FROM keyed WHERE routing_key IS NOT NULL GROUP BY 1 HAVING count(DISTINCT named) > 1"
+SQL["a5_routing_inconsistencies"] = f"WITH {FLOW}, {KEYED} SELECT routing_key, array_to_string(list_sort(list(DISTINCT named)), '|') AS services, md5(string_agg(concat_ws('=', filename, routed_service), '|' ORDER BY filename, routed_service NULLS FIRST)) AS files, count(*) AS n_files FROM keyed WHERE routing_key IS NOT NULL GROUP BY 1 HAVING count(DISTINCT named) > 1"
 SQL["a5_inconsistent_files"] = f"WITH {FLOW}, {KEYED} SELECT routing_key, filename, routed_service AS service FROM keyed WHERE routing_key IS NOT NULL AND routing_key IN (SELECT routing_key FROM keyed GROUP BY 1 HAVING count(DISTINCT named) > 1)"
 SQL["a6_routing_key_report"] = f"WITH {FLOW}, {KEYED} SELECT routing_key, count(*) AS n_docs, CASE WHEN routing_key IS NULL THEN '' ELSE array_to_string(list_sort(list(DISTINCT named)), '|') END AS services FROM keyed GROUP BY 1"
 ARCHIVE = f"WITH {FLOW}, {LETTERS}, lt AS (SELECT document_id, arg_max(decision, created_at::VARCHAR || id || decision) AS d FROM letters GROUP BY 1), a AS (SELECT * FROM flow WHERE {OFFICIAL} AND lifecycle_status {{}} 'completed' ORDER BY {{}} DESC NULLS LAST, id LIMIT 200) SELECT id, {{}}, coalesce(completed_decision, d) AS last_decision FROM a LEFT JOIN lt ON document_id = id"

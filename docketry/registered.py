@@ -891,7 +891,11 @@ def a4_unit_rollup(spark, d):
 
 @query
 def a5_routing_inconsistencies(spark, d):
-    return registry.routing_inconsistencies(workflow(spark, d)).withColumn("services", joined("services"))
+    w = workflow(spark, d)
+    # a digest of all files of a key with their services, in the order of their names
+    named = F.transform(F.sort_array(F.collect_list(F.struct("filename", "service"))), lambda f: F.concat_ws("=", f["filename"], f["service"]))
+    files = registry.inconsistent_files(w).groupBy("routing_key").agg(F.md5(joined(named)).alias("files"))
+    return registry.routing_inconsistencies(w).withColumn("services", joined("services")).join(files, "routing_key")
 
 
 @query
