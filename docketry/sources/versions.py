@@ -25,12 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketry.sources.scratch import ROW_GROUP_BYTES
-
-
-def _writer(rows: DataFrame):
-    """Row groups of a bounded size, also of rows that are very large: their size is looked at after each row, not after a hundred."""
-    return rows.write.option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.page.size.row.check.min", 1)
+from docketry.sources.scratch import writer
 
 
 class Change(NamedTuple):
@@ -128,7 +123,7 @@ class Store:
     def staged(self, rows: DataFrame) -> DataFrame:
         """``rows`` written once beside the tables, and read back; ``vacuum`` drops them."""
         path = f"{self.path}/data/staged-{uuid.uuid4().hex}"
-        _writer(rows).parquet(path)
+        writer(rows).parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def _bucket(self, table: dict) -> Column:
@@ -170,12 +165,12 @@ class Store:
             new = new.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
             folder = f"data/{change.table}-{uuid.uuid4().hex}"
             if one:
-                _writer(new).parquet(f"{self.path}/{folder}")
+                writer(new).parquet(f"{self.path}/{folder}")
                 table["folders"]["0"] = [*(table["folders"].get("0", []) if change.how is None else []), folder]
                 continue
             bucketed = new.withColumn("_bucket", self._bucket(table))
             placed = bucketed if change.stays else bucketed.repartition(len(touched) or table["buckets"], "_bucket")
-            _writer(placed).partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+            writer(placed).partitionBy("_bucket").parquet(f"{self.path}/{folder}")
             names = [f.getPath().getName() for f in self._files().listStatus(self._path(*folder.split("/")))]
             written = {int(n.removeprefix("_bucket=")) for n in names if n.startswith("_bucket=")}
             for b in written | set(touched):
