@@ -29,3 +29,12 @@ def test_golden(spark, tmp_path):
     assert got == {("t", "g1"): (None, True, None, None), ("t", "g2"): (True, None, True, True), ("u", "g1"): (None, False, None, None), ("u", "g2"): (False, None, False, None)}
     rates = correspondence.compare_targets(correspondence.grade_answers(answers, golden)).orderBy("target").collect()
     assert [(r.trap_rate, r.answer_rate, r.clean_rate) for r in rates] == [(1.0, 1.0, 0.0), (0.0, 0.0, 1.0)]
+
+
+def test_the_folder_of_files_has_no_folder_a_file(spark):
+    from docketry import registered
+
+    d = "/root/testdata/sf0.001"
+    found = [r.path for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(registered.folder_of_files(spark, d)).select("path").collect() if r.path.endswith(".txt")]
+    assert len(found) == spark.read.parquet(f"{d}/documents.parquet").where("text IS NOT NULL").count()
+    assert len({p.rsplit("/", 1)[0] for p in found}) <= 64
