@@ -142,7 +142,7 @@ def reconcile_identifiers(vkn, tckn, text) -> Column:
 
 def ground_phrase(phrase, text) -> Column:
     """What of a phrase stands in a text: all of it, its abbreviation in brackets, its longest leftmost run of two words or more, or ''."""
-    whole, source = F.regexp_replace(F.trim(phrase), r"\s+", " "), tr_fold(text)
+    whole = F.regexp_replace(F.trim(phrase), r"\s+", " ")
     short = F.trim(F.regexp_extract(whole, r"\(([^)]{2,12})\)", 1))
     words = F.filter(F.split(F.regexp_replace(whole, "[()]", " "), r"\s+"), lambda w: w != "")
     n = F.size(words)
@@ -152,8 +152,13 @@ def ground_phrase(phrase, text) -> Column:
             lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(words, i, k), " ")),
         )
     )
-    first = F.get(F.filter(runs, lambda r: F.contains(source, tr_fold(r))), F.lit(0))
-    return F.when(F.coalesce(whole, F.lit("")) == "", "").when(F.contains(source, tr_fold(whole)), whole).when((short != "") & F.contains(source, tr_fold(short)), short).otherwise(F.coalesce(first, F.lit("")))
+
+    def found(source) -> Column:
+        first = F.get(F.filter(runs, lambda r: F.contains(source, tr_fold(r))), F.lit(0))
+        return F.when(F.contains(source, tr_fold(whole)), whole).when((short != "") & F.contains(source, tr_fold(short)), short).otherwise(F.coalesce(first, F.lit("")))
+
+    # the text is folded once, not for each run; of a variable it is a value
+    return F.when(F.coalesce(whole, F.lit("")) == "", "").otherwise(F.get(F.transform(F.array(tr_fold(text)), found), F.lit(0)))
 
 
 def simplified(c) -> Column:

@@ -107,3 +107,15 @@ def test_letter_numbers_on_written_rows(spark, tmp_path):
         assert sorted(r.letter_no for r in rows if r.letter_no is not None) == list(range(48, 48 + 16000))
         want = want or sorted(map(tuple, rows), key=str)
         assert sorted(map(tuple, rows), key=str) == want
+
+
+def test_a_text_is_folded_once_for_all_runs_of_a_phrase(spark):
+    from pyspark.sql import functions as F
+
+    from docketry.functions import text as X
+
+    rows = spark.createDataFrame([(1, "Şu Iğdır yolu uzun"), (2, None), (3, "")], "n int, body string")
+    found = rows.select("n", X.ground_phrase(F.lit("öte ığdır yolu"), F.col("body")).alias("v"))
+    plan = found._jdf.queryExecution().analyzed().toString().split("\n")[0]
+    assert plan.count("body#") == 1
+    assert {r.n: r.v for r in found.collect()} == {1: "ığdır yolu", 2: "", 3: ""}
