@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from docketry.functions.text import tr_lower
 from docketry.operators import _markdown, regulation
+from docketry.operators.search import slices
 
 METADATA = "struct<part:string,chapter:string,unit:string,sub_unit:string,service:string,service_no:string,article_no:string,title:string,certain:boolean>"
 CHUNKS = f"id string, doc_id string, kind string, ordinal int, text string, section string, parent_id string, token_count int, probe string, metadata {METADATA}"
@@ -34,13 +35,15 @@ def _input(docs: DataFrame) -> DataFrame:
 def parse_blocks(docs: DataFrame) -> DataFrame:
     """``doc_id, pos, type, text, level, path`` of ``id, filename, text`` documents."""
 
-    def run(frames):
-        for pdf in frames:
-            rows = ({"doc_id": r.id, "pos": i, "type": b.kind, "text": b.text, "level": b.level, "path": list(b.path)} for r in pdf.itertuples() for i, b in enumerate(_markdown.pieces(_markdown.cleaned(r.text))))
+    def run(batches):
+        for part in (p for batch in batches for p in slices(batch, "text")):
+            texts = zip(part.column("id").to_pylist(), part.column("text"))
+            rows = ({"doc_id": doc_id, "pos": i, "type": b.kind, "text": b.text, "level": b.level, "path": list(b.path)} for doc_id, text in texts for i, b in enumerate(_markdown.pieces(_markdown.cleaned(text.as_py()))))
             while some := list(islice(rows, 2000)):
-                yield _rows(["doc_id", "pos", "type", "text", "level", "path"], some).astype({"level": "Int32"})
+                yield pa.RecordBatch.from_pylist(some, schema)
 
-    return _input(docs).mapInPandas(run, BLOCKS)
+    schema = pa.schema([("doc_id", pa.string()), ("pos", pa.int32()), ("type", pa.string()), ("text", pa.string()), ("level", pa.int32()), ("path", pa.list_(pa.string()))])
+    return _input(docs).mapInArrow(run, BLOCKS)
 
 
 def assign_sections(blocks: DataFrame) -> DataFrame:
@@ -70,6 +73,20 @@ def split_long_text(column: str | Column, target: int = _markdown.TARGET, overla
     return pieces(column)
 
 
+def split_texts(docs: DataFrame, target: int = _markdown.TARGET, overlap: float = _markdown.OVERLAP) -> DataFrame:
+    """``id, pos, piece``: the pieces of ``split_long_text``, a row each, of ``slices`` of texts at a time."""
+    sizes = _markdown.Sizes(target=target, overlap=overlap)
+
+    def run(batches):
+        for part in (p for batch in batches for p in slices(batch, "text")):
+            found = [[] if t is None else _markdown.split_long(t, sizes) for t in part.column("text").to_pylist()]
+            at = pa.array([i for i, own in enumerate(found) for _ in own], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("id").take(at), pa.array([n for own in found for n in range(len(own))], pa.int32()), pa.array([p for own in found for p in own], pa.string())], names=["id", "pos", "piece"])
+
+    rows = docs.select("id", "text")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, pos int, piece string")
+
+
 #: Bytes of a text up to which it is cut where it lies, as one row.
 LARGE = 4 << 20
 

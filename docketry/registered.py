@@ -339,8 +339,7 @@ def c6_child_chunks(spark, d):
 
 @query
 def c7_split_long_text(spark, d):
-    pieces = F.posexplode(chunking.split_long_text("text")).alias("pos", "piece")
-    return documents(spark, d).select("id", pieces).select("id", "pos", F.md5("piece").alias("piece_md5"))
+    return chunking.split_texts(documents(spark, d)).select("id", "pos", F.md5("piece").alias("piece_md5"))
 
 
 def pages_of(spark, d):

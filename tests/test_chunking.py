@@ -156,3 +156,16 @@ def test_pages_against_every_entry(spark):
         own = [(t, p) for e, _, t, p in entries if e == d] if len(probe) >= 15 else []
         want[i] = next((p for t, p in own if probe in t or t in probe), next((p for t, p in own if probe[:40] in t), None))
     assert {r.id: r.page for r in got.collect()} == want and len(set(want.values())) > 5
+
+
+def test_long_texts_are_cut_a_slice_at_a_time(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from docketry.operators import search
+
+    # of a batch of a hundred texts, parts of ten thousand bytes or so
+    monkeypatch.setattr(chunking, "slices", lambda b, c: search.slices(b, c, 10_000))
+    docs = spark.range(100, numPartitions=1).select(F.col("id").cast("string"), F.when(F.col("id") % 9 > 0, F.repeat(F.concat(F.lit("Bir cümle "), "id", F.lit(". ")), (F.col("id") * 9).cast("int"))).alias("text"))
+    want = docs.select("id", F.posexplode(chunking.split_long_text("text")).alias("pos", "piece"))
+    assert sorted(chunking.split_texts(docs).collect()) == sorted(want.collect())
+    assert chunking.parse_blocks(docs.withColumn("filename", F.lit("f"))).count() == docs.where("length(text) > 0").count()
