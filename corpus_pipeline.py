@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from docketry.llm import decontaminate as leaks
 from docketry.llm import jaccard, mixing, pii, quality
-from docketry.llm._shared import BATCH_BYTES, stored, table
+from docketry.llm._shared import stored, table
+from docketry.sources.scratch import BATCH_BYTES
 
 
 def sized(spark: SparkSession) -> None:

@@ -36,3 +36,10 @@ def test_pipeline(spark, tmp_path):
         docs = after
     assert corpus_pipeline.run(spark, DATA).count() == len(kept)
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_the_pipeline_is_registered():
+    import __spark_entry__
+    import corpus_pipeline
+
+    assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
