@@ -28,7 +28,7 @@ from docketry.sources.scratch import small_batches
 from docketry.sources.versions import Store, append, replace
 
 #: Chunks of a shard, and of one range of it; postings that close a shard before it has so many chunks.
-SHARD_CHUNKS, RANGE, SHARD_POSTINGS = 4096, 64, 1 << 20
+SHARD_CHUNKS, RANGE, SHARD_POSTINGS = 4096, 64, 1 << 18
 #: The term id under which the number of chunks is counted.
 ALL = -1
 #: Scores are rounded to so many places, as everywhere; a bound may fall short of a score by half a unit of the last one.

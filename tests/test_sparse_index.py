@@ -130,3 +130,12 @@ def test_memory_is_bounded_by_texts_and_postings(spark, tmp_path, monkeypatch, m
     store.commit(lambda s: [append("t", large)])
     file = next((tmp_path / "store" / "data").glob("t-*/*.parquet"))
     assert pq.ParquetFile(file).num_row_groups > 1 and store.table("t").count() == 8
+
+
+def test_a_shard_has_a_quarter_of_a_million_postings_at_most(spark, tmp_path):
+    # a shard is one row: a task holds several copies of it while it writes or reads one
+    rows = spark.range(0, 1200, 1, 1).select(F.col("id").cast("string").alias("id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(299)), lambda i: F.concat(F.lit("w"), ((F.col("id") * 7 + i) % 3000).cast("string"))), " ").alias("text"))
+    index = SparseIndex(spark, str(tmp_path / "index"))
+    index.add(rows)
+    sizes = [r.n for r in index.store.table("shards").select((F.octet_length("docs") / 4).cast("long").alias("n")).collect()]
+    assert sum(sizes) == 1200 * 300 and max(sizes) <= 1 << 18
