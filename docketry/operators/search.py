@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -239,15 +238,14 @@ def reset_embeddings(chunks: DataFrame, docs: DataFrame, corpus: str) -> DataFra
 
 
 def embed(chunks: DataFrame, fn: Callable[[list[str]], list[list[float]]], batch: int = 16) -> DataFrame:
-    """``id, embedding`` by a callable over lists of at most ``batch`` texts."""
+    """``id, embedding`` by a callable over lists of at most ``batch`` texts; a task holds ``TEXT_BYTES`` of texts, or one text, beside its Arrow batch."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for a in range(0, len(pdf), batch):
-                part = pdf.iloc[a : a + batch]
-                yield pd.DataFrame({"id": part["id"], "embedding": [list(map(float, v)) for v in fn(part["text"].tolist())]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for whole in batches for p in slices(whole, "text", rows=batch)):
+            vectors = pa.array([list(map(float, v)) for v in fn(part.column("text").to_pylist())], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([part.column("id"), vectors], names=["id", "embedding"])
 
-    return chunks.select("id", "text").mapInPandas(run, f"id {chunks.schema['id'].dataType.simpleString()}, embedding array<float>")
+    return chunks.select("id", "text").mapInArrow(run, f"id {chunks.schema['id'].dataType.simpleString()}, embedding array<float>")
 
 
 def index_payload(chunks: DataFrame, docs: DataFrame, vectors: DataFrame) -> DataFrame:
