@@ -157,8 +157,9 @@ def apply_decisions(docs: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def apply_manual(docs: DataFrame, overrides: DataFrame, catalog: DataFrame) -> DataFrame:
-    """The latest override (``id, service, reason, at``) of each document whose service is in the catalogue."""
-    valid = overrides.join(catalog.select("service"), "service", "left_semi").groupBy("id").agg(F.max_by(F.struct("service", "reason"), F.struct("at", "service", F.coalesce("reason", F.lit("")))).alias("o"))
+    """The latest override (``id, service, reason, at``) of each document whose service is in the catalogue. The catalogue holds the services of a
+    regulation and is broadcast: overrides shuffled by service would meet in a task for each of its few names."""
+    valid = overrides.join(F.broadcast(catalog.select("service").distinct()), "service", "left_semi").groupBy("id").agg(F.max_by(F.struct("service", "reason"), F.struct("at", "service", F.coalesce("reason", F.lit("")))).alias("o"))
     hit = F.col("o").isNotNull()
     return (
         docs.join(valid, "id", "left")
