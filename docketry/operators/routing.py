@@ -72,8 +72,9 @@ def reconcile_units(decisions: DataFrame, hits: DataFrame) -> DataFrame:
     """Service and unit as the regulation has them: the owner of the cited paths where it is one and the decision
     names another; spelling and unit of the first hit of the same name, else of a like name. A service where
     documents come in is no target. Adds ``corrected``."""
-    before = decisions.select("decision_id", F.col("service").alias("old_service"), F.col("main_unit").alias("old_main"), F.col("other_unit").alias("old_other"))
-    rows = decisions.join(cited_services(decisions, hits), "decision_id", "left").withColumn("active", ~F.col("undetermined") & F.col("service").isNotNull())
+    # the columns as they were travel with the rows
+    before = decisions.withColumns({"old_service": F.col("service"), "old_main": F.col("main_unit"), "old_other": F.col("other_unit")})
+    rows = before.join(cited_services(decisions, hits), "decision_id", "left").withColumn("active", ~F.col("undetermined") & F.col("service").isNotNull())
     named = F.exists(F.coalesce("services", X.strings()), lambda s: X.same_service_strict(s, F.col("service")))
     rows = rows.withColumn("service", F.when(F.col("active") & ~named & (F.size("services") == 1), F.get("services", F.lit(0))).otherwise(F.col("service"))).drop("services")
     rows = undetermined(rows, F.col("active") & X.is_entry_point(F.col("service")), F.concat("service", F.lit(ENTRY_POINT)))
@@ -99,7 +100,7 @@ def reconcile_units(decisions: DataFrame, hits: DataFrame) -> DataFrame:
     rows = rows.withColumn("main_unit", F.when(other, F.lit(None)).when(main, first_of(MAIN_UNITS, sub)).otherwise(F.col("main_unit"))).withColumn(
         "other_unit", F.when(other, first_of(OTHER_UNITS, X.tr_normalize(F.col("hit.h_service")))).when(main, F.lit(None)).otherwise(F.col("other_unit"))
     )
-    rows = rows.withColumn("service", F.when(found, F.col("hit.h_service")).otherwise(F.col("service"))).join(before, "decision_id")
+    rows = rows.withColumn("service", F.when(found, F.col("hit.h_service")).otherwise(F.col("service")))
     changed = ~F.col("service").eqNullSafe(F.col("old_service")) | ~F.col("main_unit").eqNullSafe(F.col("old_main")) | ~F.col("other_unit").eqNullSafe(F.col("old_other"))
     return rows.withColumn("corrected", F.col("active") & changed).drop("active", "hit", "old_service", "old_main", "old_other")
 
@@ -173,10 +174,13 @@ def apply_manual(docs: DataFrame, overrides: DataFrame, catalog: DataFrame) -> D
 
 def grading_context(decisions: DataFrame, hits: DataFrame) -> DataFrame:
     """Hits of the decided service, or all of a decision's hits where there are none."""
-    rows = hits.join(decisions.where("NOT undetermined").select("decision_id", F.col("service").alias("asked")), "decision_id")
-    own = X.same_service(F.coalesce("service", F.lit("")), F.coalesce("asked", F.lit("")))
-    rows = rows.withColumn("own", own).withColumn("any_own", F.max("own").over(Window.partitionBy("decision_id")))
-    return rows.where("own OR NOT any_own").drop("own", "any_own", "asked")
+    # names are normalised once, before the join
+    named = lambda df, c: df.withColumn(c, X.tr_normalize(F.coalesce("service", F.lit("")))).withColumn(f"{c}_long", X.long_words(F.col(c)))
+    asked = named(decisions.where("NOT undetermined").select("decision_id", "service"), "asked_name").drop("service")
+    rows = named(hits, "hit_name").join(asked, "decision_id")
+    own = X.like_names(F.col("hit_name"), F.col("asked_name"), F.col("hit_name_long"), F.col("asked_name_long"))
+    rows = rows.select(*hits.columns, own.alias("own")).withColumn("any_own", F.max("own").over(Window.partitionBy("decision_id")))
+    return rows.where("own OR NOT any_own").drop("own", "any_own")
 
 
 def apply_verdicts(attempts: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -25,3 +25,19 @@ def test_overrides_are_not_shuffled_by_service(spark, unmeasured):
     assert [tuple(r) for r in out.collect()] == [("a", "S2", "r2", 1.0, "routed")]
     semi = [line for line in plan(out, "sparkPlan").splitlines() if "LeftSemi" in line]
     assert semi and all("BroadcastHashJoin" in line for line in semi)
+
+
+def test_names_of_hits_are_normalised_once(spark):
+    decisions = spark.createDataFrame([("1", None, None, "Tecil", None, [], 0.5, False, ""), ("2", None, None, "Yok", None, [], 0.5, False, "")], DECISION)
+    hits = spark.createDataFrame([(d, r, "11", s, "1", "A)", "I-", True) for d in "12" for r, s in ((1, "Tecil Servisi"), (2, "Sicil Servisi"))], HIT)
+    out = routing.grading_context(decisions, hits)
+    assert out.columns == hits.columns
+    assert sorted((r.decision_id, r["rank"]) for r in out.collect()) == [("1", 1), ("2", 1), ("2", 2)]
+    assert plan(out, "optimizedPlan").count("regexp_replace") <= 4
+
+
+def test_reconciled_decisions_stay_as_many(spark):
+    one = ("1", None, None, "tecil servisi", None, [], 0.5, False, "")
+    hits = spark.createDataFrame([("1", 1, "11", "Tecil Servisi", "1", "A) Ana Hizmet Birimleri", "II- Muhasebe", True)], HIT)
+    out = routing.reconcile_units(spark.createDataFrame([one, one], DECISION), hits).collect()
+    assert [(r.service, r.main_unit, r.corrected) for r in out] == [("Tecil Servisi", "Muhasebe", True)] * 2
