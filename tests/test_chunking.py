@@ -47,6 +47,14 @@ def test_a_section_of_any_length_takes_little_memory():
     assert n > 5000 and peak < 2 << 20
 
 
+def test_a_parent_is_cut_wherever_its_blocks_end():
+    sizes = M.Sizes(parent=20)
+    for n in range(60, 100):
+        whole = f"{'a' * n}\n\n| id |\n\n{'b' * 30}"
+        parent = next(c for c in M.chunks("d", "f", whole, sizes) if c["kind"] == "parent")
+        assert parent["text"] == f"[Dosya: f]\n{whole[:80]}", n
+
+
 def test_odd_markdown():
     assert [b.kind for b in M.pieces("```\n# kod\n\n```\n- a\n- b")] == ["code", "list"]
     assert [b.kind for b in M.pieces("# a\r\nb")] == ["paragraph"]  # a carriage return makes it no heading
