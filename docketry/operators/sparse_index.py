@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from docketry.functions import text as X
 from docketry.operators.search import AVERAGE, CANDIDATES, K1, B, ranked, slices, sparse_postings, term_counter
 from docketry.sources.scratch import small_batches
-from docketry.sources.versions import Store, append, replace
+from docketry.sources.versions import Store, adopt, append, replace
 
 #: Chunks of a shard, and of one range of it; postings that close a shard before it has so many chunks.
 SHARD_CHUNKS, RANGE, SHARD_POSTINGS = 4096, 64, 1 << 18
@@ -36,10 +36,12 @@ PLACES, SLACK = 6, 1e-6
 #: Rows (query, term) that are sent to all tasks at once.
 BLOCK_TERMS = 1 << 17
 ARRAYS = {
-    "terms": np.int64, "first_block": np.int64,  # terms of the shard, sorted, and where the blocks of each begin
-    "block_range": np.int32, "block_begin": np.int64, "block_most": np.float64,  # by block: its range, its first posting, its largest weight
+    "terms": np.uint32, "first_block": np.int32,  # terms of the shard, sorted, and where the blocks of each begin
+    "block_range": np.uint16, "block_begin": np.int32, "block_most": np.float32,  # by block: its range, its first posting, its largest weight, rounded up
     "docs": np.int32, "weights": np.float64,  # by posting
 }
+#: Bytes of a row group of shards: a task that reads or writes them holds a few of these.
+SHARD_GROUP_BYTES = 4 << 20
 
 
 def _schema(kind: str, payload: str) -> str:
@@ -47,7 +49,9 @@ def _schema(kind: str, payload: str) -> str:
 
 
 def _unpacked(batch: pa.RecordBatch, i: int) -> dict:
-    return {a: np.frombuffer(batch.column(a)[i].as_buffer(), kind) for a, kind in ARRAYS.items()}
+    # wide numbers again, once a shard and not for each query
+    wide = {"terms": np.int64, "block_most": np.float64}
+    return {a: np.frombuffer(batch.column(a)[i].as_buffer(), kind).astype(wide.get(a, kind), copy=False) for a, kind in ARRAYS.items()}
 
 
 def _places(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -63,7 +67,11 @@ def _arrays(docs: np.ndarray, ids: np.ndarray, weights: np.ndarray) -> dict:
     head = np.append(True, (np.diff(ids) != 0) | (np.diff(where) != 0)) if len(ids) else np.zeros(0, bool)
     begin = np.flatnonzero(head)
     terms, first_block = np.unique(ids[begin], return_index=True)
-    return {"terms": terms, "first_block": np.append(first_block, len(begin)), "block_range": where[begin], "block_begin": np.append(begin, len(ids)), "block_most": np.maximum.reduceat(weights, begin) if len(begin) else weights, "docs": docs, "weights": weights}
+    most = np.maximum.reduceat(weights, begin) if len(begin) else weights
+    # the next larger number where the nearest one is smaller, so that a bound stays a bound
+    near = most.astype(np.float32)
+    near = np.where(near < most, np.nextafter(near, np.float32(np.inf)), near)
+    return {"terms": terms, "first_block": np.append(first_block, len(begin)), "block_range": where[begin], "block_begin": np.append(begin, len(ids)), "block_most": near, "docs": docs, "weights": weights}
 
 
 def _sharded(chunks: DataFrame, payload: list[str], k1: float, b: float, average: float) -> DataFrame:
@@ -202,11 +210,13 @@ class SparseIndex:
         """Index ``id, text`` and the payload's columns. Chunks whose id is there already take its place."""
         payload = [c for c in self.payload if c != "any"]
         with small_batches(self.spark):
-            fresh = self.store.staged(_sharded(chunks, payload, k1, b, average))
+            # written once: the table takes the files as they are
+            rows = _sharded(chunks, payload, k1, b, average)
+            folder, fresh = self.store.written(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.store.schema("shards")]), SHARD_GROUP_BYTES)
 
         def changes(store: Store):
             ids = fresh.select(F.explode("ids").alias("chunk_id"))
-            return [*self._removal(ids), append("shards", fresh), append("terms", _deltas(fresh.withColumn("places", F.lit(None).cast("array<int>"))))]
+            return [*self._removal(ids), adopt("shards", folder), append("terms", _deltas(fresh))]
 
         with small_batches(self.spark):
             self.store.commit(changes, batch)
@@ -328,20 +338,21 @@ class SparseIndex:
 
 def _deltas(shards: DataFrame) -> DataFrame:
     """``term_id, df`` of whole shards, or with ``places`` what these take away; chunks are counted under ``ALL``."""
+    removed = "places" in shards.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                terms = np.frombuffer(batch.column("terms")[i].as_buffer(), np.int64)
-                first = np.frombuffer(batch.column("block_begin")[i].as_buffer(), np.int64)[np.frombuffer(batch.column("first_block")[i].as_buffer(), np.int64)]
-                places = batch.column("places")[i].values
-                if places is None:
+                terms, first_block, begin = (np.frombuffer(batch.column(a)[i].as_buffer(), ARRAYS[a]) for a in ("terms", "first_block", "block_begin"))
+                first = begin[first_block]
+                if not removed:
                     df, n = np.diff(first), batch.column("many")[i].as_py()
                 else:
-                    out = np.isin(np.frombuffer(batch.column("docs")[i].as_buffer(), np.int32), places.to_numpy())
+                    places = batch.column("places")[i].values
+                    out = np.isin(np.frombuffer(batch.column("docs")[i].as_buffer(), ARRAYS["docs"]), places.to_numpy())
                     df, n = -np.diff(np.append(0, np.cumsum(out))[first]), -len(places)
                 some = np.flatnonzero(df)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(terms[some], ALL)), pa.array(np.append(df[some], n))], names=["term_id", "df"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(terms[some].astype(np.int64), ALL)), pa.array(np.append(df[some], n))], names=["term_id", "df"])
 
-    rows = shards.select("terms", "first_block", "block_begin", "docs", "places", F.size("ids").cast("bigint").alias("many"))
+    rows = shards.select("terms", "first_block", "block_begin", *(["docs", "places"] if removed else []), F.size("ids").cast("bigint").alias("many"))
     return rows.mapInArrow(run, "term_id bigint, df bigint").groupBy("term_id").agg(F.sum("df").alias("df"))

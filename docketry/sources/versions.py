@@ -25,18 +25,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketry.sources.scratch import writer
+from docketry.sources.scratch import ROW_GROUP_BYTES, writer
 
 
 class Change(NamedTuple):
     """``rows`` of the buckets that hold ``keys`` (a DataFrame with the table's key column) become ``how(rows)``; without ``how``, ``keys``
     are whole rows that are added to them, and what is there is neither read nor written. Where ``how`` leaves rows in their buckets
-    (``stays``: it changes or drops rows, but adds none and changes no key) they are written by the tasks that read them."""
+    (``stays``: it changes or drops rows, but adds none and changes no key) they are written by the tasks that read them. A table of one bucket
+    can take a ``folder`` of ``Store.written`` as it is."""
 
     table: str
-    keys: DataFrame
+    keys: DataFrame | None
     how: Callable[[DataFrame], DataFrame] | None = None
     stays: bool = False
+    folder: str | None = None
 
 
 class ConcurrentChange(Exception):
@@ -122,9 +124,13 @@ class Store:
 
     def staged(self, rows: DataFrame) -> DataFrame:
         """``rows`` written once beside the tables, and read back; ``vacuum`` drops them."""
-        path = f"{self.path}/data/staged-{uuid.uuid4().hex}"
-        writer(rows).parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
+        return self.written(rows)[1]
+
+    def written(self, rows: DataFrame, group_bytes: int = ROW_GROUP_BYTES) -> tuple[str, DataFrame]:
+        """``staged`` rows and their folder, which ``adopt`` makes part of a table."""
+        folder = f"data/staged-{uuid.uuid4().hex}"
+        writer(rows, group_bytes).parquet(f"{self.path}/{folder}")
+        return folder, self.spark.read.schema(rows.schema).parquet(f"{self.path}/{folder}")
 
     def _bucket(self, table: dict) -> Column:
         return F.pmod(F.xxhash64(table["key"]), F.lit(table["buckets"])).cast("int")
@@ -158,6 +164,11 @@ class Store:
             table = tables[change.table]
             schema = T.StructType.fromJson(json.loads(table["schema"]))
             one = table["buckets"] == 1
+            if change.folder is not None:
+                if not one:
+                    raise ValueError(f"the rows of {change.table} go to buckets")
+                table["folders"]["0"] = [*table["folders"].get("0", []), change.folder]
+                continue
             touched = [0] if one else [] if change.how is None else self._buckets(table, change.keys)
             if not touched and change.how is not None:
                 continue
@@ -223,5 +234,10 @@ def append(table: str, rows: DataFrame) -> Change:
     return Change(table, rows)
 
 
+def adopt(table: str, folder: str) -> Change:
+    """Add the files of ``Store.written`` to a table of one bucket; their columns must be the table's."""
+    return Change(table, None, folder=folder)
+
+
 def delete(table: str, key: str, keys: DataFrame) -> Change:
     return Change(table, keys.select(key), lambda old: old.join(keys.select(key).distinct(), key, "left_anti"), stays=True)

@@ -139,3 +139,20 @@ def test_a_shard_has_a_quarter_of_a_million_postings_at_most(spark, tmp_path):
     index.add(rows)
     sizes = [r.n for r in index.store.table("shards").select((F.octet_length("docs") / 4).cast("long").alias("n")).collect()]
     assert sum(sizes) == 1200 * 300 and max(sizes) <= 1 << 18
+
+
+def test_shards_are_written_once_and_small(spark, tmp_path, made):
+    index = SparseIndex(spark, f"{tmp_path}/x", payload=PAYLOAD)
+    index.add(spark.createDataFrame(made[0], CHUNK))
+    # the table's files are those that the tasks wrote, not a copy of them
+    assert not [p for p in (tmp_path / "x" / "data").iterdir() if p.name.startswith("shards-")]
+    size = {a: F.sum(F.octet_length(a)) for a in sparse_index.ARRAYS}
+    n = index.store.table("shards").agg(*[v.alias(a) for a, v in size.items()]).first()
+    postings = n["weights"] // 8
+    assert n["docs"] == 4 * postings and n["terms"] <= 4 * postings and n["block_most"] <= 4 * postings
+    for row in index.store.table("shards").collect():
+        a = {k: sparse_index.np.frombuffer(row[k], kind) for k, kind in sparse_index.ARRAYS.items()}
+        assert (a["block_most"].astype(float) >= sparse_index.np.maximum.reduceat(a["weights"], a["block_begin"][:-1])).all()
+    assert index.size() == len(made[0])
+    index.store.vacuum(keep=1)
+    assert index.store.table("shards").count() > 0
