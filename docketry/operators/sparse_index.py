@@ -273,7 +273,8 @@ class SparseIndex:
             empty = self.spark.createDataFrame([], kinds)
             return empty if scopes is None else empty.withColumn(scope, F.lit(None).cast(scopes.schema[scope].dataType)).select("query_id", scope, "chunk_id", "score", "rank")
         best = hits.where("chunk_id IS NOT NULL").select(*keys, "chunk_id", "score")
-        return ranked(best, [F.desc("score"), F.col("chunk_id")], keys).where(F.col("rank") <= k)
+        # written down, so that Spark knows how few they are: what they are joined to is not shuffled for them
+        return self.store.staged(ranked(best, [F.desc("score"), F.col("chunk_id")], keys).where(F.col("rank") <= k))
 
     def skipped(self, queries: DataFrame, k: int = CANDIDATES) -> float:
         """The share of the queries' postings that a search does not read."""

@@ -41,11 +41,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 # adapters
 
 
-def documents(spark, d):
+def documents(spark, d, join=None):
+    """The documents with what their labels say; ``join`` is a hint for how the labels come to them."""
     docs = table(spark, d, "documents")
     labels = table(spark, d, "labels").select("doc_id", (F.col("toxic") == 1).alias("contains_pii"), F.col("quality").cast("double").alias("confidence"))
     name = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return docs.join(labels, "doc_id", "left").select(
+    return docs.join(labels.hint(join) if join else labels, "doc_id", "left").select(
         F.col("doc_id").cast("string").alias("id"), name.alias("filename"), name.alias("path"), "text", F.col("lang").alias("doc_type"), "source",
         F.when(F.col("source").isin("src0", "src1"), "regulations").otherwise("documents").alias("corpus"), "contains_pii", "confidence", F.col("doc_id").alias("n"),
     )
@@ -640,7 +641,8 @@ def stored_index(spark, d, corpus=None):
     """The sparse index of the documents (of one corpus)."""
 
     def make(path):
-        docs = documents(spark, d).withColumn("entities", F.array("source")).withColumn("doc_id", F.col("id"))
+        # labels by hash: texts are not sorted, and are dealt out alike whatever the size of either table
+        docs = documents(spark, d, "shuffle_hash").withColumn("entities", F.array("source")).withColumn("doc_id", F.col("id"))
         SparseIndex(spark, path, payload=POINT).add(docs if corpus is None else docs.where(F.col("corpus") == corpus))
 
     return SparseIndex(spark, once(spark, d, f"sparse-{corpus}", make))
@@ -696,9 +698,12 @@ def r6_apply_filters(spark, d):
     return search.apply_filters(points(spark, d), doc_type="en", entity="src3").select("id")
 
 
+def sparse_leg(spark, d):
+    return stored_index(spark, d).search(asked(spark, d))
+
+
 def legs(spark, d):
-    q = asked(spark, d)
-    return stored_index(spark, d).search(q), stored_vectors(spark, d).search(q)
+    return sparse_leg(spark, d), stored_vectors(spark, d).search(asked(spark, d))
 
 
 @query
@@ -713,15 +718,17 @@ def r8_hybrid_search(spark, d):
 
 @query
 def r9_rerank(spark, d):
-    hits = legs(spark, d)[0]
+    hits = sparse_leg(spark, d)
     scores = hits.where(F.col("query_id") != "q3").select("query_id", "chunk_id", F.length("chunk_id").cast("double").alias("rerank_score"))
     return search.rerank(hits, scores).select("query_id", "chunk_id", "rank")
 
 
 def hits_of(spark, d):
     """Sparse hits with their document, joined by doc id as chunk id."""
+    hits = sparse_leg(spark, d)
     docs = documents(spark, d).select(F.col("id").alias("chunk_id"), "filename", "text", "source", "doc_type", F.col("id").alias("doc_id"), (F.col("n") % 3).cast("int").alias("page"))
-    return legs(spark, d)[0].join(docs, "chunk_id")
+    # texts that were not found are left before anything else is done with them
+    return hits.join(docs.join(hits.select("chunk_id"), "chunk_id", "left_semi"), "chunk_id")
 
 
 @query
@@ -785,7 +792,7 @@ def r19_expand_to_parent(spark, d):
     docs = documents(spark, d)
     child = docs.select("id", F.concat(F.lit("p"), "source").alias("parent_id"), "text", F.lit("child").alias("kind"))
     parents = docs.groupBy("source").agg(F.min("text").alias("text")).select(F.concat(F.lit("p"), "source").alias("id"), F.lit(None).cast("string").alias("parent_id"), "text", F.lit("parent").alias("kind")).where("id <> 'psrc4'")
-    return search.expand_to_parent(legs(spark, d)[0], child.unionByName(parents)).select("query_id", "unit_id", "chunk_id", "rank", F.md5("text").alias("text"))
+    return search.expand_to_parent(sparse_leg(spark, d), child.unionByName(parents)).select("query_id", "unit_id", "chunk_id", "rank", F.md5("text").alias("text"))
 
 
 @query
