@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 from docketry.llm import decontaminate as leaks
 from docketry.llm import jaccard, mixing, pii, quality
 from docketry.llm._shared import stored, table
-from docketry.sources.scratch import BATCH_BYTES
+from docketry.sources.scratch import bounded
 
 
 def sized(spark: SparkSession) -> None:
-    """Small Arrow batches also where a stage's result is written by whoever called it: rows of long texts stay few in memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Small batches also where a stage's result is written by whoever called it: rows of long texts stay few in memory."""
+    for name, value in bounded().items():
+        spark.conf.set(name, value)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,6 +50,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    sized(spark)
     return mixing.mixed(docs, mixing.tempered(docs))
 
 
