@@ -21,9 +21,9 @@ def scan_files(spark: SparkSession, root: str, formats: tuple[str, ...] = FORMAT
     return files.where(extension(F.col("path")).isin(*formats) & ~F.col("path").rlike(r"/\.[^/]*$"))
 
 
-def with_file_identity(files: DataFrame) -> DataFrame:
-    """``job_id, path, filename, format, size_bytes, hash`` of ``path, content, length`` files."""
-    return files.select(F.sha1("path").alias("job_id"), "path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.substring(extension(F.col("path")), 2, 20).alias("format"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("hash"))
+def with_file_identity(files: DataFrame, *more: Column) -> DataFrame:
+    """``job_id, path, filename, format, size_bytes, hash`` (and ``more``) of ``path, content, length`` files."""
+    return files.select(F.sha1("path").alias("job_id"), "path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.substring(extension(F.col("path")), 2, 20).alias("format"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("hash"), *more)
 
 
 def read_text_documents(spark: SparkSession, root: str) -> DataFrame:

@@ -25,20 +25,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketry.sources.scratch import ROW_GROUP_BYTES, writer
+from docketry.sources.scratch import ROW_GROUP_BYTES, swept, writer
 
 
 class Change(NamedTuple):
     """``rows`` of the buckets that hold ``keys`` (a DataFrame with the table's key column) become ``how(rows)``; without ``how``, ``keys``
     are whole rows that are added to them, and what is there is neither read nor written. Where ``how`` leaves rows in their buckets
     (``stays``: it changes or drops rows, but adds none and changes no key) they are written by the tasks that read them. A table of one bucket
-    can take a ``folder`` of ``Store.written`` as it is."""
+    can take a ``folder`` of ``Store.written`` as it is. Added rows that are ``dealt`` (``Store.dealt``) are written by the tasks that hold them.
+    A change that is done ``apart`` meets some buckets at a time, by ``how(rows, keys of these buckets)``, and adds no rows: what it shuffles
+    does not grow with the table."""
 
     table: str
     keys: DataFrame | None
-    how: Callable[[DataFrame], DataFrame] | None = None
+    how: Callable[..., DataFrame] | None = None
     stays: bool = False
     folder: str | None = None
+    dealt: bool = False
+    apart: bool = False
+
+
+#: Bytes of the buckets that a change done apart meets at a time; one bucket at least.
+PASS_BYTES = 128 << 20
 
 
 class ConcurrentChange(Exception):
@@ -126,14 +134,37 @@ class Store:
         """``rows`` written once beside the tables, and read back; ``vacuum`` drops them."""
         return self.written(rows)[1]
 
-    def written(self, rows: DataFrame, group_bytes: int = ROW_GROUP_BYTES) -> tuple[str, DataFrame]:
+    def written(self, rows: DataFrame, group_bytes: int = ROW_GROUP_BYTES, compression: str | None = None) -> tuple[str, DataFrame]:
         """``staged`` rows and their folder, which ``adopt`` makes part of a table."""
         folder = f"data/staged-{uuid.uuid4().hex}"
-        writer(rows, group_bytes).parquet(f"{self.path}/{folder}")
+        with swept(self.spark):
+            writer(rows, group_bytes, compression).parquet(f"{self.path}/{folder}")
         return folder, self.spark.read.schema(rows.schema).parquet(f"{self.path}/{folder}")
 
-    def _bucket(self, table: dict) -> Column:
-        return F.pmod(F.xxhash64(table["key"]), F.lit(table["buckets"])).cast("int")
+    def dropped(self, folder: str) -> None:
+        """Delete a folder of ``written`` that no table has taken and no later job reads."""
+        self._files().delete(self._path(*folder.split("/")), True)
+
+    def dealt(self, name: str, rows: DataFrame, key: str) -> DataFrame:
+        """``rows`` with those of one bucket of a table together; ``key`` is the column that has the table's keys."""
+        table = self.manifest()["tables"][name]
+        return rows.repartition(table["buckets"], self._bucket(table, key))
+
+    def _bucket(self, table: dict, key: str | None = None) -> Column:
+        return F.pmod(F.xxhash64(key or table["key"]), F.lit(table["buckets"])).cast("int")
+
+    def _passes(self, table: dict, buckets: list[int]) -> list[list[int]]:
+        """The buckets in groups of ``PASS_BYTES``; those without files are in none."""
+        out, room, files = [], 0, self._files()
+        for b in buckets:
+            if own := table["folders"].get(str(b)):
+                size = sum(files.getContentSummary(self._path(*f.split("/"))).getLength() for f in own)
+                if size > room:
+                    out.append([])
+                    room = PASS_BYTES
+                out[-1].append(b)
+                room -= size
+        return out
 
     def _buckets(self, table: dict, keys: DataFrame) -> list[int]:
         kind = T.StructType.fromJson(json.loads(table["schema"]))[table["key"]].dataType
@@ -172,23 +203,31 @@ class Store:
             touched = [0] if one else [] if change.how is None else self._buckets(table, change.keys)
             if not touched and change.how is not None:
                 continue
-            new = change.keys if change.how is None else change.how(self._read(table, touched))
-            new = new.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
-            folder = f"data/{change.table}-{uuid.uuid4().hex}"
-            if one:
-                writer(new).parquet(f"{self.path}/{folder}")
-                table["folders"]["0"] = [*(table["folders"].get("0", []) if change.how is None else []), folder]
-                continue
-            bucketed = new.withColumn("_bucket", self._bucket(table))
-            placed = bucketed if change.stays else bucketed.repartition(len(touched) or table["buckets"], "_bucket")
-            writer(placed).partitionBy("_bucket").parquet(f"{self.path}/{folder}")
-            names = [f.getPath().getName() for f in self._files().listStatus(self._path(*folder.split("/")))]
-            written = {int(n.removeprefix("_bucket=")) for n in names if n.startswith("_bucket=")}
-            for b in written | set(touched):
-                before = table["folders"].pop(str(b), [])
-                now = [*(before if change.how is None else []), *([f"{folder}/_bucket={b}"] if b in written else [])]
-                if now:
-                    table["folders"][str(b)] = now
+            for own in self._passes(table, touched) if change.apart else [touched]:
+                if change.how is None:
+                    new = change.keys
+                elif change.apart:
+                    keys = change.keys.select(F.col(table["key"]).cast(schema[table["key"]].dataType).alias(table["key"])).distinct()
+                    new = change.how(self._read(table, own), keys if one else keys.where(self._bucket(table).isin(own)))
+                else:
+                    new = change.how(self._read(table, own))
+                new = new.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
+                folder = f"data/{change.table}-{uuid.uuid4().hex}"
+                if one:
+                    writer(new).parquet(f"{self.path}/{folder}")
+                    table["folders"]["0"] = [*(table["folders"].get("0", []) if change.how is None else []), folder]
+                    continue
+                bucketed = new.withColumn("_bucket", self._bucket(table))
+                placed = bucketed if change.stays or change.dealt else bucketed.repartition(len(own) or table["buckets"], "_bucket")
+                with swept(self.spark):
+                    writer(placed, compression="zstd").partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+                names = [f.getPath().getName() for f in self._files().listStatus(self._path(*folder.split("/")))]
+                written = {int(n.removeprefix("_bucket=")) for n in names if n.startswith("_bucket=")}
+                for b in written | set(own):
+                    before = table["folders"].pop(str(b), [])
+                    now = [*(before if change.how is None else []), *([f"{folder}/_bucket={b}"] if b in written else [])]
+                    if now:
+                        table["folders"][str(b)] = now
         batches = manifest["batches"] | ({batch[0]: batch[1]} if batch else {})
         self._switch(manifest["version"] + 1, {"tables": tables, "batches": batches})
         return manifest["version"] + 1
@@ -230,8 +269,8 @@ def patch(table: str, key: str, rows: DataFrame, change: Callable[[DataFrame, Da
     return Change(table, rows.select(key), lambda old: change(old, rows), stays=True)
 
 
-def append(table: str, rows: DataFrame) -> Change:
-    return Change(table, rows)
+def append(table: str, rows: DataFrame, dealt: bool = False) -> Change:
+    return Change(table, rows, dealt=dealt)
 
 
 def adopt(table: str, folder: str) -> Change:
@@ -239,5 +278,10 @@ def adopt(table: str, folder: str) -> Change:
     return Change(table, None, folder=folder)
 
 
+def exchange(table: str, key: str, keys: DataFrame, rows: DataFrame) -> list[Change]:
+    """``replace`` for large changes: ``rows`` are ``dealt`` and written where they lie, beside what the buckets keep, which is read some buckets at a time."""
+    return [Change(table, keys.select(key), lambda old, gone: old.join(gone, key, "left_anti"), apart=True), append(table, rows, dealt=True)]
+
+
 def delete(table: str, key: str, keys: DataFrame) -> Change:
     return Change(table, keys.select(key), lambda old: old.join(keys.select(key).distinct(), key, "left_anti"), stays=True)

@@ -140,6 +140,23 @@ def test_batches_run_again_and_crashes(spark, tmp_path, monkeypatch):
     assert any("dört" in t for _, _, t in state(store)[1]) and store.version() == version + 1
 
 
+def test_what_an_ingestion_writes_on_its_way_is_gone(spark, tmp_path, monkeypatch):
+    # buckets are changed one at a time, as in a table too large for one pass
+    monkeypatch.setattr(versions, "PASS_BYTES", 1)
+    store = streams.document_store(spark, str(tmp_path / "store"), 4)
+    texts = [(f"/x/{i}.md", 1, f"metin {i}") for i in range(20)]
+    streams.ingest_files(store, arrivals(spark, *texts), batch=("s", 0))
+    later = [(p, 2, t + " yeni" if i % 3 == 0 else t) for i, (p, _, t) in enumerate(texts)]
+    streams.ingest_files(store, arrivals(spark, *later), batch=("s", 1))
+    rows, chunks = state(store)
+    assert len(rows) == 20 and {t.split("\n")[1] for _, _, t in chunks} == {t for _, _, t in later} and len(chunks) == 40
+    data = tmp_path / "store" / "data"
+    assert not [f for f in data.iterdir() if f.name.startswith("staged")]
+    before = set(data.iterdir())
+    streams.ingest_files(store, arrivals(spark, *later), batch=("s", 1))
+    assert set(data.iterdir()) == before
+
+
 def test_store_changes(spark, tmp_path):
     path = str(tmp_path / "store")
     store = Store(spark, path, {"t": ("k long, v string", "k", 8)})
