@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Mapping
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketry.sources.scratch import shared_folder, writer
+
 # The kinds of files that are taken in.
 FORMATS = (".pdf", ".docx", ".xlsx", ".pptx", ".html", ".txt", ".md")
 
@@ -15,10 +21,97 @@ def extension(path) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
 
 
-def scan_files(spark: SparkSession, root: str, formats: tuple[str, ...] = FORMATS) -> DataFrame:
-    """Files of the known kinds below ``root``; names that begin with a dot (or, as everywhere in Spark, an underscore) are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.where(extension(F.col("path")).isin(*formats) & ~F.col("path").rlike(r"/\.[^/]*$"))
+def _opened(path: str):
+    """The file system of a path as Hadoop writes it, the path there, and a function back."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), re.sub("^file:/+", "/", path), lambda own: f"file:{own}"
+    where, rest = re.match("([^:]+://[^/]*)(/.*)?$", path).groups()
+    store, base = fs.FileSystem.from_uri(f"{where}/")
+    base = base.rstrip("/")
+    return store, base + (rest or ""), lambda own: where + own[len(base) :]
+
+
+def _hidden(name: str) -> bool:
+    """What Spark's readers leave out."""
+    return (name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)) and not name.startswith(("_metadata", "_common_metadata"))
+
+
+#: Paths and bytes of a batch, and files and bytes of a task that reads them.
+LISTED, READ_BYTES, TASK_FILES, TASK_BYTES = 5_000, 2 << 20, 5_000, 32 << 20
+
+
+def _listed(folders: DataFrame) -> DataFrame:
+    """``path, ms, length, folder`` of what lies in each of the folders ``path``."""
+    schema = pa.schema([("path", pa.string()), ("ms", pa.int64()), ("length", pa.int64()), ("folder", pa.bool_())])
+
+    def run(batches):
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                store, at, named = _opened(folder)
+                found = store.get_file_info(fs.FileSelector(at))
+                for i in range(0, len(found), LISTED):
+                    own = [f for f in found[i : i + LISTED] if f.type in (fs.FileType.File, fs.FileType.Directory) and not _hidden(f.base_name)]
+                    yield pa.RecordBatch.from_arrays([pa.array([named(f.path) for f in own], pa.string()), pa.array([f.mtime_ns // 1_000_000 for f in own], pa.int64()), pa.array([f.size or 0 for f in own], pa.int64()), pa.array([f.type == fs.FileType.Directory for f in own], pa.bool_())], schema=schema)
+
+    return folders.mapInArrow(run, "path string, ms bigint, length bigint, folder boolean")
+
+
+def _read(listing: DataFrame) -> DataFrame:
+    """``listing`` with the ``content`` of its files, of a batch of ``READ_BYTES`` at a time."""
+    schema = pa.schema([("path", pa.string()), ("ms", pa.int64()), ("length", pa.int64()), ("content", pa.binary())])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                store, at, _ = _opened(row["path"])
+                with store.open_input_stream(at) as file:
+                    held.append(row | {"content": file.read()})
+                size += len(held[-1]["content"])
+                if size >= READ_BYTES or len(held) >= LISTED:
+                    yield pa.RecordBatch.from_pylist(held, schema)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema)
+
+    n = listing.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
+    parts = max(1, -(-n["files"] // TASK_FILES), -(-n["bytes"] // TASK_BYTES))
+    return listing.repartition(parts).mapInArrow(run, "path string, ms bigint, length bigint, content binary")
+
+
+def scan_files(spark: SparkSession, root: str, formats: tuple[str, ...] = FORMATS, content: bool = True) -> DataFrame:
+    """Files of the known kinds below ``root`` (``path, modificationTime, length``, and their ``content``); names that begin with a dot (or, as everywhere
+    in Spark, an underscore) are left out.
+
+    Folders are listed by tasks, level by level, into a table in the shared folder, and files are read by tasks: the driver holds no list of them, a
+    task that of one folder. Where Arrow does not know the file system, Spark's reader lists the files, which are then all held by the driver.
+    """
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    roots = [f.getPath().toString() for f in found or [] if f.isDirectory()]
+    known = extension(F.col("path")).isin(*formats) & ~F.col("path").rlike(r"/\.[^/]*$")
+    if not roots or len(roots) < len(found) or not all(map(_known, roots)):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(known)
+        return files if content else files.drop("content")
+    levels, rows = [], spark.createDataFrame([(r,) for r in roots], "path string")
+    n = len(roots)
+    while n:
+        levels.append(f"{shared_folder(spark)}/docketry/listing-{uuid.uuid4().hex}")
+        found = _listed(rows.repartition(min(n, 4 * spark.sparkContext.defaultParallelism)))
+        writer(found.where(F.col("folder") | known)).parquet(levels[-1])
+        rows = spark.read.schema(found.schema).parquet(levels[-1]).where("folder").select("path")
+        n = rows.count()
+    listing = spark.read.schema(found.schema).parquet(*levels).where("NOT folder").drop("folder")
+    out = _read(listing) if content else listing
+    return out.select("path", F.timestamp_millis("ms").alias("modificationTime"), "length", *(["content"] if content else []))
+
+
+def _known(path: str) -> bool:
+    try:
+        return bool(_opened(path))
+    except (pa.ArrowException, OSError):
+        return False
 
 
 def with_file_identity(files: DataFrame, *more: Column) -> DataFrame:

@@ -14,6 +14,21 @@ def test_scan_and_read(spark, tmp_path):
     assert [r.text for r in files.read_text_documents(spark, str(tmp_path)).collect()] == ["merhaba"]
 
 
+def test_a_scan_keeps_no_list_of_files_in_the_driver(spark, tmp_path):
+    for name in ("a b/ş.md", "a b/c/d.TXT", "a b/c/x%20.txt", "_x/h.txt", "_y=1/k.txt", ".z/h.txt", "_h.txt", "e.bin", "f.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name * 2)
+    rows = files.scan_files(spark, str(tmp_path))
+    listed = files.scan_files(spark, f"file://{tmp_path}", content=False)
+    plain = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path)).where("NOT path LIKE '%.bin'")
+    assert sorted(rows.collect()) == sorted(plain.select(*rows.columns).collect()) and rows.count() == 5
+    assert sorted(listed.collect()) == sorted(plain.drop("content").collect())
+    # what the driver lists are the tables of the listing, a few for each level of folders
+    assert all("/docketry/listing-" in f for f in rows.inputFiles() + listed.inputFiles())
+    (tmp_path / "none").mkdir()
+    assert files.scan_files(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_model_output(spark):
     rows = [("a", 1, "{bad"), ("a", 2, '{"k": 3, "kind": "x"}'), ("b", 1, '{"k": 99, "kind": "x"}'), ("c", 1, None)]
     got = files.parse_model_output(spark.createDataFrame(rows, "id string, attempt int, raw string"), "struct<k:int,kind:string>", ("k",), {"kind": ("x",)}, {"k": (0, 10)})
