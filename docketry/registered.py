@@ -176,7 +176,7 @@ def document_of(path):
 
 @query
 def s1_scan_files(spark, d):
-    return files.scan_files(spark, folder_of_files(spark, d)).select(document_of("path"), files.extension("path").alias("format"), F.col("length").alias("size_bytes"))
+    return files.scan_files(spark, folder_of_files(spark, d), content=False).select(document_of("path"), files.extension("path").alias("format"), F.col("length").alias("size_bytes"))
 
 
 @query
