@@ -11,12 +11,13 @@ from itertools import groupby, islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketry.functions.text import tr_lower
-from docketry.operators import _markdown, regulation
+from docketry.operators import _markdown, _pages, regulation
 from docketry.operators.search import slices
 
 METADATA = "struct<part:string,chapter:string,unit:string,sub_unit:string,service:string,service_no:string,article_no:string,title:string,certain:boolean>"
@@ -188,55 +189,52 @@ def normal_text(c) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
 
 
-#: Bytes of a window that decides on an anchor, and of the anchor itself: what is contained in a text and at least as long
-#: as the window has the anchor of its own first window among the text's.
-ANCHOR_WINDOW, ANCHOR = 15, 8
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of probes and entries that are compared at a time.
+BLOCK_BYTES = 4 << 20
 
 
-def _anchored(rows: DataFrame, first: bool, *kept: str) -> DataFrame:
-    """``anchor`` and the columns ``kept`` of texts (``needle``): hashes of the eight bytes that are least in a window of fifteen, in any
-    window, or only in the ``first``. About two anchors for every nine bytes."""
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)
-    grams = ANCHOR_WINDOW - ANCHOR + 1
+def first_entries(asked: DataFrame, entries: DataFrame) -> DataFrame:
+    """``id, first_at, first, second_at, second``: of chunks ``id, doc_id, probe`` and entries ``doc_id, pos, norm_text, entry_page`` the page and position of the
+    first entry that contains the probe or lies within it, and of the first that holds the probe's first 40 characters.
 
-    def anchors(text: bytes) -> np.ndarray:
-        raw = np.frombuffer(text[:ANCHOR_WINDOW] if first else text, np.uint8)
-        if len(raw) < ANCHOR_WINDOW:
-            return np.zeros(0, np.uint64)
-        h = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, ANCHOR)).view(np.uint64)[:, 0] * _SPREAD
-        h ^= h >> np.uint64(29)
-        return np.unique(np.lib.stride_tricks.sliding_window_view(h, grams).min(axis=1))
+    The rows of a document go through one task in order, a block at a time (a chunk has a row for each block with such an entry): that task
+    holds a block and the document's probes, not its entries.
+    """
+    kind = lambda rows, c: rows.schema[c].dataType.simpleString()
+    none = lambda t: F.lit(None).cast(t)
+    probes = asked.where("id IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "id", none("bigint").alias("pos"), none(kind(entries, "entry_page")).alias("page"), F.octet_length(F.substring("probe", 1, 40)).alias("half"), F.col("probe").alias("text"))
+    lines = entries.where("doc_id IS NOT NULL").select("doc_id", none(kind(asked, "id")).alias("id"), F.col("pos").cast("bigint").alias("pos"), F.col("entry_page").alias("page"), F.lit(0).alias("half"), F.col("norm_text").alias("text"))
+
+    def compared(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        text = pa.concat_arrays(rows.column("text").chunks)
+        is_probe = np.asarray(rows.column("id").is_valid())
+        ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]
+        raw = text.buffers()[2].to_pybytes()[ends[0] : ends[-1]] if text.buffers()[2] else b""
+        doc = rows.column("doc_id").combine_chunks().dictionary_encode()
+        doc = (doc.combine_chunks() if isinstance(doc, pa.ChunkedArray) else doc).indices.to_numpy(zero_copy_only=False)
+        found = _pages.first_entries(doc, is_probe, rows.column("half").to_numpy(), raw, ends - ends[0])
+        hit = np.flatnonzero((found[0] < _pages.NONE) | (found[1] < _pages.NONE))
+        at = [pa.array(np.where(f[hit] < _pages.NONE, f[hit], -1), pa.int64(), mask=f[hit] == _pages.NONE) for f in found]
+        take = lambda c, i: pa.concat_arrays(c.take(i).chunks) if len(i) else pa.nulls(0, c.type)
+        return pa.RecordBatch.from_arrays([take(rows.column("id"), pa.array(hit)), *(take(rows.column(c), i) for i in at for c in ("pos", "page"))], names=["id", "first_at", "first", "second_at", "second"])
 
     def run(batches):
-        for batch in batches:
-            found = [anchors((t or "").encode()) for t in batch.column("needle").to_pylist()]
-            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-            if len(at):
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in kept), pa.array(np.concatenate(found).view(np.int64))], names=[*kept, "anchor"])
-
-    return rows.select("needle", *kept).mapInArrow(run, f"{kinds}, anchor bigint")
-
-
-def page_candidates(asked: DataFrame, entries: DataFrame) -> DataFrame:
-    """``id, doc_id, pos``: of chunks ``id, doc_id, probe`` and entries ``doc_id, pos, norm_text`` of one document all that can contain one another, or
-    hold the probe's first 40 characters, and few others. What meets is joined by document and anchor, so the rows grow with the texts."""
-    probes, texts = asked.withColumn("needle", F.col("probe")), entries.withColumn("needle", F.col("norm_text"))
-    long = texts.where(F.octet_length("norm_text") >= ANCHOR_WINDOW)
-    # the probe's beginning in an entry, and an entry's beginning in the probe
-    around = _anchored(probes, True, "id", "doc_id").join(_anchored(long, False, "doc_id", "pos"), ["doc_id", "anchor"])
-    within = _anchored(probes, False, "id", "doc_id").join(_anchored(long.where(F.octet_length("norm_text") <= 4 * 80), True, "doc_id", "pos"), ["doc_id", "anchor"])
-    # shorter entries by their first three characters; of equal ones in a document the first stands for all
-    short = texts.where((F.octet_length("norm_text") < ANCHOR_WINDOW) & (F.col("norm_text") != "")).groupBy("doc_id", "norm_text").agg(F.min("pos").alias("pos"))
-    grams = F.array_distinct(F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.length("probe") - n + 1), lambda i: F.substring("probe", i, n)))))
-    beside = asked.join(short.select("doc_id").distinct(), "doc_id", "left_semi").select("id", "doc_id", F.explode(grams).alias("gram"))
-    small = beside.join(short.select("doc_id", "pos", F.substring("norm_text", 1, 3).alias("gram")), ["doc_id", "gram"])
-    # an empty entry is in every probe
-    empty = asked.join(entries.where("norm_text = ''").groupBy("doc_id").agg(F.min("pos").alias("pos")), "doc_id")
-    out = around.select("id", "doc_id", "pos")
-    for more in (within, small, empty):
-        out = out.unionByName(more.select("id", "doc_id", "pos"))
-    return out.distinct()
+        held, size = [], 0
+        for batch in (p for b in batches for p in slices(b, "text")):
+            held.append(batch)
+            size += batch.column("text").nbytes
+            if size >= BLOCK_BYTES:
+                rows = pa.Table.from_batches(held)
+                yield compared(rows)
+                # the document that may go on: its probes, which stand before its entries
+                rows = rows.filter(pc.and_(pc.equal(rows.column("doc_id"), rows.column("doc_id")[-1]), rows.column("id").is_valid()))
+                held, size = rows.to_batches(), 0
+        if held:
+            yield compared(pa.Table.from_batches(held))
+
+    page = kind(entries, "entry_page")
+    return probes.unionByName(lines).repartition("doc_id").sortWithinPartitions("doc_id", F.col("id").isNull(), "pos").mapInArrow(run, f"id {kind(asked, 'id')}, first_at bigint, first {page}, second_at bigint, second {page}")
 
 
 def assign_pages(chunks: DataFrame, entries: DataFrame) -> DataFrame:
@@ -245,12 +243,7 @@ def assign_pages(chunks: DataFrame, entries: DataFrame) -> DataFrame:
     probe = F.substring(normal_text(F.regexp_replace(F.coalesce("probe", "text"), r"^\[.*?\]\n", "")), 1, 80)
     asked = chunks.select("id", "doc_id", probe.alias("probe")).where(F.length("probe") >= 15)
     rows = entries.where("norm_text IS NOT NULL").select("doc_id", "pos", "norm_text", F.col("page").alias("entry_page"))
-    met = page_candidates(asked, rows).join(rows, ["doc_id", "pos"]).join(asked.select("id", "probe"), "id")
-    near = F.contains("norm_text", F.col("probe")) | F.contains("probe", F.col("norm_text"))
-    found = met.groupBy("id").agg(
-        F.min_by(F.when(near, F.col("entry_page")), F.when(near, F.col("pos"))).alias("first"),
-        F.min_by("entry_page", F.when(F.contains("norm_text", F.substring("probe", 1, 40)), F.col("pos"))).alias("second"),
-    )
+    found = first_entries(asked, rows).groupBy("id").agg(F.min_by("first", "first_at").alias("first"), F.min_by("second", "second_at").alias("second"))
     return chunks.join(found.select("id", F.coalesce("first", "second").alias("page")), "id", "left")
 
 

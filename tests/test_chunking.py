@@ -1,6 +1,8 @@
 import random
 import tracemalloc
 
+from pyspark.sql import functions as F
+
 from docketry.operators import _markdown as M
 from docketry.operators import chunking
 
@@ -166,6 +168,21 @@ def test_pages_against_every_entry(spark):
     assert {r.id: r.page for r in got.collect()} == want and len(set(want.values())) > 5
 
 
+def test_pages_of_a_document_in_many_blocks(spark, monkeypatch):
+    # entries of the first block, of a later one, within a probe, and again; what meets is not kept for each place of a text
+    monkeypatch.setattr(chunking, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(chunking, "slices", lambda b, c: (b.slice(i, 3) for i in range(0, b.num_rows, 3)))
+    line = lambda i: f"satır {i} burada geçiyor ve devam ediyor, sonra da {i * 7} numara ile bitiyor"
+    entries = [("d", i, line(i) if i % 10 else "satır", i) for i in range(1, 300)] + [("e", 5, "", 50), ("e", 6, line(4), 60), ("f", 1, line(3), 1)]
+    chunks = [(f"d{i}", "d", line(i)[:60 + i % 15]) for i in range(1, 300)] + [("e4", "e", line(4)), ("f3", "f", line(3)[:41] + " başka"), ("g", "g", line(3))]
+    asked = spark.createDataFrame(chunks, "id string, doc_id string, probe string").repartition(3)
+    found = chunking.first_entries(asked, spark.createDataFrame(entries, "doc_id string, pos int, norm_text string, entry_page int"))
+    got = chunking.assign_pages(asked.withColumn("text", F.col("probe")), spark.createDataFrame(entries, "doc_id string, pos int, norm_text string, page int"))
+    want = {i: next((g for e, _, t, g in entries if e == d and (p in t or t in p)), next((g for e, _, t, g in entries if e == d and p[:40] in t), None)) for i, d, p in chunks}
+    assert {r.id: r.page for r in got.collect()} == want and want["d1"] == 1 and want["d30"] == 10 and want["e4"] == 50 and want["f3"] == 1 and want["g"] is None
+    assert found.where("id = 'd1'").count() > 1
+
+
 def test_long_texts_are_cut_a_slice_at_a_time(spark, monkeypatch):
     from pyspark.sql import functions as F
 
