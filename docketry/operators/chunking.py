@@ -241,8 +241,9 @@ def assign_pages(chunks: DataFrame, entries: DataFrame) -> DataFrame:
     """Adds ``page``: of the document's entries ``doc_id, pos, norm_text, page`` the first, by position, that holds the
     chunk's first 80 characters or lies within them; else the first that holds its first 40."""
     probe = F.substring(normal_text(F.regexp_replace(F.coalesce("probe", "text"), r"^\[.*?\]\n", "")), 1, 80)
-    asked = chunks.select("id", "doc_id", probe.alias("probe")).where(F.length("probe") >= 15)
-    rows = entries.where("norm_text IS NOT NULL").select("doc_id", "pos", "norm_text", F.col("page").alias("entry_page"))
+    # exploded, so that it is worked out once, not anew in each expression that it goes into
+    asked = chunks.select("id", "doc_id", F.explode(F.array(probe)).alias("probe")).where(F.length("probe") >= 15)
+    rows = entries.select("doc_id", "pos", F.explode(F.array("norm_text")).alias("norm_text"), F.col("page").alias("entry_page")).where("norm_text IS NOT NULL")
     found = first_entries(asked, rows).groupBy("id").agg(F.min_by("first", "first_at").alias("first"), F.min_by("second", "second_at").alias("second"))
     return chunks.join(found.select("id", F.coalesce("first", "second").alias("page")), "id", "left")
 

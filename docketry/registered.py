@@ -351,9 +351,10 @@ def pages_of(spark, d):
 
 @query
 def c8_assign_pages(spark, d):
-    # a document's text in pieces of 400 characters
-    pieces = documents(spark, d).select(F.col("id").alias("doc_id"), "text", F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 400))).alias("n"))
-    chunks = pieces.select(F.concat_ws("-", "doc_id", "n").alias("id"), "doc_id", F.concat(F.lit("[Dosya]\n"), F.substring("text", (F.col("n") * 400 + 1).cast("int"), F.lit(400))).alias("text"), F.lit(None).cast("string").alias("probe"))
+    # a document's text in pieces of 400 characters, cut in one pass; after a whole last piece comes an empty one
+    cut = F.concat(F.regexp_extract_all("text", F.lit("(?s).{1,400}"), F.lit(0)), F.when(F.length("text") % 400 == 0, F.array(F.lit(""))).otherwise(X.strings()))
+    pieces = documents(spark, d).select(F.col("id").alias("doc_id"), F.posexplode(cut).alias("n", "piece"))
+    chunks = pieces.select(F.concat_ws("-", "doc_id", "n").alias("id"), "doc_id", F.concat(F.lit("[Dosya]\n"), "piece").alias("text"), F.lit(None).cast("string").alias("probe"))
     return chunking.assign_pages(chunks, pages_of(spark, d)).select("id", "page")
 
 

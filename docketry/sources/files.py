@@ -131,7 +131,7 @@ def page_entries(docs: DataFrame) -> DataFrame:
     """``doc_id, pos, norm_text, page`` of a parser's JSON (``id, parser_json``): entries with a text and a page."""
     items = docs.select(F.col("id").alias("doc_id"), F.from_json("parser_json", PAGES).alias("j")).select("doc_id", F.posexplode("j.texts").alias("pos", "t"))
     page = F.get(F.col("t.prov"), F.lit(0))["page_no"]
-    return items.select("doc_id", "pos", F.trim(F.regexp_replace(F.lower("t.text"), r"\s+", " ")).alias("norm_text"), page.alias("page")).where("norm_text IS NOT NULL AND page IS NOT NULL")
+    return items.where(F.col("t.text").isNotNull() & page.isNotNull()).select("doc_id", "pos", F.trim(F.regexp_replace(F.lower("t.text"), r"\s+", " ")).alias("norm_text"), page.alias("page"))
 
 
 def parse_model_output(df: DataFrame, schema: str, required: tuple[str, ...] = (), enums: Mapping[str, tuple[str, ...]] | None = None, ranges: Mapping[str, tuple[float, float]] | None = None) -> DataFrame:
