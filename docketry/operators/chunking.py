@@ -202,18 +202,20 @@ def first_entries(asked: DataFrame, entries: DataFrame) -> DataFrame:
     """
     kind = lambda rows, c: rows.schema[c].dataType.simpleString()
     none = lambda t: F.lit(None).cast(t)
-    probes = asked.where("id IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "id", none("bigint").alias("pos"), none(kind(entries, "entry_page")).alias("page"), F.octet_length(F.substring("probe", 1, 40)).alias("half"), F.col("probe").alias("text"))
-    lines = entries.where("doc_id IS NOT NULL").select("doc_id", none(kind(asked, "id")).alias("id"), F.col("pos").cast("bigint").alias("pos"), F.col("entry_page").alias("page"), F.lit(0).alias("half"), F.col("norm_text").alias("text"))
+    # a row with a half is a probe. Rows without a document are left out by the tasks: a filter here would go down to the tables, and what a plan
+    # reads for its probes, its entries and its chunks would not be read and shuffled once
+    probes = asked.select("doc_id", "id", none("bigint").alias("pos"), none(kind(entries, "entry_page")).alias("page"), F.octet_length(F.substring("probe", 1, 40)).alias("half"), F.col("probe").alias("text"))
+    lines = entries.select("doc_id", none(kind(asked, "id")).alias("id"), F.col("pos").cast("bigint").alias("pos"), F.col("entry_page").alias("page"), none("int").alias("half"), F.col("norm_text").alias("text"))
 
     def compared(rows: pa.Table) -> pa.RecordBatch:
         rows = rows.combine_chunks()
         text = pa.concat_arrays(rows.column("text").chunks)
-        is_probe = np.asarray(rows.column("id").is_valid())
+        is_probe = np.asarray(rows.column("half").is_valid())
         ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]
         raw = text.buffers()[2].to_pybytes()[ends[0] : ends[-1]] if text.buffers()[2] else b""
         doc = rows.column("doc_id").combine_chunks().dictionary_encode()
         doc = (doc.combine_chunks() if isinstance(doc, pa.ChunkedArray) else doc).indices.to_numpy(zero_copy_only=False)
-        found = _pages.first_entries(doc, is_probe, rows.column("half").to_numpy(), raw, ends - ends[0])
+        found = _pages.first_entries(doc, is_probe, rows.column("half").fill_null(0).to_numpy(), raw, ends - ends[0])
         hit = np.flatnonzero((found[0] < _pages.NONE) | (found[1] < _pages.NONE))
         at = [pa.array(np.where(f[hit] < _pages.NONE, f[hit], -1), pa.int64(), mask=f[hit] == _pages.NONE) for f in found]
         take = lambda c, i: pa.concat_arrays(c.take(i).chunks) if len(i) else pa.nulls(0, c.type)
@@ -221,20 +223,20 @@ def first_entries(asked: DataFrame, entries: DataFrame) -> DataFrame:
 
     def run(batches):
         held, size = [], 0
-        for batch in (p for b in batches for p in slices(b, "text")):
+        for batch in (p for b in batches for p in slices(b.filter(b.column("doc_id").is_valid()), "text")):
             held.append(batch)
             size += batch.column("text").nbytes
             if size >= BLOCK_BYTES:
                 rows = pa.Table.from_batches(held)
                 yield compared(rows)
                 # the document that may go on: its probes, which stand before its entries
-                rows = rows.filter(pc.and_(pc.equal(rows.column("doc_id"), rows.column("doc_id")[-1]), rows.column("id").is_valid()))
+                rows = rows.filter(pc.and_(pc.equal(rows.column("doc_id"), rows.column("doc_id")[-1]), rows.column("half").is_valid()))
                 held, size = rows.to_batches(), 0
         if held:
             yield compared(pa.Table.from_batches(held))
 
     page = kind(entries, "entry_page")
-    return probes.unionByName(lines).repartition("doc_id").sortWithinPartitions("doc_id", F.col("id").isNull(), "pos").mapInArrow(run, f"id {kind(asked, 'id')}, first_at bigint, first {page}, second_at bigint, second {page}")
+    return probes.unionByName(lines).repartition("doc_id").sortWithinPartitions("doc_id", F.col("half").isNull(), "pos").mapInArrow(run, f"id {kind(asked, 'id')}, first_at bigint, first {page}, second_at bigint, second {page}")
 
 
 def assign_pages(chunks: DataFrame, entries: DataFrame) -> DataFrame:

@@ -344,7 +344,8 @@ def c7_split_long_text(spark, d):
 
 
 def pages_of(spark, d):
-    docs = documents(spark, d)
+    # labels by hash here and in c8, so that texts are dealt out once, alike whatever the size of either table
+    docs = documents(spark, d, "shuffle_hash")
     line = lambda x, i: F.struct(x.alias("text"), F.array(F.struct((i + 1).cast("int").alias("page_no"))).alias("prov"))
     return files.page_entries(docs.select("id", F.to_json(F.struct(F.transform(F.split("text", "\n"), line).alias("texts"))).alias("parser_json")))
 
@@ -353,7 +354,7 @@ def pages_of(spark, d):
 def c8_assign_pages(spark, d):
     # a document's text in pieces of 400 characters, cut in one pass; after a whole last piece comes an empty one
     cut = F.concat(F.regexp_extract_all("text", F.lit("(?s).{1,400}"), F.lit(0)), F.when(F.length("text") % 400 == 0, F.array(F.lit(""))).otherwise(X.strings()))
-    pieces = documents(spark, d).select(F.col("id").alias("doc_id"), F.posexplode(cut).alias("n", "piece"))
+    pieces = documents(spark, d, "shuffle_hash").select(F.col("id").alias("doc_id"), F.posexplode(cut).alias("n", "piece"))
     chunks = pieces.select(F.concat_ws("-", "doc_id", "n").alias("id"), "doc_id", F.concat(F.lit("[Dosya]\n"), "piece").alias("text"), F.lit(None).cast("string").alias("probe"))
     return chunking.assign_pages(chunks, pages_of(spark, d)).select("id", "page")
 
